@@ -47,12 +47,12 @@ def rasterize(shapes: DataFrame, images: DataFrame) -> DataFrame:
     )
     low = F.greatest(F.ceil(F.col("cy") - F.col("oy")), F.lit(0))
     high = F.least(F.floor(F.col("cy") + F.col("oy")), F.col("height") - 1)
-    rows = sized.filter(low <= high).withColumn("y", F.explode(F.sequence(low, high)).cast("int"))
+    rows = sized.filter(low <= high).withColumn("y", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
     dy = F.col("y") - F.col("cy")
     half = F.col("ox") * F.sqrt(F.greatest(F.lit(0.0), 1 - dy * dy / (F.col("oy") * F.col("oy")))) + 1
     left = F.greatest(F.floor(F.col("cx") - half), F.lit(0))
     right = F.least(F.ceil(F.col("cx") + half), F.col("width") - 1)
-    cells = rows.filter(left <= right).withColumn("x", F.explode(F.sequence(left, right)).cast("int"))
+    cells = rows.filter(left <= right).withColumn("x", F.explode(F.sequence(left.cast("int"), right.cast("int"))))
     dx = F.col("x") - F.col("cx")
 
     def inside(a: str, b: str) -> Column:

@@ -19,13 +19,17 @@ def _axis(length: str, patch: int, step: float) -> tuple[Column, Column]:
     return count, F.when(count > 1, room / (count - 1)).otherwise(F.lit(0.0))
 
 
+def _spots(first: Column, last: Column, gap: Column) -> Column:
+    return F.transform(F.sequence(first, last), lambda k: F.rint(k * gap).cast("int"))
+
+
 def _origins(at: str, length: str, patch: int, step: float) -> Column:
     """Window origins along one axis that cover a pixel."""
     count, gap = _axis(length, patch, step)
     near = F.greatest(gap, F.lit(1.0))
     first = F.greatest(F.lit(0), F.floor((F.col(at) - patch) / near).cast("int"))
     last = F.least(count - 1, F.ceil(F.col(at) / near).cast("int") + 1)
-    spots = F.transform(F.sequence(F.least(first, last), last), lambda k: F.rint(k * gap).cast("int"))
+    spots = _spots(F.least(first, last), last, gap)
     return F.filter(spots, lambda o: (o <= F.col(at)) & (F.col(at) < o + patch))
 
 
@@ -36,8 +40,7 @@ def windows(images: DataFrame, patch: tuple[int, int], step: float = 0.5) -> Dat
     out = images.select("image_id", "height", "width")
     for name, length, size in (("oy", "height", patch[0]), ("ox", "width", patch[1])):
         count, gap = _axis(length, size, step)
-        spots = F.transform(F.sequence(F.lit(0), count - 1), lambda k, gap=gap: F.rint(k * gap).cast("int"))
-        out = out.withColumn(name, F.explode(spots))
+        out = out.withColumn(name, F.explode(_spots(F.lit(0), count - 1, gap)))
     return out.select("image_id", "oy", "ox")
 
 
