@@ -1 +1,249 @@
+"""Files and stored tables: names, headers, sidecars and round trips.
 
+Folder listings are derived from the given tables: every ``part`` is an image of the
+subject given by its size, and some of its files are missing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.views import EXTENT, OBJ, PX, axon, cols, components_sql, images, objects, query, rasters, regions_sql, table
+from segstats.functions.scalars import file_extension, gray_level
+from segstats.operators.components import label_components
+from segstats.operators.masks import mask_name
+from segstats.operators.regions import region_sums
+from segstats.operators.runs import as_pixels
+from segstats.plans.nerve import fascicle_areas, nerve_document
+from segstats.session import scratch_path
+from segstats.sources import files, tables
+
+# one row per file: images, masks of several roles, object tables, sidecars, other files
+_FILES = {
+    ".png": "p_partkey % 7 <> 0",
+    ".TIF": "p_partkey % 7 = 0",
+    "_seg-axonmyelin.png": "p_partkey % 3 <> 0",
+    "_seg-axon.png": "p_partkey % 5 <> 0",
+    "_seg-myelin.png": "p_partkey % 11 <> 0",
+    "_seg-uaxon.png": "p_partkey % 4 = 0",
+    "_seg-nerve.png": "p_partkey % 6 = 0",
+    "_axon_morphometrics.csv": "p_partkey % 3 = 1 OR p_size > 40",
+    "_index.png": "p_partkey % 9 = 0",
+    "_notes.ome.tiff": "p_partkey % 13 = 0",
+    ".txt": "p_partkey % 8 = 0",
+}
+STEM = "'/data/subject' || CAST(p_size AS STRING) || '/img' || CAST(p_partkey AS STRING)"
+LISTING = "listing AS (" + " UNION ALL ".join(
+    f"SELECT {STEM.replace('STRING', 'VARCHAR')} || '{end}' AS path FROM part WHERE {rule}" for end, rule in _FILES.items()
+) + ")"
+
+
+def listing(spark, sf):
+    cases = F.array(*[F.when(F.expr(rule), F.lit(end)) for end, rule in _FILES.items()])
+    part = table(spark, sf, "part")
+    return part.select(F.expr(STEM).alias("base"), F.explode(cases).alias("end")).filter("end IS NOT NULL").select(
+        F.concat("base", "end").alias("path")
+    )
+
+
+GENERATED = ("_seg-axonmyelin.png", "_seg-axon.png", "_seg-myelin.png", "_index.png", "_seg-uaxon.png", "_seg-nerve.png")
+NOT_GENERATED = " AND ".join(f"NOT path LIKE '%{s.replace('_', '!_')}' ESCAPE '!'" for s in GENERATED)
+
+
+@query(
+    "image_scan",
+    f"""WITH {LISTING} SELECT path FROM listing WHERE regexp_matches(lower(path), '\\.(tif|tiff|png|jpg|jpeg)$') AND {NOT_GENERATED}""",
+)
+def image_scan(spark, sf):
+    return files.list_images(listing(spark, sf))
+
+
+ROLES = f"""WITH {LISTING}, m AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir,
+  regexp_extract(path, '([^/]*)_seg-[a-z]+\\.png$', 1) AS stem, regexp_extract(path, '_seg-([a-z]+)\\.png$', 1) AS role
+  FROM listing WHERE path LIKE '%!_seg-%' ESCAPE '!'),
+i AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) AS stem FROM listing
+  WHERE regexp_matches(lower(path), '\\.(tif|tiff|png|jpg|jpeg)$') AND path NOT LIKE '%!_seg-%' ESCAPE '!')"""
+
+
+@query("mask_roles", f"{ROLES} SELECT path, dir, stem, role FROM m")
+def mask_roles(spark, sf):
+    return files.mask_files(listing(spark, sf))
+
+
+@query(
+    "mask_pivot",
+    f"""{ROLES} SELECT dir, stem, bool_or(role = 'axon') AS axon, bool_or(role = 'myelin') AS myelin, bool_or(role = 'axonmyelin') AS axonmyelin,
+bool_or(role = 'uaxon') AS uaxon, bool_or(role = 'nerve') AS nerve FROM m GROUP BY ALL""",
+)
+def mask_pivot(spark, sf):
+    found = files.mask_files(listing(spark, sf))
+    return found.groupBy("dir", "stem").agg(*[F.bool_or(F.col("role") == r).alias(r) for r in files.MASK_ROLES])
+
+
+def _ready(mode, role):
+    @query(f"ready_images_{mode}", f"{ROLES} SELECT i.dir, i.stem, i.path FROM i SEMI JOIN (SELECT * FROM m WHERE role = '{role}') k USING (dir, stem)")
+    def run(spark, sf):
+        return files.ready_images(listing(spark, sf), mode)
+
+
+for _mode, _role in files.TARGET_MASK.items():
+    _ready(_mode, _role)
+
+
+@query(
+    "missing_masks",
+    f"""{ROLES}, need AS (SELECT i.dir, i.stem, r.role FROM i SEMI JOIN (SELECT * FROM m WHERE role = 'nerve') k USING (dir, stem),
+  (VALUES ('nerve'), ('axon'), ('myelin')) r(role)) SELECT * FROM need ANTI JOIN m USING (dir, stem, role)"""
+    .replace("FROM i SEMI JOIN (SELECT * FROM m WHERE role = 'nerve') k USING (dir, stem),", "FROM (SELECT * FROM i SEMI JOIN (SELECT * FROM m WHERE role = 'nerve') k USING (dir, stem)) i,"),
+)
+def missing_masks(spark, sf):
+    return files.missing_masks(listing(spark, sf), "nerve")
+
+
+@query(
+    "file_extensions",
+    f"""WITH {LISTING} SELECT path, CASE {' '.join(f"WHEN lower(path) LIKE '%{e}' THEN '{e}'" for e in
+    ('.ome.tif', '.ome.tiff', '.ome.tf2', '.ome.tf8', '.ome.btf', '.tif', '.tiff', '.png', '.jpg', '.jpeg'))} END AS extension FROM listing""",
+)
+def file_extensions(spark, sf):
+    return listing(spark, sf).select("path", file_extension(F.col("path")).alias("extension"))
+
+
+@query(
+    "class_file_names",
+    f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN {STEM.replace('STRING', 'VARCHAR')} || '_seg-axon.png' ELSE {STEM.replace('STRING', 'VARCHAR')} || '_seg-myelin.png' END AS path FROM part",
+)
+def class_file_names(spark, sf):
+    raw = table(spark, sf, "part").select("p_partkey", F.expr(f"{STEM} || '_seg-nnunet.png'").alias("raw"))
+    return raw.select(
+        "p_partkey",
+        F.when(F.col("p_partkey") % 2 == 0, mask_name(F.col("raw"), "axon")).otherwise(mask_name(F.col("raw"), "myelin")).alias("path"),
+    )
+
+
+def headers(spark, sf):
+    """PNG header bytes built from part sizes: up to 50,000 x 50,000 pixels."""
+    fixed = "'89504E470D0A1A0A0000000D49484452'"
+    kind = "CASE p_partkey % 4 WHEN 0 THEN '00' WHEN 1 THEN '02' WHEN 2 THEN '04' ELSE '06' END"
+    content = F.expr(
+        f"unhex(concat({fixed}, lpad(hex(p_size * 1000), 8, '0'), lpad(hex(p_partkey % 500 * 100 + 1), 8, '0'), '08', {kind}))"
+    )
+    return table(spark, sf, "part").select(F.expr(f"{STEM} || CASE WHEN p_partkey % 3 = 0 THEN '.tif' ELSE '.png' END").alias("path"), content.alias("content"))
+
+
+HEADERS = f"""WITH h AS (SELECT {STEM.replace('STRING', 'VARCHAR')} || CASE WHEN p_partkey % 3 = 0 THEN '.tif' ELSE '.png' END AS path, CAST(p_size * 1000 AS BIGINT) AS width,
+  p_partkey % 500 * 100 + 1 AS height, CAST(8 AS BIGINT) AS bit_depth, CAST(CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 4 END AS BIGINT) AS channels FROM part)"""
+
+
+@query("header_shapes", f"{HEADERS} SELECT path, {cols('width; height; bit_depth; channels')} FROM h")
+def header_shapes(spark, sf):
+    return files.png_header(headers(spark, sf)).drop("content")
+
+
+@query("size_guard", f"{HEADERS} SELECT path, {cols('width * height:n_pixels')}, width * height <= 89478485 AS accepted FROM h")
+def size_guard(spark, sf):
+    ok, rejected = files.size_guard(files.png_header(headers(spark, sf)).drop("content"))
+    both = ok.withColumn("accepted", F.lit(True)).unionByName(rejected.withColumn("accepted", F.lit(False)))
+    return both.select("path", "n_pixels", "accepted")
+
+
+@query(
+    "input_check",
+    f"""{HEADERS} SELECT path, channels <> 1 AS to_gray, path LIKE '%.tif' AS to_format,
+CASE WHEN channels <> 1 THEN regexp_replace(path, '\\.[a-z]+$', '_grayscale.png') ELSE regexp_replace(path, '\\.[a-z]+$', '.png') END AS target FROM h""",
+)
+def input_check(spark, sf):
+    return files.check_inputs(files.png_header(headers(spark, sf)), ".png", 1).select("path", "to_gray", "to_format", "target")
+
+
+@query(
+    "pixel_sizes",
+    """SELECT p_partkey, '/data/subject' || CAST(p_size AS VARCHAR) AS dir, CASE WHEN p_size % 2 = 0 THEN p_size / 1000 ELSE p_size / 500 END AS um_per_px FROM part"""
+    .replace("p_size / 1000", "round(p_size / 1000, 6)").replace("p_size / 500", "round(p_size / 500, 6)"),
+)
+def pixel_sizes(spark, sf):
+    part = table(spark, sf, "part")
+    texts = part.select("p_size").distinct().selectExpr(
+        "'/data/subject' || CAST(p_size AS STRING) || '/pixel_size_in_micrometer.txt' AS path",
+        "CAST(CASE WHEN p_size % 2 = 0 THEN p_size / 1000D ELSE p_size / 500D END AS STRING) || '\\n' AS value",
+    )
+    pictures = part.selectExpr("p_partkey", "'/data/subject' || CAST(p_size AS STRING) AS dir")
+    return files.with_pixel_size(pictures, files.parse_pixel_sizes(texts)).select("p_partkey", "dir", "um_per_px")
+
+
+@query(
+    "subject_completeness",
+    f"""WITH {LISTING}, f AS (SELECT regexp_extract(path, '/([^/]*)/[^/]*$', 1) AS subject_id, regexp_extract(path, '/([^/_]*)_[^/]*$', 1) AS stem,
+  path LIKE '%.csv' AS o FROM listing WHERE path LIKE '%axon!_morphometrics.csv' ESCAPE '!' OR path LIKE '%!_seg-axonmyelin.png' ESCAPE '!'),
+p AS (SELECT subject_id, stem, count(*) FILTER (o) AS a, count(*) FILTER (NOT o) AS b FROM f GROUP BY ALL),
+s AS (SELECT subject_id, sum(a) AS a, sum(b) AS b, count(*) FILTER (b > 0 AND a = 0) AS c FROM p GROUP BY ALL)
+SELECT subject_id, {cols('a:n_objects; b:n_masks; c:n_missing')}, a = b AND a > 0 AND c = 0 AS complete FROM s""",
+)
+def subject_completeness(spark, sf):
+    return files.completeness(listing(spark, sf))
+
+
+@query(
+    "gray_conversion",
+    f"""WITH {PX}, g AS (SELECT image_id, y, x, CAST(floor((v + 1) * 127) AS BIGINT) AS a, CAST(floor((nv + 1) * 127) AS BIGINT) AS b,
+  CAST(floor((bv + 1) * 127) AS BIGINT) AS c FROM px)
+SELECT {cols('image_id; y; x', 'CASE WHEN image_id % 4 < 2 THEN a ELSE 0.299 * c + 0.587 * b + 0.114 * a END:gray')} FROM g""",
+)
+def gray_conversion(spark, sf):
+    g = rasters(spark, sf).selectExpr(
+        "image_id", "y", "x",
+        "transform(slice(array(v, nv, bv, 1D), 1, cast(image_id % 4 as int) + 1), e -> floor((e + 1) * 127)) AS channels",
+    )
+    return g.select("image_id", "y", "x", gray_level(F.col("channels")).alias("gray"))
+
+
+@query(
+    "stored_object_table",
+    f"WITH {OBJ} SELECT subject_id, image_id, {cols('line', 'axon_diam; gratio; myelin_thickness; axon_area; myelin_area')} FROM obj",
+)
+def stored_object_table(spark, sf):
+    path = scratch_path(spark, "objects")
+    tables.write_objects(objects(spark, sf), path, "csv")
+    back = tables.read_objects(spark, path, "csv")
+    return back.withColumns({c: F.col(c).cast("bigint") for c in ("subject_id", "image_id", "line")})
+
+
+@query(
+    "subject_tree",
+    f"""WITH {OBJ} SELECT CAST(subject_id AS VARCHAR) AS subject_id, {cols('count(*):n; count(gratio):n_gratio', 'sum(axon_diam):sum_diam; sum(axon_area):sum_area')}
+FROM obj GROUP BY subject_id""",
+)
+def subject_tree(spark, sf):
+    path = scratch_path(spark, "subjects")
+    tables.write_objects(objects(spark, sf), path, "parquet", ["subject_id"])
+    back = tables.read_objects(spark, path, "parquet")
+    return back.groupBy(F.col("subject_id").cast("string").alias("subject_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("gratio").alias("n_gratio"), F.sum("axon_diam").alias("sum_diam"),
+        F.sum("axon_area").alias("sum_area"),
+    )
+
+
+@query(
+    "stored_nerve_documents",
+    f"""WITH RECURSIVE {PX}, {components_sql('n', 'nerve', 1)}, fa AS (SELECT image_id, label - 1 AS fascicle, count(*) * 0.25 AS area FROM n GROUP BY ALL)
+SELECT CAST(image_id AS VARCHAR) AS image_id, {cols('count(*):n_fascicles', 'sum(area):total_area; max(area):largest')} FROM fa GROUP BY image_id""",
+)
+def stored_nerve_documents(spark, sf):
+    path = scratch_path(spark, "nerve")
+    nerve = rasters(spark, sf).filter("bv > 0").select("image_id", "y", "x")
+    areas = fascicle_areas(label_components(nerve, 1, extent=EXTENT), 0.5)
+    tables.write_nerve(nerve_document(areas, images(spark, sf)).withColumn("image_id", F.col("image_id").cast("string")), path)
+    back = tables.read_nerve(spark, path).filter(F.size("fascicle_areas") > 0)
+    values = F.transform(F.map_values("fascicle_areas"), lambda f: f["value"])
+    return back.select("image_id", F.size("fascicle_areas").alias("n_fascicles"), F.col("total_area.value").alias("total_area"),
+                       F.array_max(values).alias("largest"))
+
+
+@query(
+    "stored_raster",
+    f"WITH RECURSIVE {PX}, {components_sql('l', 'axon', 2)} SELECT {cols('image_id; y; x; label')} FROM l",
+)
+def stored_raster(spark, sf):
+    path = scratch_path(spark, "labels")
+    tables.write_raster(label_components(axon(spark, sf), 2, extent=EXTENT), path, bits=16)
+    return as_pixels(spark.read.parquet(path)).select("image_id", "y", "x", "label")

@@ -53,6 +53,11 @@ def D(expr: str, name: str | None = None) -> str:
     return f"CASE WHEN abs({d}) < 5e-7 THEN 0.0 ELSE round({d}, 6) END AS {name or expr}"
 
 
+def exact(expr: str, places: int) -> str:
+    """Exact decimal rounding of a double."""
+    return f"CASE WHEN ({expr}) IS NOT NULL THEN CAST(printf('%.{places}f', CAST({expr} AS DOUBLE)) AS DOUBLE) END"
+
+
 def cols(ints: str = "", doubles: str = "", plain: str = "") -> str:
     """SELECT list of columns by kind; an item is ``name`` or ``expr:name``."""
     out = []
@@ -248,16 +253,16 @@ def objects(spark: SparkSession, sf: str) -> DataFrame:
     """Object table: subject, image and measures of every ``lineitem`` row."""
     base = table(spark, sf, "lineitem").selectExpr(
         "l_suppkey AS subject_id", "l_orderkey AS image_id", "l_linenumber AS line",
-        "l_quantity / 20 AS axon_diam",
-        "CASE WHEN l_tax = 0.08D THEN NULL ELSE 0.6D + 4.5D * l_discount END AS gratio",
+        "(l_quantity + l_extendedprice / 1.3e6D) / 20 AS axon_diam",
+        "CASE WHEN l_tax = 0.08D THEN NULL ELSE 0.6D + 4.5D * l_discount + l_extendedprice / 1.3e7D END AS gratio",
     ).withColumn("myelin_thickness", F.expr("axon_diam / 2 * (1 / gratio - 1)"))
     return base.withColumn("axon_area", F.expr("pi() * axon_diam * axon_diam / 4")).withColumn(
         "myelin_area", F.expr("pi() * (axon_diam / 2 + myelin_thickness) * (axon_diam / 2 + myelin_thickness) - axon_area")
     )
 
 
-OBJ = """obj0 AS (SELECT l_suppkey AS subject_id, l_orderkey AS image_id, l_linenumber AS line, l_quantity / 20 AS axon_diam,
-  CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN NULL ELSE CAST(0.6 AS DOUBLE) + CAST(4.5 AS DOUBLE) * l_discount END AS gratio
+OBJ = """obj0 AS (SELECT l_suppkey AS subject_id, l_orderkey AS image_id, l_linenumber AS line, (l_quantity + l_extendedprice / 1.3e6) / 20 AS axon_diam,
+  CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN NULL ELSE CAST(0.6 AS DOUBLE) + CAST(4.5 AS DOUBLE) * l_discount + l_extendedprice / 1.3e7 END AS gratio
   FROM lineitem),
 obj1 AS (SELECT *, axon_diam / 2 * (1 / gratio - 1) AS myelin_thickness, pi() * axon_diam * axon_diam / 4 AS axon_area FROM obj0),
 obj AS (SELECT *, pi() * (axon_diam / 2 + myelin_thickness) * (axon_diam / 2 + myelin_thickness) - axon_area AS myelin_area

@@ -18,7 +18,11 @@ def ordered_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BU
     """``(keys, value, n, below, total)``: ties of each value, rows below it, rows of the key."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     cuts = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("cuts")).scalar()
-    bucketed = counts.withColumn("bucket", F.size(F.filter(cuts, lambda cut: cut < F.col(value))))
+    bucketed = (
+        counts.withColumn("_cuts", cuts)
+        .withColumn("bucket", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))))
+        .drop("_cuts")
+    )
     ahead = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = bucketed.withColumn("inside", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,8 +35,25 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def round_half_even(value: Column, places: int) -> Column:
-    return F.bround(value, places)
+def round_scaled(value: Column, places: int) -> Column:
+    """Array-style rounding: scale, round half to even, scale back."""
+    return F.rint(value * F.lit(float(10**places))) / F.lit(float(10**places))
+
+
+def round_exact(value: Column, places: int) -> Column:
+    """Round the exact binary value, so only true ties go to the even digit.
+
+    The scaling error is recovered by splitting the value in two exact halves.
+    """
+    scale = F.lit(float(10**places))
+    product = value * scale
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    error = (high * scale - product) + (value - high) * scale
+    low = F.floor(product)
+    tie = product - low == 0.5
+    nearest = F.when(tie & (error > 0), low + 1).when(tie & (error < 0), low).otherwise(F.rint(product))
+    return nearest.cast("double") / scale
 
 
 def clean_nan(value: Column) -> Column:
@@ -45,8 +62,8 @@ def clean_nan(value: Column) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    """Fixed-decimal text."""
-    return F.format_string(f"%.{places}f", value)
+    """Fixed-decimal text of the exactly rounded value."""
+    return F.format_string(f"%.{places}f", round_exact(value, places))
 
 
 def gray_level(channels: Column, blue_first: bool = True) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segstats.constants import BINNED_METRICS, DIAMETER_BINS
 from segstats.functions.order_stats import percentiles
+from segstats.functions.scalars import round_scaled
 
 # Names and order of the statistics.
 STATISTICS = {"Mean": "mean", "Standard Deviation": "std", "Min": "min", "Max": "max", "Median": "median"}
@@ -51,7 +52,7 @@ def statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
     median = percentiles(df, keys, value, {"median": 0.5})
     out = basic.join(median, keys, "left")
-    return out.select(*keys, *[F.bround(c, 2).alias(c) for c in STATISTICS.values()])
+    return out.select(*keys, *[round_scaled(F.col(c), 2).alias(c) for c in STATISTICS.values()])
 
 
 def binned_statistics(objects: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segstats.functions.scalars import round_exact
 from segstats.operators.components import label_components
 from segstats.operators.masks import clip
 from segstats.operators.regions import region_sums
@@ -42,7 +43,7 @@ def fascicle_density(areas: DataFrame, assigned: DataFrame) -> DataFrame:
     n = F.coalesce("n", F.lit(0))
     return areas.join(counts, ["image_id", "fascicle"], "left").select(
         "image_id", "fascicle", "area", n.alias("n_axons"),
-        F.when(F.col("area") > 0, F.bround(n / F.col("area"), 5)).otherwise(F.lit(0.0)).alias("density"),
+        F.when(F.col("area") > 0, round_exact(n / F.col("area"), 5)).otherwise(F.lit(0.0)).alias("density"),
     )
 
 
@@ -53,7 +54,7 @@ def total_density(areas: DataFrame, assigned: DataFrame) -> DataFrame:
     n = F.coalesce("n", F.lit(0))
     return area.join(axons, "image_id", "left").select(
         "image_id", "total_area", n.alias("n_axons"),
-        F.when(F.col("total_area") > 0, F.bround(n / F.col("total_area"), 5)).otherwise(F.lit(0.0)).alias("total_density"),
+        F.when(F.col("total_area") > 0, round_exact(n / F.col("total_area"), 5)).otherwise(F.lit(0.0)).alias("total_density"),
     )
 
 
@@ -87,7 +88,7 @@ def add_densities(documents: DataFrame, assigned: DataFrame) -> DataFrame:
     total = F.coalesce(F.col("total_area.value"), missing)
 
     def density(n, area):
-        return _measure(F.when(area > 0, F.bround(n / area, 5)).otherwise(F.lit(0.0)), DENSITY_UNIT)
+        return _measure(F.when(area > 0, round_exact(n / area, 5)).otherwise(F.lit(0.0)), DENSITY_UNIT)
 
     zipped = F.map_zip_with(
         "fascicle_areas", F.coalesce("counts", F.create_map().cast("map<string,bigint>")),

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.functions.order_stats import percentiles
+from segstats.functions.scalars import round_exact
 from segstats.operators.components import label_components
 from segstats.operators.distance import distance_to_background
+from segstats.operators.grouped import changes, stream_groups
 from segstats.operators.masks import contour
 from segstats.operators.regions import centroid_pixels, region_sums
 from segstats.operators.runs import PIXEL, as_pixels, complement, lookup
+from segstats.session import materialize
 
 
 def confusion(prediction: DataFrame, truth: DataFrame, images: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -147,9 +152,9 @@ def detection_scores(predicted: DataFrame, true: DataFrame, images: DataFrame, m
     shown = F.col("tp") + F.col("fp")
     return out.select(
         "image_id", "p", "tp", "fp", "extra",
-        F.bround(F.try_divide(F.col("tp").cast("double"), F.col("p")), 3).alias("sensitivity"),
-        F.bround(F.try_divide(F.col("tp").cast("double"), shown), 3).alias("precision"),
-        F.bround(F.try_divide(F.col("extra").cast("double"), shown), 4).alias("diffusion"),
+        round_exact(F.try_divide(F.col("tp").cast("double"), F.col("p")), 3).alias("sensitivity"),
+        round_exact(F.try_divide(F.col("tp").cast("double"), shown), 3).alias("precision"),
+        round_exact(F.try_divide(F.col("extra").cast("double"), shown), 4).alias("diffusion"),
     )
 
 
@@ -170,6 +175,65 @@ def directed_hausdorff(from_mask: DataFrame, to_mask: DataFrame, images: DataFra
     )
 
 
+ROW_BLOCK = 256
+
+
+def _nearest_rows(table: pa.Table) -> pa.Table:
+    """Smallest number of differing columns for each source row of a block pair."""
+    starts = np.append(np.flatnonzero(changes(table, BLOCK_PAIR)), table.num_rows)
+    columns = table["xs"].to_pylist()
+    source = table["source"].to_numpy(zero_copy_only=False)
+    best = np.full(table.num_rows, -1, np.int64)
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        bits = np.zeros((hi - lo, max((max(c, default=0) for c in columns[lo:hi]), default=0) + 1), np.float32)
+        for i, xs in enumerate(columns[lo:hi]):
+            bits[i, xs] = 1
+        here = source[lo:hi]
+        a, b = bits[here], bits[~here]
+        if len(a) and len(b):
+            differ = a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * (a @ b.T)
+            best[lo:hi][here] = differ.min(1).astype(np.int64)
+    kept = np.flatnonzero(best >= 0)
+    return table.select(["image_id", "xs"]).take(pa.array(kept)).append_column("d2", pa.array(best[kept]))
+
+
+BLOCK_PAIR = ["image_id", "block_a", "block_b"]
+
+
+def row_hausdorff(from_mask: DataFrame, to_mask: DataFrame, images: DataFrame, radius: int = 3) -> DataFrame:
+    """Directed Hausdorff distance between contour *rows*, each taken as a 0/1 vector.
+
+    Rows are reduced to distinct patterns and hashed into blocks of about ``ROW_BLOCK``.
+    Blocks meet block by block and only each row's minimum leaves a task.
+    """
+    lines = images.select("image_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+
+    def patterns(mask: DataFrame, block: str) -> DataFrame:
+        # an array is bounded by the image width
+        xs = contour(mask, images, radius).groupBy("image_id", "y").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+        empty = F.array().cast("array<int>")
+        rows = lines.join(xs, ["image_id", "y"], "left").select("image_id", F.coalesce("xs", empty).alias("xs")).distinct()
+        blocks = rows.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("n"))
+        return rows.join(blocks, "image_id").withColumn(block, F.pmod(F.xxhash64("xs"), F.col("n")).cast("int"))
+
+    a, b = patterns(from_mask, "block_a"), patterns(to_mask, "block_b")
+    count_a, count_b = (
+        m.groupBy("image_id").agg(F.max("n").alias("other")) for m in (a, b)
+    )
+
+    def facing(side: DataFrame, others: DataFrame, block: str, source: bool) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias(block)
+        return side.join(others, "image_id").select("*", spread).select(*BLOCK_PAIR, "xs", F.lit(source).alias("source"))
+
+    pairs = facing(a, count_b, "block_b", True).unionByName(facing(b, count_a, "block_a", False))
+    kind = images.schema["image_id"].dataType.simpleString()
+    nearest = stream_groups(
+        pairs, BLOCK_PAIR, [], _nearest_rows, f"image_id {kind}, xs array<int>, d2 bigint", chunk_rows=2048
+    )
+    best = nearest.groupBy("image_id", "xs").agg(F.min("d2").alias("d2"))
+    return best.groupBy("image_id").agg(F.sqrt(F.max("d2")).alias("hausdorff"))
+
+
 def class_report(prediction: DataFrame, truth: DataFrame, images: DataFrame, extent=None) -> DataFrame:
     """Two-class report: pixel scores of axon and myelin, object Dice of axons.
 
@@ -183,7 +247,9 @@ def class_report(prediction: DataFrame, truth: DataFrame, images: DataFrame, ext
         F.coalesce("tn", size).alias("tn"),
     )
     scores = pixel_scores(full)
-    axon = [label_components(m.filter("cls = 'axon'"), 2, extent=extent) for m in (prediction, truth)]
+    axon = [
+        materialize(label_components(m.filter("cls = 'axon'"), 2, extent=extent), "objects") for m in (prediction, truth)
+    ]
     dice = dice_distribution(object_dice(*axon, min_area=5), ["image_id"])
     objects = dice.select("image_id", F.lit("axon").alias("cls"), *[F.col(c).alias(f"object_dice_{c}") for c in dice.columns[1:]])
     return scores.join(objects, ["image_id", "cls"], "left")
