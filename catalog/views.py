@@ -78,17 +78,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def rasters(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels with their value, the next one's and the one a row below (both wrap)."""
-    e = F.col("embedding")
-    cells = F.transform(
-        e,
-        lambda v, i: F.struct(
-            i.alias("pos"), v.cast("double").alias("v"),
-            e[(i + 1) % 64].cast("double").alias("nv"), e[(i + 8) % 64].cast("double").alias("bv"),
-        ),
+    cells = (
+        "inline(transform(embedding, (v, i) -> struct(i AS pos, cast(i div 8 as int) AS y, i % 8 AS x, cast(v as double) AS v, "
+        "cast(embedding[(i + 1) % 64] as double) AS nv, cast(embedding[(i + 8) % 64] as double) AS bv)))"
     )
-    px = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.inline(cells))
-    return px.select("image_id", "pos", F.floor(F.col("pos") / 8).cast("int").alias("y"),
-                     (F.col("pos") % 8).alias("x"), "v", "nv", "bv")
+    return table(spark, sf, "embeddings").selectExpr("vec_id AS image_id", cells)
 
 
 def images(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,16 +247,16 @@ def objects(spark: SparkSession, sf: str) -> DataFrame:
     """Object table: subject, image and measures of every ``lineitem`` row."""
     base = table(spark, sf, "lineitem").selectExpr(
         "l_suppkey AS subject_id", "l_orderkey AS image_id", "l_linenumber AS line",
-        "(l_quantity + l_extendedprice / 1.3e6D) / 20 AS axon_diam",
-        "CASE WHEN l_tax = 0.08D THEN NULL ELSE 0.6D + 4.5D * l_discount + l_extendedprice / 1.3e7D END AS gratio",
+        "(l_quantity + l_extendedprice / 1317171D) / 20 AS axon_diam",
+        "CASE WHEN l_tax = 0.08D THEN NULL ELSE 0.6D + 4.5D * l_discount + l_extendedprice / 13171717D END AS gratio",
     ).withColumn("myelin_thickness", F.expr("axon_diam / 2 * (1 / gratio - 1)"))
     return base.withColumn("axon_area", F.expr("pi() * axon_diam * axon_diam / 4")).withColumn(
         "myelin_area", F.expr("pi() * (axon_diam / 2 + myelin_thickness) * (axon_diam / 2 + myelin_thickness) - axon_area")
     )
 
 
-OBJ = """obj0 AS (SELECT l_suppkey AS subject_id, l_orderkey AS image_id, l_linenumber AS line, (l_quantity + l_extendedprice / 1.3e6) / 20 AS axon_diam,
-  CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN NULL ELSE CAST(0.6 AS DOUBLE) + CAST(4.5 AS DOUBLE) * l_discount + l_extendedprice / 1.3e7 END AS gratio
+OBJ = """obj0 AS (SELECT l_suppkey AS subject_id, l_orderkey AS image_id, l_linenumber AS line, (l_quantity + l_extendedprice / CAST(1317171 AS DOUBLE)) / 20 AS axon_diam,
+  CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN NULL ELSE CAST(0.6 AS DOUBLE) + CAST(4.5 AS DOUBLE) * l_discount + l_extendedprice / CAST(13171717 AS DOUBLE) END AS gratio
   FROM lineitem),
 obj1 AS (SELECT *, axon_diam / 2 * (1 / gratio - 1) AS myelin_thickness, pi() * axon_diam * axon_diam / 4 AS axon_area FROM obj0),
 obj AS (SELECT *, pi() * (axon_diam / 2 + myelin_thickness) * (axon_diam / 2 + myelin_thickness) - axon_area AS myelin_area

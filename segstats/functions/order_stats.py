@@ -1,9 +1,9 @@
 """Exact ranks, medians and percentiles per key, safe against huge keys.
 
-Equal values are counted before anything is ordered, and the ordering runs inside
-buckets bounded by quantiles of *all* rows: a bucket of one key is part of a bucket of
-the whole table, so no window partition exceeds about 1/``buckets`` of the distinct
-values even if one key holds most of them. Bucket totals then carry across.
+Equal values are counted before anything is ordered. If the largest key still has more
+distinct values than one task should order, the counts are range-partitioned by
+(key, value): Spark samples the bounds, so every piece holds a bounded share of the rows
+however they are spread over the keys, and piece totals carry across.
 """
 
 from __future__ import annotations
@@ -11,52 +11,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from segstats.session import materialize
 
+VALUES_PER_TASK = 5_000_000
 
-def ordered_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+
+def ordered_counts(df: DataFrame, keys: list[str], value: str, per_task: int = VALUES_PER_TASK) -> DataFrame:
     """``(keys, value, n, below, total)``: ties of each value, rows below it, rows of the key."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("cuts")).scalar()
-    bucketed = (
-        counts.withColumn("_cuts", cuts)
-        .withColumn("bucket", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))))
-        .drop("_cuts")
-    )
-    ahead = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = bucketed.withColumn("inside", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(grouped, "counts")
+    largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    of_key = Window.partitionBy(*keys)
+    if largest <= per_task:
+        ahead = of_key.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            *keys, value, "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("below"),
+            F.sum("n").over(of_key).alias("total"),
+        )
+    pieces = counts.count() * 2 // per_task + 1
+    split = counts.repartitionByRange(pieces, *keys, value).withColumn("piece", F.spark_partition_id())
+    split = materialize(split, "pieces")
+    ahead = Window.partitionBy(*keys, "piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = of_key.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(*keys, "bucket").agg(F.sum("n").alias("size"))
+        split.groupBy(*keys, "piece").agg(F.sum("n").alias("size"))
         .withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .withColumn("total", F.sum("size").over(Window.partitionBy(*keys)))
+        .withColumn("total", F.sum("size").over(of_key))
         .drop("size")
     )
-    return inside.join(offsets, [*keys, "bucket"]).select(
+    inside = split.withColumn("inside", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    return inside.join(offsets, [*keys, "piece"]).select(
         *keys, value, "n", (F.col("skip") + F.col("inside")).alias("below"), "total"
     )
 
 
 def _at(p: float, value: str) -> Column:
     """Linearly interpolated percentile over the rows of ``ordered_counts``."""
-    place = (F.col("total") - 1) * F.lit(float(p))
+    place = f"((total - 1) * {float(p)!r}D)"
 
-    def pick(k: Column) -> Column:
-        return F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value)))
+    def pick(k: str) -> str:
+        return f"max(CASE WHEN below <= {k} AND {k} < below + n THEN `{value}` END)"
 
-    low, high = pick(F.floor(place)), pick(F.ceil(place))
-    return low + (high - low) * F.max(place - F.floor(place))
+    low, high = pick(f"floor({place})"), pick(f"ceil({place})")
+    return F.expr(f"{low} + ({high} - {low}) * max({place} - floor({place}))")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+def percentiles(
+    df: DataFrame, keys: list[str], value: str, points: dict[str, float], per_task: int = VALUES_PER_TASK
+) -> DataFrame:
     """One row per key with the exact percentile for each ``name: fraction``."""
-    counts = ordered_counts(df, keys, value)
+    counts = ordered_counts(df, keys, value, per_task)
     return counts.groupBy(*keys).agg(*[_at(p, value).alias(name) for name, p in points.items()])
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, prefix: str, per_task: int = VALUES_PER_TASK) -> DataFrame:
     """Rows of ``df`` with ``{prefix}_rank`` (ties lowest), ``_pct`` (ties average) and ``_total``."""
-    table = ordered_counts(df, keys, value).select(
+    table = ordered_counts(df, keys, value, per_task).select(
         *keys,
         value,
         (F.col("below") + 1).alias(f"{prefix}_rank"),

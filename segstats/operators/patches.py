@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,64 +70,75 @@ def cut(pixels: DataFrame, images: DataFrame, patch: tuple[int, int], step: floa
     )
 
 
-FLIPS = [(False, False), (True, False), (False, True), (True, True)]
-
-
-def patch_arrays(cells: DataFrame, patch: tuple[int, int], mirror: bool = True) -> DataFrame:
-    """One row per window (and flip) with its pixels as a row-major array."""
-    height, width = patch
-    flips = F.array(*[F.struct(F.lit(a).alias("fy"), F.lit(b).alias("fx")) for a, b in (FLIPS if mirror else FLIPS[:1])])
-    turned = cells.withColumn("flip", F.explode(flips)).select(
-        "image_id", "oy", "ox", "flip.fy", "flip.fx", "v",
-        F.when(F.col("flip.fy"), height - 1 - F.col("py")).otherwise(F.col("py")).alias("py"),
-        F.when(F.col("flip.fx"), width - 1 - F.col("px")).otherwise(F.col("px")).alias("px"),
-    )
-    # the array is bounded by the patch size
-    place = F.col("py") * width + F.col("px")
+def patch_arrays(cells: DataFrame, patch: tuple[int, int]) -> DataFrame:
+    """One row per window with its pixels as a row-major array (bounded by the patch size)."""
+    place = F.expr(f"py * {patch[1]} + px")
     rows = F.array_sort(F.collect_list(F.struct(place.alias("i"), F.col("v").cast("float").alias("v"))))
-    return turned.groupBy("image_id", "oy", "ox", "fy", "fx").agg(rows.alias("cells")).select(
-        "image_id", "oy", "ox", "fy", "fx", F.col("cells.v").alias("patch")
+    return cells.groupBy("image_id", "oy", "ox").agg(rows.alias("cells")).select(
+        "image_id", "oy", "ox", F.col("cells.v").alias("patch")
     )
 
 
+# every way to mirror the two image axes
+FLIPS = [(), (1,), (2,), (1, 2)]
+
+
+def averaged(folds: list[Callable], names: list[str], patch: tuple[int, int], mirror: bool) -> Callable:
+    """A ``make_predict_fn`` that means the scores of all folds over all mirrored inputs."""
+    flips = FLIPS if mirror else FLIPS[:1]
+
+    def make():
+        models = [fold() for fold in folds]
+
+        def predict(batch):
+            shape = (len(batch), *patch)
+            total = {name: np.zeros(shape) for name in names}
+            for axes in flips:
+                turned = np.flip(batch.reshape(shape), axes)
+                for model in models:
+                    scores = model(turned)
+                    for name in names:
+                        total[name] += np.flip(np.asarray(scores[name], np.float64).reshape(shape), axes)
+            runs = len(flips) * len(models)
+            return {name: (t / runs).reshape(len(batch), -1) for name, t in total.items()}
+
+        return predict
+
+    return make
+
+
 def score(
     patches: DataFrame,
     folds: list[Callable],
     classes: int,
     patch: tuple[int, int],
-    batch_size: int = 16,
+    mirror: bool = True,
+    batch_size: int = 32,
 ) -> DataFrame:
-    """Class scores of every patch pixel from each fold's model.
+    """Class scores of every patch pixel, averaged over model folds and mirrored inputs.
 
     A fold is a ``make_predict_fn``: called once per Python worker, it returns a function
-    from an array (batch, height, width) to ``{"c0": array (batch, height * width), ...}``.
+    from an array (batch, height, width) to ``{"c0": scores, ...}`` of the same size.
+    Mirroring happens on the arrays inside the task, so no pixel is shuffled for it.
     """
     names = [f"c{k}" for k in range(classes)]
-    kind = T.StructType([T.StructField(n, T.ArrayType(T.FloatType())) for n in names])
-    parts = None
-    for number, make in enumerate(folds):
-        udf = predict_batch_udf(make, return_type=kind, batch_size=batch_size, input_tensor_shapes=[list(patch)])
-        part = patches.select("image_id", "oy", "ox", "fy", "fx", F.lit(number).alias("fold"), udf("patch").alias("s"))
-        parts = part if parts is None else parts.unionByName(part)
-    height, width = patch
-    flat = parts.select(
-        "image_id", "oy", "ox", "fy", "fx", "fold",
-        F.posexplode(F.arrays_zip(*[F.col(f"s.{n}").alias(n) for n in names])).alias("i", "cell"),
+    kind = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
+    make = averaged(folds, names, patch, mirror)
+    udf = predict_batch_udf(make, return_type=kind, batch_size=batch_size, input_tensor_shapes=[list(patch)])
+    scored = patches.select("image_id", "oy", "ox", udf("patch").alias("s"))
+    flat = scored.select(
+        "image_id", "oy", "ox", F.posexplode(F.arrays_zip(*[F.col(f"s.{n}").alias(n) for n in names])).alias("i", "cell")
     )
-    py, px = F.floor(F.col("i") / width).cast("int"), F.col("i") % width
-    return flat.select(
-        "image_id", "fold",
-        (F.col("oy") + F.when(F.col("fy"), height - 1 - py).otherwise(py)).alias("y"),
-        (F.col("ox") + F.when(F.col("fx"), width - 1 - px).otherwise(px)).alias("x"),
-        *[F.col(f"cell.{n}").alias(n) for n in names],
+    return flat.selectExpr(
+        "image_id", f"cast(oy + i div {patch[1]} as int) AS y", f"ox + i % {patch[1]} AS x",
+        *[f"cell.{n} AS {n}" for n in names],
     )
 
 
 def combine(scores: DataFrame, classes: int) -> DataFrame:
-    """Mean score per pixel and class over windows, flips and folds, and the best class.
+    """Mean score per pixel and class over the windows that cover it, and the best class.
 
-    One aggregation stitches windows, undoes mirroring and merges folds; the lowest class
-    wins a tie.
+    The lowest class wins a tie.
     """
     names = [f"c{k}" for k in range(classes)]
     mean = scores.groupBy(*PIXEL).agg(*[F.avg(F.col(n).cast("double")).alias(n) for n in names])
@@ -146,6 +158,6 @@ def segment(
 ) -> DataFrame:
     """Raw class map ``(image_id, y, x, c0.., cls_id)`` of every image."""
     cells = cut(pixels, images, patch, step)
-    scores = score(patch_arrays(cells, patch, mirror), folds, classes, patch)
+    scores = score(patch_arrays(cells, patch), folds, classes, patch, mirror)
     inside = scores.join(images.select("image_id", "height", "width"), "image_id").filter("y < height AND x < width")
     return combine(inside, classes)

@@ -11,7 +11,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.operators.grouped import changes, ints, stream_groups
@@ -20,70 +20,63 @@ from segstats.operators.runs import TILE, TILE_KEY, as_runs, cut_to_tiles
 OBJECT = ["image_id", "label"]
 
 
+# 0^2 + 1^2 + ... + k^2, and the sum of x^2 over a run (term by term where it could overflow)
+_SQUARES = "(cast({0} as bigint) * ({0} + 1L) * (2L * {0} + 1L)) div 6"
+_SUM_XX = f"""CASE WHEN x1 < 1000000 THEN {_SQUARES.format("x1")} - {_SQUARES.format("(x0 - 1)")}
+ELSE aggregate(sequence(x0, x1), 0L, (a, x) -> a + cast(x as bigint) * x) END"""
+
+
 def region_sums(labels: DataFrame) -> DataFrame:
     """Integer sums and bounding box of every object (box maxima exclusive)."""
-    runs = as_runs(labels)
-    n = F.expr("cast(x1 - x0 + 1 as bigint)")
-    first = F.expr("cast(x0 - 1 as bigint)")
-    last = F.expr("cast(x1 as bigint)")
-    y = F.col("y").cast("bigint")
-
-    def squares(k: Column) -> Column:  # 0^2 + 1^2 + ... + k^2
-        return F.floor(k * (k + 1) * (2 * k + 1) / 6).cast("bigint")
-
-    sum_x = F.expr("((cast(x0 as bigint) + x1) * (x1 - x0 + 1)) div 2")
-    sum_xx = F.when(
-        last < 100_000, squares(last) - squares(first)
-    ).otherwise(F.aggregate(F.sequence("x0", "x1"), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x))
+    runs = as_runs(labels).selectExpr(
+        *OBJECT, "y", "x0", "x1", "x1 - x0 + 1L AS n", "cast(y as bigint) AS ly",
+        "((cast(x0 as bigint) + x1) * (x1 - x0 + 1)) div 2 AS sx", f"{_SUM_XX} AS sxx",
+    )
     return runs.groupBy(*OBJECT).agg(
-        F.sum(n).alias("area"),
-        F.sum(n * y).alias("sum_y"),
-        F.sum(sum_x).alias("sum_x"),
-        F.sum(n * y * y).alias("sum_yy"),
-        F.sum(sum_xx).alias("sum_xx"),
-        F.sum(y * sum_x).alias("sum_xy"),
-        F.min("y").alias("bbox_min_y"),
-        F.min("x0").alias("bbox_min_x"),
-        (F.max("y") + 1).alias("bbox_max_y"),
-        (F.max("x1") + 1).alias("bbox_max_x"),
+        *map(
+            F.expr,
+            [
+                "sum(n) AS area", "sum(n * ly) AS sum_y", "sum(sx) AS sum_x", "sum(n * ly * ly) AS sum_yy",
+                "sum(sxx) AS sum_xx", "sum(ly * sx) AS sum_xy", "min(y) AS bbox_min_y", "min(x0) AS bbox_min_x",
+                "max(y) + 1 AS bbox_max_y", "max(x1) + 1 AS bbox_max_x",
+            ],
+        )
     )
 
 
-def _central(a: str, b: str, product: str) -> Column:
-    """Central second moment times area², exact in integers."""
-    big = "cast({} as decimal(19,0))"
-    return F.expr(f"{big.format('area')} * {big.format(product)} - {big.format(a)} * {big.format(b)}")
+def _central(a: str, b: str, product: str) -> str:
+    """Central second moment times area squared, exact in integers."""
+    def big(c: str) -> str:
+        return f"cast({c} as decimal(19,0))"
+
+    return f"{big('area')} * {big(product)} - {big(a)} * {big(b)}"
 
 
 def ellipse(sums: DataFrame) -> DataFrame:
     """Centroid, equivalent diameter and the second-moment ellipse."""
-    area2 = F.col("area").cast("double") * F.col("area")
-    out = sums.select(
-        "*",
-        _central("sum_x", "sum_x", "sum_xx").alias("_xx"),
-        _central("sum_y", "sum_y", "sum_yy").alias("_yy"),
-        _central("sum_x", "sum_y", "sum_xy").alias("_xy"),
+    exact = sums.selectExpr(
+        "*", _central("sum_x", "sum_x", "sum_xx") + " AS _xx", _central("sum_y", "sum_y", "sum_yy") + " AS _yy",
+        _central("sum_x", "sum_y", "sum_xy") + " AS _xy",
     )
-    a, c, b = (F.col(k).cast("double") / area2 for k in ("_xx", "_yy", "_xy"))
-    spread = F.sqrt(F.lit(4.0) * b * b + (a - c) * (a - c)) / 2
-    out = out.withColumn("_l1", F.greatest((a + c) / 2 + spread, F.lit(0.0))).withColumn(
-        "_l2", F.greatest((a + c) / 2 - spread, F.lit(0.0))
+    moments = exact.selectExpr(
+        "*", *[f"cast({c} as double) / (cast(area as double) * area) AS {m}" for c, m in (("_xx", "_a"), ("_yy", "_c"), ("_xy", "_b"))]
+    )
+    axes = moments.selectExpr(
+        "*",
+        "greatest((_a + _c) / 2 + sqrt(4.0D * _b * _b + (_a - _c) * (_a - _c)) / 2, 0.0D) AS _l1",
+        "greatest((_a + _c) / 2 - sqrt(4.0D * _b * _b + (_a - _c) * (_a - _c)) / 2, 0.0D) AS _l2",
     )
-    # equal spread along both axes: +-45 degrees by the sign of the covariance
-    tie = F.when(F.col("_xy") > 0, F.lit(np.pi / 4)).otherwise(F.lit(-np.pi / 4))
-    return out.select(
+    return axes.selectExpr(
         *sums.columns,
-        (F.col("sum_y") / F.col("area")).alias("y0"),
-        (F.col("sum_x") / F.col("area")).alias("x0"),
-        F.sqrt(F.lit(4.0) * F.col("area") / F.pi()).alias("equivalent_diameter"),
-        (F.lit(4.0) * F.sqrt("_l1")).alias("major_axis"),
-        (F.lit(4.0) * F.sqrt("_l2")).alias("minor_axis"),
-        F.when(F.col("_l1") == 0, F.lit(0.0))
-        .otherwise(F.sqrt(F.lit(1.0) - F.try_divide("_l2", "_l1")))
-        .alias("eccentricity"),
-        F.when(F.col("_xx") == F.col("_yy"), tie)
-        .otherwise(F.lit(0.5) * F.atan2(F.lit(2.0) * b, c - a))
-        .alias("orientation"),
+        "sum_y / area AS y0",
+        "sum_x / area AS x0",
+        "sqrt(4.0D * area / pi()) AS equivalent_diameter",
+        "4.0D * sqrt(_l1) AS major_axis",
+        "4.0D * sqrt(_l2) AS minor_axis",
+        "CASE WHEN _l1 = 0 THEN 0.0D ELSE sqrt(1.0D - try_divide(_l2, _l1)) END AS eccentricity",
+        # equal spread along both axes: +-45 degrees by the sign of the covariance
+        "CASE WHEN _xx = _yy THEN CASE WHEN _xy > 0 THEN pi() / 4 ELSE -pi() / 4 END "
+        "ELSE 0.5D * atan2(2.0D * _b, _c - _a) END AS orientation",
     )
 
 

@@ -54,16 +54,15 @@ def cut_to_tiles(runs: DataFrame, tile: int = TILE, halo: int = 0) -> DataFrame:
 
     With a ``halo`` every tile also receives the pixels up to ``halo`` outside of it.
     """
-    if halo == 0:
-        out = runs.withColumn("ty", div("y", tile))
-    else:
-        out = runs.withColumn("ty", F.explode(F.sequence(div(F.col("y") - halo, tile), div(F.col("y") + halo, tile))))
-    out = out.withColumn("tx", F.explode(F.sequence(div(F.col("x0") - halo, tile), div(F.col("x1") + halo, tile))))
-    return (
-        out.withColumn("x0", F.greatest("x0", F.col("tx") * tile - halo))
-        .withColumn("x1", F.least("x1", F.col("tx") * tile + (tile - 1 + halo)))
-        .filter("x0 <= x1 AND ty >= 0 AND tx >= 0")
-    )
+    def tiles(low: str, high: str) -> str:
+        return f"explode(sequence(cast(floor(({low} - {halo}) / {tile}) as int), cast(floor(({high} + {halo}) / {tile}) as int)))"
+
+    rest = [c for c in runs.columns if c not in ("x0", "x1")]
+    ty = tiles("y", "y") if halo else f"cast(floor(y / {tile}) as int)"
+    out = runs.selectExpr("*", f"{ty} AS ty").selectExpr("*", f"{tiles('x0', 'x1')} AS tx")
+    return out.selectExpr(
+        *rest, "ty", "tx", f"greatest(x0, tx * {tile} - {halo}) AS x0", f"least(x1, tx * {tile} + {tile - 1 + halo}) AS x1"
+    ).filter("x0 <= x1 AND ty >= 0 AND tx >= 0")
 
 
 def complement(mask: DataFrame, images: DataFrame) -> DataFrame:

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.operators.components import label_components
 from segstats.operators.masks import enclosed_holes
-from segstats.operators.regions import OBJECT, centroid_pixels, measure_regions
+from segstats.operators.regions import OBJECT, centroid_pixels, ellipse, measure_regions, perimeters, region_sums
 from segstats.operators.runs import PIXEL, TILE, as_pixels, compress, lookup
 from segstats.operators.watershed import flood, grow, seed_points
 from segstats.schema import OBJECT_MEASURES
 from segstats.session import materialize
 
-FIBRE = ["fibre_area", "fibre_equivalent_diameter", "fibre_minor_axis", "fibre_perimeter",
-         "fiber_orientation", "fiber_eccentricity"]
+BOX = ["bbox_min_y", "bbox_min_x", "bbox_max_y", "bbox_max_x"]
 
 
-def _diameter(shape: str, prefix: str = "") -> Column:
+def _diameter(shape: str) -> str:
     if shape not in ("circle", "ellipse"):
         raise ValueError("axon_shape must be 'circle' or 'ellipse'")
-    return F.col(prefix + ("equivalent_diameter" if shape == "circle" else "minor_axis"))
+    return "equivalent_diameter" if shape == "circle" else "minor_axis"
 
 
 def fibre_labels(
@@ -46,21 +45,16 @@ def fibre_metrics(matched: DataFrame, axon_shape: str = "circle") -> DataFrame:
 
     ``plausible`` is the check that both sizes are positive and the fibre is the larger.
     """
-    d, big = _diameter(axon_shape), _diameter(axon_shape, "fibre_")
-    thickness = (big - d) / 2
-    out = matched.withColumn("_d", d).withColumn("_t", thickness)
+    name = _diameter(axon_shape)
+    sized = matched.selectExpr("*", f"{name} AS _d", f"fibre_{name} AS _f", f"(fibre_{name} - {name}) / 2 AS _t")
     # a zero denominator voids all measures that depend on it
-    valid = (F.col("_d") / 2 + F.col("_t")) != 0
-
-    def when_valid(c: Column) -> Column:
-        return F.when(valid, c)
-
-    return out.select(
+    valid = "_d / 2 + _t <> 0"
+    return sized.selectExpr(
         *matched.columns,
-        when_valid(F.try_divide(F.col("_d") / 2, F.col("_d") / 2 + F.col("_t"))).alias("gratio"),
-        when_valid(F.col("_t")).alias("thickness_px"),
-        when_valid(F.col("fibre_area") - F.col("area")).alias("myelin_area_px"),
-        ((d > 0) & (big > 0) & (big > d)).alias("plausible"),
+        "try_divide(_d / 2, _d / 2 + _t) AS gratio",
+        f"CASE WHEN {valid} THEN _t END AS thickness_px",
+        f"CASE WHEN {valid} THEN fibre_area - area END AS myelin_area_px",
+        "_d > 0 AND _f > 0 AND _f > _d AS plausible",
     )
 
 
@@ -82,51 +76,35 @@ def measure_objects(
     """
     # labels feed sums, borders, hulls and seeds: written once instead of labelled four times
     labels = materialize(label_components(axon, 1 if myelin is None else 2, extent=extent, tile=tile), "objects")
-    size = F.lit(pixel_size) if pixel_size is not None else F.col("um_per_px")
+    size = f"{float(pixel_size)!r}D" if pixel_size is not None else "um_per_px"
     base = measure_regions(labels, tile=tile)
     kind = axon.schema["image_id"].dataType
+    axon_measures = [
+        *OBJECT, "x0", "y0", "solidity", "eccentricity", "orientation", f"{_diameter(axon_shape)} * {size} AS axon_diam",
+        f"area * {size} * {size} AS axon_area", f"perimeter * {size} AS axon_perimeter",
+    ]
     if myelin is None:
-        out = base.join(images, "image_id").select(
-            *OBJECT, "x0", "y0", "solidity", "eccentricity", "orientation",
-            (_diameter(axon_shape) * size).alias("axon_diam"),
-            (F.col("area") * size * size).alias("axon_area"),
-            (F.col("perimeter") * size).alias("axon_perimeter"),
-        )
-        return conform(out, kind)
+        return conform(base.join(images, "image_id").selectExpr(*axon_measures), kind)
 
+    # written once: sums, borders, hulls and the look-up below all read it
     fibres = materialize(fibre_labels(axon, myelin, labels, images, extent, mode, fill_holes, tile), "fibres")
-    measured = measure_regions(fibres, tile=tile).select(
-        "image_id", F.col("label").alias("fibre"),
-        F.col("area").alias("fibre_area"), F.col("equivalent_diameter").alias("fibre_equivalent_diameter"),
-        F.col("minor_axis").alias("fibre_minor_axis"), F.col("perimeter").alias("fibre_perimeter"),
-        F.col("orientation").alias("fiber_orientation"), F.col("eccentricity").alias("fiber_eccentricity"),
-        "bbox_min_y", "bbox_min_x", "bbox_max_y", "bbox_max_x",
+    measured = ellipse(region_sums(fibres)).join(perimeters(fibres, tile), OBJECT).selectExpr(
+        "image_id", "label AS fibre", "area AS fibre_area", "equivalent_diameter AS fibre_equivalent_diameter",
+        "minor_axis AS fibre_minor_axis", "perimeter AS fibre_perimeter", "orientation AS fiber_orientation",
+        "eccentricity AS fiber_eccentricity", *BOX,
     )
     found = lookup(centroid_pixels(base), fibres.withColumnRenamed("label", "fibre"), ["fibre"], tile)
-    axons = base.drop("bbox_min_y", "bbox_min_x", "bbox_max_y", "bbox_max_x")
     matched = (
-        axons.join(found.select(*OBJECT, "fibre"), OBJECT)
+        base.drop(*BOX).join(found.select(*OBJECT, "fibre"), OBJECT)
         .join(measured, ["image_id", "fibre"], "left")
         .join(images, "image_id")
     )
-    touching = (
-        (F.least("bbox_min_y", "bbox_min_x") == 0)
-        | (F.col("bbox_max_y") == F.col("height"))
-        | (F.col("bbox_max_x") == F.col("width"))
-    )
-    has = F.col("gratio").isNotNull()
-    out = fibre_metrics(matched, axon_shape).select(
-        *OBJECT, "x0", "y0", "solidity", "eccentricity", "orientation", "fiber_orientation", "fiber_eccentricity",
-        (_diameter(axon_shape) * size).alias("axon_diam"),
-        (F.col("area") * size * size).alias("axon_area"),
-        (F.col("perimeter") * size).alias("axon_perimeter"),
-        "gratio",
-        (F.col("thickness_px") * size).alias("myelin_thickness"),
-        (F.col("myelin_area_px") * size * size).alias("myelin_area"),
-        F.when(has, F.col("fibre_area") * size * size).alias("axonmyelin_area"),
-        F.when(has, F.col("fibre_perimeter") * size).alias("axonmyelin_perimeter"),
-        touching.alias("image_border_touching"),
-        "bbox_min_y", "bbox_min_x", "bbox_max_y", "bbox_max_x",
+    out = fibre_metrics(matched, axon_shape).selectExpr(
+        *axon_measures, "fiber_orientation", "fiber_eccentricity", "gratio",
+        f"thickness_px * {size} AS myelin_thickness", f"myelin_area_px * {size} * {size} AS myelin_area",
+        f"CASE WHEN gratio IS NOT NULL THEN fibre_area * {size} * {size} END AS axonmyelin_area",
+        f"CASE WHEN gratio IS NOT NULL THEN fibre_perimeter * {size} END AS axonmyelin_perimeter",
+        "least(bbox_min_y, bbox_min_x) = 0 OR bbox_max_y = height OR bbox_max_x = width AS image_border_touching", *BOX,
     )
     return conform(out, kind)
 
@@ -135,10 +113,12 @@ def conform(objects: DataFrame, image_type) -> DataFrame:
     """The fixed object schema; measures a mode does not produce are null."""
     have = set(objects.columns)
     measures = [
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        f"cast({f.name if f.name in have else 'null'} as {f.dataType.simpleString()}) AS {f.name}"
         for f in OBJECT_MEASURES.fields
     ]
-    return objects.select(F.col("image_id").cast(image_type), F.col("label").cast("bigint"), *measures)
+    return objects.selectExpr(
+        f"cast(image_id as {image_type.simpleString()}) AS image_id", "cast(label as bigint) AS label", *measures
+    )
 
 
 def mask_fractions(classes: DataFrame, images: DataFrame) -> DataFrame:
