@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.views import EXTENT, OBJ, PX, axon, cols, components_sql, images, objects, query, rasters, regions_sql, table
+from catalog.views import EXTENT, OBJ, PX, axon, cols, components_sql, images, objects, predicted_classes, query, rasters, table
 from segstats.functions.scalars import file_extension, gray_level
 from segstats.operators.components import label_components
 from segstats.operators.masks import mask_name
-from segstats.operators.regions import region_sums
 from segstats.operators.runs import as_pixels
 from segstats.plans.nerve import fascicle_areas, nerve_document
+from segstats.plans.objects import mask_fractions
 from segstats.session import scratch_path
 from segstats.sources import files, tables
 
@@ -239,6 +239,33 @@ def stored_nerve_documents(spark, sf):
                        F.array_max(values).alias("largest"))
 
 
+@query(
+    "stored_totals",
+    f"""WITH {PX} SELECT CAST(i.image_id AS VARCHAR) AS image_id, {cols('', "count(cls) FILTER (cls = 'axon') / 64.0:avf; count(cls) FILTER (cls = 'myelin') / 64.0:mvf")}
+FROM images i LEFT JOIN pcls USING (image_id) GROUP BY ALL""",
+)
+def stored_totals(spark, sf):
+    path = scratch_path(spark, "totals")
+    fractions = mask_fractions(predicted_classes(spark, sf), images(spark, sf)).select("image_id", "avf", "mvf")
+    tables.write_totals(fractions, path)
+    return spark.read.schema("image_id string, avf double, mvf double").json(path)
+
+
+MODELS = {"f0": "p_partkey % 3 > 0", "f1": "p_partkey % 3 > 0", "f2": "p_partkey % 5 > 0", "all": "p_partkey % 3 <> 1"}
+
+
+@query(
+    "model_folds",
+    "WITH f AS ("
+    + " UNION ALL ".join(f"SELECT '/models/' || p_name || CAST(p_partkey AS VARCHAR) AS dir, '{k}' AS fold FROM part WHERE {rule}" for k, rule in MODELS.items())
+    + ") SELECT dir, fold FROM f WHERE fold = 'all' OR dir NOT IN (SELECT dir FROM f WHERE fold = 'all')",
+)
+def model_folds(spark, sf):
+    cases = F.array(*[F.when(F.expr(rule), F.lit(f"/fold_{k}/checkpoint.pth")) for k, rule in MODELS.items()])
+    base = table(spark, sf, "part").select(F.expr("'/models/' || p_name || CAST(p_partkey AS STRING)").alias("base"), F.explode(cases).alias("end"))
+    return files.model_folds(base.filter("end IS NOT NULL").select(F.concat("base", "end").alias("path")))
+
+
 @query(
     "stored_raster",
     f"WITH RECURSIVE {PX}, {components_sql('l', 'axon', 2)} SELECT {cols('image_id; y; x; label')} FROM l",

@@ -10,8 +10,6 @@ from catalog.views import (
     predicted_classes, query, regions_sql, seeds_sql, slide, table, true_axon, true_classes, SLIDE, grow_sql,
 )
 from segstats.constants import BINNED_METRICS, DIAMETER_BINS
-from segstats.functions.order_stats import ranked
-from segstats.functions.scalars import fixed
 from segstats.operators.components import label_components
 from segstats.operators.regions import measure_regions, region_sums
 from segstats.operators.runs import as_pixels, lookup
@@ -413,6 +411,17 @@ def pooled_by_nation(spark, sf):
     return counts.join(aggregate.statistics(pooled, ["n_name", "r_name"], "gratio"), ["n_name", "r_name"])
 
 
+@query(
+    "pooled_union",
+    f"""WITH {OBJ} SELECT subject_id, image_id, {cols('line', 'axon_diam; CASE WHEN line > 3 THEN gratio END:gratio')} FROM obj""",
+)
+def pooled_union(spark, sf):
+    # tables without fibre measures are pooled with tables that have them
+    base = objects(spark, sf).select("subject_id", "image_id", "line", "axon_diam", "gratio")
+    plain = base.filter("line <= 3").drop("gratio")
+    return base.filter("line > 3").unionByName(plain, allowMissingColumns=True)
+
+
 # ---- quality ----------------------------------------------------------------------------
 
 METRICS = ["axon_diam", "gratio", "myelin_thickness"]

@@ -65,7 +65,8 @@ BINNED_METRICS = {
 # Default colour palette for instance maps.
 PALETTE = [(217, 237, 146), (118, 200, 147), (22, 138, 173), (24, 78, 119)]
 
-# Size limits in pixels (ordinary and opted-in).
+# Size limits in pixels (slow, ordinary and opted-in).
+SLOW_PIXELS = 25_000_000
 PIXEL_LIMIT = 89_478_485
 LARGE_PIXEL_LIMIT = 1_000_000_000
 

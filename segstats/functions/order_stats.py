@@ -45,8 +45,8 @@ def ordered_counts(df: DataFrame, keys: list[str], value: str, per_task: int = V
     )
 
 
-def _at(p: float, value: str) -> Column:
-    """Linearly interpolated percentile over the rows of ``ordered_counts``."""
+def percentile_of_counts(p: float, value: str) -> Column:
+    """Aggregate over ``ordered_counts`` rows: the linearly interpolated percentile."""
     place = f"((total - 1) * {float(p)!r}D)"
 
     def pick(k: str) -> str:
@@ -61,16 +61,19 @@ def percentiles(
 ) -> DataFrame:
     """One row per key with the exact percentile for each ``name: fraction``."""
     counts = ordered_counts(df, keys, value, per_task)
-    return counts.groupBy(*keys).agg(*[_at(p, value).alias(name) for name, p in points.items()])
+    return counts.groupBy(*keys).agg(*[percentile_of_counts(p, value).alias(name) for name, p in points.items()])
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, prefix: str, per_task: int = VALUES_PER_TASK) -> DataFrame:
-    """Rows of ``df`` with ``{prefix}_rank`` (ties lowest), ``_pct`` (ties average) and ``_total``."""
-    table = ordered_counts(df, keys, value, per_task).select(
-        *keys,
-        value,
-        (F.col("below") + 1).alias(f"{prefix}_rank"),
-        ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(f"{prefix}_pct"),
-        F.col("total").alias(f"{prefix}_total"),
+def rank_table(df: DataFrame, keys: list[str], value: str, prefix: str, per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """Per key and value: ``{prefix}_rank`` (ties lowest), ``_pct`` (ties average), ``_total``."""
+    return ordered_counts(df, keys, value, per_task).selectExpr(
+        *keys, value, f"below + 1 AS {prefix}_rank", f"(below + (n + 1) / 2) / total AS {prefix}_pct", f"total AS {prefix}_total"
     )
-    return df.join(table, [*keys, value], "left")
+
+
+def ranked(df: DataFrame, keys: list[str], values: dict[str, str], per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """Rows of ``df`` with the rank columns of every ``prefix: value column``."""
+    out = df
+    for prefix, value in values.items():
+        out = out.join(rank_table(df, keys, value, prefix, per_task), [*keys, value], "left")
+    return out

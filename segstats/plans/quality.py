@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segstats.functions.order_stats import percentiles, ranked
+from segstats.functions.order_stats import ordered_counts, percentile_of_counts, percentiles, ranked
 from segstats.functions.scalars import fixed
 
 
@@ -30,24 +30,28 @@ def summary(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 
 
 def histogram(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Equal-width histogram per metric with the Freedman-Diaconis bin width, empty bins included."""
+    """Equal-width histogram per metric with the Freedman-Diaconis bin width, empty bins included.
+
+    Everything comes from the counts of distinct values, so the objects are read once.
+    """
     by = [*keys, "metric"]
-    long = melt(objects, keys, metrics).filter("value IS NOT NULL")
-    stats = summary(objects, keys, metrics).filter("n > 0")
-    width = 2.0 * F.col("iqr") * F.pow(F.col("n"), F.lit(-1.0 / 3.0))
-    bins = F.when(width > 0, F.greatest(F.ceil((F.col("max") - F.col("min")) / width), F.lit(1))).otherwise(F.lit(1))
-    frame = stats.select(*by, "min", "max", bins.cast("int").alias("bins"))
-    # equal values are counted first: the join sees each value of a key once
-    place = F.floor((F.col("value") - F.col("min")) * F.col("bins") / (F.col("max") - F.col("min")))
-    slot = F.when(F.col("max") > F.col("min"), F.least(place, F.col("bins") - 1)).otherwise(F.lit(0)).cast("int")
-    counted = (
-        long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")).join(frame, by)
-        .groupBy(*by, slot.alias("bin")).agg(F.sum("n").alias("n"))
+    counts = ordered_counts(melt(objects, keys, metrics), by, "value")
+    stats = counts.groupBy(*by).agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.max("total").alias("rows"),
+        (percentile_of_counts(0.75, "value") - percentile_of_counts(0.25, "value")).alias("iqr"),
+    )
+    frame = stats.selectExpr(
+        *by, "low", "high",
+        "cast(CASE WHEN iqr > 0 THEN greatest(ceil((high - low) / (2.0D * iqr * pow(rows, -1.0D / 3.0D))), 1) ELSE 1 END as int) AS bins",
+    )
+    placed = counts.join(frame, by).selectExpr(
+        *by, "n",
+        "cast(CASE WHEN high > low THEN least(floor((value - low) * bins / (high - low)), bins - 1) ELSE 0 END as int) AS bin",
     )
+    counted = placed.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     grid = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    step = (F.col("max") - F.col("min")) / F.col("bins")
-    return grid.join(counted, [*by, "bin"], "left").select(
-        *by, "bin", (F.col("min") + F.col("bin") * step).alias("low"), F.coalesce("n", F.lit(0)).alias("n")
+    return grid.join(counted, [*by, "bin"], "left").selectExpr(
+        *by, "bin", "low + bin * ((high - low) / bins) AS low", "coalesce(n, 0) AS n"
     )
 
 
@@ -76,9 +80,7 @@ def ranks(objects: DataFrame, keys: list[str]) -> DataFrame:
     filled = objects
     for metric in ("axon_diam", "myelin_thickness", "gratio"):
         filled = filled.withColumn(f"_{metric}", F.coalesce(metric, F.lit(-1.0)))
-    out = ranked(filled, keys, "_axon_diam", "diameter")
-    out = ranked(out, keys, "_myelin_thickness", "thickness")
-    out = ranked(out, keys, "_gratio", "gratio")
+    out = ranked(filled, keys, {"diameter": "_axon_diam", "thickness": "_myelin_thickness", "gratio": "_gratio"})
     # ranks over present g-ratios: drop the missing ones, all of which sit below
     missing = objects.groupBy(*keys).agg(F.count_if(F.col("gratio").isNull()).alias("_missing"))
     out = out.join(missing, keys).withColumn(

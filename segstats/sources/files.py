@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.constants import AGGREGATE_DIR, LARGE_PIXEL_LIMIT, PIXEL_LIMIT, PIXEL_SIZE_FILE, SUFFIXES, VALID_EXTENSIONS
+from segstats.constants import AGGREGATE_DIR, LARGE_PIXEL_LIMIT, PIXEL_LIMIT, PIXEL_SIZE_FILE, SLOW_PIXELS, SUFFIXES, VALID_EXTENSIONS
 from segstats.functions.scalars import file_name, is_generated, parent_dir, stem
 
 MASK_ROLES = ["axonmyelin", "axon", "myelin", "uaxon", "nerve"]
@@ -111,9 +111,11 @@ def read_headers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def size_guard(headers: DataFrame, allow_large: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(accepted, rejected)`` images by pixel count."""
+    """``(accepted, rejected)`` images by pixel count; ``slow`` marks large accepted ones."""
     limit = LARGE_PIXEL_LIMIT if allow_large else PIXEL_LIMIT
-    sized = headers.withColumn("n_pixels", F.col("height").cast("bigint") * F.col("width"))
+    sized = headers.withColumn("n_pixels", F.col("height").cast("bigint") * F.col("width")).withColumn(
+        "slow", F.col("n_pixels") > SLOW_PIXELS
+    )
     return sized.filter(F.col("n_pixels") <= limit), sized.filter(F.col("n_pixels") > limit)
 
 
@@ -137,6 +139,27 @@ def check_inputs(headers: DataFrame, file_format: str, n_channels: int) -> DataF
     )
 
 
+def model_formats(spark: SparkSession, root: str) -> DataFrame:
+    """``(dir, file_format, n_channels, classes)`` from the ``dataset.json`` of model folders."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "dataset.json")
+    texts = reader.text(root, wholetext=True).select(parent_dir(F.col("_metadata.file_path")).alias("dir"), "value")
+    card = F.from_json("value", "file_ending string, channel_names map<string,string>, labels map<string,int>")
+    return texts.select("dir", card.alias("c")).select(
+        "dir", F.col("c.file_ending").alias("file_format"), F.size("c.channel_names").alias("n_channels"),
+        F.map_filter("c.labels", lambda name, _: name != "background").alias("classes"),
+    )
+
+
+def model_folds(files: DataFrame) -> DataFrame:
+    """``(dir, fold)`` of model folders: the single fold ``all`` where there is one, else every fold."""
+    folds = files.select(
+        F.regexp_extract("path", r"^(.*)/fold_[^/]*/[^/]*$", 1).alias("dir"),
+        F.regexp_extract("path", r"/fold_([^/]*)/[^/]*$", 1).alias("fold"),
+    ).filter("fold <> ''").distinct()
+    light = folds.filter("fold = 'all'").select("dir")
+    return folds.filter("fold = 'all'").unionByName(folds.join(light, "dir", "left_anti"))
+
+
 def parse_pixel_sizes(texts: DataFrame) -> DataFrame:
     """``(dir, um_per_px)`` from ``(path, value)`` sidecar texts; other text is an error."""
     number = F.trim(F.regexp_replace("value", r"\s+", " "))

@@ -33,7 +33,7 @@ def test_percentiles_and_ranks_with_a_hot_key(skewed, per_task):
     for r in percentiles(df, ["k"], "v", points, per_task).collect():
         data = frame.v[frame.k == r["k"]].dropna()
         assert [r[n] for n in points] == pytest.approx([np.percentile(data, 100 * p) for p in points.values()])
-    got = ranked(df.filter("v IS NOT NULL"), ["k"], "v", "v", per_task).toPandas().sort_values(["k", "v"])
+    got = ranked(df.filter("v IS NOT NULL"), ["k"], {"v": "v"}, per_task).toPandas().sort_values(["k", "v"])
     assert (got.v_rank == got.groupby("k").v.rank(method="min")).all()
     assert np.allclose(got.v_pct, got.groupby("k").v.rank(pct=True))
 
@@ -282,16 +282,15 @@ def test_nerve_documents(spark, sizes, tmp_path):
         nerve.add_densities(broken, axons).collect()
 
 
-def sum_fold():
-    def predict(batch):
-        flat = batch.reshape(len(batch), -1)
-        return {"c0": np.full_like(flat, 50.0), "c1": flat}
-
-    return predict
-
-
 @pytest.mark.parametrize("shape,patch,step", [((10, 13), (4, 4), 0.5), ((9, 9), (4, 5), 1.0), ((3, 6), (4, 4), 0.5)])
 def test_tiles_cover_every_pixel_and_stitch_back(spark, draw, sizes, shape, patch, step):
+    def sum_fold():
+        def predict(batch):
+            flat = batch.reshape(len(batch), -1)
+            return {"c0": np.full_like(flat, 50.0), "c1": flat}
+
+        return predict
+
     grid = np.arange(1, shape[0] * shape[1] + 1).reshape(shape)
     pixels, images = draw(grid, value=True), sizes(shape)
     cells = patches.cut(pixels, images, patch, step)
