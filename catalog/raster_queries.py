@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.views import (
-    EXTENT, OBJ, PIXEL, POINTS, PX, SLIDE, axon, cols, components_sql, grow_sql, hull_sql, images, myelin, nerve,
+    EXTENT, PIXEL, POINTS, PX, SLIDE, axon, cols, components_sql, grow_sql, hull_sql, images, myelin, nerve,
     perimeter_sql, points, predicted_classes, query, rasters, regions_sql, seeds_sql, slide, table,
 )
 from segstats.functions.scalars import float_to_bits
@@ -286,7 +286,7 @@ def fibre_instances(spark, sf):
 @query("fibre_flood")
 def fibre_flood(spark, sf):
     seeds = seed_points(axon_labels(spark, sf))
-    return flood(axon(spark, sf), myelin(spark, sf), seeds, images(spark, sf), EXTENT)
+    return as_pixels(flood(axon(spark, sf), myelin(spark, sf), seeds, images(spark, sf), EXTENT))
 
 
 @query(
@@ -296,7 +296,7 @@ def fibre_flood(spark, sf):
 def fibre_flood_cover(spark, sf):
     seeds = seed_points(axon_labels(spark, sf))
     return flood(axon(spark, sf), myelin(spark, sf), seeds, images(spark, sf), EXTENT).groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("n_pixels")
+        F.sum(F.expr("x1 - x0 + 1")).alias("n_pixels")
     )
 
 
@@ -309,7 +309,7 @@ UNION ALL SELECT {cols(P)}, 'myelin' FROM myelin ANTI JOIN dead USING (image_id,
 )
 def remove_fibres_at_points(spark, sf):
     a, m = axon(spark, sf), myelin(spark, sf)
-    a2, m2 = remove_fibres(a, m, as_pixels(fibres(spark, sf)), points(spark, sf))
+    a2, m2 = remove_fibres(a, m, fibres(spark, sf), points(spark, sf))
     return a2.withColumn("cls", F.lit("axon")).unionByName(m2.withColumn("cls", F.lit("myelin")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.raster_queries import FIBRE_SQL, axon_labels, fibres, measure_sql, measured
+from catalog.raster_queries import FIBRE_SQL, axon_labels, fibres
 from catalog.views import (
     exact, EXTENT, OBJ, PIXEL, POINTS, PX, axon, cols, components_sql, images, myelin, nerve, objects, points,
     predicted_classes, query, regions_sql, seeds_sql, slide, table, true_axon, true_classes, SLIDE, grow_sql,
@@ -14,7 +14,7 @@ from segstats.operators.components import label_components
 from segstats.operators.regions import measure_regions, region_sums
 from segstats.operators.runs import as_pixels, lookup
 from segstats.plans import aggregate, nerve as nerve_plan, quality, scoring
-from segstats.plans.objects import fibre_metrics, image_totals, mask_fractions, measure_objects
+from segstats.plans.objects import fibre_metrics, image_totals, mask_fractions
 from segstats.session import materialize
 from segstats.sources.tables import parse_nerve
 

@@ -30,7 +30,7 @@ from segstats.session import materialize
 
 STEP = 2**40  # steps * STEP + label: one integer that orders by steps, then by label
 NEVER = 2**62
-FLOOD_LIMIT = 4_000_000
+FLOOD_LIMIT = 1_000_000
 
 
 def seed_points(axon_labels: DataFrame) -> DataFrame:
@@ -39,15 +39,17 @@ def seed_points(axon_labels: DataFrame) -> DataFrame:
     return points.groupBy(*PIXEL).agg(F.max("label").alias("label"))
 
 
-def _settle(table: pa.Table, tile: int) -> pa.Table:
-    """Let the labels of each tile spread until no pixel of the tile improves."""
+def _codes(table: pa.Table, tile: int) -> tuple[np.ndarray, int]:
+    """Growing pixel codes of sorted tile rows, and the code distance of one image row."""
     group = np.cumsum(changes(table, TILE_KEY)) - 1
     side = tile + 2
     row = ints(table, "y") - ints(table, "ty") * tile + 1
-    column = ints(table, "x") - ints(table, "tx") * tile + 1
-    code = (group * side + row) * side + column
-    cost = ints(table, "cost").copy()
-    links = [find(code, code + step) for step in (-side, -1, 1, side)]
+    return (group * side + row) * side + ints(table, "x") - ints(table, "tx") * tile + 1, side
+
+
+def _relax(cost: np.ndarray, code: np.ndarray, side: int) -> np.ndarray:
+    """Least cost of every pixel when one step to a side neighbour costs ``STEP``."""
+    links = [find(code, code + step) for step in (-side, -1, 1, side)] if len(code) else []
     links = [(np.flatnonzero(at >= 0), at[at >= 0]) for at in links]
     while True:
         previous = cost.copy()
@@ -55,19 +57,54 @@ def _settle(table: pa.Table, tile: int) -> pa.Table:
             cost[here] = np.minimum(cost[here], cost[there] + STEP)
         np.minimum(cost, NEVER, out=cost)
         if np.array_equal(cost, previous):
-            break
+            return cost
+
+
+def _settle(table: pa.Table, tile: int) -> pa.Table:
+    """Let the labels of each tile spread until no pixel of the tile improves."""
+    cost = _relax(ints(table, "cost").copy(), *_codes(table, tile))
     return table.set_column(table.column_names.index("cost"), "cost", pa.array(cost))
 
 
-def spread(pixels: DataFrame, tile: int = TILE, one_tile: bool = False) -> DataFrame:
+def _runs(table: pa.Table, label: np.ndarray) -> pa.Table:
+    """Runs of sorted, labelled pixels."""
+    x = ints(table, "x")
+    fresh = changes(table, ["image_id", "y"])
+    fresh[1:] |= (x[1:] != x[:-1] + 1) | (label[1:] != label[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(x))[: len(first)] - 1
+    return pa.table(
+        {
+            "image_id": table["image_id"].take(pa.array(first)), "y": table["y"].take(pa.array(first)),
+            "x0": pa.array(x[first].astype(np.int32)), "x1": pa.array(x[last].astype(np.int32)),
+            "label": pa.array(label[first]),
+        }
+    )
+
+
+def _grow_tiles(table: pa.Table, tile: int) -> pa.Table:
+    """Both growth stages for images that fit one tile; equal pixels are merged first."""
+    first = np.flatnonzero(changes(table, [*TILE_KEY, "y", "x"]))
+    axon = np.maximum.reduceat(table["axon"].cast("int8").fill_null(-1).to_numpy(), first)
+    seed = np.maximum.reduceat(table["label"].fill_null(0).to_numpy(), first)
+    on_mask = axon >= 0
+    table, axon, seed = table.take(pa.array(first[on_mask])), axon[on_mask] == 1, seed[on_mask]
+    code, side = _codes(table, tile)
+    cost = np.where(seed > 0, seed, NEVER)
+    inner = _relax(cost[axon], code[axon], side)
+    cost[axon] = np.where(inner < NEVER, inner % STEP, NEVER)
+    cost = _relax(cost, code, side)
+    reached = np.flatnonzero(cost < NEVER)
+    return _runs(table.take(pa.array(reached)), cost[reached] % STEP)
+
+
+def spread(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """Least ``cost`` of every pixel; ``pixels (image_id, y, x, cost)`` starts at sources."""
     kind = pixels.schema["image_id"].dataType.simpleString()
     schema = f"image_id {kind}, ty int, tx int, y int, x int, cost bigint"
     state = pixels.select("image_id", div("y", tile).alias("ty"), div("x", tile).alias("tx"), "y", "x", "cost")
     helper = partial(_settle, tile=tile)
     state = stream_groups(state, TILE_KEY, ["y", "x"], helper, schema)
-    if one_tile:
-        return state.select(*PIXEL, "cost")
     while True:
         state = materialize(state, "spread")
         step = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"))
@@ -104,28 +141,32 @@ def grow(
     tile: int = TILE,
     extent: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Fibre pixels ``(image_id, y, x, label)`` grown from ``seeds (image_id, y, x, label)``."""
-    small = bool(extent and max(extent) <= tile)
+    """Fibre runs ``(image_id, y, x0, x1, label)`` grown from ``seeds (image_id, y, x, label)``."""
+    none = F.lit(None)
     union = (
-        as_pixels(axon).select(*PIXEL, F.lit(True).alias("axon"))
-        .unionByName(as_pixels(myelin).select(*PIXEL, F.lit(False).alias("axon")))
-        .unionByName(seeds.select(*PIXEL, F.lit(None).cast("boolean").alias("axon"), "label"), allowMissingColumns=True)
+        as_pixels(axon).select(*PIXEL, F.lit(True).alias("axon"), none.cast("bigint").alias("label"))
+        .union(as_pixels(myelin).select(*PIXEL, F.lit(False), none.cast("bigint")))
+        .union(seeds.select(*PIXEL, none.cast("boolean"), F.col("label").cast("bigint")))
     )
+    kind = axon.schema["image_id"].dataType.simpleString()
+    if extent and max(extent) <= tile:
+        tiled = union.select("image_id", div("y", tile).alias("ty"), div("x", tile).alias("tx"), "y", "x", "axon", "label")
+        return stream_groups(
+            tiled, TILE_KEY, ["y", "x"], partial(_grow_tiles, tile=tile),
+            f"image_id {kind}, y int, x0 int, x1 int, label bigint",
+        )
     # one aggregation merges both masks and the seeds; seeds off the mask drop out
-    mask = union.groupBy(*PIXEL).agg(F.max("axon").alias("axon"), F.max("label").alias("label")).filter(
-        F.col("axon").isNotNull()
-    )
-    if not small:
-        mask = materialize(mask, "fibre")
+    merged = union.groupBy(*PIXEL).agg(F.max("axon").alias("axon"), F.max("label").alias("label"))
+    mask = materialize(merged.filter("axon IS NOT NULL"), "fibre")
     start = F.coalesce("label", F.lit(NEVER))
-    inner = spread(mask.filter("axon").select(*PIXEL, start.alias("cost")), tile, small)
+    inner = spread(mask.filter("axon").select(*PIXEL, start.alias("cost")), tile)
     # axon pixels that were reached, and seeds on myelin, are the sources of the second stage
     sources = (
         inner.withColumn("cost", F.when(F.col("cost") < NEVER, F.col("cost") % STEP).otherwise(F.lit(NEVER)))
         .unionByName(mask.filter("NOT axon").select(*PIXEL, start.alias("cost")))
     )
-    outer = spread(sources, tile, small)
-    return outer.filter(F.col("cost") < NEVER).select(*PIXEL, (F.col("cost") % STEP).alias("label"))
+    outer = spread(sources, tile).filter(F.col("cost") < NEVER)
+    return compress(outer.select(*PIXEL, (F.col("cost") % STEP).alias("label")), ["label"])
 
 
 def _flood_pieces(table: pa.Table) -> pa.Table:
@@ -147,7 +188,9 @@ def _flood_pieces(table: pa.Table) -> pa.Table:
                     age += 1
                     label[j] = label[i]
                     heapq.heappush(queue, (value[j], age, j))
-    return pa.table({"image_id": table["image_id"], "y": table["y"], "x": table["x"], "label": pa.array(label)})
+    label = np.array(label)
+    reached = np.flatnonzero(label)
+    return _runs(table.take(pa.array(reached)), label[reached])
 
 
 def flood(
@@ -158,7 +201,7 @@ def flood(
     extent: tuple[int, int] | None = None,
     limit: int = FLOOD_LIMIT,
 ) -> DataFrame:
-    """Watershed of the negated axon distance; mask pieces above ``limit`` pixels are an error."""
+    """Watershed of the negated axon distance as fibre runs; mask pieces above ``limit`` pixels are an error."""
     mask = as_pixels(axon).select(*PIXEL).union(as_pixels(myelin).select(*PIXEL)).distinct()
     pieces = label_components(mask, 1, extent=extent).withColumnRenamed("label", "piece")
     if extent is None:
@@ -173,16 +216,15 @@ def flood(
         .join(seeds.select(*PIXEL, "label"), PIXEL, "left")
     )
     kind = axon.schema["image_id"].dataType.simpleString()
-    out = stream_groups(
-        table, ["image_id", "piece"], ["y", "x"], _flood_pieces, f"image_id {kind}, y int, x int, label bigint"
+    return stream_groups(
+        table, ["image_id", "piece"], ["y", "x"], _flood_pieces, f"image_id {kind}, y int, x0 int, x1 int, label bigint"
     )
-    return out.filter("label > 0")
 
 
 def remove_fibres(axon: DataFrame, myelin: DataFrame, fibres: DataFrame, points: DataFrame):
-    """Both masks without the fibres under ``points (image_id, x, y)`` (truncated to pixels)."""
+    """Both masks without the fibres (runs) under ``points (image_id, x, y)`` (truncated to pixels)."""
     spots = points.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
-    runs = compress(fibres, ["label"])
+    runs = fibres.select("image_id", "y", "x0", "x1", "label")
     doomed = lookup(spots, runs, ["label"]).filter("label IS NOT NULL").select("image_id", "label").distinct()
     gone = as_pixels(runs.join(doomed, ["image_id", "label"], "left_semi")).select(*PIXEL)
     return as_pixels(axon).join(gone, PIXEL, "left_anti"), as_pixels(myelin).join(gone, PIXEL, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segstats.operators.components import label_components
 from segstats.operators.masks import enclosed_holes
 from segstats.operators.regions import OBJECT, centroid_pixels, ellipse, measure_regions, perimeters, region_sums
-from segstats.operators.runs import PIXEL, TILE, as_pixels, compress, lookup
+from segstats.operators.runs import PIXEL, TILE, as_pixels, lookup
 from segstats.operators.watershed import flood, grow, seed_points
 from segstats.schema import OBJECT_MEASURES
 from segstats.session import materialize
@@ -32,12 +32,10 @@ def fibre_labels(
         myelin = as_pixels(myelin).select(*PIXEL).union(enclosed_holes(both, images, extent))
     seeds = seed_points(axon_labels)
     if mode == "grow":
-        fibres = grow(axon, myelin, seeds, tile, extent)
-    elif mode == "flood":
-        fibres = flood(axon, myelin, seeds, images, extent)
-    else:
-        raise ValueError("mode must be 'grow' or 'flood'")
-    return compress(fibres, ["label"])
+        return grow(axon, myelin, seeds, tile, extent)
+    if mode == "flood":
+        return flood(axon, myelin, seeds, images, extent)
+    raise ValueError("mode must be 'grow' or 'flood'")
 
 
 def fibre_metrics(matched: DataFrame, axon_shape: str = "circle") -> DataFrame:

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from segstats.operators import geometry, masks
 from segstats.plans.nerve import nerve_report

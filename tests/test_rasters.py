@@ -116,13 +116,13 @@ def test_distance_without_background(draw, sizes):
     assert len(rows) == 20 and all(r["dist"] is None for r in rows)
 
 
-@pytest.mark.parametrize("tile", [6, 64])
-def test_growth_is_the_same_on_any_tiling(draw, tile):
+@pytest.mark.parametrize("options", [{"tile": 6}, {"tile": 64}, {"extent": (30, 30)}])
+def test_growth_is_the_same_on_any_tiling(draw, options):
     axon = (RNG.random((30, 30)) < 0.3).astype(int)
     ring = ((RNG.random((30, 30)) < 0.5) & (axon == 0)).astype(int)
     labels = label_components(draw(axon), 2, extent=(30, 30))
     seeds = seed_points(labels)
-    found = to_array(grow(draw(axon), draw(ring), seeds, tile=tile), axon.shape)
+    found = to_array(as_pixels(grow(draw(axon), draw(ring), seeds, **options)), axon.shape)
     start = {(r["y"], r["x"]): r["label"] for r in seeds.collect()}
     assert (found == slow_grow(axon, axon + ring, start)).all()
 
@@ -141,8 +141,8 @@ def test_flood_and_growth_agree_on_separate_discs(draw, sizes):
     axon, ring = discs((60, 60), [(15, 15, 6, 4), (40, 42, 8, 5), (44, 12, 4, 4)])
     a, m = draw(axon), draw(ring)
     seeds = seed_points(label_components(a, 2, extent=axon.shape))
-    one = to_array(grow(a, m, seeds, extent=axon.shape), axon.shape)
-    two = to_array(flood(a, m, seeds, sizes(axon.shape)), axon.shape)
+    one = to_array(as_pixels(grow(a, m, seeds, extent=axon.shape)), axon.shape)
+    two = to_array(as_pixels(flood(a, m, seeds, sizes(axon.shape))), axon.shape)
     assert (one == two).all() and ((one > 0) == (axon + ring > 0)).all()
 
 
@@ -251,3 +251,13 @@ def test_paint_covers_every_object_pixel(draw, spark):
     for r in as_pixels(painted).collect():
         assert r["axon_diam"] == sizes_[expected[r["y"], r["x"]]]
     assert as_pixels(painted).count() == grid.sum()
+
+
+def test_text_image_ids(draw, sizes):
+    grid = (RNG.random((20, 20)) < 0.5).astype(int)
+    mask = draw(grid, grid.T).withColumn("image_id", F.concat(F.lit("img-"), "image_id"))
+    images = sizes((20, 20), (20, 20)).withColumn("image_id", F.concat(F.lit("img-"), "image_id"))
+    labels = label_components(mask, 2, tile=8, edges_per_task=0)
+    assert labels.select("image_id", "label").distinct().count() == label(grid, ALL).max() + label(grid.T, ALL).max()
+    assert measure_regions(labels).filter("perimeter IS NULL OR solidity IS NULL").count() == 0
+    assert distance_to_background(mask, images).count() == 2 * grid.sum()
