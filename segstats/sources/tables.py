@@ -28,7 +28,11 @@ def write_objects(objects: DataFrame, path: str, form: str = "csv", partition_by
     """Write an object table with display names; missing values are ``NaN`` in CSV."""
     if form not in ("csv", "parquet"):
         raise ValueError("form must be 'csv' or 'parquet'")
-    writer = for_saving(objects).write.mode("errorifexists")
+    table = for_saving(objects)
+    if partition_by:
+        # few files per folder, and a large folder is still written by several tasks
+        table = table.hint("rebalance", *partition_by)
+    writer = table.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if form == "csv":

@@ -67,3 +67,24 @@ def to_array(df, shape, column="label", image=0):
     for r in df.filter(f"image_id = {image}").collect():
         out[r["y"], r["x"]] = r[column]
     return out
+
+
+def flood(axon, fibre, seeds):
+    """Watershed of the negated distance by rescanning the whole queue at every step."""
+    distance = squared_distance(axon) if (axon == 0).any() else {}
+    lab = np.zeros(axon.shape, int)
+    waiting, age = [], 0
+    for (y, x), s in seeds.items():
+        if fibre[y, x]:
+            lab[y, x] = s
+            waiting.append((-np.sqrt(distance.get((y, x), 0)), 0, y * axon.shape[1] + x, y, x))
+    while waiting:
+        first = min(waiting)
+        waiting.remove(first)
+        for dy, dx in SIDES:
+            c, d = first[3] + dy, first[4] + dx
+            if 0 <= c < axon.shape[0] and 0 <= d < axon.shape[1] and fibre[c, d] and not lab[c, d]:
+                age += 1
+                lab[c, d] = lab[first[3], first[4]]
+                waiting.append((-np.sqrt(distance.get((c, d), 0)), age, 0, c, d))
+    return lab

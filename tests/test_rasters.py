@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reference_helpers import ALL, SIDES, grow as slow_grow, label, squared_distance, to_array
+from reference_helpers import ALL, SIDES, flood as slow_flood, grow as slow_grow, label, squared_distance, to_array
 from segstats.operators import geometry, masks
 from segstats.operators.components import label_components
 from segstats.operators.distance import distance_to_background
@@ -146,6 +146,21 @@ def test_flood_and_growth_agree_on_separate_discs(draw, sizes):
     assert (one == two).all() and ((one > 0) == (axon + ring > 0)).all()
 
 
+def test_flood_order(draw, sizes):
+    """Noisy masks, where queue order decides most pixels, against a plain rescan."""
+    images = []
+    for _ in range(3):
+        axon = (RNG.random((14, 14)) < 0.35).astype(int)
+        images.append((axon, ((RNG.random((14, 14)) < 0.6) & (axon == 0)).astype(int)))
+    a, m = draw(*[i[0] for i in images]), draw(*[i[1] for i in images])
+    seeds = seed_points(label_components(a, 2, extent=(14, 14)))
+    found = as_pixels(flood(a, m, seeds, sizes(*[(14, 14)] * 3))).cache()
+    rows = seeds.collect()
+    for k, (axon, ring) in enumerate(images):
+        start = {(r["y"], r["x"]): r["label"] for r in rows if r["image_id"] == k}
+        assert (to_array(found, (14, 14), image=k) == slow_flood(axon, axon + ring, start)).all()
+
+
 def test_flood_refuses_oversized_pieces(draw, sizes):
     axon, ring = discs((40, 40), [(20, 20, 6, 4)])
     seeds = seed_points(label_components(draw(axon), 2, extent=axon.shape))
