@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from segstats.constants import INTENSITY
 from segstats.operators.components import label_components
+from segstats.operators.geometry import paint
 from segstats.operators.grouped import ints, stream_groups
 from segstats.operators.regions import expand, find, region_sums
 from segstats.operators.runs import PIXEL, TILE, TILE_KEY, as_pixels, as_runs, complement, compress, cut_to_tiles
+from segstats.session import materialize
 
 
 def class_of(v: Column, rule: str = "scoring") -> Column:
@@ -95,23 +97,23 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def small_holes(mask: DataFrame, images: DataFrame, max_area_fraction: float = 0.1, extent=None) -> DataFrame:
     """Pixels that filling would add: background pieces (side neighbours) below the limit."""
-    holes = label_components(complement(mask, images), 1, extent=extent)
+    holes = materialize(label_components(complement(mask, images), 1, extent=extent), "holes")
     limit = F.lit(max_area_fraction) * F.col("height") * F.col("width")
     small = (
         region_sums(holes).join(images, "image_id").filter(F.col("area") < limit).select("image_id", "label")
     )
-    return as_pixels(holes.join(small, ["image_id", "label"], "left_semi")).select(*PIXEL)
+    return as_pixels(paint(holes, small)).select(*PIXEL)
 
 
 def enclosed_holes(mask: DataFrame, images: DataFrame, extent=None) -> DataFrame:
     """Background pixels (side neighbours) of pieces that do not touch the image border."""
-    holes = label_components(complement(mask, images), 1, extent=extent)
+    holes = materialize(label_components(complement(mask, images), 1, extent=extent), "holes")
     inside = (
         region_sums(holes).join(images, "image_id")
         .filter("bbox_min_y > 0 AND bbox_min_x > 0 AND bbox_max_y < height AND bbox_max_x < width")
         .select("image_id", "label")
     )
-    return as_pixels(holes.join(inside, ["image_id", "label"], "left_semi")).select(*PIXEL)
+    return as_pixels(paint(holes, inside)).select(*PIXEL)
 
 
 def _erode(table: pa.Table, tile: int, radius: int) -> pa.Table:

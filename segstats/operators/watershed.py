@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from segstats.operators.components import label_components
 from segstats.operators.distance import distance_to_background
+from segstats.operators.geometry import paint
 from segstats.operators.grouped import changes, ints, stream_groups
 from segstats.operators.regions import centroid_pixels, find, region_sums
 from segstats.operators.runs import PIXEL, TILE, TILE_KEY, as_pixels, compress, div, lookup
@@ -226,5 +227,5 @@ def remove_fibres(axon: DataFrame, myelin: DataFrame, fibres: DataFrame, points:
     spots = points.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
     runs = fibres.select("image_id", "y", "x0", "x1", "label")
     doomed = lookup(spots, runs, ["label"]).filter("label IS NOT NULL").select("image_id", "label").distinct()
-    gone = as_pixels(runs.join(doomed, ["image_id", "label"], "left_semi")).select(*PIXEL)
+    gone = as_pixels(paint(runs, doomed)).select(*PIXEL)
     return as_pixels(axon).join(gone, PIXEL, "left_anti"), as_pixels(myelin).join(gone, PIXEL, "left_anti")
