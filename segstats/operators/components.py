@@ -50,11 +50,13 @@ def _label_tiles(table: pa.Table, reach: int, tile: int, value: str | None) -> p
     group = np.cumsum(new_tile) - 1
     y, x0, x1 = (ints(table, c) for c in ("y", "x0", "x1"))
     fresh = changes(table, [*TILE_KEY, "y"] + ([value] if value else []))
-    fresh[1:] |= x0[1:] != x1[:-1] + 1
+    # repeated or overlapping input runs merge: compare with the furthest end so far
+    row = np.cumsum(fresh) * ROW
+    furthest = np.maximum.accumulate(row + x1)
+    fresh[1:] |= (row + x0)[1:] > furthest[:-1] + 1
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], table.num_rows) - 1
     runs = table.take(first)
-    group, y, x0, x1 = group[first], y[first], x0[first], x1[last]
+    group, y, x0, x1 = group[first], y[first], x0[first], np.maximum.reduceat(x1, first)
 
     # one growing code per (tile, row, column), padded so neighbours stay in their row
     def code(row, column):

@@ -29,6 +29,15 @@ def test_three_pieces_by_sides_two_with_diagonals(draw):
     assert counts == [3, 2]
 
 
+@pytest.mark.parametrize("tile", [4, 64])
+def test_repeated_and_overlapping_runs_merge(spark, tile):
+    rows = [(0, 0, 0, 10), (0, 0, 2, 3), (0, 0, 5, 6), (0, 0, 11, 11), (0, 0, 11, 11), (0, 2, 4, 4), (0, 2, 4, 4)]
+    mask = spark.createDataFrame(rows, "image_id long, y int, x0 int, x1 int")
+    found = as_pixels(label_components(mask, 2, tile=tile))
+    assert found.count() == found.select("y", "x").distinct().count() == 13
+    assert found.select("label").distinct().count() == 2
+
+
 @pytest.mark.parametrize("tile", [4, 64])
 def test_equal_values_join(draw, tile):
     grid = RNG.integers(0, 3, (20, 20))
