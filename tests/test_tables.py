@@ -246,8 +246,9 @@ def test_input_check(spark):
 def test_object_table_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1.5, 2.5, None, 3.0, "kept")], "y0 double, x0 double, gratio double, axon_diam double, note string")
     tables.write_objects(df, str(tmp_path / "t"), "csv")
-    text = next((tmp_path / "t").glob("*.csv")).read_text().splitlines()
-    assert text[0] == "x0 (px),y0 (px),gratio,axon_diam (um),note" and text[1] == "2.5,1.5,NaN,3.0,kept"
+    # a task without rows may still write a file with the header alone
+    text = [line for part in (tmp_path / "t").glob("*.csv") for line in part.read_text().splitlines()]
+    assert set(text) == {"x0 (px),y0 (px),gratio,axon_diam (um),note", "2.5,1.5,NaN,3.0,kept"}
     back = tables.read_objects(spark, str(tmp_path / "t"))
     assert back.columns == ["x0", "y0", "gratio", "axon_diam", "note"]
     assert tuple(back.first()) == (2.5, 1.5, None, 3.0, "kept")
