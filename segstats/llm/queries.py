@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segstats.llm import pieces
+from segstats.llm import decontaminate, pieces, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +25,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.token_digests(table(spark, sf, "documents"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.find_overlap(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query
+def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf, "documents"))
+    count = lambda s: F.size(F.filter("found", lambda f: f["status"] == s)).cast("bigint")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.said("found").alias("spans"),
+        count("live").alias("n_live"), count("example").alias("n_example"),
+    )
