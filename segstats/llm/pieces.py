@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-Every text is cut where no piece can reach across: before each run of the space symbol. The parts are encoded by an agenda
+Every text is cut where no piece can reach across: before space symbols, at line ends, behind letters. The parts are encoded by an agenda
 of adjacent symbol pairs, best score first and leftmost on ties; a merged pair puts its two new neighbours on the
 agenda. Symbols outside the vocabulary fall back to their UTF-8 bytes. Parts recur, so a task keeps a bounded table of
 those it has met. Each part is checked against the library when it enters that table; where they ever differ, the library's
@@ -27,7 +27,7 @@ SPACE = "▁"
 #: Above this many symbols the agenda is a heap; below, a short list with its smallest entry looked up is faster.
 SHORT = 40
 #: Parts that a task remembers (about 300 bytes each) in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
 #: Characters that are assembled at a time.
 CHUNK = 1 << 20
 
@@ -57,9 +57,25 @@ class Agenda:
                 self.cost[piece] = -lib.get_score(i)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces with an inner space symbol cannot be cut at spaces")
-        # a line end that is in no piece always stands alone
-        alone = "" if any("\n" in p for p in self.ids) else "\n"
-        self.cut = re.compile(f"[{alone}]+|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.cut = re.compile(self._cut_pattern())
+
+    def _cut_pattern(self) -> str:
+        """Parts that merging cannot join: they start at space symbols, at line ends and behind a run of letters.
+
+        ``letters`` is closed: whatever follows one of them inside some piece is one of them too.
+        """
+        after: dict[str, set[str]] = {}
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:]):
+                after.setdefault(a, set()).add(b)
+        if any("\n" in p for p in self.ids):  # the check of a part needs a line end that stands alone
+            return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        letters = {c for c in after.keys() | set().union(*after.values()) if c.isalpha()}
+        while more := set().union(*(after.get(c, set()) for c in letters)) - letters - {SPACE}:
+            letters |= more
+        known = "".join(map(re.escape, sorted(letters)))
+        other = f"[^{known}{SPACE}\n]"
+        return f"\n+|{SPACE}*{other}*[{known}]+|{SPACE}*{other}+|{SPACE}+" if known else f"\n+|{SPACE}*{other}+|{SPACE}+"
 
     def parts(self, text: str) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
