@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, pieces, secrets
+from segstats.llm import decontaminate, pieces, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.said("found").alias("spans"),
         count("live").alias("n_live"), count("example").alias("n_example"),
     )
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.assess(table(spark, sf, "documents"))
