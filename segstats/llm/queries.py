@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, pieces, quality, secrets
+from segstats.llm import decontaminate, pieces, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,9 @@ def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.assess(table(spark, sf, "documents"))
+
+
+@query
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
