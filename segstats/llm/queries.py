@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, pieces, quality, secrets, simhash
+from segstats.llm import decontaminate, pieces, quality, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,27 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_records(index, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+SQL["op1_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p
+), f AS (
+  SELECT payload_digest, max(page_id) AS first FROM d WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, d.payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 1000
+"""

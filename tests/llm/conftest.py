@@ -1,0 +1,25 @@
+import duckdb
+import pytest
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def same_as_sql(spark):
+    """Compare a registered query with its SQL on the smallest tables."""
+    from segstats.llm import queries
+
+    def check(name):
+        con = duckdb.connect()
+        for table in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+        df = queries.QUERIES[name](spark, SF)
+        columns = sorted(df.columns)
+        cursor = con.execute(queries.SQL[name])
+        names = [d[0] for d in cursor.description]
+        assert sorted(names) == columns
+        expected = sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=repr)
+        assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == expected
+        return expected
+
+    return check
