@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, pieces, quality, secrets, simhash, warc
+from segstats.llm import decontaminate, licenses, pieces, quality, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,8 @@ SELECT page_id, payload_bytes, d.payload_digest,
   CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 1000
 """
+
+
+@query
+def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.summarize(licenses.scan_licences(table(spark, sf, "documents")))
