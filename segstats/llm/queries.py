@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, licenses, pieces, quality, secrets, simhash, warc
+from segstats.llm import decontaminate, licenses, pieces, quality, secrets, simhash, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,13 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 1
 @query
 def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.summarize(licenses.scan_licences(table(spark, sf, "documents")))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

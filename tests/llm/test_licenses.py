@@ -78,7 +78,7 @@ def test_there_are_hundreds_of_rules_and_each_has_an_anchor():
     for label, pattern, literal, *_ in own:
         re.compile(pattern)
     for label, title, literal, spdx in licenses.LICENCES:
-        assert any(a in f"{title} {spdx}" for a in licenses.ANCHORS), label
+        assert any(a in title.replace("[cs]", "s") for a in licenses.ANCHORS), label
 
 
 def test_registered_query_matches_brute_force_and_is_native(spark):
