@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, licenses, pieces, quality, secrets, simhash, suffixes, warc
+from segstats.llm import decontaminate, licenses, pieces, quality, secrets, simhash, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
