@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, licenses, pieces, quality, secrets, simhash, suffixes, toxicity, warc
+from segstats.llm import decontaminate, licenses, pieces, pii, quality, secrets, simhash, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,3 +102,11 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", secrets.said("found").alias("spans")
+    )
