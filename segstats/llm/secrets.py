@@ -160,16 +160,17 @@ def redact(
     joined = docs.withColumn("__own", hashed).join(
         findings, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left"
     )
-    place = docs.columns.index(text_col)
+    names = docs.columns
+    place = names.index(text_col)
 
     def run(batches):
         for batch in batches:
             text, found = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             new = [t if not f else cover(t, f) for t, f in zip(text, found)]
             columns = [*batch.columns[:place], pa.array(new, batch.schema.field(place).type), *batch.columns[place + 1:-1]]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*docs.columns, "__found").mapInArrow(run, docs.schema)
+    return joined.select(*names, "__found").mapInArrow(run, docs.schema)
 
 
 def cover(text: str, found: list[dict]) -> str:
