@@ -34,7 +34,7 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text that are scanned at a time; positions in such a piece fit 20 bits.
 PIECE = 1 << 19
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Segments of one anchor that may go to one shard.
 GROUP_LIMIT = 2000
 #: Keys (24 bytes each) that may be broadcast to pick texts; with more the join is left to Spark.
@@ -107,7 +107,11 @@ def pieces(source: Iterator[tuple], length: int) -> Iterator[list[tuple]]:
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``(anchor, content, doc_id, text_hash, start, size)``: one row per segment of every text."""
+    """``(anchor, content, doc_id, text_hash, start, size, known)``: one row per segment of every text.
+
+    A segment whose bytes a piece has already had, in a smaller id or further up in the text, is ``known`` to be a repeat.
+    It needs no comparison and gets a number of its own as anchor, so that frequent lines do not gather anywhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
@@ -120,18 +124,29 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
             digest = xxhash.xxh3_64_intdigest
             view = memoryview(data)
             content = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], dtype=np.uint64)
+            doc = np.array([p[0] for p in some], dtype=np.int64)[which]
+            start = first + shift[which]
+            order = np.lexsort((start, doc, content, anchor))
+            same = (np.diff(anchor[order]) == 0) & (np.diff(content[order]) == 0)
+            moved = (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)
+            # a run of equal segments begins with its earliest; those at the same place in a repeated row are no repeats
+            run = np.cumsum(np.append(True, ~same)[:len(order)])
+            later = np.cumsum(np.append(False, moved)[:len(order)])
+            known = np.zeros(len(order), dtype=bool)
+            known[order] = later > later[np.flatnonzero(np.append(True, ~same)[:len(order)])[run - 1]]
+            lone = content ^ (doc.view(np.uint64) * PRIME + start.astype(np.uint64)) * RANDOM[0]
+            anchor = np.where(known, lone, anchor)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)),
-                    pa.array(np.array([p[0] for p in some], dtype=np.int64)[which]),
+                    pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc),
                     pa.array(np.array([p[1] for p in some], dtype=np.int32)[which]),
-                    pa.array((first + shift[which]).astype(np.int32)), pa.array((last - first + length).astype(np.int32)),
+                    pa.array(start.astype(np.int32)), pa.array((last - first + length).astype(np.int32)), pa.array(known),
                 ],
-                names=["anchor", "content", "doc_id", "text_hash", "start", "size"],
+                names=["anchor", "content", "doc_id", "text_hash", "start", "size", "known"],
             )
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(
-        run, "anchor bigint, content bigint, doc_id bigint, text_hash int, start int, size int"
+        run, "anchor bigint, content bigint, doc_id bigint, text_hash int, start int, size int, known boolean"
     )
 
 
@@ -270,8 +285,8 @@ def repeats(docs: np.ndarray, starts: np.ndarray, parts: list[bytes], length: in
     data = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)
     text = data.astype(np.uint16) + 2
     text[ends - 1] = 1  # between segments
-    which = np.repeat(np.arange(len(parts)), sizes + 1)
-    inside = np.arange(len(data)) - (ends - sizes - 1)[which]
+    which = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)
+    inside = np.arange(len(data), dtype=np.int32) - (ends - sizes - 1).astype(np.int32)[which]
     order = suffix_array(np.append(text, np.uint16(0)), length)
     order = order[order < len(data)]
     order = order[sizes[which[order]] - inside[order] >= length]
@@ -350,7 +365,8 @@ def repeated_ranges(docs: DataFrame, length: int, shard_bytes: int, group_limit:
     own = Window.partitionBy("anchor")
     placed = (
         anchors(docs, length)
-        .withColumn("place", F.rank().over(same))
+        .repartition("anchor")  # one exchange for both windows
+        .withColumn("place", F.when(F.col("known"), 2).otherwise(F.rank().over(same)))
         .withColumn("segments", F.sum((F.col("place") == 1).cast("int")).over(own))
         .filter("place > 1 OR segments > 1")
     )

@@ -60,6 +60,7 @@ def corpus(seed, n=60):
         docs.append((rng.randint(0, 500), "\n".join(parts)))
     docs += [(501, docs[3][1]), (2, docs[3][1]), (502, docs[3][1][:99]), (503, docs[3][1][:99]), (504, None), (505, ""), (None, docs[4][1])]
     docs += [(506, "ab" * 400), (507, "a" * 350), (508, "a" * 99 + "b" + "a" * 100), docs[5], docs[5], (docs[6][0], docs[7][1] + docs[6][1])]
+    docs += [(560, "same line over and over, " * 60)] * 2 + [(561, "same line over and over, " * 50)]
     docs += [(600 + k, f"{k} " + "very common line that every one of these documents holds " * 2 + f" {k * 7}") for k in range(40)]
     return docs
 
