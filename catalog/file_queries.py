@@ -210,14 +210,18 @@ def stored_object_table(spark, sf):
 
 @query(
     "subject_tree",
-    f"""WITH {OBJ} SELECT CAST(subject_id AS VARCHAR) AS subject_id, {cols('count(*):n; count(gratio):n_gratio', 'sum(axon_diam):sum_diam; sum(axon_area):sum_area')}
+    f"""WITH {OBJ} SELECT CAST(subject_id AS VARCHAR) AS subject_id, {cols('count(*):n; count(gratio) FILTER (subject_id % 3 <> 1):n_gratio', 'sum(axon_diam):sum_diam; sum(axon_area) FILTER (subject_id % 3 <> 2):sum_area')}
 FROM obj GROUP BY subject_id""",
 )
 def subject_tree(spark, sf):
-    path = scratch_path(spark, "subjects")
-    tables.write_objects(objects(spark, sf), path, "parquet", ["subject_id"])
-    back = tables.read_objects(spark, path, "parquet")
-    return back.groupBy(F.col("subject_id").cast("string").alias("subject_id")).agg(
+    """A tree of CSV tables whose columns differ in number and order from subject to subject."""
+    root = scratch_path(spark, "subjects")
+    every = objects(spark, sf).select("subject_id", "line", "axon_diam", "gratio", "axon_area")
+    forms = [every, every.select("axon_area", "subject_id", "axon_diam"), every.select("gratio", "axon_diam", "line", "subject_id")]
+    for k, form in enumerate(forms):
+        tables.write_objects(form.filter(F.col("subject_id") % 3 == k), f"{root}/form{k}", "csv", ["subject_id"])
+    back = tables.read_subject_tree(spark, root, "*.csv")
+    return back.groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("gratio").alias("n_gratio"), F.sum("axon_diam").alias("sum_diam"),
         F.sum("axon_area").alias("sum_area"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.raster_queries import FIBRE_SQL, axon_labels, fibres
 from catalog.views import (
     exact, EXTENT, OBJ, PIXEL, POINTS, PX, axon, cols, components_sql, images, myelin, nerve, objects, points,
-    predicted_classes, query, regions_sql, seeds_sql, slide, table, true_axon, true_classes, SLIDE, grow_sql,
+    predicted_classes, query, regions_sql, seeds_sql, slide, slide_size, table, true_axon, true_classes, SLIDE, grow_sql,
 )
 from segstats.constants import BINNED_METRICS, DIAMETER_BINS
 from segstats.operators.components import label_components
@@ -47,12 +47,11 @@ def volume_fractions(spark, sf):
 
 @query(
     "slide_fractions",
-    f"""WITH {SLIDE} SELECT CAST(0 AS BIGINT) AS image_id, {cols('', "count(*) FILTER (v > 40) / (1001.0 * 1000):avf; count(*) FILTER (v > 25 AND v <= 40) / (1001.0 * 1000):mvf")} FROM cells""",
+    f"""WITH {SLIDE} SELECT CAST(0 AS BIGINT) AS image_id, {cols('', "count(*) FILTER (v > 40) / ((max(y) + 1) * 1000.0):avf; count(*) FILTER (v > 25 AND v <= 40) / ((max(y) + 1) * 1000.0):mvf")} FROM cells""",
 )
 def slide_fractions(spark, sf):
     classes = slide(spark, sf).selectExpr("image_id", "CASE WHEN v > 40 THEN 'axon' WHEN v > 25 THEN 'myelin' END AS cls")
-    size = spark.range(1).selectExpr("id AS image_id", "1001 AS height", "1000 AS width")
-    return mask_fractions(classes, size).select("image_id", "avf", "mvf")
+    return mask_fractions(classes, slide_size(spark, sf)).select("image_id", "avf", "mvf")
 
 
 @query(
@@ -319,15 +318,14 @@ def class_report(spark, sf):
 @query(
     "pixel_scores_slide",
     f"""WITH {SLIDE}, cf AS (SELECT count(*) FILTER (v > 25 AND n > 2) AS tp, count(*) FILTER (v > 25 AND n <= 2) AS fp,
-  count(*) FILTER (v <= 25 AND n > 2) AS fn FROM (SELECT l_suppkey AS y, l_partkey % 1000 AS x, sum(l_quantity) AS v, sum(l_linenumber) AS n FROM lineitem GROUP BY ALL))
-SELECT CAST(0 AS BIGINT) AS image_id, {cols('tp; fp; fn; 1001000 - tp - fp - fn:tn')} FROM cf""",
+  count(*) FILTER (v <= 25 AND n > 2) AS fn, (max(y) + 1) * 1000 AS size FROM (SELECT l_suppkey AS y, l_partkey % 1000 AS x, sum(l_quantity) AS v, sum(l_linenumber) AS n FROM lineitem GROUP BY ALL))
+SELECT CAST(0 AS BIGINT) AS image_id, {cols('tp; fp; fn; size - tp - fp - fn:tn')} FROM cf""",
 )
 def pixel_scores_slide(spark, sf):
     cells = table(spark, sf, "lineitem").groupBy(
         F.lit(0).cast("bigint").alias("image_id"), F.col("l_suppkey").cast("int").alias("y"), (F.col("l_partkey") % 1000).cast("int").alias("x")
     ).agg(F.sum("l_quantity").alias("v"), F.sum("l_linenumber").alias("n"))
-    size = spark.range(1).selectExpr("id AS image_id", "1001 AS height", "1000 AS width")
-    return scoring.confusion(cells.filter("v > 25"), cells.filter("n > 2"), size)
+    return scoring.confusion(cells.filter("v > 25"), cells.filter("n > 2"), slide_size(spark, sf))
 
 
 # ---- subjects ---------------------------------------------------------------------------

@@ -236,6 +236,13 @@ def slide(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.sum("l_quantity").alias("v"))
 
 
+def slide_size(spark: SparkSession, sf: str) -> DataFrame:
+    """The large image is as high as its last row; columns are taken modulo 1000."""
+    return table(spark, sf, "lineitem").agg(F.max("l_suppkey").alias("last")).select(
+        F.lit(0).cast("bigint").alias("image_id"), (F.col("last") + 1).cast("int").alias("height"), F.lit(1000).alias("width")
+    )
+
+
 SLIDE = """cells AS (SELECT 0 AS image_id, l_suppkey AS y, l_partkey % 1000 AS x, sum(l_quantity) AS v
   FROM lineitem GROUP BY ALL)"""
 

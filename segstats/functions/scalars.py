@@ -87,8 +87,14 @@ def to_bits(value: Column, bits_in: int, bits_out: int) -> Column:
 
 
 def float_to_bits(value: Column, low: Column, high: Column, bits: int = 8) -> Column:
-    """Float intensity in bits: values in [0, 1] are scaled, others stretched from [low, high]."""
+    """Float intensity in bits: values in [0, 1] are scaled, others stretched from [low, high].
+
+    An image of one value outside [0, 1] cannot be stretched; it keeps that value, as far as the bits reach.
+    """
     top = 2**bits - 1
     unit = (low >= 0) & (high <= 1)
     scaled = F.when(unit, value).otherwise(F.try_divide(value - low, high - low))
-    return F.floor(F.coalesce(scaled, F.lit(0.0)) * top + 0.499999999).cast("int")
+    # fixed value: rounds halves down, as the public image library does
+    wide = F.floor(scaled * top + 0.499999999)
+    constant = F.floor(F.greatest(F.lit(0.0), F.least(value, F.lit(float(top)))))
+    return F.when(~unit & (low == high), constant).otherwise(F.coalesce(wide, F.lit(0))).cast("int")

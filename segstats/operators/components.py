@@ -44,6 +44,17 @@ def union_edges(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
+def one_tile_only(table: pa.Table) -> pa.Table:
+    """Images that were promised to fit one tile and do not are an error, never a wrong result."""
+    if (ints(table, "ty") != 0).any() or (ints(table, "tx") != 0).any():
+        raise ValueError("an image is larger than the given extent")
+    return table
+
+
+def _label_single(table: pa.Table, reach: int, tile: int, value: str | None) -> pa.Table:
+    return _label_tiles(one_tile_only(table), reach, tile, value)
+
+
 def _label_tiles(table: pa.Table, reach: int, tile: int, value: str | None) -> pa.Table:
     """Label the runs of every tile in ``table``; touching pieces of a row are merged."""
     new_tile = changes(table, TILE_KEY)
@@ -193,7 +204,8 @@ def label_components(
 
     ``connectivity`` 1 joins side neighbours, 2 also diagonal ones. With ``value`` only
     equal-valued neighbours join. ``extent`` is an upper bound (height, width) of the
-    images if the caller knows one; it saves the cross-tile step for small images.
+    images if the caller knows one; it saves the cross-tile step for small images, and an
+    image beyond that one tile raises an error.
     """
     if connectivity not in (1, 2):
         raise ValueError("connectivity must be 1 or 2")
@@ -203,10 +215,11 @@ def label_components(
     schema = f"image_id {kind}, ty int, tx int, y int, x0 int, x1 int, root bigint, label bigint"
     if value:
         schema += f", {value} {mask.schema[value].dataType.simpleString()}"
-    helper = partial(_label_tiles, reach=connectivity - 1, tile=tile, value=value)
-    local = stream_groups(tiled, TILE_KEY, ["y", "x0"], helper, schema)
+    options = {"reach": connectivity - 1, "tile": tile, "value": value}
     if extent and max(extent) <= tile:
+        local = stream_groups(tiled, TILE_KEY, ["y", "x0"], partial(_label_single, **options), schema)
         return local.select(*keep[:4], "label", *keep[4:])
+    local = stream_groups(tiled, TILE_KEY, ["y", "x0"], partial(_label_tiles, **options), schema)
 
     local = materialize(local.drop("label"), "tiles")
     tops = contract(materialize(_crossing_edges(local, connectivity, tile, value), "edges"), edges_per_task)

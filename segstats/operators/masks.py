@@ -142,11 +142,11 @@ def _erode(table: pa.Table, tile: int, radius: int) -> pa.Table:
 def eroded(mask: DataFrame, images: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """Mask pixels with ``kept``: still set after erosion by a disk.
 
-    Tiles overlap by the radius, and runs are maximal inside a tile, so one look-up per
-    disk row decides a pixel.
+    Runs are made maximal first (those of labels end at tile borders). Tiles overlap by
+    the radius, so one look-up per disk row decides a pixel.
     """
-    runs = mask if "x0" in mask.columns else compress(mask)
-    sized = as_runs(runs).select("image_id", "y", "x0", "x1").join(images, "image_id")
+    runs = compress(as_pixels(mask).select(*PIXEL).distinct())
+    sized = runs.select("image_id", "y", "x0", "x1").join(images, "image_id")
     kind = mask.schema["image_id"].dataType.simpleString()
     return stream_groups(
         cut_to_tiles(sized, tile, halo=radius), TILE_KEY, ["y", "x0"],

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.operators.components import label_components
+from segstats.operators.components import label_components, one_tile_only
 from segstats.operators.distance import distance_to_background
 from segstats.operators.geometry import paint
 from segstats.operators.grouped import changes, ints, stream_groups
@@ -29,7 +29,9 @@ from segstats.operators.regions import centroid_pixels, find, region_sums
 from segstats.operators.runs import PIXEL, TILE, TILE_KEY, as_pixels, compress, div, lookup
 from segstats.session import materialize
 
-STEP = 2**40  # steps * STEP + label: one integer that orders by steps, then by label
+# steps * STEP + label: one integer that orders by steps, then by label. Both have 31 bits: no path
+# has more steps than its image has pixels, and larger labels are an error.
+STEP = 2**31
 NEVER = 2**62
 FLOOD_LIMIT = 1_000_000
 
@@ -85,6 +87,7 @@ def _runs(table: pa.Table, label: np.ndarray) -> pa.Table:
 
 def _grow_tiles(table: pa.Table, tile: int) -> pa.Table:
     """Both growth stages for images that fit one tile; equal pixels are merged first."""
+    table = one_tile_only(table)
     first = np.flatnonzero(changes(table, [*TILE_KEY, "y", "x"]))
     axon = np.maximum.reduceat(table["axon"].cast("int8").fill_null(-1).to_numpy(), first)
     seed = np.maximum.reduceat(table["label"].fill_null(0).to_numpy(), first)
@@ -144,10 +147,12 @@ def grow(
 ) -> DataFrame:
     """Fibre runs ``(image_id, y, x0, x1, label)`` grown from ``seeds (image_id, y, x, label)``."""
     none = F.lit(None)
+    label = F.col("label").cast("bigint")
+    fits = F.when(label >= STEP, F.raise_error(F.lit("seed labels must be below 2**31")).cast("bigint")).otherwise(label)
     union = (
         as_pixels(axon).select(*PIXEL, F.lit(True).alias("axon"), none.cast("bigint").alias("label"))
         .union(as_pixels(myelin).select(*PIXEL, F.lit(False), none.cast("bigint")))
-        .union(seeds.select(*PIXEL, none.cast("boolean"), F.col("label").cast("bigint")))
+        .union(seeds.select(*PIXEL, none.cast("boolean"), fits))
     )
     kind = axon.schema["image_id"].dataType.simpleString()
     if extent and max(extent) <= tile:

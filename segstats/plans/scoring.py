@@ -18,24 +18,28 @@ from segstats.operators.runs import PIXEL, as_pixels, complement, lookup
 from segstats.session import materialize
 
 
-def confusion(prediction: DataFrame, truth: DataFrame, images: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Pixel counts tp, fp, fn, tn per image (and per column of ``by``, such as a class).
+def confusion(
+    prediction: DataFrame, truth: DataFrame, images: DataFrame, by: str | None = None, values: tuple = ()
+) -> DataFrame:
+    """Pixel counts tp, fp, fn, tn per image, or per image and value of the column ``by``, such as a class.
 
-    Both masks are sparse; true negatives are what is left of the image.
+    Both masks are sparse; true negatives are what is left of the image. Every image has a
+    row for each of ``values``, also where it has no such pixel.
     """
-    by = by or []
-    both = prediction.select(*PIXEL, *by, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
-        truth.select(*PIXEL, *by, F.lit(0).alias("p"), F.lit(1).alias("t"))
+    keys = [by] if by else []
+    both = prediction.select(*PIXEL, *keys, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
+        truth.select(*PIXEL, *keys, F.lit(0).alias("p"), F.lit(1).alias("t"))
     )
-    cells = both.groupBy(*PIXEL, *by).agg(F.max("p").alias("p"), F.max("t").alias("t"))
-    counted = cells.groupBy("image_id", *by).agg(
+    cells = both.groupBy(*PIXEL, *keys).agg(F.max("p").alias("p"), F.max("t").alias("t"))
+    counted = cells.groupBy("image_id", *keys).agg(
         F.count_if(F.col("p") + F.col("t") == 2).alias("tp"),
         F.count_if(F.col("p") > F.col("t")).alias("fp"),
         F.count_if(F.col("t") > F.col("p")).alias("fn"),
     )
     size = F.col("height").cast("bigint") * F.col("width")
-    return images.join(counted, "image_id", "left" if not by else "inner").select(
-        "image_id", *by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")],
+    grid = images.withColumn(by, F.explode(F.array(*[F.lit(v) for v in values]))) if by else images
+    return grid.join(counted, ["image_id", *keys], "left").select(
+        "image_id", *keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")],
         (size - F.coalesce(F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0))).alias("tn"),
     )
 
@@ -239,14 +243,7 @@ def class_report(prediction: DataFrame, truth: DataFrame, images: DataFrame, ext
 
     Inputs are pixels with ``cls``.
     """
-    classes = images.withColumn("cls", F.explode(F.array(F.lit("axon"), F.lit("myelin"))))
-    counted = confusion(prediction, truth, images, ["cls"])
-    size = F.col("height").cast("bigint") * F.col("width")
-    full = classes.join(counted, ["image_id", "cls"], "left").select(
-        "image_id", "cls", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")],
-        F.coalesce("tn", size).alias("tn"),
-    )
-    scores = pixel_scores(full)
+    scores = pixel_scores(confusion(prediction, truth, images, "cls", ("axon", "myelin")))
     axon = [
         materialize(label_components(m.filter("cls = 'axon'"), 2, extent=extent), "objects") for m in (prediction, truth)
     ]

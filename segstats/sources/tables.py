@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,28 +59,62 @@ def _typed(table: DataFrame) -> DataFrame:
     return table.select(*columns)
 
 
+def read_csv_by_name(reader, path: str) -> tuple[DataFrame, str]:
+    """Rows of CSV files whose headers may differ, aligned by column name; what a file lacks is null.
+
+    Also gives the name of the column with the file path. Lines are read as text and meet the header of their own file
+    in a table of one row per file. Only the distinct header lines (the forms of tables, not the files) come to the
+    driver, since they decide the columns. A value may be quoted but has no line break.
+    """
+    lines = reader.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+    # ids grow within the block that begins a file
+    placed = lines.filter("_block = 0").withColumn("_place", F.monotonically_increasing_id())
+    heads = placed.groupBy("_file").agg(F.min_by("value", "_place").alias("_header"))
+    heads = heads.select("_file", F.rtrim(F.regexp_replace("_header", "\r$", "")).alias("_header"))
+    forms = sorted(r["_header"] for r in heads.select("_header").distinct().collect() if r["_header"])
+    split = {form: [name or f"_c{k}" for k, name in enumerate(next(csv.reader([form])))] for form in forms}
+    names = list(dict.fromkeys(name for form in forms for name in split[form]))
+    width = max((len(v) for v in split.values()), default=0)
+    cells = F.from_csv("value", F.lit(", ".join(f"_{k} string" for k in range(max(width, 1)))))
+    data = (F.col("value") != "") & (F.rtrim("value") != F.col("_header"))
+    # no cells for header lines, as later filters may look at them before this one drops them
+    parsed = lines.join(heads, "_file").select("_file", "_header", F.when(data, cells).alias("_cells")).filter("_cells IS NOT NULL")
+    columns = []
+    for name in names:
+        value = F.lit(None).cast("string")
+        for form in forms:
+            if name in split[form]:
+                value = F.when(F.col("_header") == form, F.col(f"_cells._{split[form].index(name)}")).otherwise(value)
+        columns.append(value.alias(name))
+    return parsed.select("_file", *columns), "_file"
+
+
 def read_objects(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
     """Read an object table; types come from the fixed schema, never from inference."""
     if form == "csv":
-        table = spark.read.option("header", "true").csv(path)
+        table, file = read_csv_by_name(spark.read, path)
+        table = table.drop(file)
     elif form == "parquet":
-        table = spark.read.parquet(path)
+        table = spark.read.option("mergeSchema", "true").parquet(path)
     else:
         raise ValueError("form must be 'csv' or 'parquet'")
     return _typed(after_loading(table))
 
 
-def read_subject_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Pool the object tables of all subjects: one scan, ids taken from the path."""
-    reader = (
-        spark.read.option("header", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*_axon_morphometrics.csv")
-    )
-    path = F.col("_metadata.file_path")
-    table = reader.csv(root).select(
-        "*", file_name(parent_dir(path)).alias("subject_id"),
+def read_subject_tree(spark: SparkSession, root: str, pattern: str = "*_axon_morphometrics.csv") -> DataFrame:
+    """Pool the object tables of all subjects by column name; ids are taken from the path.
+
+    Folders are named by the subject, plainly or as Spark writes them (``subject_id=...``).
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    table, file = read_csv_by_name(reader, root)
+    path = F.col(file)
+    table = table.select(
+        "*", F.regexp_replace(file_name(parent_dir(path)), "^subject_id=", "").alias("subject_id"),
         F.regexp_replace(file_name(path), r"_axon_morphometrics\.csv$", "").alias("image_id"),
-    )
+    ).drop(file)
     return _typed(after_loading(table)).filter(F.col("subject_id") != AGGREGATE_DIR)
 
 
@@ -105,11 +141,14 @@ def read_nerve(spark: SparkSession, path: str) -> DataFrame:
 def write_raster(raster: DataFrame, path: str, bits: int | None = None) -> None:
     """Write pixels, runs or labels clustered by image, so readers prune by ``image_id``.
 
-    With ``bits`` 8 or 16 the value column keeps only its low bits.
+    With ``bits`` 8 or 16 pixel values keep only their low bits. Labels are never cut: one
+    that does not fit is an error.
     """
     out = raster
-    if bits is not None:
-        name = "v" if "v" in raster.columns else "label"
-        out = raster.withColumn(name, F.col(name).bitwiseAND(2**bits - 1).cast("smallint" if bits == 8 else "int"))
+    if bits is not None and "v" in raster.columns:
+        out = raster.withColumn("v", F.col("v").bitwiseAND(2**bits - 1).cast("smallint" if bits == 8 else "int"))
+    elif bits is not None:
+        error = F.raise_error(F.lit(f"a label does not fit {bits} bits")).cast("bigint")
+        out = raster.withColumn("label", F.when(F.col("label") >= 2**bits, error).otherwise(F.col("label")))
     order = [c for c in ("image_id", "y", "x", "x0") if c in out.columns]
     out.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)

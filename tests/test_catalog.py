@@ -13,8 +13,9 @@ TABLES = (
 ).split()
 QUICK = [
     "components_diagonal", "components_by_value", "region_table", "region_solidity", "fibre_instances", "object_table_ellipse",
-    "metrics_at_points", "tile_segmentation", "image_totals", "nerve_document", "detection_scores", "class_report",
+    "metrics_at_points", "tile_segmentation", "image_totals", "nerve_document", "detection_scores",
     "binned_statistics", "metric_histogram", "object_ranks", "missing_masks", "stored_object_table", "slide_components",
+    "subject_tree", "slide_fractions", "pixel_scores_slide", "stored_raster", "erosion", "contour", "clip_to_nerve", "class_report",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("SEGSTATS_ALL") else QUICK
 

@@ -285,3 +285,25 @@ def test_text_image_ids(draw, sizes):
     assert labels.select("image_id", "label").distinct().count() == label(grid, ALL).max() + label(grid.T, ALL).max()
     assert measure_regions(labels).filter("perimeter IS NULL OR solidity IS NULL").count() == 0
     assert distance_to_background(mask, images).count() == 2 * grid.sum()
+
+
+def test_a_broken_size_promise_is_an_error(spark, draw):
+    pixels = spark.createDataFrame([(0, 0, 0), (0, 0, 300)], "image_id long, y int, x int")
+    assert label_components(pixels, 2).select("label").distinct().count() == 2
+    with pytest.raises(Exception, match="larger than the given extent"):
+        label_components(pixels, 2, extent=(8, 8)).collect()
+    none = pixels.limit(0)
+    seeds = pixels.selectExpr("*", "1L AS label")
+    with pytest.raises(Exception, match="larger than the given extent"):
+        grow(pixels, none, seeds, extent=(8, 8)).collect()
+    with pytest.raises(Exception, match="below 2"):
+        grow(pixels, none, pixels.selectExpr("*", "3000000000L AS label")).collect()
+
+
+def test_erosion_of_label_runs_that_end_at_tiles(spark, sizes):
+    block = spark.createDataFrame([(0, y, 240, 279) for y in range(5, 36)], "image_id long, y int, x0 int, x1 int")
+    images = sizes((50, 400))
+    labels = label_components(block, 2)
+    assert labels.count() > block.count()
+    kept = [masks.eroded(m, images, 3).filter("kept").count() for m in (block, labels)]
+    assert kept[0] == kept[1] > 0

@@ -270,6 +270,32 @@ def test_subject_tree(spark, tmp_path):
     assert verdict == {"s1": True, "s2": False}
 
 
+def test_tables_with_other_columns_are_aligned_by_name(spark, tmp_path):
+    for subject, body in (
+        ("s1", "x0 (px),y0 (px),gratio,axon_diam (um)\n1,2,0.7,3.5\n"),
+        ("s2", "x0 (px),y0 (px),axon_diam (um),solidity,note\n5,6,9.5,0.9,\"a, b\"\n7,8,,NaN,\n"),
+        ("s3", ""), ("s4", "axon_diam (um)\r\n4.5\r\n"),
+    ):
+        (tmp_path / subject).mkdir()
+        (tmp_path / subject / "i_axon_morphometrics.csv").write_text(body)
+    pooled = tables.read_subject_tree(spark, str(tmp_path))
+    rows = sorted((r.subject_id, r.x0, r.gratio, r.axon_diam, r.solidity, r.note) for r in pooled.filter("axon_diam IS NOT NULL").collect())
+    assert rows == [
+        ("s1", 1.0, 0.7, 3.5, None, None), ("s2", 5.0, None, 9.5, 0.9, "a, b"), ("s4", None, None, 4.5, None, None)
+    ]
+    assert pooled.count() == 4
+    (tmp_path / "none").mkdir()
+    assert tables.read_objects(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_labels_are_never_cut(spark, tmp_path):
+    labels = spark.createDataFrame([(0, 0, 0, 1, 65_537)], "image_id long, y int, x0 int, x1 int, label long")
+    with pytest.raises(Exception, match="does not fit"):
+        tables.write_raster(labels, str(tmp_path / "a"), bits=16)
+    tables.write_raster(labels, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).first().label == 65_537
+
+
 def test_nerve_documents(spark, sizes, tmp_path):
     areas = spark.createDataFrame([(0, 0, 4.0), (0, 1, 9.0)], "image_id long, fascicle long, area double")
     docs = nerve.nerve_document(areas, sizes((5, 5), (5, 5)))
