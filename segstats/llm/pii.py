@@ -270,13 +270,19 @@ def near_triggers(raw: bytes) -> Iterator[str]:
 
 
 def sample(base: DataFrame, rows: int = SAMPLE_TEXTS) -> list[str]:
-    """Stretches of at most ``rows`` texts with a trigger, chosen by hash."""
-    chosen = (
-        base.select("text").filter(F.rlike(F.col("text").cast("string"), F.lit("[0-9][0-9]|@")))
-        .orderBy(F.xxhash64("text")).limit(rows)
+    """Stretches of at most ``rows`` different texts with a trigger, those with the smallest hashes.
+
+    Only hashes are sorted; the texts themselves are read once their hashes are chosen.
+    """
+    hashed = base.select("text", F.xxhash64("text").alias("hash")).filter(
+        F.rlike(F.col("text").cast("string"), F.lit("[0-9][0-9]|@"))
     )
+    last = hashed.select("hash").distinct().orderBy("hash").limit(rows).agg(F.max("hash")).first()[0]
+    if last is None:
+        return []
+    chosen = hashed.filter(F.col("hash") <= last).groupBy("hash").agg(F.first("text").alias("text")).select("text")
     some = map_rows(chosen, "piece string", lambda source: ((p,) for (raw,) in source for p in near_triggers(raw)))
-    return [r.piece for r in some.collect()]
+    return sorted(r.piece for r in some.collect())
 
 
 def find_spans(raw: bytes, weights: np.ndarray) -> tuple[list, list]:
