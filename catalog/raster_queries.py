@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.views import (
     EXTENT, PIXEL, POINTS, PX, SLIDE, axon, cols, components_sql, grow_sql, hull_sql, images, myelin, nerve,
-    perimeter_sql, points, predicted_classes, query, rasters, regions_sql, seeds_sql, slide, table,
+    perimeter_sql, points, predicted_classes, query, rasters, regions_sql, seeds_sql, slide, slide_size, table,
 )
 from segstats.functions.scalars import float_to_bits
 from segstats.operators import geometry, masks, patches
@@ -58,16 +58,20 @@ def components_by_value(spark, sf):
     return as_pixels(labels).select(*PIXEL, "label", "cls")
 
 
-@query(
-    "slide_components",
-    f"""WITH RECURSIVE {SLIDE}, fg AS (SELECT y, x FROM cells WHERE v > 25),
+SLIDE_LABELS = f"""{SLIDE}, fg AS (SELECT y, x FROM cells WHERE v > 25),
 n AS (SELECT f.y, f.x, f.y + dy AS ny, f.x + dx AS nx FROM fg f, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)
   WHERE dy <> 0 OR dx <> 0),
 e AS (SELECT n.* FROM n JOIN fg ON fg.y = n.ny AND fg.x = n.nx),
 r AS (SELECT y * 100000 + x AS root, y, x FROM fg UNION SELECT r.root, e.ny, e.nx FROM r JOIN e ON r.y = e.y AND r.x = e.x),
-l AS (SELECT y, x, min(root) AS root FROM r GROUP BY ALL)
+l AS (SELECT 0 AS image_id, y, x, y * 1000 + x AS pos, dense_rank() OVER (ORDER BY root) AS label
+  FROM (SELECT y, x, min(root) AS root FROM r GROUP BY ALL))"""
+
+
+@query(
+    "slide_components",
+    f"""WITH RECURSIVE {SLIDE_LABELS}
 SELECT CAST(0 AS BIGINT) AS image_id, {cols('label; count(*):area; min(y):min_y; min(x):min_x; max(y) + 1:max_y; max(x) + 1:max_x')}
-FROM (SELECT y, x, dense_rank() OVER (ORDER BY root) AS label FROM l) GROUP BY label""",
+FROM l GROUP BY label""",
 )
 def slide_components(spark, sf):
     labels = label_components(slide(spark, sf).filter("v > 25").select(*PIXEL), 2)
@@ -77,6 +81,39 @@ def slide_components(spark, sf):
     )
 
 
+def slide_mask(spark, sf):
+    return slide(spark, sf).filter("v > 25").select(*PIXEL)
+
+
+@query(
+    "slide_perimeter",
+    f"WITH RECURSIVE {SLIDE_LABELS}, {perimeter_sql('q', 'l')} SELECT {cols('image_id; label', 'perimeter')} FROM q",
+)
+def slide_perimeter(spark, sf):
+    return perimeters(label_components(slide_mask(spark, sf), 2))
+
+
+#: Background places of the slide within 16 pixels of a set one; its cells are too mixed for a farther nearest one.
+NEAR = f"""{SLIDE}, fg AS (SELECT y, x FROM cells WHERE v > 25), h AS (SELECT max(y) + 1 AS height FROM cells),
+o AS (SELECT dy, dx, dy * dy + dx * dx AS d2 FROM range(-16, 17) a(dy), range(-16, 17) b(dx)),
+c AS (SELECT fg.y, fg.x, fg.y + dy AS ny, fg.x + dx AS nx, d2 FROM fg, o, h
+  WHERE fg.y + dy >= 0 AND fg.y + dy < height AND fg.x + dx >= 0 AND fg.x + dx < 1000),
+near AS (SELECT c.y, c.x, min(c.d2) AS d2 FROM c ANTI JOIN fg ON fg.y = c.ny AND fg.x = c.nx GROUP BY ALL)"""
+
+
+@query(
+    "slide_distance",
+    f"WITH {NEAR} SELECT CAST(0 AS BIGINT) AS image_id, {cols('y; x; d2', 'sqrt(d2):dist')} FROM near",
+)
+def slide_distance(spark, sf):
+    return distance_to_background(slide_mask(spark, sf), slide_size(spark, sf))
+
+
+@query("slide_contour", f"WITH {NEAR} SELECT CAST(0 AS BIGINT) AS image_id, {cols('y; x')} FROM near WHERE d2 <= 9")
+def slide_contour(spark, sf):
+    return masks.contour(slide_mask(spark, sf), slide_size(spark, sf), 3)
+
+
 # ---- regions --------------------------------------------------------------------------
 
 REGION_SQL = f"WITH RECURSIVE {PX}, {components_sql('l', 'axon', 2)}, {regions_sql('r', 'l')}"

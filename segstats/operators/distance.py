@@ -18,6 +18,34 @@ REACH = 2**30  # longer than any image side
 FAR = REACH**2  # squared distance where the image holds no background at all
 
 
+def _least_along_runs(x: np.ndarray, g2: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """``min over j of g2[j] + (x[i] - x[j])**2`` inside each run.
+
+    The best ``j`` never moves left as ``i`` moves right, so the middle pixel of a stretch splits the candidates of its two
+    halves. All stretches of one size are done together: about log2(longest run) passes, whatever the distances.
+    """
+    out = np.empty(len(x), dtype=np.int64)
+    low, high, best_low, best_high = first, last, first, last
+    while len(low):
+        middle = (low + high) // 2
+        count = best_high - best_low + 1
+        begin = np.cumsum(count) - count
+        j = np.arange(count.sum()) - np.repeat(begin - best_low, count)
+        value = g2[j] + (np.repeat(x[middle], count) - x[j]) ** 2
+        least = np.minimum.reduceat(value, begin)
+        out[middle] = least
+        hit = np.flatnonzero(value == np.repeat(least, count))
+        best = j[hit[np.searchsorted(hit, begin)]]
+        left, right = low < middle, middle < high
+        low, high, best_low, best_high = (
+            np.concatenate(pair) for pair in (
+                (low[left], middle[right] + 1), (middle[left] - 1, high[right]),
+                (best_low[left], best[right]), (best[left], best_high[right]),
+            )
+        )
+    return out
+
+
 def _row_pass(table: pa.Table) -> pa.Table:
     x, width = ints(table, "x"), ints(table, "width")
     far = table["g"].is_null().to_numpy()
@@ -31,18 +59,7 @@ def _row_pass(table: pa.Table) -> pa.Table:
     before = np.where(x[first] > 0, x[first] - 1, -FAR)[run]
     after = np.where(x[last] < width[last] - 1, x[last] + 1, FAR)[run]
     nearest = np.minimum(np.minimum(x - before, after - x), REACH)
-    d2 = np.minimum(g2, nearest**2)
-    step = 1
-    while len(x) > step and step * step < d2.max():
-        same = run[step:] == run[:-step]
-        if not same.any():
-            break
-        reach = step * step
-        left = np.where(same, g2[:-step] + reach, FAR)
-        right = np.where(same, g2[step:] + reach, FAR)
-        np.minimum(d2[step:], left, out=d2[step:])
-        np.minimum(d2[:-step], right, out=d2[:-step])
-        step += 1
+    d2 = np.minimum(_least_along_runs(x, g2, first, last), nearest**2)
     return pa.table(
         {"image_id": table["image_id"], "y": table["y"], "x": table["x"], "d2": pa.array(np.minimum(d2, FAR))}
     )
