@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.views import (
-    EXTENT, PIXEL, POINTS, PX, SLIDE, axon, cols, components_sql, grow_sql, hull_sql, images, myelin, nerve,
+    EXTENT, PIXEL, POINTS, PX, SLIDE, axon, cols, components_sql, flood_sql, grow_sql, hull_sql, images, myelin, nerve,
     perimeter_sql, points, predicted_classes, query, rasters, regions_sql, seeds_sql, slide, slide_size, table,
 )
 from segstats.functions.scalars import float_to_bits
@@ -320,7 +320,11 @@ def fibre_instances(spark, sf):
     return as_pixels(fibres(spark, sf)).select(*PIXEL, "label")
 
 
-@query("fibre_flood")
+@query(
+    "fibre_flood",
+    f"""WITH RECURSIVE {PX}, {components_sql('l', 'axon', 2)}, {regions_sql('r', 'l')}, {seeds_sql('s', 'r')},
+{flood_sql('f', 's')} SELECT {cols(P + '; label')} FROM f""",
+)
 def fibre_flood(spark, sf):
     seeds = seed_points(axon_labels(spark, sf))
     return as_pixels(flood(axon(spark, sf), myelin(spark, sf), seeds, images(spark, sf), EXTENT))

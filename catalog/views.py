@@ -221,6 +221,36 @@ def grow_sql(name: str, seeds: str, axon: str = "axon", myelin: str = "myelin")
   WHERE k = 64 AND lab[p + 1] IS NOT NULL)"""
 
 
+def flood_sql(name: str, seeds: str, axon: str = "axon", myelin: str = "myelin") -> str:
+    """CTEs that flood the fibre mask: least costs by 64 rounds over whole images, then labels by 64 more."""
+
+    def near(form: str) -> str:
+        sides = (("p >= 8", "p - 7"), ("p % 8 > 0", "p"), ("p % 8 < 7", "p + 2"), ("p < 56", "p + 9"))
+        return ", ".join(f"CASE WHEN {inside} THEN {form.format(n=n)} END" for inside, n in sides)
+
+    top = "cost[{n}] // 2147483648"
+    onward = (
+        f"CASE WHEN lev[p + 1] > {top} THEN lev[p + 1] * 2147483648 + 1 WHEN lev[p + 1] = {top} THEN cost[{{n}}] + 1 ELSE cost[{{n}}] END"
+    )
+    return f"""{name}_d AS (SELECT a.image_id, a.pos, min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS d2
+  FROM {axon} a JOIN (SELECT px.* FROM px ANTI JOIN {axon} USING (image_id, pos)) b USING (image_id) GROUP BY 1, 2),
+{name}_f AS (SELECT p.image_id, p.pos, s.label, CASE WHEN a.pos IS NOT NULL OR m.pos IS NOT NULL
+  THEN CAST(1073741824 - coalesce(d.d2, 0) AS BIGINT) END AS lev FROM px p
+  LEFT JOIN {axon} a USING (image_id, pos) LEFT JOIN {myelin} m USING (image_id, pos) LEFT JOIN {name}_d d USING (image_id, pos)
+  LEFT JOIN {seeds} s ON s.image_id = p.image_id AND s.y = p.y AND s.x = p.x),
+{name}_g AS (SELECT image_id, list(lev ORDER BY pos) AS lev, list(CASE WHEN lev IS NOT NULL THEN label END ORDER BY pos) AS lab,
+  list(CASE WHEN label IS NOT NULL THEN lev * 2147483648 END ORDER BY pos) AS cost FROM {name}_f GROUP BY 1),
+{name}_1(image_id, k, lev, lab, cost) AS (SELECT image_id, 0, lev, lab, cost FROM {name}_g UNION ALL
+  SELECT image_id, k + 1, lev, lab, list_transform(range(64), lambda p: CASE WHEN lev[p + 1] IS NOT NULL
+    THEN list_min([cost[p + 1], {near(onward)}]) END) FROM {name}_1 WHERE k < 64),
+{name}_2(image_id, k, lev, cost, seed, lab) AS (SELECT image_id, 0, lev, cost, lab, lab FROM {name}_1 WHERE k = 64 UNION ALL
+  SELECT image_id, k + 1, lev, cost, seed, list_transform(range(64), lambda p: CASE WHEN seed[p + 1] IS NOT NULL THEN seed[p + 1]
+    WHEN cost[p + 1] IS NOT NULL THEN list_min([lab[p + 1], {near(f"CASE WHEN ({onward}) = cost[p + 1] THEN lab[{{n}}] END")}]) END)
+  FROM {name}_2 WHERE k < 64),
+{name} AS (SELECT image_id, p AS pos, p // 8 AS y, p % 8 AS x, lab[p + 1] AS label FROM {name}_2, range(64) t(p)
+  WHERE k = 64 AND lab[p + 1] IS NOT NULL)"""
+
+
 def seeds_sql(name: str, regions: str) -> str:
     return f"{name} AS (SELECT image_id, cy AS y, cx AS x, max(label) AS label FROM {regions} GROUP BY ALL)"
 

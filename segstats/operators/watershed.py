@@ -1,19 +1,22 @@
 """Seeded growth: every pixel of a fibre mask goes to one axon.
 
-``grow`` is the scalable form. A pixel gets the label of the seed that reaches it in
-the fewest steps, the smallest label on a tie: first inside the axon pixels, then from
-everything labelled through the whole mask. That rule is a least fixpoint, so tiles can
-settle on their own and only trade improved border pixels until nothing improves; the
-number of rounds is the number of tile borders a path crosses, not its length.
-
-``flood`` is the priority flood of the distance image as published for watershed
-transforms. Its queue is sequential by nature, so it takes one connected mask piece of
-a checked size per task and refuses larger ones.
+Every pixel has a level. A path from a seed costs the highest level on it, then the steps at that level (lower places behind
+it fill at once); a pixel takes the label of its cheapest paths, the smallest label on a tie.
+
+* ``grow``: all levels are equal, so the fewest steps decide: first inside the axon pixels, then from everything labelled
+  through the whole mask.
+* ``flood``: the level is the negated squared distance to the background of the axons. Low places fill first, as in a
+  watershed transform, and where two labels meet at one level the nearer one wins. A priority queue gives the same
+  labels except where levels tie; there it decides by order of arrival.
+
+Both rules are least fixpoints, costs first and labels along cheapest steps afterwards, so tiles settle on their own and trade
+the border pixels that improved. A round settles only tiles that got a better offer, from the untouched start and all offers
+so far, and writes their border pixels only; the pixels themselves are written once, at the end. Rounds grow with the
+tile borders that a path crosses, not with its length.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import partial
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.operators.components import label_components, one_tile_only
+from segstats.operators.components import one_tile_only
 from segstats.operators.distance import distance_to_background
 from segstats.operators.geometry import paint
 from segstats.operators.grouped import changes, ints, stream_groups
@@ -29,11 +32,11 @@ from segstats.operators.regions import centroid_pixels, find, region_sums
 from segstats.operators.runs import PIXEL, TILE, TILE_KEY, as_pixels, compress, div, lookup
 from segstats.session import materialize
 
-# steps * STEP + label: one integer that orders by steps, then by label. Both have 31 bits: no path
-# has more steps than its image has pixels, and larger labels are an error.
+# level * STEP + steps: one integer that orders by level, then by steps. A path has no more steps than its image has
+# pixels, and squared distances up to TOP fit; larger ones are an error.
 STEP = 2**31
+TOP = 2**30
 NEVER = 2**62
-FLOOD_LIMIT = 1_000_000
 
 
 def seed_points(axon_labels: DataFrame) -> DataFrame:
@@ -50,23 +53,48 @@ def _codes(table: pa.Table, tile: int) -> tuple[np.ndarray, int]:
     return (group * side + row) * side + ints(table, "x") - ints(table, "tx") * tile + 1, side
 
 
-def _relax(cost: np.ndarray, code: np.ndarray, side: int) -> np.ndarray:
-    """Least cost of every pixel when one step to a side neighbour costs ``STEP``."""
-    links = [find(code, code + step) for step in (-side, -1, 1, side)] if len(code) else []
-    links = [(np.flatnonzero(at >= 0), at[at >= 0]) for at in links]
-    while True:
-        previous = cost.copy()
-        for here, there in links:
-            cost[here] = np.minimum(cost[here], cost[there] + STEP)
-        np.minimum(cost, NEVER, out=cost)
-        if np.array_equal(cost, previous):
-            return cost
+def _neighbours(code: np.ndarray, side: int) -> list[np.ndarray]:
+    """Place of each pixel's side neighbour in each direction, or -1."""
+    return [find(code, code + step) for step in (-side, -1, 1, side)] if len(code) else []
+
+
+def _onward(cost: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Cost of one more step, onto pixels of the given levels."""
+    top = cost // STEP
+    return np.where(level > top, level * STEP + 1, cost + (level == top))
+
 
+def _relax(cost: np.ndarray, level: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+    """Least cost of every pixel; only pixels that improved pass it on."""
+    front = np.flatnonzero(cost < NEVER)
+    while len(front):
+        improved = []
+        for there in near:
+            target = there[front]
+            source, target = front[target >= 0], target[target >= 0]
+            offer = _onward(cost[source], level[target])
+            better = offer < cost[target]
+            target = target[better]
+            cost[target] = offer[better]
+            improved.append(target)
+        front = np.unique(np.concatenate(improved))
+    return cost
 
-def _settle(table: pa.Table, tile: int) -> pa.Table:
-    """Let the labels of each tile spread until no pixel of the tile improves."""
-    cost = _relax(ints(table, "cost").copy(), *_codes(table, tile))
-    return table.set_column(table.column_names.index("cost"), "cost", pa.array(cost))
+
+def _spread_labels(label: np.ndarray, cost: np.ndarray, level: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+    """Smallest label that reaches each pixel by its cheapest steps."""
+    front = np.flatnonzero(label < NEVER)
+    while len(front):
+        improved = []
+        for there in near:
+            target = there[front]
+            source, target = front[target >= 0], target[target >= 0]
+            better = (_onward(cost[source], level[target]) == cost[target]) & (label[source] < label[target])
+            source, target = source[better], target[better]
+            label[target] = label[source]
+            improved.append(target)
+        front = np.unique(np.concatenate(improved))
+    return label
 
 
 def _runs(table: pa.Table, label: np.ndarray) -> pa.Table:
@@ -85,57 +113,130 @@ def _runs(table: pa.Table, label: np.ndarray) -> pa.Table:
     )
 
 
-def _grow_tiles(table: pa.Table, tile: int) -> pa.Table:
-    """Both growth stages for images that fit one tile; equal pixels are merged first."""
+def _settle(table: pa.Table, tile: int, by_label: bool, border: bool) -> pa.Table:
+    """Costs (or labels) of whole tiles with the offers from outside; with ``border`` only their edge pixels go on."""
+    near = _neighbours(*_codes(table, tile))
+    level, cost, label = ints(table, "level"), ints(table, "cost").copy(), ints(table, "label").copy()
+    if by_label:
+        label = _spread_labels(label, cost, level, near)
+    else:
+        cost = _relax(cost, level, near)
+    out = table.set_column(table.column_names.index("cost"), "cost", pa.array(cost))
+    out = out.set_column(out.column_names.index("label"), "label", pa.array(label))
+    if border:
+        y, x = ints(table, "y") % tile, ints(table, "x") % tile
+        out = out.filter(pa.array((y == 0) | (y == tile - 1) | (x == 0) | (x == tile - 1)))
+    return out
+
+
+def _one_tile(table: pa.Table, tile: int, inner: bool) -> pa.Table:
+    """All stages for images that fit one tile; equal pixels are merged first."""
     table = one_tile_only(table)
     first = np.flatnonzero(changes(table, [*TILE_KEY, "y", "x"]))
     axon = np.maximum.reduceat(table["axon"].cast("int8").fill_null(-1).to_numpy(), first)
     seed = np.maximum.reduceat(table["label"].fill_null(0).to_numpy(), first)
+    level = np.maximum.reduceat(table["level"].fill_null(-1).to_numpy(), first)
     on_mask = axon >= 0
-    table, axon, seed = table.take(pa.array(first[on_mask])), axon[on_mask] == 1, seed[on_mask]
+    table, axon, seed, level = table.take(pa.array(first[on_mask])), axon[on_mask] == 1, seed[on_mask], level[on_mask]
+    level = np.where(level < 0, TOP, level)
     code, side = _codes(table, tile)
-    cost = np.where(seed > 0, seed, NEVER)
-    inner = _relax(cost[axon], code[axon], side)
-    cost[axon] = np.where(inner < NEVER, inner % STEP, NEVER)
-    cost = _relax(cost, code, side)
-    reached = np.flatnonzero(cost < NEVER)
-    return _runs(table.take(pa.array(reached)), cost[reached] % STEP)
+    label = np.where(seed > 0, seed, NEVER)
 
+    def stage(label: np.ndarray, level: np.ndarray, code: np.ndarray) -> np.ndarray:
+        near = _neighbours(code, side)
+        cost = _relax(np.where(label < NEVER, level * STEP, NEVER), level, near)
+        return _spread_labels(label, cost, level, near)
 
-def spread(pixels: DataFrame, tile: int = TILE) -> DataFrame:
-    """Least ``cost`` of every pixel; ``pixels (image_id, y, x, cost)`` starts at sources."""
-    kind = pixels.schema["image_id"].dataType.simpleString()
-    schema = f"image_id {kind}, ty int, tx int, y int, x int, cost bigint"
-    state = pixels.select("image_id", div("y", tile).alias("ty"), div("x", tile).alias("tx"), "y", "x", "cost")
-    helper = partial(_settle, tile=tile)
-    state = stream_groups(state, TILE_KEY, ["y", "x"], helper, schema)
+    if inner:
+        label[axon] = stage(label[axon], level[axon], code[axon])
+    label = stage(label, level, code)
+    reached = np.flatnonzero(label < NEVER)
+    return _runs(table.take(pa.array(reached)), label[reached])
+
+
+def _exchange(start: DataFrame, tile: int, by_label: bool) -> DataFrame:
+    """Settle ``start (image_id, ty, tx, y, x, level, cost, label)`` across tiles for costs or for labels."""
+    value = "label" if by_label else "cost"
+    kind = start.schema["image_id"].dataType.simpleString()
+    schema = f"image_id {kind}, ty int, tx int, y int, x int, level bigint, cost bigint, label bigint"
+    columns = [*TILE_KEY, "y", "x", "level", "cost", "label"]
+
+    def settled(tiles: DataFrame, offers: DataFrame | None, border: bool) -> DataFrame:
+        if offers is not None:
+            better = F.least(value, "offer").alias(value)
+            tiles = tiles.join(offers, PIXEL, "left").select(*[better if c == value else c for c in columns])
+        return stream_groups(tiles, TILE_KEY, ["y", "x"], partial(_settle, tile=tile, by_label=by_label, border=border), schema)
+
+    top = F.expr(f"s_cost div {STEP}L")
+    onward = F.when(F.col("level") > top, F.col("level") * STEP + 1).when(F.col("level") == top, F.col("s_cost") + 1).otherwise(F.col("s_cost"))
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
+    fresh = known = materialize(settled(start, None, True), "border")
+    inbox = None
     while True:
-        state = materialize(state, "spread")
-        step = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"))
-                                   for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
-        offers = (
-            state.filter(F.col("cost") < NEVER)
-            .filter((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1))
-            .withColumn("step", step)
+        sent = (
+            fresh.filter(F.col(value) < NEVER).withColumn("step", step)
             .select(
-                "image_id", "ty", "tx",
-                (F.col("y") + F.col("step.dy")).alias("y"), (F.col("x") + F.col("step.dx")).alias("x"),
-                (F.col("cost") + STEP).alias("offer"),
+                "image_id", F.col("ty").alias("sy"), F.col("tx").alias("sx"), (F.col("y") + F.col("step.dy")).alias("y"),
+                (F.col("x") + F.col("step.dx")).alias("x"), F.col("cost").alias("s_cost"), F.col("label").alias("s_label"),
             )
-            .filter((div("y", tile) != F.col("ty")) | (div("x", tile) != F.col("tx")))
-            .groupBy(*PIXEL).agg(F.min("offer").alias("offer"))
-        )
-        better = materialize(
-            offers.join(state, PIXEL).filter("offer < cost").select(*PIXEL, "ty", "tx", "offer"), "offers"
+            .filter((div("y", tile) != F.col("sy")) | (div("x", tile) != F.col("sx")))
         )
+        met = sent.join(known, PIXEL).withColumn("onward", onward)
+        if by_label:
+            met = met.filter((F.col("onward") == F.col("cost")) & (F.col("s_label") < F.col("label")))
+        else:
+            met = met.filter(F.col("onward") < F.col("cost"))
+        offer = F.min("s_label" if by_label else "onward").alias("offer")
+        better = materialize(met.groupBy(*PIXEL, "ty", "tx").agg(offer), "offers")
         if better.isEmpty():
-            return state.select(*PIXEL, "cost")
-        # tiles without an offer are settled: they pass through without being grouped again
-        open_tiles = better.select(*TILE_KEY).distinct()
-        busy = state.join(open_tiles, TILE_KEY, "left_semi").join(better.drop("ty", "tx"), PIXEL, "left")
-        busy = busy.select(*TILE_KEY, "y", "x", F.least("cost", "offer").alias("cost"))
-        done = state.join(open_tiles, TILE_KEY, "left_anti")
-        state = stream_groups(busy, TILE_KEY, ["y", "x"], helper, schema).unionByName(done)
+            return settled(start, inbox, False)
+        fewer = better.select(*PIXEL, "offer")
+        if inbox is not None:
+            fewer = inbox.unionByName(fewer).groupBy(*PIXEL).agg(F.min("offer").alias("offer"))
+        inbox = materialize(fewer, "inbox")
+        busy = start.join(better.select(*TILE_KEY).distinct(), TILE_KEY, "left_semi")
+        fresh = materialize(settled(busy, inbox, True), "border")
+        # values only fall, so the least of all rounds is the present one
+        rest = known.join(fresh.select(*TILE_KEY).distinct(), TILE_KEY, "left_anti")
+        known = materialize(rest.unionByName(fresh), "border")
+
+
+def spread(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """Label of every pixel that is reached; ``pixels (image_id, y, x, level, label)``, label null but at the seeds."""
+    source = F.col("label").isNotNull()
+    start = pixels.select(
+        "image_id", div("y", tile).alias("ty"), div("x", tile).alias("tx"), "y", "x", F.col("level").cast("bigint").alias("level"),
+        F.when(source, F.col("level").cast("bigint") * STEP).otherwise(F.lit(NEVER)).alias("cost"),
+        F.coalesce(F.col("label").cast("bigint"), F.lit(NEVER)).alias("label"),
+    )
+    costs = materialize(_exchange(materialize(start, "start"), tile, False), "costs")
+    labels = _exchange(costs, tile, True)
+    return labels.filter(F.col("label") < NEVER).select(*PIXEL, "label")
+
+
+def _tagged(axon: DataFrame, myelin: DataFrame, seeds: DataFrame) -> DataFrame:
+    none = F.lit(None)
+    return (
+        as_pixels(axon).select(*PIXEL, F.lit(True).alias("axon"), none.cast("bigint").alias("label"))
+        .union(as_pixels(myelin).select(*PIXEL, F.lit(False), none.cast("bigint")))
+        .union(seeds.select(*PIXEL, none.cast("boolean"), F.col("label").cast("bigint")))
+        .withColumn("level", F.lit(None).cast("bigint"))
+    )
+
+
+def _single(union: DataFrame, tile: int, inner: bool) -> DataFrame:
+    kind = union.schema["image_id"].dataType.simpleString()
+    tiled = union.select("image_id", div("y", tile).alias("ty"), div("x", tile).alias("tx"), "y", "x", "axon", "label", "level")
+    return stream_groups(
+        tiled, TILE_KEY, ["y", "x"], partial(_one_tile, tile=tile, inner=inner),
+        f"image_id {kind}, y int, x0 int, x1 int, label bigint",
+    )
+
+
+def _merged(union: DataFrame) -> DataFrame:
+    """One aggregation merges both masks, levels and seeds; seeds off the mask drop out."""
+    merged = union.groupBy(*PIXEL).agg(F.max("axon").alias("axon"), F.max("label").alias("label"), F.max("level").alias("level"))
+    return materialize(merged.filter("axon IS NOT NULL"), "fibre")
 
 
 def grow(
@@ -145,58 +246,17 @@ def grow(
     tile: int = TILE,
     extent: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Fibre runs ``(image_id, y, x0, x1, label)`` grown from ``seeds (image_id, y, x, label)``."""
-    none = F.lit(None)
-    label = F.col("label").cast("bigint")
-    fits = F.when(label >= STEP, F.raise_error(F.lit("seed labels must be below 2**31")).cast("bigint")).otherwise(label)
-    union = (
-        as_pixels(axon).select(*PIXEL, F.lit(True).alias("axon"), none.cast("bigint").alias("label"))
-        .union(as_pixels(myelin).select(*PIXEL, F.lit(False), none.cast("bigint")))
-        .union(seeds.select(*PIXEL, none.cast("boolean"), fits))
-    )
-    kind = axon.schema["image_id"].dataType.simpleString()
+    """Fibre runs ``(image_id, y, x0, x1, label)`` grown from ``seeds (image_id, y, x, label)``, nearest seed first."""
+    union = _tagged(axon, myelin, seeds)
     if extent and max(extent) <= tile:
-        tiled = union.select("image_id", div("y", tile).alias("ty"), div("x", tile).alias("tx"), "y", "x", "axon", "label")
-        return stream_groups(
-            tiled, TILE_KEY, ["y", "x"], partial(_grow_tiles, tile=tile),
-            f"image_id {kind}, y int, x0 int, x1 int, label bigint",
-        )
-    # one aggregation merges both masks and the seeds; seeds off the mask drop out
-    merged = union.groupBy(*PIXEL).agg(F.max("axon").alias("axon"), F.max("label").alias("label"))
-    mask = materialize(merged.filter("axon IS NOT NULL"), "fibre")
-    start = F.coalesce("label", F.lit(NEVER))
-    inner = spread(mask.filter("axon").select(*PIXEL, start.alias("cost")), tile)
+        return _single(union, tile, True)
+    mask = _merged(union)
+    flat = F.lit(0).alias("level")
+    inner = spread(mask.filter("axon").select(*PIXEL, flat, "label"), tile)
     # axon pixels that were reached, and seeds on myelin, are the sources of the second stage
-    sources = (
-        inner.withColumn("cost", F.when(F.col("cost") < NEVER, F.col("cost") % STEP).otherwise(F.lit(NEVER)))
-        .unionByName(mask.filter("NOT axon").select(*PIXEL, start.alias("cost")))
-    )
-    outer = spread(sources, tile).filter(F.col("cost") < NEVER)
-    return compress(outer.select(*PIXEL, (F.col("cost") % STEP).alias("label")), ["label"])
-
-
-def _flood_pieces(table: pa.Table) -> pa.Table:
-    """Priority flood by (value, arrival) over side neighbours, one mask piece at a time."""
-    starts = np.append(np.flatnonzero(changes(table, ["image_id", "piece"])), table.num_rows)
-    y, x = ints(table, "y").tolist(), ints(table, "x").tolist()
-    value = (-table["dist"].fill_null(0.0).to_numpy()).tolist()
-    label = table["label"].fill_null(0).to_numpy().astype(np.int64).tolist()
-    for lo, hi in zip(starts[:-1], starts[1:]):
-        where = {(y[i], x[i]): i for i in range(lo, hi)}
-        queue = [(value[i], 0, i) for i in range(lo, hi) if label[i]]
-        heapq.heapify(queue)
-        age = 0
-        while queue:
-            _, _, i = heapq.heappop(queue)
-            for spot in ((y[i] - 1, x[i]), (y[i], x[i] - 1), (y[i], x[i] + 1), (y[i] + 1, x[i])):
-                j = where.get(spot)
-                if j is not None and not label[j]:
-                    age += 1
-                    label[j] = label[i]
-                    heapq.heappush(queue, (value[j], age, j))
-    label = np.array(label)
-    reached = np.flatnonzero(label)
-    return _runs(table.take(pa.array(reached)), label[reached])
+    sources = mask.filter("axon").select(*PIXEL).join(inner, PIXEL, "left").select(*PIXEL, flat, "label")
+    outer = spread(sources.unionByName(mask.filter("NOT axon").select(*PIXEL, flat, "label")), tile)
+    return compress(outer, ["label"])
 
 
 def flood(
@@ -205,26 +265,20 @@ def flood(
     seeds: DataFrame,
     images: DataFrame,
     extent: tuple[int, int] | None = None,
-    limit: int = FLOOD_LIMIT,
+    tile: int = TILE,
 ) -> DataFrame:
-    """Watershed of the negated axon distance as fibre runs; mask pieces above ``limit`` pixels are an error."""
-    mask = as_pixels(axon).select(*PIXEL).union(as_pixels(myelin).select(*PIXEL)).distinct()
-    pieces = label_components(mask, 1, extent=extent).withColumnRenamed("label", "piece")
-    if extent is None:
-        pieces = materialize(pieces, "pieces")
-    size = pieces.groupBy("image_id", "piece").agg(F.sum(F.expr("x1 - x0 + 1")).alias("size"))
-    too_big = F.raise_error(F.lit(f"a mask piece exceeds {limit} pixels: use grow() for this image"))
-    checked = size.withColumn("ok", F.when(F.col("size") > limit, too_big.cast("boolean")).otherwise(F.lit(True)))
-    distance = distance_to_background(axon, images).select(*PIXEL, "dist")
-    table = (
-        as_pixels(pieces).join(checked.filter("ok").select("image_id", "piece"), ["image_id", "piece"])
-        .join(distance, PIXEL, "left")
-        .join(seeds.select(*PIXEL, "label"), PIXEL, "left")
-    )
-    kind = axon.schema["image_id"].dataType.simpleString()
-    return stream_groups(
-        table, ["image_id", "piece"], ["y", "x"], _flood_pieces, f"image_id {kind}, y int, x0 int, x1 int, label bigint"
+    """Watershed of the negated axon distance as fibre runs."""
+    depth = F.coalesce("d2", F.lit(0))
+    error = F.raise_error(F.lit(f"squared distances above {TOP} are not supported")).cast("bigint")
+    levels = distance_to_background(axon, images).select(
+        *PIXEL, F.lit(None).cast("boolean").alias("axon"), F.lit(None).cast("bigint").alias("label"),
+        F.when(depth > TOP, error).otherwise(TOP - depth).alias("level"),
     )
+    union = _tagged(axon, myelin, seeds).unionByName(levels)
+    if extent and max(extent) <= tile:
+        return _single(union, tile, False)
+    mask = _merged(union).select(*PIXEL, F.coalesce("level", F.lit(TOP)).alias("level"), "label")
+    return compress(spread(mask, tile), ["label"])
 
 
 def remove_fibres(axon: DataFrame, myelin: DataFrame, fibres: DataFrame, points: DataFrame):

@@ -70,6 +70,41 @@ def to_array(df, shape, column="label", image=0):
 
 
 def flood(axon, fibre, seeds):
+    """Highest level on the way, then steps at that level, then the smallest label: by plain rescans."""
+    distance = squared_distance(axon) if (axon == 0).any() else {}
+    cells = [(y, x) for y, x in zip(*np.nonzero(fibre))]
+    level = {c: -distance.get(c, 0) for c in cells}
+    seeds = {c: s for c, s in seeds.items() if c in level}
+    cost = {c: (level[c], 0) if c in seeds else None for c in cells}
+    sides = {c: [n for n in ((c[0] + dy, c[1] + dx) for dy, dx in SIDES) if n in level] for c in cells}
+
+    def onward(a, b):
+        top, steps = cost[a]
+        return (level[b], 1) if level[b] > top else (top, steps + (level[b] == top))
+
+    changed = True
+    while changed:
+        changed = False
+        for c in cells:
+            for near in sides[c]:
+                if cost[near] is not None and (cost[c] is None or onward(near, c) < cost[c]):
+                    cost[c], changed = onward(near, c), True
+    lab = np.zeros(axon.shape, int)
+    for c, s in seeds.items():
+        lab[c] = s
+    changed = True
+    while changed:
+        changed = False
+        for c in cells:
+            if cost[c] is None or c in seeds:
+                continue
+            found = [lab[n] for n in sides[c] if cost[n] is not None and lab[n] and onward(n, c) == cost[c]]
+            if found and (not lab[c] or min(found) < lab[c]):
+                lab[c], changed = min(found), True
+    return lab
+
+
+def queue_flood(axon, fibre, seeds):
     """Watershed of the negated distance by rescanning the whole queue at every step."""
     distance = squared_distance(axon) if (axon == 0).any() else {}
     lab = np.zeros(axon.shape, int)
