@@ -307,8 +307,9 @@ def distance_transform(spark, sf):
 
 # ---- growth ---------------------------------------------------------------------------
 
-FIBRE_SQL = f"""WITH RECURSIVE {PX}, {components_sql('l', 'axon', 2)}, {regions_sql('r', 'l')}, {seeds_sql('s', 'r')},
-{grow_sql('f', 's')}"""
+SEED_SQL = f"WITH RECURSIVE {PX}, {components_sql('l', 'axon', 2)}, {regions_sql('r', 'l')}, {seeds_sql('s', 'r')}"
+FIBRE_SQL = f"{SEED_SQL}, {grow_sql('f', 's')}"
+FLOOD_SQL = f"{SEED_SQL}, {flood_sql('f', 's')}"
 
 
 def fibres(spark, sf, mode="grow"):
@@ -322,8 +323,7 @@ def fibre_instances(spark, sf):
 
 @query(
     "fibre_flood",
-    f"""WITH RECURSIVE {PX}, {components_sql('l', 'axon', 2)}, {regions_sql('r', 'l')}, {seeds_sql('s', 'r')},
-{flood_sql('f', 's')} SELECT {cols(P + '; label')} FROM f""",
+    f"{FLOOD_SQL} SELECT {cols(P + '; label')} FROM f",
 )
 def fibre_flood(spark, sf):
     seeds = seed_points(axon_labels(spark, sf))
@@ -360,7 +360,7 @@ def remove_fibres_at_points(spark, sf):
 def measure_sql(shape: str, scale: str = "0.5") -> str:
     """CTE ``o``: the whole object table of the rasters."""
     d = "equivalent_diameter" if shape == "circle" else "minor_axis"
-    return f"""{FIBRE_SQL}, {perimeter_sql('q', 'l')}, {hull_sql('h', 'l')}, {regions_sql('fr', 'f')}, {perimeter_sql('fq', 'f')},
+    return f"""{FLOOD_SQL}, {perimeter_sql('q', 'l')}, {hull_sql('h', 'l')}, {regions_sql('fr', 'f')}, {perimeter_sql('fq', 'f')},
 j AS (SELECT r.*, q.perimeter, r.area / CAST(h.hull_area AS DOUBLE) AS solidity, r.{d} AS d, fr.{d} AS fd, fr.area AS farea,
   fr.orientation AS fori, fr.eccentricity AS fecc, fq.perimeter AS fper, fr.y_lo AS b0, fr.x_lo AS b1, fr.y_hi AS b2, fr.x_hi AS b3,
   (fr.{d} - r.{d}) / 2 AS t

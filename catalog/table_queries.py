@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.raster_queries import FIBRE_SQL, axon_labels, fibres
 from catalog.views import (
     exact, EXTENT, OBJ, PIXEL, POINTS, PX, axon, cols, components_sql, images, myelin, nerve, objects, points,
-    predicted_classes, query, regions_sql, seeds_sql, slide, slide_size, table, true_axon, true_classes, SLIDE, grow_sql,
+    predicted_classes, query, regions_sql, seeds_sql, slide, slide_size, table, true_axon, true_classes, SLIDE, flood_sql,
 )
 from segstats.constants import BINNED_METRICS, DIAMETER_BINS
 from segstats.operators.components import label_components
@@ -152,7 +152,7 @@ def nerve_document(spark, sf):
 
 CLIPPED = f"""WITH RECURSIVE {PX}, {components_sql('n', 'nerve', 1)},
 ca AS (SELECT * FROM axon SEMI JOIN nerve USING (image_id, pos)), cm AS (SELECT * FROM myelin SEMI JOIN nerve USING (image_id, pos)),
-{components_sql('l', 'ca', 2)}, {regions_sql('r', 'l')}, {seeds_sql('s', 'r')}, {grow_sql('f', 's', 'ca', 'cm')}, {regions_sql('fr', 'f')}"""
+{components_sql('l', 'ca', 2)}, {regions_sql('r', 'l')}, {seeds_sql('s', 'r')}, {flood_sql('f', 's', 'ca', 'cm')}, {regions_sql('fr', 'f')}"""
 
 
 @query(

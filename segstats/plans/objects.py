@@ -24,7 +24,7 @@ def _diameter(shape: str) -> str:
 
 def fibre_labels(
     axon: DataFrame, myelin: DataFrame, axon_labels: DataFrame, images: DataFrame,
-    extent=None, mode: str = "grow", fill_holes: bool = False, tile: int = TILE,
+    extent=None, mode: str = "flood", fill_holes: bool = False, tile: int = TILE,
 ) -> DataFrame:
     """Instance map of whole fibres, as runs ``(image_id, y, x0, x1, label)``."""
     if fill_holes:
@@ -63,7 +63,7 @@ def measure_objects(
     pixel_size: float | None = None,
     axon_shape: str = "circle",
     extent: tuple[int, int] | None = None,
-    mode: str = "grow",
+    mode: str = "flood",
     fill_holes: bool = False,
     tile: int = TILE,
 ) -> DataFrame:
