@@ -6,14 +6,18 @@ a folder listing of any size without opening a file.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segstats.constants import AGGREGATE_DIR, LARGE_PIXEL_LIMIT, PIXEL_LIMIT, PIXEL_SIZE_FILE, SLOW_PIXELS, SUFFIXES, VALID_EXTENSIONS
 from segstats.functions.scalars import file_name, is_generated, parent_dir, stem
 
+HEADER_BYTES = 26
 MASK_ROLES = ["axonmyelin", "axon", "myelin", "uaxon", "nerve"]
 # Masks each mode needs, and the one that marks an image as ready.
 REQUIRED_MASKS = {
@@ -104,10 +108,24 @@ def png_header(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_headers(spark: SparkSession, root: str) -> DataFrame:
-    """Headers of the PNG files under a folder; only the first bytes leave the scan."""
+    """Headers of the PNG files under a folder; only the first bytes of each file are read.
+
+    Tasks open the files themselves, so the folder must be one that ``pyarrow.fs`` knows (file, hdfs, s3, gs).
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png")
-    head = reader.load(root).select("path", F.substring("content", 1, 26).alias("content"))
-    return png_header(head).drop("content")
+    paths = reader.load(root).select("path")
+
+    def heads(batches):
+        for batch in batches:
+            content = []
+            for path in batch.column(0).to_pylist():
+                # the listing writes file:/a/b, URIs have file:///a/b
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with store.open_input_file(name) as source:
+                    content.append(source.read_at(HEADER_BYTES, 0))
+            yield pa.RecordBatch.from_pydict({"path": batch.column(0), "content": pa.array(content, pa.binary())})
+
+    return png_header(paths.mapInArrow(heads, "path string, content binary")).drop("content")
 
 
 def size_guard(headers: DataFrame, allow_large: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -185,38 +203,61 @@ def with_pixel_size(images: DataFrame, sizes: DataFrame | None = None, given: fl
     return images.join(sizes, "dir", "left").withColumn("um_per_px", F.coalesce("um_per_px", error))
 
 
+def to_eight_bits(gray: np.ndarray) -> np.ndarray:
+    """Float gray levels of a whole image in 8 bits, as ``float_to_bits`` does it."""
+    low, high = gray.min(), gray.max()
+    if low >= 0 and high <= 1:
+        scaled = gray
+    elif low == high:
+        return np.clip(np.floor(gray), 0, 255)
+    else:
+        scaled = (gray - low) / (high - low)
+    return np.floor(scaled * 255 + 0.499999999)
+
+
 def read_pixels(spark: SparkSession, root: str, glob: str = "*.png") -> DataFrame:
-    """Gray pixels ``(path, height, width, y, x, v)`` of the images under a folder.
+    """Gray pixels ``(path, height, width, y, x, v)`` of the images under a folder, ``v`` in 8 bits.
 
-    Uses the built-in image source. It keeps 8 bits per channel, so deeper files must be
-    turned away first (``read_headers``).
+    Gray images keep their levels; the weighted sum of a colour image is stretched to 8 bits like any float image. The
+    built-in image source keeps the low byte only of deeper channels, so a PNG of more than 8 bits is an error.
     """
     reader = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     rows = reader.load(root).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    depth = read_headers(spark, root).select(plain("path").alias("_path"), "bit_depth")
+    error = F.raise_error(F.concat(F.lit("more than 8 bits per channel: "), "origin"))
+    checked = rows.join(depth, plain("origin") == F.col("_path"), "left").select(
+        F.when(F.col("bit_depth") > 8, error.cast("string")).otherwise(F.col("origin")).alias("origin"),
+        "height", "width", "nChannels", "data",
+    )
 
     def decode(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                h, w, c = row["height"], row["width"], row["nChannels"]
-                data = np.frombuffer(row["data"], np.uint8).reshape(h, w, c)
+            # one image at a time; a batch only refers to the bytes of its images
+            for k in range(batch.num_rows):
+                path, h, w, c = (batch.column(i)[k].as_py() for i in range(4))
+                data = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint8).reshape(h, w, c)
+                if c < 3:
+                    image = data[..., 0].astype(np.float64)
+                else:
+                    image = to_eight_bits(data[..., :3] @ np.array([0.114, 0.587, 0.299]))
                 band = max(1, 262_144 // w)
                 for top in range(0, h, band):
-                    part = data[top : top + band].astype(np.float64)
-                    gray = part[..., 0] if c < 3 else part[..., :3] @ np.array([0.114, 0.587, 0.299])
+                    gray = image[top : top + band]
                     y, x = np.indices(gray.shape)
                     n = gray.size
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "path": pa.array([row["origin"]] * n),
+                            "path": pa.array([path] * n),
                             "height": pa.array(np.full(n, h, np.int32)),
                             "width": pa.array(np.full(n, w, np.int32)),
                             "y": pa.array((y.ravel() + top).astype(np.int32)),
                             "x": pa.array(x.ravel().astype(np.int32)),
-                            "v": pa.array(np.round(gray).astype(np.int32).ravel()),
+                            "v": pa.array(gray.astype(np.int32).ravel()),
                         }
                     )
 
-    return rows.mapInArrow(decode, "path string, height int, width int, y int, x int, v int")
+    return checked.mapInArrow(decode, "path string, height int, width int, y int, x int, v int")
 
 
 def subject_files(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from segstats.constants import SUFFIXES
 from segstats.functions.order_stats import percentiles, ranked
-from segstats.functions.scalars import file_extension, fixed, gray_level, round_exact, round_scaled
+from segstats.functions.scalars import file_extension, fixed, float_to_bits, gray_level, round_exact, round_scaled, to_bits
 from segstats.operators import patches
 from segstats.operators.components import label_components
 from segstats.plans import aggregate, nerve, quality, scoring
@@ -165,7 +165,7 @@ def test_extra_detections(draw, sizes):
 
 def png(path, array, depth=8):
     """Minimal PNG writer for fixtures."""
-    array = np.asarray(array, np.uint8)
+    array = np.asarray(array, np.uint8 if depth == 8 else ">u2")
     h, w = array.shape[:2]
     kind = {2: 0, 3: {2: 4, 3: 2, 4: 6}.get(array.shape[-1])}[array.ndim]
     raw = b"".join(b"\0" + row.tobytes() for row in array)
@@ -204,8 +204,26 @@ def test_image_folder(spark, tmp_path):
     for r in pixels.filter("name = 'a.png'").collect():
         got[r["y"], r["x"]] = r["v"]
     assert (got == gray).all()
-    luma = np.round(colour @ np.array([0.299, 0.587, 0.114]))
+    luma = colour @ np.array([0.299, 0.587, 0.114])
+    luma = np.floor((luma - luma.min()) / (luma.max() - luma.min()) * 255 + 0.499999999)
     assert all(abs(r["v"] - luma[r["y"], r["x"]]) <= 1 for r in pixels.filter("name = 'b.png'").collect())
+    deep = tmp_path / "deep"
+    deep.mkdir()
+    png(deep / "c.png", gray.astype(np.uint16) * 257, depth=16)
+    assert files.read_headers(spark, str(deep)).first()["bit_depth"] == 16
+    with pytest.raises(Exception, match="more than 8 bits"):
+        files.read_pixels(spark, str(deep)).collect()
+
+
+def test_bits_of_constant_images(spark):
+    rows = [(255.0, 255.0, 255.0), (300.0, 300.0, 300.0), (-4.0, -4.0, -4.0), (0.5, 0.5, 0.5), (1.0, 0.0, 1.0), (7.0, 5.0, 9.0)]
+    df = spark.createDataFrame(rows, "v double, lo double, hi double")
+    eight = [r[0] for r in df.select(float_to_bits(F.col("v"), F.col("lo"), F.col("hi"))).collect()]
+    assert eight == [255, 255, 0, 127, 255, 127]
+    for v, low, high in rows[:4]:
+        assert files.to_eight_bits(np.array([[v]]))[0, 0] == eight[rows.index((v, low, high))]
+    deep = spark.createDataFrame([(0,), (255,), (128,)], "v int").select(to_bits(F.col("v"), 8, 16), to_bits(F.col("v") * 257, 16, 8)).collect()
+    assert [tuple(r) for r in deep] == [(0, 0), (65_535, 255), (32_896, 128)]
 
 
 def test_bad_pixel_size_and_missing_mask_fail(spark):
