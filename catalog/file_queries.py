@@ -6,13 +6,21 @@ subject given by its size, and some of its files are missing.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
+from catalog.raster_queries import BOX, MEASURES, measure_sql
 from catalog.views import EXTENT, OBJ, PX, axon, cols, components_sql, images, objects, predicted_classes, query, rasters, table
 from segstats.functions.scalars import file_extension, gray_level
 from segstats.operators.components import label_components
 from segstats.operators.masks import mask_name
 from segstats.operators.runs import as_pixels
+from segstats.plans.folder import measure_folder
 from segstats.plans.nerve import fascicle_areas, nerve_document
 from segstats.plans.objects import mask_fractions
 from segstats.session import scratch_path
@@ -227,6 +235,60 @@ def subject_tree(spark, sf):
     )
 
 
+def png_bytes(grid: np.ndarray) -> bytes:
+    """A gray 8-bit PNG file."""
+    h, w = grid.shape
+    raw = b"".join(b"\0" + row.tobytes() for row in grid.astype(np.uint8))
+
+    def chunk(tag: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def write_mask_folder(spark, sf, root: str) -> None:
+    """Every raster as an image with its masks; the folder says that a pixel is half a micrometer wide."""
+    from segstats.constants import PIXEL_SIZE_FILE, SUFFIXES
+
+    cls = predicted_classes(spark, sf).select("image_id", "y", "x", F.when(F.col("cls") == "axon", 2).otherwise(1).alias("c"))
+    cell = F.when(F.col("c").isNotNull(), F.struct("y", "x", "c"))
+    rows = images(spark, sf).select("image_id").join(cls, "image_id", "left").groupBy("image_id").agg(
+        F.transform(F.collect_list(cell), lambda p: p["y"] * 100 + p["x"] * 10 + p["c"]).alias("cells")
+    )
+
+    def write(batches):
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            for image_id, cells in zip(*[c.to_pylist() for c in batch.columns]):
+                grid = np.zeros((8, 8), int)
+                for code in cells:
+                    grid[code // 100, code // 10 % 10] = code % 10
+                masks = {SUFFIXES["axon"]: grid == 2, SUFFIXES["myelin"]: grid == 1, SUFFIXES["axonmyelin"]: grid > 0, ".png": grid > 0}
+                for end, mask in masks.items():
+                    with store.open_output_stream(f"{folder}/i{image_id}{end}") as out:
+                        out.write(png_bytes(mask * 255))
+            with store.open_output_stream(f"{folder}/{PIXEL_SIZE_FILE}") as out:
+                out.write(b"0.5")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+@query(
+    "folder_objects",
+    f"{measure_sql('circle')} SELECT {cols('image_id; label; ' + BOX, MEASURES, 'image_border_touching')} FROM o",
+)
+def folder_objects(spark, sf):
+    """PNG masks of the rasters, measured by the plan that starts from a folder."""
+    root = scratch_path(spark, "folder")
+    root = root if root.startswith("file:") or "://" in root else f"file://{root}"
+    write_mask_folder(spark, sf, root)
+    number = F.regexp_extract("image_id", "/i([0-9]+)$", 1).cast("bigint")
+    return measure_folder(spark, root).objects.withColumn("image_id", number)
+
+
 @query(
     "stored_nerve_documents",
     f"""WITH RECURSIVE {PX}, {components_sql('n', 'nerve', 1)}, fa AS (SELECT image_id, label - 1 AS fascicle, count(*) * 0.25 AS area FROM n GROUP BY ALL)

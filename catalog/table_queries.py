@@ -176,13 +176,10 @@ c AS (SELECT r.image_id, n.label - 1 AS fascicle, count(*) AS n FROM r JOIN n ON
 SELECT fa.image_id, {cols('fascicle', 'area; ' + exact('coalesce(n, 0) / area', 5) + ':density')} FROM fa LEFT JOIN c USING (image_id, fascicle)""",
 )
 def nerve_report_densities(spark, sf):
-    _, documents = nerve_plan.nerve_report(
+    _, densities = nerve_plan.nerve_report(
         axon(spark, sf), myelin(spark, sf), nerve(spark, sf), images(spark, sf), 0.5, EXTENT
     )
-    return documents.select("image_id", F.explode("fascicle_areas")).select(
-        "image_id", F.col("key").cast("bigint").alias("fascicle"), F.col("value.value").alias("area"),
-        F.col("value.axon_density.value").alias("density"),
-    )
+    return densities.select("image_id", "fascicle", "area", "density")
 
 
 # ---- scoring ----------------------------------------------------------------------------

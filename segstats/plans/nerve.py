@@ -11,16 +11,22 @@ from segstats.operators.masks import clip
 from segstats.operators.regions import region_sums
 from segstats.operators.runs import as_pixels, lookup
 from segstats.plans.objects import measure_objects
+from segstats.session import materialize
 
 AREA_UNIT = "um^2"
 DENSITY_UNIT = "axon/um^2"
 
 
-def fascicle_areas(fascicles: DataFrame, pixel_size: float) -> DataFrame:
-    """``(image_id, fascicle, area)``: areas of labelled nerve regions, counted from 0."""
-    return region_sums(fascicles).select(
-        "image_id", (F.col("label") - 1).alias("fascicle"), (F.col("area") * F.lit(pixel_size) ** 2).alias("area")
-    )
+def fascicle_areas(fascicles: DataFrame, pixel_size: float | None = None, images: DataFrame | None = None) -> DataFrame:
+    """``(image_id, fascicle, area)``: areas of labelled nerve regions, counted from 0.
+
+    A given ``pixel_size`` wins over ``um_per_px`` of ``images``.
+    """
+    sums = region_sums(fascicles)
+    if pixel_size is None:
+        sums = sums.join(images.select("image_id", "um_per_px"), "image_id")
+    size = F.col("um_per_px") if pixel_size is None else F.lit(float(pixel_size))
+    return sums.select("image_id", (F.col("label") - 1).alias("fascicle"), (F.col("area") * size**2).alias("area"))
 
 
 def assign_fascicle(objects: DataFrame, fascicles: DataFrame, images: DataFrame) -> DataFrame:
@@ -107,15 +113,24 @@ def add_densities(documents: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def nerve_report(
-    axon: DataFrame, myelin: DataFrame, nerve: DataFrame, images: DataFrame, pixel_size: float,
+    axon: DataFrame, myelin: DataFrame, nerve: DataFrame, images: DataFrame, pixel_size: float | None = None,
     extent: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Objects inside the nerve and the nerve documents with densities."""
-    fascicles = label_components(nerve, 1, extent=extent)
-    areas = fascicle_areas(fascicles, pixel_size)
+    """Objects inside the nerve with their fascicle, and ``(image_id, fascicle, area, n_axons, density)``.
+
+    Both are flat and have no limit. ``nerve_documents`` makes one row per image of them.
+    """
+    fascicles = materialize(label_components(nerve, 1, extent=extent), "fascicles")
+    areas = fascicle_areas(fascicles, pixel_size, images)
     inside = as_pixels(nerve)
     objects = measure_objects(
         clip(as_pixels(axon), inside), images, clip(as_pixels(myelin), inside), pixel_size, extent=extent
     )
-    assigned = assign_fascicle(objects, fascicles, images)
-    return assigned, add_densities(nerve_document(areas, images), assigned)
+    # written once: the densities count what the table lists
+    assigned = materialize(assign_fascicle(objects, fascicles, images), "assigned")
+    return assigned, fascicle_density(areas, assigned)
+
+
+def nerve_documents(assigned: DataFrame, densities: DataFrame, images: DataFrame) -> DataFrame:
+    """The documents of ``nerve_report``: a row per image that lists its fascicles, so for images with few of them."""
+    return add_densities(nerve_document(densities.select("image_id", "fascicle", "area"), images), assigned)

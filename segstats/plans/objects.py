@@ -132,15 +132,20 @@ def mask_fractions(classes: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def image_totals(classes: DataFrame, objects: DataFrame, images: DataFrame, pixel_size: float) -> DataFrame:
-    """The seven per-image aggregates from class pixels and the axon table."""
+def image_totals(classes: DataFrame, objects: DataFrame, images: DataFrame, pixel_size: float | None = None) -> DataFrame:
+    """The seven per-image aggregates from class pixels and the axon table.
+
+    A given ``pixel_size`` wins over the images' ``um_per_px``.
+    """
+    size = F.col("um_per_px") if pixel_size is None else F.lit(float(pixel_size))
+    sizes = images.select("image_id", size.alias("um_per_px"))
     per_image = objects.groupBy("image_id").agg(
         F.avg("axon_diam").alias("mean_axon_diam"), F.count(F.lit(1)).alias("n_axons")
     )
     gratio = F.sqrt(F.try_divide(F.lit(1.0), 1 + F.try_divide(F.col("mvf"), F.col("avf"))))
-    out = mask_fractions(classes, images).join(per_image, "image_id", "left").withColumn("gratio_aggr", gratio)
+    out = mask_fractions(classes, images).join(sizes, "image_id").join(per_image, "image_id", "left").withColumn("gratio_aggr", gratio)
     out = out.withColumn("mean_myelin_diam", F.try_divide(F.col("mean_axon_diam"), F.col("gratio_aggr")))
-    mm2 = F.col("height").cast("double") * F.col("width") * (pixel_size * pixel_size) / 1_000_000
+    mm2 = F.col("height").cast("double") * F.col("width") * (F.col("um_per_px") * F.col("um_per_px")) / 1_000_000
     return out.select(
         "image_id", "avf", "mvf", "gratio_aggr", "mean_axon_diam", "mean_myelin_diam",
         (F.col("mean_myelin_diam") / 2 - F.col("mean_axon_diam") / 2).alias("mean_myelin_thickness"),

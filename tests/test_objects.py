@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from segstats.operators import geometry, masks
-from segstats.plans.nerve import nerve_report
+from segstats.plans.nerve import nerve_documents, nerve_report
 from segstats.plans.objects import measure_objects
 
 SETS = {
@@ -119,7 +119,8 @@ def test_nerve_report(draw, sizes, spark):
         myelin[y - 2 : y + 3, x - 2 : x + 3] = 1
         axon[y - 1 : y + 2, x - 1 : x + 2] = 1
     myelin[axon > 0] = 0
-    objects, documents = nerve_report(draw(axon), draw(myelin), draw(nerve), sizes((30, 40)), 0.5, (30, 40))
+    objects, densities = nerve_report(draw(axon), draw(myelin), draw(nerve), sizes((30, 40)), 0.5, (30, 40))
+    documents = nerve_documents(objects, densities, sizes((30, 40)))
     assert sorted(r["fascicle_id"] for r in objects.collect()) == [0, 0, 1]
     doc = documents.first()
     assert doc["total_area"]["value"] == (18 * 13 + 20 * 18) * 0.25
@@ -139,3 +140,39 @@ def test_one_image_with_most_pixels(spark):
     a = measure_objects(mask, images, none, 1.0, tile=16).filter("image_id = 0").orderBy("label").collect()
     b = measure_objects(mask.filter("image_id = 0"), images, none, 1.0, extent=(70, 70)).orderBy("label").collect()
     assert a == b
+
+
+def test_folder_needs_masks_sizes_and_a_pixel_size(spark, tmp_path):
+    from catalog.file_queries import png_bytes
+    from segstats.plans.folder import measure_folder
+
+    y, x = np.indices((40, 50))
+    axon = ((y - 20) ** 2 + (x - 25) ** 2 < 49) * 255
+    ring = (((y - 20) ** 2 + (x - 25) ** 2 < 121) & (axon == 0)) * 255
+
+    def save(folder, masks):
+        folder.mkdir(parents=True)
+        for end, mask in masks.items():
+            (folder / f"a{end}").write_bytes(png_bytes(mask))
+
+    full = {".png": axon, "_seg-axon.png": axon, "_seg-myelin.png": ring, "_seg-axonmyelin.png": axon + ring}
+    root = tmp_path / "r"
+    save(root / "one", full)
+    with pytest.raises(Exception, match="no pixel size"):
+        measure_folder(spark, str(root)).objects.collect()
+    (root / "one" / "pixel_size_in_micrometer.txt").write_text("0.5")
+    save(root / "two", full)
+    (root / "two" / "pixel_size_in_micrometer.txt").write_text("2.0")
+    found = measure_folder(spark, str(root))
+    rows = {r.image_id.split("/")[-2]: r for r in found.objects.collect()}
+    totals = {r.image_id.split("/")[-2]: r for r in found.totals.collect()}
+    assert rows["two"].axon_diam == pytest.approx(4 * rows["one"].axon_diam) and rows["one"].gratio == rows["two"].gratio
+    assert totals["one"].axon_density_mm2 == pytest.approx(16 * totals["two"].axon_density_mm2)
+    given = measure_folder(spark, str(root), pixel_size=1.0).objects.collect()
+    assert {r.axon_diam for r in given} == {2 * rows["one"].axon_diam}
+    save(root / "three", {**full, "_seg-myelin.png": ring[:, :40]})
+    with pytest.raises(Exception, match="different sizes"):
+        measure_folder(spark, str(root), pixel_size=1.0)
+    save(tmp_path / "s", {k: v for k, v in full.items() if k != "_seg-myelin.png"})
+    with pytest.raises(Exception, match="missing mask"):
+        measure_folder(spark, str(tmp_path / "s"), pixel_size=1.0)
