@@ -29,6 +29,19 @@ def as_bytes(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.encode("text", "UTF-8").alias("text"), *more)
 
 
+#: Texts and bytes of a batch that goes to Python, where the session has Spark's own defaults.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Texts are long rows: smaller Arrow batches than the default keep tasks small. A session's own choice stays."""
+    conf = df.sparkSession.conf
+    for key, (default, smaller) in BATCH.items():
+        if conf.get(key, default) == default:
+            conf.set(key, smaller)
+    return df
+
+
 def map_rows(
     df: DataFrame, schema: str, rows: Callable[[Iterable[tuple]], Iterator[tuple]], per_batch: int = 4096
 ) -> DataFrame:
@@ -49,7 +62,7 @@ def map_rows(
         if buffer:
             yield _batch(buffer, out)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.common import WORD_BYTES, as_bytes, map_rows, merge_spans, texts
+from segstats.llm.common import WORD_BYTES, as_bytes, bounded_batches, map_rows, merge_spans, texts
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -241,4 +241,4 @@ def decontaminate(
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
 
     assert kind.simpleString() == "string"
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -26,8 +26,8 @@ from segstats.llm.common import map_rows, texts
 SPACE = "▁"
 #: Above this many symbols the agenda is a heap; below, a short list with its smallest entry looked up is faster.
 SHORT = 40
-#: Parts that a task remembers (about 300 bytes each) in each of two generations.
-REMEMBERED = 500_000
+#: Parts that a task remembers (about 220 bytes each) in each of two generations.
+REMEMBERED = 250_000
 #: Characters that are assembled at a time.
 CHUNK = 1 << 20
 
@@ -69,16 +69,17 @@ class Agenda:
             for a, b in zip(piece, piece[1:]):
                 after.setdefault(a, set()).add(b)
         if any("\n" in p for p in self.ids):  # the check of a part needs a line end that stands alone
-            return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+            return " *[^ ]+| +"
         letters = {c for c in after.keys() | set().union(*after.values()) if c.isalpha()}
         while more := set().union(*(after.get(c, set()) for c in letters)) - letters - {SPACE}:
             letters |= more
         known = "".join(map(re.escape, sorted(letters)))
-        other = f"[^{known}{SPACE}\n]"
-        return f"\n+|{SPACE}*{other}*[{known}]+|{SPACE}*{other}+|{SPACE}+" if known else f"\n+|{SPACE}*{other}+|{SPACE}+"
+        other = f"[^{known} \n]"
+        return f"\n+| *{other}*[{known}]+| *{other}+| +" if known else f"\n+| *{other}+| +"
 
     def parts(self, text: str) -> list[str]:
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """Parts with plain spaces for space symbols, which the library takes for the same and which need less memory."""
+        return self.cut.findall(" " + text.replace(SPACE, " ")) if text else []
 
     def merge(self, part: str) -> list[str]:
         """Pieces of ``part`` by score-ordered merging."""
@@ -126,7 +127,7 @@ class Agenda:
 
     def encode_part(self, part: str) -> list[int]:
         out: list[int] = []
-        for piece in self.merge(part):
+        for piece in self.merge(part.replace(" ", SPACE)):
             i = self.ids.get(piece)
             if i is None:
                 out.extend(self.byte[b] for b in piece.encode())
@@ -137,11 +138,11 @@ class Agenda:
     def checked(self, parts: list[str]) -> list[tuple[list[int], bool]]:
         """Ids of each part, with the library's where they differ, and whether they did.
 
-        The library puts a space symbol before every text, so a part that starts with one goes without it, and any other
-        goes behind a line end, whose ids are known.
+        The library puts a space symbol before every text, so a part that starts with a space goes without it, and any
+        other goes behind a line end, whose ids are known.
         """
         lead = len(self.lib.encode("\n"))
-        bare = [len(p) > 1 and p[0] == SPACE for p in parts]
+        bare = [len(p) > 1 and p[0] == " " for p in parts]
         theirs = self.lib.encode([p[1:] if b else "\n" + p for p, b in zip(parts, bare)], num_threads=1)
         theirs = [ids if b else ids[lead:] for ids, b in zip(theirs, bare)]
         own = map(self.encode_part, parts)
@@ -152,25 +153,33 @@ class Agenda:
 
 
 class Memory:
-    """Bounded table of encoded parts: part -> (ids, their decimal text, corrected or not)."""
+    """Bounded table of encoded parts; ``corrected`` names those whose ids are the library's."""
 
     def __init__(self, agenda: Agenda, size: int = REMEMBERED):
         self.agenda, self.size = agenda, size
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.corrected: set[str] = set()
+        self.decimal = [str(i) for i in range(agenda.lib.vocab_size())]
 
-    def look_up(self, parts: list[str]) -> list[tuple]:
+    def look_up(self, parts: list[str]) -> list[tuple[int, ...]]:
         hits = list(map(self.new.get, parts))
         if None not in hits:
             return hits
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
-        missing = [p for p in dict.fromkeys(parts) if p not in self.new]
-        self.new.update((p, self.old[p]) for p in missing if p in self.old)
-        unknown = [p for p in missing if p not in self.old]
+        new, old = self.new, self.old
+        gaps = [k for k, hit in enumerate(hits) if hit is None]
+        missing = dict.fromkeys([parts[k] for k in gaps])
+        unknown = [p for p in missing if p not in old]
+        new.update((p, old[p]) for p in missing if p in old)
         for p, (ids, corrected) in zip(unknown, self.agenda.checked(unknown)):
-            self.new[p] = (tuple(ids), ",".join(map(str, ids)), corrected)
-        return [self.new[p] for p in parts]
+            new[p] = tuple(ids)
+            if corrected:
+                self.corrected.add(p)
+        for k in gaps:
+            hits[k] = new[parts[k]]
+        return hits
 
 
 @lru_cache(maxsize=2)
@@ -185,14 +194,14 @@ def memory(path: str) -> Memory:
 
 def encode_text(text: str, path: str) -> tuple[list[int], str, int]:
     """Ids of ``text``, their decimal form joined by commas, and the number of corrected parts."""
-    known, ids, said, wrong = memory(path), [], [], 0
+    known, ids, wrong = memory(path), [], 0
     parts = known.agenda.parts(text)
     for at in range(0, len(parts), CHUNK):
-        hits = known.look_up(parts[at:at + CHUNK])
-        ids.extend(chain.from_iterable([h[0] for h in hits]))
-        said.extend([h[1] for h in hits])
-        wrong += sum([h[2] for h in hits])
-    return ids, ",".join(said), wrong
+        some = parts[at:at + CHUNK]
+        ids.extend(chain.from_iterable(known.look_up(some)))
+        if known.corrected:
+            wrong += sum(p in known.corrected for p in some)
+    return ids, ",".join(map(known.decimal.__getitem__, ids)), wrong
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:

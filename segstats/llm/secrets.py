@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.common import LOWER_BYTES, as_bytes, map_rows, texts
+from segstats.llm.common import LOWER_BYTES, as_bytes, bounded_batches, map_rows, texts
 from segstats.session import materialize
 
 #: Owners from which on a value is a widely copied example.
@@ -170,7 +170,7 @@ def redact(
             columns = [*batch.columns[:place], pa.array(new, batch.schema.field(place).type), *batch.columns[place + 1:-1]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*names, "__found").mapInArrow(run, docs.schema)
+    return bounded_batches(joined.select(*names, "__found")).mapInArrow(run, docs.schema)
 
 
 def cover(text: str, found: list[dict]) -> str:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segstats.llm.common import as_bytes, map_rows, merge_spans, texts
+from segstats.llm.common import as_bytes, bounded_batches, map_rows, merge_spans, texts
 from segstats.session import materialize
 
 LENGTH = 100
@@ -145,7 +145,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                 names=["anchor", "content", "doc_id", "text_hash", "start", "size", "known"],
             )
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(
+    return bounded_batches(docs.select("doc_id", "text_hash", "text")).mapInArrow(
         run, "anchor bigint, content bigint, doc_id bigint, text_hash int, start int, size int, known boolean"
     )
 

@@ -34,9 +34,19 @@ def test_short_and_long_agenda_agree():
 
 def test_small_memory_changes_nothing():
     known = pieces.Memory(pieces.agenda(pieces.default_model()), size=3)
-    parts = ["▁the", "▁a", "▁of", "▁thing", "\n", "▁the", "▁and", "▁of"] * 3
-    assert [list(h[0]) for h in known.look_up(parts)] == [known.agenda.encode_part(p) for p in parts]
-    assert [list(h[0]) for h in known.look_up(parts[::-1])] == [known.agenda.encode_part(p) for p in parts[::-1]]
+    parts = [" the", " a", " of", " thing", "\n", " the", " and", " of"] * 3
+    assert [list(h) for h in known.look_up(parts)] == [known.agenda.encode_part(p) for p in parts]
+    assert [list(h) for h in known.look_up(parts[::-1])] == [known.agenda.encode_part(p) for p in parts[::-1]]
+    assert not known.corrected
+
+
+def test_parts_that_differ_take_the_library_and_are_counted(monkeypatch):
+    known = pieces.memory(pieces.default_model())
+    fresh = pieces.Memory(known.agenda)
+    monkeypatch.setattr(pieces, "memory", lambda path: fresh)
+    monkeypatch.setattr(pieces.Agenda, "encode_part", lambda self, part: [5] if part == " odd" else [9])
+    ids, _, wrong = pieces.encode_text("even odd odd", pieces.default_model())
+    assert ids == library().encode("even odd odd") and wrong == 3
 
 
 def expect(lib, text):
