@@ -14,21 +14,26 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.llm.common import map_rows, texts
 
 SPACE = "▁"
-#: Above this many symbols the agenda is a heap; below, a short list with its smallest entry looked up is faster.
+#: Up to this many symbols the agendas of many parts are kept in one array; above, each is a heap.
 SHORT = 40
+#: Above every symbol, to make one number of two; above every rank.
+SYMBOLS, NEVER = 1 << 22, 1 << 40
 #: Parts that a task remembers (about 220 bytes each) in each of two generations.
 REMEMBERED = 250_000
-#: Characters that are assembled at a time.
+#: Characters whose parts are looked up together, and parts at a time.
+GROUP = 400_000
 CHUNK = 1 << 20
 
 
@@ -58,6 +63,7 @@ class Agenda:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces with an inner space symbol cannot be cut at spaces")
         self.cut = re.compile(self._cut_pattern())
+        self._pair_table()
 
     def _cut_pattern(self) -> str:
         """Parts that merging cannot join: they start at space symbols, at line ends and behind a run of letters.
@@ -81,25 +87,76 @@ class Agenda:
         """Parts with plain spaces for space symbols, which the library takes for the same and which need less memory."""
         return self.cut.findall(" " + text.replace(SPACE, " ")) if text else []
 
-    def merge(self, part: str) -> list[str]:
-        """Pieces of ``part`` by score-ordered merging."""
-        return self._merge_short(list(part)) if len(part) <= SHORT else self._merge_long(list(part))
+    def _pair_table(self) -> None:
+        """Arrays for merging many parts at once: rank and result of every pair of pieces, ids of characters."""
+        order = np.unique(np.array(list(self.cost.values())), return_inverse=True)[1]
+        rank = dict(zip(self.cost, order.tolist()))
+        pairs = {}
+        for piece, r in rank.items():
+            for k in range(1, len(piece)):
+                a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                if a is not None and b is not None:
+                    pairs[a * SYMBOLS + b] = (r, self.ids[piece])
+        keys = np.array(sorted(pairs), dtype=np.int64)
+        self.pairs = np.append(keys, -1)  # never equal to a key, so that a place behind the last is no match
+        self.rank = np.array([pairs[k][0] for k in keys.tolist()] + [NEVER], dtype=np.int64)
+        self.made = np.array([pairs[k][1] for k in keys.tolist()] + [0], dtype=np.int64)
+        # a character that is no piece is its code point above all ids; it merges with nothing
+        self.first_unknown = self.lib.vocab_size()
+        self.chars = np.arange(0x110000, dtype=np.int32) + self.first_unknown
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.chars[ord(piece)] = i
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * SYMBOLS + right
+        at = np.minimum(np.searchsorted(self.pairs[:-1], key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, at, len(self.pairs) - 1)
+
+    def merge_many(self, parts: list[str]) -> list[list[int]]:
+        """Symbols of each part after merging, as ids.
+
+        Every part keeps its agenda as a stretch of one array with the rank of each adjacent pair. A round takes the best
+        pair of every part, the leftmost on ties, merges it and ranks its two neighbours anew; finished parts leave.
+        """
+        out: list[list[int]] = [[] for _ in parts]
+        symbols = self.chars[np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
+        part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        pair = np.full(len(symbols), len(self.pairs) - 1)
+        inner = np.flatnonzero(part[1:] == part[:-1])
+        pair[inner] = self._ranks(symbols[inner], symbols[inner + 1])
+        while len(symbols):
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            size = np.diff(np.append(first, len(part)))
+            rank = self.rank[pair]
+            best = np.minimum.reduceat(rank, first)
+            ends = best == NEVER
+            if ends.any():
+                done = np.repeat(ends, size)
+                flat, where = symbols[done].tolist(), np.cumsum(np.append(0, size[ends])).tolist()
+                for k, a, b in zip(part[first[ends]].tolist(), where, where[1:]):
+                    out[k] = flat[a:b]
+                stay = ~done
+                symbols, part, pair, rank = symbols[stay], part[stay], pair[stay], rank[stay]
+                best, size = best[~ends], size[~ends]
+                if not len(symbols):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, size))
+            hit = hit[np.append(True, part[hit[1:]] != part[hit[:-1]])]
+            symbols[hit] = self.made[pair[hit]]
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[hit + 1] = False
+            at = hit - np.arange(len(hit))  # one symbol has gone before each later hit
+            symbols, part, pair = symbols[keep], part[keep], pair[keep]
+            pair[at] = len(self.pairs) - 1
+            for k in (at[at > 0] - 1, at[at < len(symbols) - 1]):
+                k = k[part[k] == part[k + 1]]
+                pair[k] = self._ranks(symbols[k], symbols[k + 1])
+        return out
 
-    def _merge_short(self, symbols: list[str]) -> list[str]:
-        get, none = self.cost.get, float("inf")
-        agenda = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            del agenda[i]
-            if i:
-                agenda[i - 1] = get(symbols[i - 1] + symbols[i], none)
-            if i < len(agenda):
-                agenda[i] = get(symbols[i] + symbols[i + 1], none)
-        return symbols
+    def merge(self, part: str) -> list[str]:
+        """Pieces of one part by score-ordered merging."""
+        return self._merge_long(list(part))
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
         get = self.cost.get
@@ -125,14 +182,29 @@ class Agenda:
                 heapq.heappush(agenda, (get(symbols[h] + piece), h, symbols[h] + piece))
         return [s for s in symbols if s]
 
-    def encode_part(self, part: str) -> list[int]:
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part; short ones are merged together, each long one with a heap."""
+        own = [p.replace(" ", SPACE) for p in parts]
+        short = [k for k, p in enumerate(own) if len(p) <= SHORT]
+        out: list[list[int]] = [[] for _ in own]
+        for k, symbols in zip(short, self.merge_many([own[k] for k in short]) if short else []):
+            out[k] = symbols if max(symbols) < self.first_unknown else self._fall_back(symbols)
+        for k, p in enumerate(own):
+            if len(p) > SHORT:
+                pieces = self.merge(p)
+                known = [self.ids.get(s) for s in pieces]
+                out[k] = known if None not in known else [
+                    i for s, one in zip(pieces, known) for i in ([one] if one is not None else [self.byte[b] for b in s.encode()])
+                ]
+        return out
+
+    def _fall_back(self, symbols: list[int]) -> list[int]:
         out: list[int] = []
-        for piece in self.merge(part.replace(" ", SPACE)):
-            i = self.ids.get(piece)
-            if i is None:
-                out.extend(self.byte[b] for b in piece.encode())
-            else:
+        for i in symbols:
+            if i < self.first_unknown:
                 out.append(i)
+            else:
+                out.extend(self.byte[b] for b in chr(i - self.first_unknown).encode())
         return out
 
     def checked(self, parts: list[str]) -> list[tuple[list[int], bool]]:
@@ -145,7 +217,7 @@ class Agenda:
         bare = [len(p) > 1 and p[0] == " " for p in parts]
         theirs = self.lib.encode([p[1:] if b else "\n" + p for p, b in zip(parts, bare)], num_threads=1)
         theirs = [ids if b else ids[lead:] for ids, b in zip(theirs, bare)]
-        own = map(self.encode_part, parts)
+        own = self.encode_parts(parts)
         return [(ids if (wrong := mine != ids) else mine, wrong) for mine, ids in zip(own, theirs)]
 
     def decode(self, ids: list[int]) -> str:
@@ -192,16 +264,31 @@ def memory(path: str) -> Memory:
     return Memory(agenda(path))
 
 
-def encode_text(text: str, path: str) -> tuple[list[int], str, int]:
-    """Ids of ``text``, their decimal form joined by commas, and the number of corrected parts."""
-    known, ids, wrong = memory(path), [], 0
-    parts = known.agenda.parts(text)
-    for at in range(0, len(parts), CHUNK):
-        some = parts[at:at + CHUNK]
-        ids.extend(chain.from_iterable(known.look_up(some)))
-        if known.corrected:
-            wrong += sum(p in known.corrected for p in some)
-    return ids, ",".join(map(known.decimal.__getitem__, ids)), wrong
+def encode_texts(texts: list[str], path: str) -> list[tuple[list[int], str, int]]:
+    """Per text: ids, their decimal form joined by commas, and the number of corrected parts."""
+    known = memory(path)
+    parts = [known.agenda.parts(t) for t in texts]
+    flat = list(chain.from_iterable(parts))
+    hits = iter([h for at in range(0, len(flat), CHUNK) for h in known.look_up(flat[at:at + CHUNK])])
+    out = []
+    for some in parts:
+        ids = list(chain.from_iterable(islice(hits, len(some))))
+        wrong = sum(p in known.corrected for p in some) if known.corrected else 0
+        out.append((ids, ",".join(map(known.decimal.__getitem__, ids)), wrong))
+    return out
+
+
+def in_groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows whose texts (second value) have about GROUP characters together; a longer text is a group of its own."""
+    some, size = [], 0
+    for row in rows:
+        if some and size + len(row[1]) > GROUP:
+            yield some
+            some, size = [], 0
+        some.append(row)
+        size += len(row[1])
+    if some:
+        yield some
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
@@ -210,7 +297,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(
         texts(docs, id_col, text_col), f"doc_id {kind}, ids array<int>",
-        lambda rows: ((d, encode_text(t, path)[0]) for d, t in rows), per_batch=256,
+        lambda rows: (
+            (d, ids) for some in in_groups(rows) for (d, _), (ids, _, _) in zip(some, encode_texts([t for _, t in some], path))
+        ),
+        per_batch=256,
     )
 
 
@@ -232,10 +322,10 @@ def token_digests(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(source):
-        for doc, text in source:
-            ids, said, wrong = encode_text(text, path)
-            back = agenda(path).decode(ids) if ids else ""
-            yield doc, len(ids), sha256(said.encode()).hexdigest(), sha256(back.encode()).hexdigest(), wrong
+        for some in in_groups(source):
+            for (doc, _), (ids, said, wrong) in zip(some, encode_texts([t for _, t in some], path)):
+                back = agenda(path).decode(ids) if ids else ""
+                yield doc, len(ids), sha256(said.encode()).hexdigest(), sha256(back.encode()).hexdigest(), wrong
 
     return map_rows(
         texts(docs, id_col, text_col),

@@ -20,23 +20,26 @@ def test_agenda_equals_the_library_without_correction():
     path, lib, rng = pieces.default_model(), library(), random.Random(1)
     noise = ["".join(rng.choice(" ab\n▁é😀<>0x1.,\t　theing") for _ in range(rng.randint(1, 200))) for _ in range(1500)]
     for text in ODD + noise:
-        ids, said, corrected = pieces.encode_text(text, path)
+        ids, said, corrected = pieces.encode_texts([text], path)[0]
         assert ids == lib.encode(text) and corrected == 0
         assert said == ",".join(map(str, ids))
 
 
-def test_short_and_long_agenda_agree():
+def test_shared_and_single_agenda_agree():
     agenda, rng = pieces.agenda(pieces.default_model()), random.Random(2)
-    for n in (1, 2, 30, 41, 300):
-        part = "▁" + "".join(rng.choice("theingaron") for _ in range(n))
-        assert agenda._merge_short(list(part)) == agenda._merge_long(list(part))
+    parts = ["▁" + "".join(rng.choice("theingaron▁é😀0.") for _ in range(n)) for n in (0, 1, 2, 5, 30, 39, 39) for _ in range(40)]
+    together = agenda.merge_many(parts)
+    for part, symbols in zip(parts, together):
+        expected = [agenda.ids.get(s, agenda.first_unknown + ord(s[0])) for s in agenda.merge(part)]
+        assert symbols == expected, part
+    assert agenda.encode_parts(["▁" + "ab" * 500, " x"])[1] == library().encode("x")
 
 
 def test_small_memory_changes_nothing():
     known = pieces.Memory(pieces.agenda(pieces.default_model()), size=3)
     parts = [" the", " a", " of", " thing", "\n", " the", " and", " of"] * 3
-    assert [list(h) for h in known.look_up(parts)] == [known.agenda.encode_part(p) for p in parts]
-    assert [list(h) for h in known.look_up(parts[::-1])] == [known.agenda.encode_part(p) for p in parts[::-1]]
+    assert [list(h) for h in known.look_up(parts)] == known.agenda.encode_parts(parts)
+    assert [list(h) for h in known.look_up(parts[::-1])] == known.agenda.encode_parts(parts[::-1])
     assert not known.corrected
 
 
@@ -44,8 +47,8 @@ def test_parts_that_differ_take_the_library_and_are_counted(monkeypatch):
     known = pieces.memory(pieces.default_model())
     fresh = pieces.Memory(known.agenda)
     monkeypatch.setattr(pieces, "memory", lambda path: fresh)
-    monkeypatch.setattr(pieces.Agenda, "encode_part", lambda self, part: [5] if part == " odd" else [9])
-    ids, _, wrong = pieces.encode_text("even odd odd", pieces.default_model())
+    monkeypatch.setattr(pieces.Agenda, "encode_parts", lambda self, parts: [[5] for _ in parts])
+    ids, _, wrong = pieces.encode_texts(["even odd odd"], pieces.default_model())[0]
     assert ids == library().encode("even odd odd") and wrong == 3
 
 
