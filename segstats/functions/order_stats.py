@@ -16,10 +16,19 @@ from segstats.session import materialize
 VALUES_PER_TASK = 5_000_000
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(keys, value, n)``, written once; missing values have a row of their own."""
+    return materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counts")
+
+
 def ordered_counts(df: DataFrame, keys: list[str], value: str, per_task: int = VALUES_PER_TASK) -> DataFrame:
     """``(keys, value, n, below, total)``: ties of each value, rows below it, rows of the key."""
-    grouped = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(grouped, "counts")
+    present = df.filter(F.col(value).isNotNull())
+    return order_counts(value_counts(present, keys, value), keys, value, per_task)
+
+
+def order_counts(counts: DataFrame, keys: list[str], value: str, per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """``below`` and ``total`` for ``counts (keys, value, n)`` without missing values."""
     largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     of_key = Window.partitionBy(*keys)
     if largest <= per_task:

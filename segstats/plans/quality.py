@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segstats.functions.order_stats import ordered_counts, percentile_of_counts, percentiles, ranked
+from segstats.functions.order_stats import order_counts, ordered_counts, percentile_of_counts, value_counts
 from segstats.functions.scalars import fixed
+from segstats.session import materialize
 
 
 def numeric_metrics(objects: DataFrame, skip: int = 3) -> list[str]:
@@ -19,14 +20,30 @@ def melt(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 
 def summary(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Mean, median, population deviation, IQR, extremes and missing count per metric."""
-    long, by = melt(objects, keys, metrics), [*keys, "metric"]
-    basic = long.groupBy(*by).agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.count("value").alias("n"),
+    """Mean, median, population deviation, IQR, extremes and missing count per metric.
+
+    Everything comes from the counts of distinct values, so the objects are read once.
+    """
+    by = [*keys, "metric"]
+    counts = value_counts(melt(objects, keys, metrics), by, "value")
+    weighted = F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    basic = counts.groupBy(*by).agg(
+        weighted.alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
+    )
+    present = counts.filter("value IS NOT NULL")
+    apart = present.join(basic.select(*by, "mean"), by).groupBy(*by).agg(
+        F.sqrt(F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2) / F.sum("n")).alias("std")
+    )
+    points = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+    ordered = order_counts(present, by, "value").groupBy(*by).agg(
+        *[percentile_of_counts(p, "value").alias(name) for name, p in points.items()]
+    )
+    return (
+        basic.join(apart, by, "left").join(ordered, by, "left").withColumn("iqr", F.col("q3") - F.col("q1"))
+        .select(*by, "mean", "std", "min", "max", "n_missing", "n", *points, "iqr")
     )
-    ordered = percentiles(long, by, "value", {"median": 0.5, "q1": 0.25, "q3": 0.75})
-    return basic.join(ordered, by, "left").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def histogram(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -71,25 +88,49 @@ def flag_objects(objects: DataFrame, keys: list[str]) -> DataFrame:
     return flagged.filter("flag_gratio OR flag_axon OR flag_myelin")
 
 
+RANKED = {"diameter": "axon_diam", "thickness": "myelin_thickness", "gratio": "gratio"}
+
+
 def ranks(objects: DataFrame, keys: list[str]) -> DataFrame:
     """Rank, percentile rank and "k of n" text of diameter, thickness and g-ratio.
 
-    Missing values count as -1 and so rank lowest, except in the absolute g-ratio rank,
-    which leaves them out and shows -1.
+    Missing values count as the lowest, except in the absolute g-ratio rank, which leaves them out and shows -1.
+    One set of value counts serves all three. Rows with a missing value never meet on it: their rank is a constant of
+    their key, and in the joins they are spread by a hash that matches nothing.
     """
-    filled = objects
-    for metric in ("axon_diam", "myelin_thickness", "gratio"):
-        filled = filled.withColumn(f"_{metric}", F.coalesce(metric, F.lit(-1.0)))
-    out = ranked(filled, keys, {"diameter": "_axon_diam", "thickness": "_myelin_thickness", "gratio": "_gratio"})
-    # ranks over present g-ratios: drop the missing ones, all of which sit below
-    missing = objects.groupBy(*keys).agg(F.count_if(F.col("gratio").isNull()).alias("_missing"))
-    out = out.join(missing, keys).withColumn(
-        "gratio_rank", F.when(F.col("gratio").isNull(), F.lit(-1)).otherwise(F.col("gratio_rank") - F.col("_missing"))
+    by = [*keys, "metric"]
+    counts = value_counts(melt(objects, keys, list(RANKED.values())), by, "value")
+    absent = counts.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("absent"), F.sum("n").alias("rows")
+    )
+    placed = materialize(order_counts(counts.filter("value IS NOT NULL"), by, "value").drop("total").join(absent, by), "ranks")
+    out = objects
+    for name, metric in RANKED.items():
+        own = placed.filter(F.col("metric") == metric).selectExpr(
+            *[f"{k} AS _{k}" for k in keys], "value AS _value", "0L AS _spread", f"below + 1 AS {name}_present",
+            f"(below + absent + (n + 1) / 2) / rows AS {name}_above",
+        )
+        spread = F.when(F.col(metric).isNotNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*objects.columns).bitwiseOR(1))
+        value = F.coalesce(F.col(metric), F.lit(0.0))
+        same = (value == F.col("_value")) & (spread == F.col("_spread"))
+        for k in keys:
+            same = same & (out[k] == F.col(f"_{k}"))
+        out = out.join(own, same, "left").drop(*[f"_{k}" for k in keys], "_value", "_spread")
+    # one row per key
+    totals = absent.groupBy(*keys).agg(
+        F.first("rows").alias("_rows"),
+        *[F.max(F.when(F.col("metric") == m, F.col("absent"))).alias(f"_{n}") for n, m in RANKED.items()],
     )
-    names = ("diameter", "thickness", "gratio")
+    out = out.join(totals, keys)
+    columns = {}
+    for name in RANKED:
+        present, missing = F.col(f"{name}_present"), F.col(f"_{name}")
+        rank = F.when(present.isNull(), F.lit(1)).otherwise(present + missing)
+        if name == "gratio":
+            rank = F.coalesce(present, F.lit(-1))
+        columns[f"{name}_rank"] = rank.cast("bigint")
+        columns[f"{name}_percentile"] = fixed(F.coalesce(f"{name}_above", (missing + 1) / 2 / F.col("_rows")) * 100, 1)
+        columns[f"{name}_of"] = F.concat(rank.cast("bigint"), F.lit(" of "), F.col("_rows"))
     return out.select(
-        *objects.columns,
-        *[F.col(f"{n}_rank").cast("bigint").alias(f"{n}_rank") for n in names],
-        *[fixed(F.col(f"{n}_pct") * 100, 1).alias(f"{n}_percentile") for n in names],
-        *[F.concat(F.col(f"{n}_rank").cast("bigint"), F.lit(" of "), F.col(f"{n}_total")).alias(f"{n}_of") for n in names],
+        *objects.columns, *[columns[f"{n}_{k}"].alias(f"{n}_{k}") for k in ("rank", "percentile", "of") for n in RANKED]
     )

@@ -353,3 +353,32 @@ def test_tiles_cover_every_pixel_and_stitch_back(spark, draw, sizes, shape, patc
 def test_tile_step_bounds(spark, sizes):
     with pytest.raises(ValueError):
         patches.windows(sizes((8, 8)), (4, 4), 0.0)
+
+
+def test_ranks_where_most_values_are_missing(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"s": np.where(rng.random(800) < 0.8, 0, 1), "line": np.arange(800)})
+    for name in ("axon_diam", "myelin_thickness", "gratio"):
+        frame[name] = np.round(rng.random(800), 2)
+        frame.loc[(frame["s"] == 0) & (rng.random(800) < 0.9), name] = np.nan
+    frame.loc[frame["s"] == 1, "gratio"] = np.nan
+    df = spark.createDataFrame(frame)
+    for name in ("axon_diam", "myelin_thickness", "gratio"):
+        df = df.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+    got = quality.ranks(df, ["s"]).toPandas().sort_values("line").reset_index(drop=True)
+    total = frame.groupby("s")["line"].transform("size")
+    for short, name in (("diameter", "axon_diam"), ("thickness", "myelin_thickness"), ("gratio", "gratio")):
+        filled = frame[name].fillna(-1.0).groupby(frame["s"])
+        rank = filled.rank(method="min").astype(int)
+        if short == "gratio":
+            present = frame["gratio"].groupby(frame["s"]).rank(method="min")
+            rank = present.fillna(-1).astype(int)
+        assert (got[f"{short}_rank"] == rank).all()
+        assert (got[f"{short}_of"] == rank.astype(str) + " of " + total.astype(str)).all()
+        assert np.allclose(got[f"{short}_percentile"].astype(float), filled.rank(pct=True) * 100, atol=0.051)
+    stats = quality.summary(df, ["s"], ["axon_diam", "gratio"]).toPandas().set_index(["s", "metric"])
+    for (s, name), row in stats.iterrows():
+        v = frame.loc[frame["s"] == s, name].dropna()
+        assert row["n"] == len(v) and row["n_missing"] == (frame["s"] == s).sum() - len(v)
+        if len(v):
+            assert np.allclose([row["mean"], row["std"], row["median"]], [v.mean(), v.std(ddof=0), v.median()])
