@@ -100,9 +100,9 @@ for _mode, _role in files.TARGET_MASK.items():
 
 @query(
     "missing_masks",
-    f"""{ROLES}, need AS (SELECT i.dir, i.stem, r.role FROM i SEMI JOIN (SELECT * FROM m WHERE role = 'nerve') k USING (dir, stem),
-  (VALUES ('nerve'), ('axon'), ('myelin')) r(role)) SELECT * FROM need ANTI JOIN m USING (dir, stem, role)"""
-    .replace("FROM i SEMI JOIN (SELECT * FROM m WHERE role = 'nerve') k USING (dir, stem),", "FROM (SELECT * FROM i SEMI JOIN (SELECT * FROM m WHERE role = 'nerve') k USING (dir, stem)) i,"),
+    f"""{ROLES}, ready AS (SELECT * FROM i SEMI JOIN (SELECT * FROM m WHERE role = 'nerve') k USING (dir, stem)),
+need AS (SELECT dir, stem, r.role FROM ready, (VALUES ('nerve'), ('axon'), ('myelin')) r(role))
+SELECT * FROM need ANTI JOIN m USING (dir, stem, role)""",
 )
 def missing_masks(spark, sf):
     return files.missing_masks(listing(spark, sf), "nerve")
@@ -166,8 +166,7 @@ def input_check(spark, sf):
 
 @query(
     "pixel_sizes",
-    """SELECT p_partkey, '/data/subject' || CAST(p_size AS VARCHAR) AS dir, CASE WHEN p_size % 2 = 0 THEN p_size / 1000 ELSE p_size / 500 END AS um_per_px FROM part"""
-    .replace("p_size / 1000", "round(p_size / 1000, 6)").replace("p_size / 500", "round(p_size / 500, 6)"),
+    """SELECT p_partkey, '/data/subject' || CAST(p_size AS VARCHAR) AS dir, round(CASE WHEN p_size % 2 = 0 THEN p_size / 1000 ELSE p_size / 500 END, 6) AS um_per_px FROM part""",
 )
 def pixel_sizes(spark, sf):
     part = table(spark, sf, "part")

@@ -278,18 +278,19 @@ def mask_runs(spark, sf):
     return compress(axon(spark, sf))
 
 
-ERODE = """g AS (SELECT * FROM px WHERE v > CAST(-0.15 AS DOUBLE)),
+def erode_sql(square: int) -> str:
+    return f"""g AS (SELECT * FROM px WHERE v > CAST(-0.15 AS DOUBLE)),
 miss AS (SELECT DISTINCT g.image_id, g.pos FROM g JOIN (SELECT px.* FROM px ANTI JOIN g USING (image_id, pos)) b
-  ON b.image_id = g.image_id AND (b.y - g.y) * (b.y - g.y) + (b.x - g.x) * (b.x - g.x) <= 4)"""
+  ON b.image_id = g.image_id AND (b.y - g.y) * (b.y - g.y) + (b.x - g.x) * (b.x - g.x) <= {square})"""
 
 
-@query("erosion", f"WITH {PX}, {ERODE} SELECT {cols(P)}, miss.pos IS NULL AS kept FROM g LEFT JOIN miss USING (image_id, pos)")
+@query("erosion", f"WITH {PX}, {erode_sql(4)} SELECT {cols(P)}, miss.pos IS NULL AS kept FROM g LEFT JOIN miss USING (image_id, pos)")
 def erosion(spark, sf):
     mask = rasters(spark, sf).filter("v > -0.15D").select(*PIXEL)
     return masks.eroded(mask, images(spark, sf), 2)
 
 
-@query("contour", f"WITH {PX}, {ERODE.replace('<= 4', '<= 9')} SELECT {cols(P)} FROM g SEMI JOIN miss USING (image_id, pos)")
+@query("contour", f"WITH {PX}, {erode_sql(9)} SELECT {cols(P)} FROM g SEMI JOIN miss USING (image_id, pos)")
 def contour(spark, sf):
     return masks.contour(rasters(spark, sf).filter("v > -0.15D").select(*PIXEL), images(spark, sf), 3)
 
@@ -517,14 +518,13 @@ def object_closeups(spark, sf):
 def flagged_object_mask(spark, sf):
     axons = axon_labels(spark, sf)
     small = region_sums(axons).filter("area <= 2").select("image_id", (F.col("label") - 1).alias("idx"))
-    labels = fibre_labels(axon(spark, sf), myelin(spark, sf), axons, images(spark, sf), EXTENT)
+    labels = fibre_labels(axon(spark, sf), myelin(spark, sf), axons, images(spark, sf), EXTENT, "grow")
     return geometry.flagged_mask(labels, small)
 
 
 @query(
     "diameter_map",
-    f"{REGION_SQL} SELECT {cols(P, 'equivalent_diameter:axon_diam')} FROM l JOIN r USING (image_id, label)"
-    .replace("SELECT CAST(y ", "SELECT CAST(l.y ").replace("CAST(y AS BIGINT) AS y, CAST(x AS BIGINT)", "CAST(l.y AS BIGINT) AS y, CAST(l.x AS BIGINT)"),
+    f"{REGION_SQL} SELECT {cols('image_id; l.y:y; l.x:x', 'equivalent_diameter:axon_diam')} FROM l JOIN r USING (image_id, label)",
 )
 def diameter_map(spark, sf):
     labels = axon_labels(spark, sf)
@@ -541,7 +541,7 @@ LEFT JOIN o ON o.image_id = f.image_id AND o.label = f.label""",
 )
 def metrics_at_points(spark, sf):
     metrics = ["axon_diam", "myelin_thickness", "gratio", "image_border_touching"]
-    out = geometry.metrics_at(points(spark, sf), fibres(spark, sf), measured(spark, sf), metrics)
+    out = geometry.metrics_at(points(spark, sf), fibres(spark, sf, "flood"), measured(spark, sf), metrics)
     return out.select("event_id", "image_id", "label", *metrics)
 
 

@@ -358,8 +358,8 @@ BIN = "CASE " + " ".join(
 BINNED = f"""WITH {OBJ}, b AS (SELECT *, {BIN} AS bin FROM obj WHERE gratio < 1),
 u AS ({' UNION ALL '.join(f"SELECT subject_id, bin, '{m}' AS metric, {c} AS value FROM b WHERE bin IS NOT NULL" for m, c in BINNED_METRICS.items())}),
 s AS (SELECT subject_id, metric, bin, {cols('', STATS.format('value'))} FROM u GROUP BY ALL),
-grid AS (SELECT DISTINCT subject_id, metric, bin FROM b, (VALUES {', '.join(f"('{m}')" for m in BINNED_METRICS)}) m(metric),
-  (VALUES {', '.join(f"('{n}')" for n, _, _ in DIAMETER_BINS)}) k(bin))""".replace("DISTINCT subject_id, metric, bin FROM b", "DISTINCT subject_id, metric, k.bin FROM b")
+grid AS (SELECT DISTINCT subject_id, metric, k.bin FROM b, (VALUES {', '.join(f"('{m}')" for m in BINNED_METRICS)}) m(metric),
+  (VALUES {', '.join(f"('{n}')" for n, _, _ in DIAMETER_BINS)}) k(bin))"""
 
 
 @query("binned_statistics", f"{BINNED} SELECT * FROM grid LEFT JOIN s USING (subject_id, metric, bin)")
