@@ -70,6 +70,15 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+#: Rows of keys (some 40 bytes each) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` for a join with texts: broadcast if counted to be few, else left to Spark's own choice."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)

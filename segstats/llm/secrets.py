@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.common import LOWER_BYTES, as_bytes, bounded_batches, map_rows, texts
+from segstats.llm.common import BROADCAST_ROWS, LOWER_BYTES, as_bytes, bounded_batches, map_rows, texts
 from segstats.session import materialize
 
 #: Owners from which on a value is a widely copied example.
@@ -156,6 +156,9 @@ def redact(
         )
         .dropDuplicates(["__id", "__hash"])
     )
+    findings = materialize(findings, "findings")
+    if (findings.agg(F.sum(F.size("__found"))).first()[0] or 0) <= BROADCAST_ROWS:
+        findings = F.broadcast(findings)
     hashed = F.xxhash64(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
     joined = docs.withColumn("__own", hashed).join(
         findings, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left"

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.common import LOWER_BYTES, as_bytes, map_rows, texts
+from segstats.llm.common import LOWER_BYTES, as_bytes, map_rows, small, texts
 from segstats.operators.components import union_edges
 from segstats.session import materialize
 
@@ -269,7 +269,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__hash"))
     repeated = judged.filter("stays AND n > 1")
     if repeated.isEmpty():
-        return docs.join(judged.filter("NOT stays"), same, "left_anti")
-    single = docs.join(judged.filter("NOT stays OR n > 1"), same, "left_anti")
-    once = docs.join(repeated, same, "left_semi").withColumn("__hash", own).dropDuplicates([id_col, "__hash"])
+        return docs.join(small(judged.filter("NOT stays")), same, "left_anti")
+    single = docs.join(small(judged.filter("NOT stays OR n > 1")), same, "left_anti")
+    once = docs.join(small(repeated), same, "left_semi").withColumn("__hash", own).dropDuplicates([id_col, "__hash"])
     return single.unionByName(once.select(*docs.columns))

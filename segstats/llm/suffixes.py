@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segstats.llm.common import as_bytes, bounded_batches, map_rows, merge_spans, texts
+from segstats.llm.common import as_bytes, bounded_batches, map_rows, merge_spans, small, texts
 from segstats.session import materialize
 
 LENGTH = 100
@@ -37,8 +37,6 @@ PIECE = 1 << 19
 SHARD_BYTES = 1 << 19
 #: Segments of one anchor that may go to one shard.
 GROUP_LIMIT = 2000
-#: Keys (24 bytes each) that may be broadcast to pick texts; with more the join is left to Spark.
-BROADCAST_KEYS = 1_000_000
 LOW_BITS = np.uint64((1 << 20) - 1)
 RANDOM = np.random.default_rng(20).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -152,8 +150,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
 def pick(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on ``(doc_id, text_hash)``, with the keys broadcast if they are counted to be few."""
-    few = keys.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, ["doc_id", "text_hash"], how)
+    return docs.join(small(keys), ["doc_id", "text_hash"], how)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
