@@ -1,10 +1,13 @@
 import gzip
 from hashlib import sha1
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from segstats.llm import warc
+from segstats.llm import queries, warc
+
+SF = "/root/testdata/sf0.001"
 
 LONG = "<p>é</p>" * 300
 
@@ -90,5 +93,13 @@ def test_ranges_are_coalesced():
     assert len(asked) == 2
 
 
-def test_registered_query_matches_sql(same_as_sql):
-    assert same_as_sql("op1_warc")
+def test_registered_query_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    df = queries.QUERIES["op1_warc"](spark, SF)
+    columns = sorted(df.columns)
+    cursor = con.execute(queries.SQL["op1_warc"])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    expected = sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == expected and expected
