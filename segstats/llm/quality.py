@@ -7,6 +7,9 @@ tried on the next. The order changes the work, never the verdict. Nothing is shu
 Repeated 8-word windows are found inside each text: word hashes are combined to window hashes by doubling (two 64-bit values
 are equal by chance once in 2**64), a text without an equal pair stops there, and others sort their windows once.
 
+Different words are counted in consecutive blocks of 1000 words over the whole text, since their share of all words falls as a
+text grows; in a text of one block it is the plain share.
+
 Defined cases: a null text has no words and fails ``too_short``, like an empty one; repeated rows give repeated rows; an empty
 table an empty result. Only the named columns are read, so others may have any name.
 """
@@ -26,6 +29,8 @@ from segstats.session import materialize
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
+#: Words of a block in which different words are counted.
+BLOCK_WORDS = 1000
 #: Rows that costs and selectivities are measured on; verdicts do not depend on them.
 SAMPLE_ROWS = 500
 SAMPLE_FRACTION = 0.1
@@ -90,6 +95,15 @@ def doubled(w: Column) -> Column:
     return F.size(F.filter(w, lambda x, k: F.coalesce(x == F.get(w, k - 1), F.lit(False))))
 
 
+def block_distinct(w: Column) -> Column:
+    """Different words of each block of ``BLOCK_WORDS`` words, summed over the text's blocks."""
+    last = F.floor(F.greatest(F.size(w) - 1, F.lit(0)) / BLOCK_WORDS).cast("int")
+    counts = F.transform(
+        F.sequence(F.lit(0), last), lambda k: F.size(F.array_distinct(F.slice(w, k * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS))))
+    )
+    return F.aggregate(counts, F.lit(0), lambda n, x: n + x)
+
+
 def metrics(text: Column, w: Column) -> dict[str, Column]:
     """Measures that rules are made of, each evaluated only where it is asked for."""
     n = F.size(w)
@@ -102,7 +116,7 @@ def metrics(text: Column, w: Column) -> dict[str, Column]:
         "n_lines": F.size(F.split(text, "\n")),
         "n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")),
         "n_exclamations": F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
-        "n_distinct_words": F.size(F.array_distinct(w)),
+        "n_block_words": let(w, block_distinct),
         "n_doubled_words": let(w, doubled),
     }
 
@@ -115,7 +129,7 @@ RULES: dict[str, Callable[[dict[str, Column]], Column]] = {
     "exclamations": lambda m: 10 * m["n_exclamations"] > 3 * m["n_words"],
     "capitals": lambda m: 2 * m["n_capitals"] > m["word_chars"],
     "doubled_words": lambda m: 20 * m["n_doubled_words"] > 3 * m["n_words"],
-    "few_different_words": lambda m: 10 * m["n_distinct_words"] < m["n_words"],
+    "few_different_words": lambda m: 10 * m["n_block_words"] < m["n_words"],
     "duplicate_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
     "odd_word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]),
 }

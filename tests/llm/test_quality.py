@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from segstats.llm import quality, queries
@@ -66,3 +67,16 @@ def test_order_changes_no_verdict_and_keep_good_agrees(spark):
     assert set(quality.rule_order(docs)) == set(quality.RULES)
     plan = good._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_different_words_are_judged_alike_at_any_length(spark):
+    rng = np.random.default_rng(6)
+    simple = [f"w{k}" for k in rng.integers(0, 1500, 60_000)]
+    few = [f"w{k}" for k in rng.integers(0, 60, 60_000)]
+    docs = [(n, " ".join(simple[:n])) for n in (500, 1000, 1001, 15_000, 60_000)] + [(-n, " ".join(few[:n])) for n in (1000, 1001, 15_000, 60_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.failed_rule for r in quality.assess(df).collect()} == {d: "few_different_words" if d < 0 else None for d, _ in docs}
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {d for d, _ in docs if d > 0}
+    w = quality.words(F.col("text"))
+    plain = {d: sum(len(set(t.split()[k:k + 1000])) for k in range(0, len(t.split()), 1000)) for d, t in docs}
+    assert {r.doc_id: r.n for r in df.select("doc_id", quality.block_distinct(w).alias("n")).collect()} == plain
