@@ -81,7 +81,8 @@ LICENCES = (
     ("libpng", r"libpng license", "libpng", "libpng"),
     ("unlicense", r"(?:the )?unlicense", "unlicense", "unlicense"),
     ("wtfpl", r"do what the fuck you want to public license", "you want to public license", "wtfpl"),
-    ("cc0-1.0", r"(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", "cc0", "cc0 1 0"),
+    ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?", "cc0", "cc0 1 0"),
+    ("cc0-1.0", r"creative commons zero(?: 1 0)?(?: universal)?", "creative commons zero", "cc0 1 0"),
     ("cc-by-nc-nd", r"cc by nc nd(?: \d 0)?", "cc by nc nd", "cc by nc nd"),
     ("cc-by-nc-sa", r"cc by nc sa(?: \d 0)?", "cc by nc sa", "cc by nc sa"),
     ("cc-by-nc", r"cc by nc(?: \d 0)?", "cc by nc", "cc by nc"),

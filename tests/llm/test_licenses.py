@@ -91,3 +91,41 @@ def test_registered_query_matches_brute_force_and_is_native(spark):
     assert any(r.n_base for r in rows)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def alternatives(parsed):
+    """Every string that a title's regular expression matches, with one digit for any."""
+    out = [""]
+    for op, value in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(value)]
+        elif kind == "SUBPATTERN":
+            more = alternatives(value[-1])
+        elif kind == "BRANCH":
+            more = [x for part in value[1] for x in alternatives(part)]
+        elif kind == "MAX_REPEAT":
+            assert value[:2] == (0, 1)
+            more = ["", *alternatives(value[2])]
+        elif kind == "IN":
+            more = ["4" if str(o) == "CATEGORY" else chr(v) for o, v in value]
+        else:
+            raise AssertionError(kind)
+        out = [x + y for x in out for y in more]
+    return set(out)
+
+
+def test_every_alternative_of_a_title_has_its_literal_a_keyword_and_an_anchor():
+    assert alternatives(re._parser.parse(r"a(?:b|c d)?[ef]\d")) == {"ae4", "af4", "abe4", "abf4", "ac de4", "ac df4"}
+    for label, title, literal, _ in licenses.LICENCES:
+        for name in alternatives(re._parser.parse(title)):
+            assert literal in f" {name} ", (label, name)
+            assert any(k in name for k in licenses.KEYWORDS), (label, name)
+            assert set(name.split()) & set(licenses.ANCHORS), (label, name)
+
+
+def test_creative_commons_zero_by_its_long_name(spark):
+    docs = [(1, "licensed under Creative Commons Zero 1.0 Universal"), (2, "Creative Commons Zero"), (3, "Creative Commons Zero (CC0) 1.0"), (4, "creative commons zeroes")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.summarize(licenses.scan_licences(df)).collect()}
+    assert got == {1: ("cc0-1.0", 0.95), 2: ("cc0-1.0", 0.7), 3: ("cc0-1.0", 0.7), 4: ("", 0.0)}
