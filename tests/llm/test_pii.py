@@ -103,3 +103,20 @@ def test_registered_query_matches_brute_force(spark):
         base = sorted(brute(text[r.doc_id]), key=lambda x: (pii.KINDS.index(x[0]), x[1]))
         assert r.base_sha256 == sha256(pii.said(base).encode()).hexdigest()
         assert set(filter(None, pii.said(base).split(","))) <= set(r.spans.split(","))
+
+
+def test_texts_that_are_passed_over_hold_no_candidate():
+    weights = pii.prior_weights()
+    assert pii.find_spans(b"contact joe at site dot org", weights) == ([], [("email", 8, 27)])
+    assert pii.find_spans(b"contact joe at site.org or a+b at site.org", weights)[1]
+    rng = np.random.default_rng(8)
+    parts = ["joe", "mail", "site", "org", " at ", " dot ", "[at]", "(at)", "[dot]", "(at", "anecdote", ".", "+", " ", "_", "\n", "\u00e9"]
+    passed = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        candidates = any(s.edges for s in pii.stretches(text))
+        everything = [x for s in pii.stretches(text) for x in pii.best_segments(s, weights)]
+        found = pii.find_spans(text.encode(), weights)[1]
+        assert sorted(found) == sorted(everything), text
+        passed += not candidates
+    assert passed
