@@ -34,11 +34,11 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 HEX_BYTES = bytes(104 if chr(b) in "0123456789abcdef" else 46 for b in range(256))
 #: Provider formats: kind, literals of which one must occur, pattern.
 PROVIDERS = (
-    ("github", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36,255}")),
-    ("slack", (b"xox",), re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,255}")),
+    ("github", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}+")),
+    ("slack", (b"xox",), re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}+")),
     ("google", (b"AIza",), re.compile(r"AIza[A-Za-z0-9_-]{35}")),
-    ("stripe", (b"sk_live_", b"rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{16,255}")),
-    ("jwt", (b"eyJ",), re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}")),
+    ("stripe", (b"sk_live_", b"rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}+")),
+    ("jwt", (b"eyJ",), re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")),
     ("pem", (b"PRIVATE KEY-----",), re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
 )
 KINDS = BASE + tuple(p[0] for p in PROVIDERS)

@@ -72,3 +72,13 @@ def test_widely_held_values_are_examples_and_redaction_follows(spark):
 def test_findings_that_overlap_are_covered_once(spark):
     docs = make(spark, [(1, 'a token = "' + "0af9" * 10 + '" b', "s")])
     assert secrets.redact(docs).first().text == 'a [assign]" b'
+
+
+def test_provider_values_of_any_length():
+    part = "aB3_" * 3000
+    for kind, value in (
+        ("jwt", f"eyJ{part}.eyJ{part}.{part}"), ("github", "ghp_" + "aB3" * 400), ("slack", "xoxb-" + "1a-" * 400), ("stripe", "sk_live_" + "x9Z" * 400),
+    ):
+        found = [(f[0], f[2]) for f in secrets.scan(f"see {value} here".encode()) if f[3] == kind]
+        assert found == [(4, 4 + len(value))]
+    assert not [f for f in secrets.scan(("eyJ" + "a" * 500_000 + " " + "eyJa" * 200_000).encode()) if f[3] == "jwt"]
