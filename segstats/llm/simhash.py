@@ -260,7 +260,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only ids and hashes of the rows that go are joined with the texts.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, with_hash=True), "fingerprints")
-    rows = marked.join(components(marked, radius), "fp").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    return first_of_groups(docs, marked, components(marked, radius), id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, marked: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each ``root`` in ``named (fp, root)``; ``marked (doc_id, fp, text_hash)`` has a row for each of ``docs``."""
+    rows = marked.join(named, "fp").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = rows.groupBy("root").agg(F.min(rank).alias("first"))
     judged = materialize(rows.join(first, "root").select("doc_id", "text_hash", "n", (rank == F.col("first")).alias("stays")), "judged")
