@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, licenses, pieces, pii, quality, secrets, simhash, suffixes, toxicity, warc
+from segstats.llm import decontaminate, infill, licenses, pieces, pii, quality, secrets, simhash, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +110,38 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", secrets.said("found").alias("spans")
     )
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    cut = infill.restore(infill.fill_in_middle(table(spark, sf, "documents")))
+    return cut.select(
+        "doc_id", "n", "form", F.char_length("prefix").cast("bigint").alias("prefix_chars"),
+        F.char_length("middle").cast("bigint").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("text", 256).alias("restored_sha256"),
+    )
+
+
+SQL["op13_fill_in_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units,
+    [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN [0, 1, 2, 3]] AS d FROM t
+), c AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, least(d[1] % (len(units) + 1), d[2] % (len(units) + 1)) AS a,
+    greatest(d[1] % (len(units) + 1), d[2] % (len(units) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 100 THEN 'plain'
+      WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+    array_to_string(units[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
