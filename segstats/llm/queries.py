@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, infill, licenses, pieces, pii, quality, secrets, simhash, suffixes, toxicity, warc
+from segstats.llm import decontaminate, dialogue, infill, licenses, pieces, pii, quality, secrets, simhash, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,6 +112,77 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    damaged = dialogue.damage(table(spark, sf, "conversations"))
+    return dialogue.repair(damaged, present=F.col("present")).reports
+
+
+SQL["op12_conversation_repair"] = r"""
+WITH RECURSIVE keys AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), lots AS (
+  -- CRC-32: each byte is put in, then eight bits are shifted out
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(key, '')])),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) % 20 AS lot FROM keys
+), after AS (
+  SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE lot WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM lots
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    regexp_extract(text, '([^ \t\n\x0B\f\r])[ \t\n\x0B\f\r]*$', 1) AS last, substr(role, 1, 1) AS initial FROM after
+), faults AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM placed
+), turns AS (
+  SELECT *, fault IS NULL OR fault = 'truncated' AS stays, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS late FROM faults
+), sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id
+), back AS (
+  SELECT conv_id, n + 1 AS pos, [0, 10, 5, 0] AS b FROM sums
+  UNION ALL
+  SELECT conv_id, pos, [least(a[1], 5 + a[3], 10 + a[4]), least(a[2], 5 + a[3], 10 + a[4]), least(a[3], 5 + a[4]), least(a[4], 5 + a[3])] FROM (
+    SELECT t.conv_id, t.pos, [
+      least(2 + b[1], CASE WHEN stays THEN least(1 + late + b[3], CASE initial WHEN 's' THEN late + b[2] WHEN 'u' THEN late + b[3] END) END),
+      least(2 + b[2], CASE WHEN stays THEN least(1 + late + b[3], CASE initial WHEN 'u' THEN late + b[3] END) END),
+      least(2 + b[3], CASE WHEN stays THEN least(1 + late + b[4], CASE initial WHEN 'a' THEN late + b[4] END) END),
+      least(2 + b[4], CASE WHEN stays THEN least(1 + late + b[3], CASE initial WHEN 'u' THEN late + b[3] END) END)] AS a
+    FROM back JOIN turns t ON t.conv_id IS NOT DISTINCT FROM back.conv_id AND t.pos = back.pos - 1)
+), forth AS (
+  SELECT conv_id, CAST(1 AS BIGINT) AS pos, 1 AS s, '' AS audit, 0 AS cost, CAST([] AS VARCHAR[]) AS said FROM sums
+  UNION ALL
+  SELECT conv_id, CASE op WHEN 'I' THEN pos ELSE pos + 1 END,
+    CASE op WHEN 'D' THEN s WHEN 'K' THEN kept ELSE made END, audit || op,
+    cost + CASE op WHEN 'D' THEN 2 WHEN 'I' THEN 5 WHEN 'K' THEN late ELSE 1 + late END,
+    CASE op WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+      ELSE list_append(said, CASE s WHEN 3 THEN 'assistant' ELSE 'user' END || ':' || CASE op WHEN 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT *, CASE WHEN role IS NOT NULL AND 2 + nb[s] = cb[s] THEN 'D' WHEN 5 + cb[made] = cb[s] THEN 'I'
+      WHEN stays AND late + nb[kept] = cb[s] THEN 'K' ELSE 'R' END AS op
+    FROM (
+      SELECT f.*, t.role, t.text, t.stays, t.late, c.b AS cb, x.b AS nb, CASE s WHEN 3 THEN 4 ELSE 3 END AS made,
+        CASE WHEN s = 1 AND initial = 's' THEN 2 WHEN s <> 3 AND initial = 'u' THEN 3 WHEN s = 3 AND initial = 'a' THEN 4 END AS kept
+      FROM forth f JOIN back c ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.pos = f.pos
+      LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.pos = f.pos
+      LEFT JOIN back x ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.pos = f.pos + 1
+      WHERE t.pos IS NOT NULL OR c.b[s] > 0))
+), done AS (
+  SELECT conv_id, audit, cost, sha256(array_to_string(said, chr(10))) AS repaired_sha256 FROM forth
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(audit) DESC) = 1
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     cut = infill.restore(infill.fill_in_middle(table(spark, sf, "documents")))
