@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, dialogue, infill, licenses, pieces, pii, quality, secrets, simhash, suffixes, toxicity, warc
+from segstats.llm import decontaminate, dialogue, infill, jaccard, licenses, pieces, pii, quality, secrets, simhash, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,6 +112,11 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     damaged = dialogue.damage(table(spark, sf, "conversations"))

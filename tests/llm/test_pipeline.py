@@ -108,4 +108,4 @@ def test_odd_rows_pass_through_every_stage(spark):
 def test_registered(spark):
     assert "pipeline" in __spark_entry__.queries()
     assert decontaminate.WINDOW == 10 and pieces.default_model().endswith(".model")
-    assert [k.split("_")[0] for k in __spark_entry__.queries() if re.match(r"op\d+_", k)].__len__() == 12
+    assert [k.split("_")[0] for k in __spark_entry__.queries() if re.match(r"op\d+_", k)].__len__() == 13
