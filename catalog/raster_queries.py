@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.views import (
-    EXTENT, PIXEL, POINTS, PX, SLIDE, axon, cols, components_sql, flood_sql, grow_sql, hull_sql, images, myelin, nerve,
-    perimeter_sql, points, predicted_classes, query, rasters, regions_sql, seeds_sql, slide, slide_size, table,
+    AXON, EXTENT, NERVE, PIXEL, POINTS, PX, SLIDE, axon, cols, components_sql, flood_sql, grow_sql, hull_sql, images, myelin, nerve,
+    perimeter_sql, points, predicted_classes, query, raster_runs, rasters, regions_sql, seeds_sql, slide, slide_size, table,
 )
 from segstats.functions.scalars import float_to_bits
 from segstats.operators import geometry, masks, patches
+from segstats.operators.algebra import n_pixels, sweep
 from segstats.operators.components import label_components
 from segstats.operators.distance import distance_to_background
 from segstats.operators.regions import centroid_pixels, hull_areas, measure_regions, perimeters, region_sums
@@ -161,6 +162,15 @@ def region_solidity(spark, sf):
 # ---- masks ----------------------------------------------------------------------------
 
 LEVEL = "CAST(floor((v + 1) * 127) AS BIGINT)"
+SLIDE_MASKS = """two AS (SELECT l_suppkey AS y, l_partkey % 1000 AS x, sum(l_quantity) AS v, sum(l_linenumber) AS n FROM lineitem GROUP BY ALL)"""
+
+
+def slide_masks(spark, sf):
+    """Two masks of the slide as runs."""
+    cells = table(spark, sf, "lineitem").groupBy(
+        F.lit(0).cast("bigint").alias("image_id"), F.col("l_suppkey").cast("int").alias("y"), (F.col("l_partkey") % 1000).cast("int").alias("x")
+    ).agg(F.sum("l_quantity").alias("v"), F.sum("l_linenumber").alias("n"))
+    return compress(cells.filter("v > 25").select(*PIXEL)), compress(cells.filter("n > 2").select(*PIXEL))
 
 
 def gray(spark, sf):
@@ -210,7 +220,7 @@ def class_census(spark, sf):
 UNION ALL SELECT image_id, y, x, 127 FROM nerve) GROUP BY image_id, y, x""",
 )
 def merge_masks(spark, sf):
-    return masks.merge_masks(axon(spark, sf), nerve(spark, sf))
+    return as_pixels(masks.merge_masks(raster_runs(spark, sf, AXON), raster_runs(spark, sf, NERVE)))
 
 
 def _overlap(priority):
@@ -223,8 +233,8 @@ SELECT {cols(P)}, part FROM r"""
 
     @query(f"remove_overlap_keep_{priority}", sql)
     def run(spark, sf):
-        parts = masks.remove_overlap(axon(spark, sf), nerve(spark, sf), priority)
-        named = [m.withColumn("part", F.lit(n)) for m, n in zip(parts, ("mask1", "mask2", "overlap"))]
+        parts = masks.remove_overlap(raster_runs(spark, sf, AXON), raster_runs(spark, sf, NERVE), priority)
+        named = [as_pixels(m).withColumn("part", F.lit(n)) for m, n in zip(parts, ("mask1", "mask2", "overlap"))]
         return named[0].unionByName(named[1]).unionByName(named[2])
 
 
@@ -234,7 +244,7 @@ _overlap(2)
 
 @query("clip_to_nerve", f"WITH {PX} SELECT {cols(P)} FROM axon SEMI JOIN nerve USING (image_id, y, x)")
 def clip_to_nerve(spark, sf):
-    return masks.clip(axon(spark, sf), nerve(spark, sf))
+    return as_pixels(masks.clip(raster_runs(spark, sf, AXON), raster_runs(spark, sf, NERVE)))
 
 
 @query(
@@ -243,7 +253,31 @@ def clip_to_nerve(spark, sf):
     "UNION ALL SELECT * FROM nerve ANTI JOIN axon USING (image_id, y, x))",
 )
 def mask_symmetric_difference(spark, sf):
-    return masks.symmetric_difference(axon(spark, sf), nerve(spark, sf))
+    return as_pixels(masks.symmetric_difference(raster_runs(spark, sf, AXON), raster_runs(spark, sf, NERVE)))
+
+
+@query(
+    "slide_merged_masks",
+    f"""WITH {SLIDE_MASKS}, s AS (SELECT y, x, CASE WHEN n > 2 THEN 127 ELSE 255 END AS v FROM two WHERE v > 25 OR n > 2),
+k AS (SELECT y, x, v, x - row_number() OVER (PARTITION BY y, v ORDER BY x) AS g FROM s)
+SELECT CAST(0 AS BIGINT) AS image_id, {cols('y; min(x):x0; max(x):x1; v')} FROM k GROUP BY y, v, g""",
+)
+def slide_merged_masks(spark, sf):
+    big, many = slide_masks(spark, sf)
+    return compress(masks.merge_masks(big, many), ["v"])
+
+
+@query(
+    "slide_mask_algebra",
+    f"""WITH {SLIDE_MASKS} SELECT CAST(0 AS BIGINT) AS image_id, {cols('y; count(*) FILTER (v > 25 AND n > 2):both; count(*) FILTER (v > 25 AND n <= 2):only_a; '
+        'count(*) FILTER (v <= 25 AND n > 2):only_b; count(*):either')} FROM two WHERE v > 25 OR n > 2 GROUP BY y""",
+)
+def slide_mask_algebra(spark, sf):
+    big, many = slide_masks(spark, sf)
+    a, b = F.col("a"), F.col("b")
+    return sweep({"a": big, "b": many}).groupBy("image_id", "y").agg(
+        n_pixels(a & b).alias("both"), n_pixels(a & ~b).alias("only_a"), n_pixels(b & ~a).alias("only_b"), n_pixels().alias("either")
+    )
 
 
 HOLES = f"""WITH RECURSIVE {PX}, bg AS (SELECT px.* FROM px ANTI JOIN myelin USING (image_id, pos)),

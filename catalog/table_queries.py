@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from catalog.raster_queries import FIBRE_SQL, axon_labels, fibres
 from catalog.views import (
-    exact, EXTENT, OBJ, PIXEL, POINTS, PX, axon, cols, components_sql, images, myelin, nerve, objects, points,
-    predicted_classes, query, regions_sql, seeds_sql, slide, slide_size, table, true_axon, true_classes, SLIDE, flood_sql,
+    AXON, exact, EXTENT, OBJ, POINTS, PX, TRUTH, axon, cols, components_sql, images, myelin, nerve, objects, points,
+    predicted_classes, query, raster_runs, regions_sql, seeds_sql, slide, slide_size, table, true_axon, true_classes, SLIDE, flood_sql,
 )
 from segstats.constants import BINNED_METRICS, DIAMETER_BINS
+from segstats.operators.algebra import overlap_lengths
 from segstats.operators.components import label_components
 from segstats.operators.regions import measure_regions, region_sums
-from segstats.operators.runs import as_pixels, lookup
+from segstats.operators.runs import lookup
 from segstats.plans import aggregate, nerve as nerve_plan, quality, scoring
 from segstats.plans.objects import fibre_metrics, image_totals, mask_fractions
 from segstats.session import materialize
@@ -201,12 +202,12 @@ SCORES = (f"{SE}:sensitivity; {PR}:precision; {SP}:specificity; 1 - {SE}:fn_rate
 
 @query("pixel_scores", f"{CONFUSION} SELECT image_id, {cols('tp; fp; fn; tn', SCORES)} FROM cf")
 def pixel_scores(spark, sf):
-    return scoring.pixel_scores(scoring.confusion(axon(spark, sf), true_axon(spark, sf), images(spark, sf)))
+    return scoring.pixel_scores(scoring.confusion(raster_runs(spark, sf, AXON), raster_runs(spark, sf, TRUTH), images(spark, sf)))
 
 
 @query("global_dice", f"{CONFUSION} SELECT image_id, {cols('', 'coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 1):dice')} FROM cf")
 def global_dice(spark, sf):
-    return scoring.global_dice(scoring.confusion(axon(spark, sf), true_axon(spark, sf), images(spark, sf)))
+    return scoring.global_dice(scoring.confusion(raster_runs(spark, sf, AXON), raster_runs(spark, sf, TRUTH), images(spark, sf)))
 
 
 TWO = f"""WITH RECURSIVE {PX}, {components_sql('pl', 'axon', 2)}, {regions_sql('pr', 'pl')},
@@ -550,10 +551,7 @@ def candidate_difference(spark, sf):
 FROM pl p JOIN tl t ON p.image_id = t.image_id AND p.pos = t.pos GROUP BY p.image_id, p.label, t.label""",
 )
 def object_overlaps(spark, sf):
-    predicted, true = (as_pixels(m) for m in two_labellings(spark, sf))
-    return predicted.join(true.withColumnRenamed("label", "true_label"), PIXEL).groupBy(
-        "image_id", "label", "true_label"
-    ).agg(F.count(F.lit(1)).alias("common"))
+    return overlap_lengths(*two_labellings(spark, sf))
 
 
 @query(

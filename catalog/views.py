@@ -85,6 +85,23 @@ def rasters(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").selectExpr("vec_id AS image_id", cells)
 
 
+def raster_runs(spark: SparkSession, sf: str, condition: str) -> DataFrame:
+    """Runs of the pixels where a condition on ``c.v``, ``c.nv`` and ``c.bv`` holds, found inside each vector."""
+    cells = (
+        "transform(embedding, (v, i) -> struct(cast(v as double) AS v, cast(embedding[(i + 1) % 64] as double) AS nv, "
+        "cast(embedding[(i + 8) % 64] as double) AS bv))"
+    )
+    on = table(spark, sf, "embeddings").selectExpr("vec_id AS image_id", f"transform({cells}, c -> coalesce({condition}, false)) AS on")
+    ends = on.selectExpr(
+        "image_id", "filter(sequence(0, 63), i -> on[i] AND (i % 8 = 0 OR NOT on[i - 1])) AS a", "filter(sequence(0, 63), i -> on[i] AND (i % 8 = 7 OR NOT on[i + 1])) AS b"
+    )
+    return ends.selectExpr("image_id", "inline(transform(arrays_zip(a, b), r -> struct(cast(r.a div 8 as int) AS y, r.a % 8 AS x0, r.b % 8 AS x1)))")
+
+
+#: The masks of the views as conditions for ``raster_runs``.
+AXON, NERVE, TRUTH = "c.v > 0.05D", "c.bv > 0", "(c.v + c.nv) / 2 > 0.03D"
+
+
 def images(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width")

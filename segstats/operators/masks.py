@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segstats.constants import INTENSITY
+from segstats.operators.algebra import ROW, part, places, sweep
 from segstats.operators.components import label_components
 from segstats.operators.geometry import paint
 from segstats.operators.grouped import ints, stream_groups
 from segstats.operators.regions import expand, find, region_sums
-from segstats.operators.runs import PIXEL, TILE, TILE_KEY, as_pixels, as_runs, complement, compress, cut_to_tiles
+from segstats.operators.runs import PIXEL, TILE, TILE_KEY, as_pixels, complement, compress, cut_to_tiles
 from segstats.session import materialize
 
 
@@ -65,34 +66,30 @@ def mask_name(path: Column, class_name: str) -> Column:
 
 def merge_masks(axon: DataFrame, myelin: DataFrame) -> DataFrame:
     """Semantic mask ``v``: myelin 127 (also where both are set), axon 255."""
-    both = axon.select(*PIXEL, F.lit(INTENSITY["axon"]).alias("v")).unionByName(
-        myelin.select(*PIXEL, F.lit(INTENSITY["myelin"]).alias("v"))
-    )
-    return both.groupBy(*PIXEL).agg(F.min("v").alias("v"))
+    met = sweep({"axon": axon.select(*ROW, *places(axon)), "myelin": myelin.select(*ROW, *places(myelin))})
+    v = F.when(F.col("myelin"), INTENSITY["myelin"]).otherwise(INTENSITY["axon"])
+    runs = met.select(*ROW, "x0", "x1", v.alias("v"))
+    return runs if "x0" in axon.columns else as_pixels(runs).select(*PIXEL, "v")
 
 
 def remove_overlap(first: DataFrame, second: DataFrame, priority: int = 1):
     """``(first, second, overlap)`` with the overlap kept only in the mask with priority."""
     if priority not in (1, 2):
         raise ValueError("priority must be 1 or 2")
-    overlap = first.join(second.select(*PIXEL), PIXEL, "left_semi")
+    met = sweep({"a": first, "b": second})
+    overlap = part(met, "a AND b", first, "a")
     if priority == 1:
-        return first, second.join(first.select(*PIXEL), PIXEL, "left_anti"), overlap
-    return first.join(second.select(*PIXEL), PIXEL, "left_anti"), second, overlap
+        return first, part(met, "b AND NOT a", second, "b"), overlap
+    return part(met, "a AND NOT b", first, "a"), second, overlap
 
 
 def clip(mask: DataFrame, region: DataFrame) -> DataFrame:
-    """Mask pixels inside a region of interest."""
-    return mask.join(region.select(*PIXEL), PIXEL, "left_semi")
+    """The part of a mask inside a region of interest."""
+    return part(sweep({"a": mask, "b": region.select(*ROW, *places(region))}), "a AND b", mask, "a")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    tagged = a.select(*PIXEL, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(
-        b.select(*PIXEL, F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
-    )
-    return tagged.groupBy(*PIXEL).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b")).filter(
-        "in_a <> in_b"
-    ).select(*PIXEL)
+    return part(sweep({"a": a.select(*ROW, *places(a)), "b": b.select(*ROW, *places(b))}), "a <> b", a)
 
 
 def small_holes(mask: DataFrame, images: DataFrame, max_area_fraction: float = 0.1, extent=None) -> DataFrame:
@@ -145,7 +142,7 @@ def eroded(mask: DataFrame, images: DataFrame, radius: int = 3, tile: int = TILE
     Runs are made maximal first (those of labels end at tile borders). Tiles overlap by
     the radius, so one look-up per disk row decides a pixel.
     """
-    runs = compress(as_pixels(mask).select(*PIXEL).distinct())
+    runs = compress(mask)
     sized = runs.select("image_id", "y", "x0", "x1").join(images, "image_id")
     kind = mask.schema["image_id"].dataType.simpleString()
     return stream_groups(

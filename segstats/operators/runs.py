@@ -37,14 +37,16 @@ def as_pixels(mask: DataFrame) -> DataFrame:
 
 
 def compress(mask: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Maximal runs of a pixel mask (per value of ``by`` columns): gaps and islands."""
+    """Maximal runs of a mask (per value of ``by`` columns): gaps and islands over runs that may touch, overlap or repeat."""
     by = by or []
-    row = Window.partitionBy("image_id", "y", *by).orderBy("x")
+    row = Window.partitionBy("image_id", "y", *by).orderBy("x0")
+    before = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        mask.select(*PIXEL, *by)
-        .withColumn("island", F.col("x") - F.row_number().over(row))
+        as_runs(mask).select("image_id", "y", "x0", "x1", *by)
+        .withColumn("fresh", F.coalesce((F.col("x0") > before + 1).cast("int"), F.lit(1)))
+        .withColumn("island", F.sum("fresh").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .groupBy("image_id", "y", *by, "island")
-        .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+        .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
         .drop("island")
     )
 
@@ -67,12 +69,14 @@ def cut_to_tiles(runs: DataFrame, tile: int = TILE, halo: int = 0) -> DataFrame:
 
 def complement(mask: DataFrame, images: DataFrame) -> DataFrame:
     """Background runs of every image in ``images (image_id, height, width)``."""
-    runs = compress(as_pixels(mask))
+    runs = as_runs(mask)
     rows = images.select("image_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     # a zero-length run before column 0 makes the first gap and the empty rows ordinary gaps
     start = rows.select("image_id", "y", F.lit(-1).alias("x0"), F.lit(-1).alias("x1"))
-    nxt = F.lead("x0").over(Window.partitionBy("image_id", "y").orderBy("x0"))
-    gaps = runs.select("image_id", "y", "x0", "x1").unionByName(start).withColumn("next", nxt)
+    row = Window.partitionBy("image_id", "y").orderBy("x0")
+    # runs may overlap: a gap begins after the furthest end so far
+    end = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    gaps = runs.select("image_id", "y", "x0", "x1").unionByName(start).select("image_id", "y", end.alias("x1"), F.lead("x0").over(row).alias("next"))
     return (
         gaps.join(images.select("image_id", "width"), "image_id")
         .select(

@@ -9,7 +9,7 @@ from segstats.functions.scalars import round_exact
 from segstats.operators.components import label_components
 from segstats.operators.masks import clip
 from segstats.operators.regions import region_sums
-from segstats.operators.runs import as_pixels, lookup
+from segstats.operators.runs import lookup
 from segstats.plans.objects import measure_objects
 from segstats.session import materialize
 
@@ -122,9 +122,8 @@ def nerve_report(
     """
     fascicles = materialize(label_components(nerve, 1, extent=extent), "fascicles")
     areas = fascicle_areas(fascicles, pixel_size, images)
-    inside = as_pixels(nerve)
     objects = measure_objects(
-        clip(as_pixels(axon), inside), images, clip(as_pixels(myelin), inside), pixel_size, extent=extent
+        clip(axon, nerve), images, clip(myelin, nerve), pixel_size, extent=extent
     )
     # written once: the densities count what the table lists
     assigned = materialize(assign_fascicle(objects, fascicles, images), "assigned")

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from segstats.functions.order_stats import percentiles
 from segstats.functions.scalars import round_exact
+from segstats.operators.algebra import ROW, n_pixels, overlap_lengths, places, sweep
 from segstats.operators.components import label_components
 from segstats.operators.distance import distance_to_background
 from segstats.operators.grouped import changes, stream_groups
 from segstats.operators.masks import contour
 from segstats.operators.regions import centroid_pixels, region_sums
-from segstats.operators.runs import PIXEL, as_pixels, complement, lookup
+from segstats.operators.runs import PIXEL, complement, lookup
 from segstats.session import materialize
 
 
@@ -27,14 +28,10 @@ def confusion(
     row for each of ``values``, also where it has no such pixel.
     """
     keys = [by] if by else []
-    both = prediction.select(*PIXEL, *keys, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
-        truth.select(*PIXEL, *keys, F.lit(0).alias("p"), F.lit(1).alias("t"))
-    )
-    cells = both.groupBy(*PIXEL, *keys).agg(F.max("p").alias("p"), F.max("t").alias("t"))
+    cells = sweep({"p": prediction.select(*ROW, *places(prediction), *keys), "t": truth.select(*ROW, *places(truth), *keys)}, keys)
+    p, t = F.col("p"), F.col("t")
     counted = cells.groupBy("image_id", *keys).agg(
-        F.count_if(F.col("p") + F.col("t") == 2).alias("tp"),
-        F.count_if(F.col("p") > F.col("t")).alias("fp"),
-        F.count_if(F.col("t") > F.col("p")).alias("fn"),
+        n_pixels(p & t).alias("tp"), n_pixels(p & ~t).alias("fp"), n_pixels(t & ~p).alias("fn")
     )
     size = F.col("height").cast("bigint") * F.col("width")
     grid = images.withColumn(by, F.explode(F.array(*[F.lit(v) for v in values]))) if by else images
@@ -85,11 +82,7 @@ def object_dice(
         .join(sums.select("image_id", "label", "area"), ["image_id", "label"])
         .filter(F.col("area") > min_area)
     )
-    common = (
-        as_pixels(predicted).select(*PIXEL, "label")
-        .join(as_pixels(true).select(*PIXEL, F.col("label").alias("true_label")), PIXEL)
-        .groupBy("image_id", "label", "true_label").agg(F.count(F.lit(1)).alias("common"))
-    )
+    common = overlap_lengths(predicted, true)
     true_area = region_sums(true).select("image_id", F.col("label").alias("true_label"), F.col("area").alias("true_area"))
     return (
         pairs.join(common, ["image_id", "label", "true_label"], "left")
