@@ -6,8 +6,9 @@ borders, a cue word before it. Dynamic programming over segments picks boundarie
 fitted by gradient ascent on the likelihood of the base spans in a bounded sample of texts, around prior weights that say what a
 feature should mean; with no sample the prior stays. Found segments that overlap no base span are added.
 
-All patterns are linear in the length of a text; texts without a digit or an at-sign, also a spelled one, are passed over. Nothing is shuffled but the
-sample.
+Time is linear in the length of a text: the fixed patterns never try a character twice, and candidate segments, at most ``MAX_TOKENS``
+tokens, are matched on copies in which a long token or gap counts as its first ``SHADOW`` characters (no form depends on more). Texts
+without a digit or an at-sign, also a spelled one, are passed over. Nothing is shuffled but the sample.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated rows; an empty table an empty result. Positions are code
 points, ends exclusive.
@@ -31,6 +32,8 @@ SAMPLE_TEXTS = 300
 SAMPLE_STRETCHES = 20
 ROUNDS, RATE, PRIOR_WIDTH = 12, 0.5, 1.0
 MAX_TOKENS = 24
+#: Characters of a token or gap that decide whether a segment has a form; longer than any number's form.
+SHADOW = 64
 #: Tokens to either side of a trigger that belong to its stretch.
 AROUND = 8
 
@@ -91,8 +94,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 TOKEN = re.compile(r"[^\W_]+|\S")
 AT = r"(?:@|\x20?\[at\]\x20?|\x20?\(at\)\x20?|\x20at\x20)"
 DOT = r"(?:\.|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?|\x20dot\x20)"
+SPELLED = r"\x20?\[dot\]\x20?|\x20?\(dot\)\x20?|\x20dot\x20"
 LOOSE = {
-    "email": re.compile(rf"[A-Za-z0-9%+-]+(?:[._]|{DOT}|[A-Za-z0-9%+-])*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+"),
+    # one way to read each character of the local part
+    "email": re.compile(rf"[A-Za-z0-9%+-](?:[A-Za-z0-9%+._-]|{SPELLED})*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9]){11,18}"),
     "phone": re.compile(r"[+(]?[0-9][0-9\x20().-]{5,22}[0-9]"),
@@ -122,7 +127,6 @@ def prior_weights() -> np.ndarray:
 def segment_features(kind: str, text: str, start: int, end: int, cues: set[str]) -> list[int]:
     """Places of the features that a whole segment has."""
     s = text[start:end]
-    digits = only_digits(s)
     before, after = text[start - 1:start], text[end:end + 1]
     has = {
         "bias": True, "clean": not (before.isalnum() or after.isalnum() or (kind != "email" and before in ("+", "."))) and s.count("(") == s.count(")"),
@@ -133,12 +137,22 @@ def segment_features(kind: str, text: str, start: int, end: int, cues: set[str])
     elif kind == "ip":
         has["octets"] = octets(s)
     elif kind == "card":
+        digits = only_digits(s)
         has |= {"luhn": luhn(digits), "length": 13 <= len(digits) <= 19, "one_issuer": digits[0] in "3456"}
     else:
+        digits = only_digits(s)
         has |= {"plus": s[0] == "+", "length": 9 <= len(digits) <= 15, "groups": len(re.findall(r"[0-9]+", s)) > 2}
     return [PLACE[kind, f] for f, on in has.items() if on]
 
 
+def shorter(text: str, start: int, end: int) -> str:
+    """A token for matching: a long one as its first characters, or as one that is in no form if it has any of that kind."""
+    if end - start <= SHADOW:
+        return text[start:end]
+    token = text[start:end]
+    return token[:SHADOW] if token.isascii() else "\u00e9"
+
+
 class Stretch:
     """Tokens around triggers, and their candidate segments ``(first, last + 1, kind, features)``."""
 
@@ -147,18 +161,25 @@ class Stretch:
         self.edges: list[tuple[int, int, str, list[int]]] = []
         marks = [i for i, (a, b) in enumerate(tokens) if text[a:b] in ("@", "at")]
         next_mark = np.searchsorted(marks, np.arange(len(tokens)))
+        # each token with the gap before it, cut short
+        shadow = []
+        for (_, gap), (a, b) in zip([(0, tokens[0][0]), *tokens], tokens):
+            between = text[gap:a]
+            shadow.append(("\n" if "\n" in between else between[:SHADOW], shorter(text, a, b)))
         for i, (a, b) in enumerate(tokens):
             first = text[a]
             numeric = first in "+(" or "0" <= first <= "9"
             mailish = next_mark[i] < len(marks) and marks[next_mark[i]] < i + MAX_TOKENS and first.isalnum()
             if not (numeric or mailish):
                 continue
-            cues = {text[x:y].lower() for x, y in tokens[max(0, i - 3):i]}
+            cues = {text[x:y].lower() for x, y in tokens[max(0, i - 3):i] if y - x <= SHADOW}
+            s = ""
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 end = tokens[j][1]
-                s = text[a:end]
-                if "\n" in s:
+                gap, token = shadow[j]
+                if j > i and gap == "\n":
                     break
+                s = s + gap + token if j > i else token
                 if numeric and not DIGITISH.fullmatch(s):
                     numeric = False
                 if not (numeric or mailish):

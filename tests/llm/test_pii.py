@@ -1,4 +1,5 @@
 import re
+import time
 from hashlib import sha256
 from itertools import product
 
@@ -120,3 +121,39 @@ def test_texts_that_are_passed_over_hold_no_candidate():
         assert sorted(found) == sorted(everything), text
         passed += not candidates
     assert passed
+
+
+PLAIN_EMAIL = re.compile(rf"[A-Za-z0-9%+-]+(?:[._]|{pii.DOT}|[A-Za-z0-9%+-])*{pii.AT}[A-Za-z0-9-]+(?:{pii.DOT}[A-Za-z0-9-]+)+")
+
+
+def test_loose_address_reads_as_its_plain_definition():
+    rng = np.random.default_rng(9)
+    parts = ["a", "b9", ".", "_", "-", "+", "%", "@", " ", "[dot]", "(dot)", "dot", "[at]", "(at)", "at", "\u00e9"]
+    met = 0
+    for _ in range(30_000):
+        ends = [rng.choice(parts[:-1], rng.integers(1, 6)) for _ in "ab"]
+        text = "".join([*ends[0], rng.choice(["@", " [at] ", "(at)", " at "]), *ends[1], rng.choice([".", " dot ", "[dot]"]), "b9"])
+        assert bool(pii.LOOSE["email"].fullmatch(text)) == bool(PLAIN_EMAIL.fullmatch(text)), text
+        met += bool(PLAIN_EMAIL.fullmatch(text))
+    assert met > 200
+
+
+def seconds(text):
+    start = time.perf_counter()
+    found = pii.find_spans(text.encode(), pii.prior_weights())[1]
+    return time.perf_counter() - start, found
+
+
+def test_time_is_linear_in_long_words_dots_and_spelled_dots():
+    cases = {
+        "word": lambda n: "x" * n + " joe@site.org", "word in front": lambda n: "x" * n + "@site.org", "word behind": lambda n: "joe@" + "x" * n,
+        "accents": lambda n: "\u00e9" * n + "@site", "dots": lambda n: "a" + "." * n + " @", "dots and words": lambda n: "a." * n + " @ b",
+        "spelled dots": lambda n: "a" + " [dot] " * (n // 8) + "@", "dot dot": lambda n: "a" + " dot" * (n // 4) + " at b", "gaps": lambda n: "1" + " " * n + "2@a",
+        "digits": lambda n: "1" * n + "@a.b 1.2.3.4", "plus": lambda n: "+1" + " (" * (n // 2), "ats": lambda n: "a (at) " * (n // 100) + "b", "brackets": lambda n: "[dot]" * (n // 5) + "@x",
+    }
+    for name, make in cases.items():
+        small, _ = seconds(make(100_000))
+        large, _ = seconds(make(1_000_000))
+        assert large < 4 and large < 25 * max(small, 0.02), (name, small, large)
+    assert seconds("x" * 200_000 + "@site.org")[1] == [("email", 0, 200_009)]
+    assert seconds("x" * 200_000 + " mail joe [at] site [dot] org")[1] == [("email", 200_006, 200_029)]
