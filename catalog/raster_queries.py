@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.views import (
-    AXON, EXTENT, NERVE, PIXEL, POINTS, PX, SLIDE, axon, cols, components_sql, flood_sql, grow_sql, hull_sql, images, myelin, nerve,
+    AXON, EXTENT, NERVE, PIXEL, POINTS, PX, SLIDE, arrival_sql, axon, cols, components_sql, flood_sql, grow_sql, hull_sql, images, myelin, nerve,
     perimeter_sql, points, predicted_classes, query, raster_runs, rasters, regions_sql, seeds_sql, slide, slide_size, table,
 )
 from segstats.functions.scalars import float_to_bits
@@ -365,6 +365,11 @@ def fibre_flood(spark, sf):
     return as_pixels(flood(axon(spark, sf), myelin(spark, sf), seeds, images(spark, sf), EXTENT))
 
 
+@query("fibre_arrival", f"{SEED_SQL}, {arrival_sql('f', 's')} SELECT {cols(P + '; label')} FROM f")
+def fibre_arrival(spark, sf):
+    return as_pixels(fibres(spark, sf, "arrival")).select(*PIXEL, "label")
+
+
 @query(
     "fibre_flood_cover",
     f"""{FIBRE_SQL} SELECT image_id, CAST(count(*) AS BIGINT) AS n_pixels FROM f GROUP BY image_id""",

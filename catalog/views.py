@@ -268,6 +268,25 @@ def flood_sql(name: str, seeds: str, axon: str = "axon", myelin: str = "myelin")
   WHERE k = 64 AND lab[p + 1] IS NOT NULL)"""
 
 
+def arrival_sql(name: str, seeds: str, axon: str = "axon", myelin: str = "myelin") -> str:
+    """CTEs that run a priority queue of (level, arrival, place) on every image: each round takes one place and puts in its neighbours."""
+    return f"""{name}_d AS (SELECT a.image_id, a.pos, min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS d2
+  FROM {axon} a JOIN (SELECT px.* FROM px ANTI JOIN {axon} USING (image_id, pos)) b USING (image_id) GROUP BY 1, 2),
+{name}_f AS (SELECT p.image_id, p.pos, CASE WHEN a.pos IS NOT NULL OR m.pos IS NOT NULL THEN s.label END AS label,
+  CASE WHEN a.pos IS NOT NULL OR m.pos IS NOT NULL THEN CAST(-coalesce(d.d2, 0) AS BIGINT) END AS lev FROM px p
+  LEFT JOIN {axon} a USING (image_id, pos) LEFT JOIN {myelin} m USING (image_id, pos) LEFT JOIN {name}_d d USING (image_id, pos)
+  LEFT JOIN {seeds} s ON s.image_id = p.image_id AND s.y = p.y AND s.x = p.x),
+{name}_q(image_id, lev, lab, queue, age) AS (SELECT image_id, list(lev ORDER BY pos), list(label ORDER BY pos),
+    list([lev, 0, pos] ORDER BY pos) FILTER (label IS NOT NULL), 0 FROM {name}_f GROUP BY 1
+  UNION ALL SELECT image_id, lev, list_transform(range(64), lambda i: CASE WHEN list_contains(fresh, i) THEN lab[here + 1] ELSE lab[i + 1] END),
+    list_concat(list_filter(queue, lambda e: e <> head), list_transform(fresh, lambda i, k: [lev[i + 1], age + k, i])), age + len(fresh)
+  FROM (SELECT *, list_filter([CASE WHEN here >= 8 THEN here - 8 END, CASE WHEN here % 8 > 0 THEN here - 1 END, CASE WHEN here % 8 < 7 THEN here + 1 END,
+      CASE WHEN here < 56 THEN here + 8 END], lambda i: i IS NOT NULL AND lev[i + 1] IS NOT NULL AND lab[i + 1] IS NULL) AS fresh
+    FROM (SELECT *, list_min(queue) AS head, list_min(queue)[3] AS here FROM {name}_q WHERE len(queue) > 0))),
+{name} AS (SELECT image_id, p AS pos, p // 8 AS y, p % 8 AS x, lab[p + 1] AS label
+  FROM (SELECT image_id, lab FROM {name}_q WHERE queue IS NULL OR len(queue) = 0), range(64) t(p) WHERE lab[p + 1] IS NOT NULL)"""
+
+
 def seeds_sql(name: str, regions: str) -> str:
     return f"{name} AS (SELECT image_id, cy AS y, cx AS x, max(label) AS label FROM {regions} GROUP BY ALL)"
 

@@ -3,18 +3,18 @@
 Two texts are linked if the Jaccard similarity of their sets of word shingles is ``percent`` / 100 or more; documents linked directly
 or through others are one component. Equal sets are one point from the start, so copies cost no comparisons.
 
-* **Groups.** Points of similar size with the same least hash form a group (similar sets mostly share it), split by hash beyond
-  ``GROUP`` points or ``GROUP_TOKENS`` tokens. The matrix has a row per group: the union of its tokens, its least and largest size.
-* **Cells.** The matrix is sparse. Tokens are dealt by hash into one more block than similar sets of that size can differ in tokens, so
-  that two similar sets have a block in which they agree in every token (about nine and a half tokens at 90 %). Only query and group
-  that share such a block make a cell: no link is lost, and a common word or passage alone makes none.
-* **Bound.** The query's tokens that are in the group's union are no fewer than those it shares with any member. A cell is opened
-  only if they reach the overlap that a link of these sizes needs; members are then compared by their whole sets.
-* **Order of opening.** First every query meets the leader of one group per block, in rounds with different groups, which joins the bulk
-  of large clusters with few comparisons; found links are contracted. Then all cells whose group has a member of another component
-  are opened in full. Links inside a component are not needed, others are all found.
-
-All of it after the sets is joins and aggregations of Spark. Tokens are 64-bit hashes (two tokens of a pair are equal by chance once in
+* **Shared blocks.** Tokens are dealt by hash into one more block than similar sets of that size can differ in tokens, so that two
+  similar sets have a block in which they agree in every token (about nine and a half tokens at 90 %). Only points that share such a
+  block can be linked: no link is lost, and a common word or passage alone makes no candidate.
+* **Groups.** A point's home is its most shared block; points of one home form groups of at most ``GROUP``, so similar texts lie together.
+  The matrix has a row per group: the union of its tokens, as a bitmap of ``BITS`` token classes.
+* **Order of opening.** First every point meets the leader of its home, then that of one other group with which it shares a block, which
+  joins the bulk of large clusters with one comparison a point; found links are contracted after each round.
+* **Cells and bound.** A cell is a query group and a group that share a block and are not one component. Tokens of a query whose class is not
+  in a group's union are in none of its members; if the rest cannot reach the overlap that a link needs, the group is not opened
+  for this query. In opened groups the members' own bitmaps bound the same way, and what remains is compared by whole sets.
+
+Tokens are 64-bit hashes (two tokens of a pair are equal by chance once in
 10^13 pairs or so); points are named by 128 bits.
 
 Defined cases: a null or empty text, or one without words, has an empty set, which is linked with nothing, not even with others of its
@@ -25,20 +25,25 @@ whose id is the least that is not null; an empty table gives no rows. Only id an
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstats.llm.common import LOWER_BYTES, as_bytes, map_rows, small, texts
 from segstats.llm.simhash import contract
+from segstats.operators.grouped import changes, stream_groups
 from segstats.session import materialize
 
 WORDS, PERCENT = 3, 90
-#: Points and tokens of a group, and rounds in which only leaders are compared.
-GROUP, GROUP_TOKENS, HUBS = 64, 200_000, 2
+#: Points of a group, token classes of a bitmap, and rounds in which leaders of other groups are compared.
+GROUP, BITS, HUBS = 64, 4096, 1
+#: Tokens (8 bytes each) of leaders' sets that may be broadcast.
+BROADCAST_TOKENS = 2_000_000
 SEED = 42
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -111,122 +116,170 @@ def block_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def token_classes(hashes: np.ndarray) -> np.ndarray:
+    """A set's bitmap of token classes."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[(hashes >> np.uint64(20)).astype(np.int64) % BITS] = True
+    return np.packbits(bits).view(np.uint64)
+
+
 def similar(both: Column, m: Column, n: Column, percent: int) -> Column:
     return 100 * both >= percent * (m + n - both)
 
 
-def marks(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """``(doc_id, text_hash, name, n, keys)``: name, size and block keys of every text's set; an empty set has no name."""
+def marks(docs: DataFrame, id_col: str, text_col: str, words: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``(doc_id, text_hash, name, n, keys)``: name and size of every text's set, and its keys where a task meets the set first.
+
+    An empty set has no name.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     hashed = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    bands = Bands(percent)
 
     def rows(source) -> Iterator[tuple]:
+        met = set()
         for doc, raw, text_hash in source:
             own = shingle_set(raw, words)
-            if len(own):
-                yield doc, text_hash, xxhash.xxh3_128_digest(own.tobytes()), len(own), block_keys(own, bands).view(np.int64)
-            else:
-                yield doc, text_hash, None, 0, []
+            if not len(own):
+                yield doc, text_hash, None, 0, None
+                continue
+            name = xxhash.xxh3_128_digest(own.tobytes())
+            keys = None if name in met else keys_of(own).view(np.int64)
+            met.add(name)
+            yield doc, text_hash, name, len(own), keys
 
-    return map_rows(as_bytes(hashed, "text_hash"), f"doc_id {kind}, text_hash bigint, name binary, n bigint, keys array<bigint>", rows, per_batch=1024)
+    return materialize(map_rows(
+        as_bytes(hashed, "text_hash"), f"doc_id {kind}, text_hash bigint, name binary, n bigint, keys array<bigint>", rows, per_batch=1024
+    ), "shingles")
 
 
-def points_of(marked: DataFrame, keys: str) -> DataFrame:
-    """One row per different set: ``(name, n, low, one, keys)``, with the least id and one row that has the set."""
+def points_of(marked: DataFrame) -> DataFrame:
+    """One row per different set: ``(name, low, one)``, with the least id and one row that has the set."""
     return materialize(marked.filter("name IS NOT NULL").groupBy("name").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"), F.first(keys).alias("keys")
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("one")
     ), "points")
 
 
-def shared_keys(points: DataFrame) -> DataFrame:
-    """``(key, name)`` for the keys that several points have."""
-    each = points.select("name", F.explode("keys").alias("key"))
-    return materialize(each.join(each.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "key"), "members")
+def shared_keys(marked: DataFrame, points: DataFrame) -> DataFrame:
+    """``(key, name, size)`` for the keys that several points have."""
+    each = marked.select(F.xxhash64("name").alias("id"), F.explode("keys").alias("key")).repartition("key").dropDuplicates(["key", "id"])
+    several = each.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
+    names = points.select(F.xxhash64("name").alias("id"), "name")  # an id that two names had would only add candidates
+    return materialize(materialize(several, "keys").join(names, "id").select("key", "name", "size"), "members")
 
 
-def sets_of(docs: DataFrame, points: DataFrame, members: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """``(name, n, hashes, band, least)`` of the points in ``members``, from their texts."""
+def sets_of(docs: DataFrame, points: DataFrame, members: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``(name, n, bits, hashes)`` of the points in ``members``, from their texts."""
     chosen = points.join(members.select("name").distinct(), "name", "left_semi").select(F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__hash"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     some = texts(docs, id_col, text_col).join(small(materialize(chosen, "chosen")), same, "left_semi")
-    bands = Bands(percent)
 
     def rows(source) -> Iterator[tuple]:
         for _, raw in source:
             own = shingle_set(raw, words)
-            signed = own.view(np.int64)
-            yield xxhash.xxh3_128_digest(own.tobytes()), len(own), signed, bands.of(len(own)), int(signed[0])
-
-    return materialize(map_rows(
-        as_bytes(some), "name binary, n bigint, hashes array<bigint>, band int, least bigint", rows, per_batch=256
-    ).dropDuplicates(["name"]), "sets")
-
-
-def in_groups(sets: DataFrame) -> DataFrame:
-    """``(name, grp)``: similar points together, in groups of bounded size."""
-    load = sets.groupBy("band", "least").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("parts"))
-    part = F.pmod(F.xxhash64("name"), F.col("parts"))
-    return sets.join(load, ["band", "least"]).select("name", "n", "hashes", F.xxhash64("band", "least", part).alias("grp"))
-
-
-def matrix_of(grouped: DataFrame) -> DataFrame:
-    """A row per group: the union of its tokens, its least and largest size, and its leader."""
-    return grouped.groupBy("grp").agg(
-        F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("tokens"), F.min("n").alias("low"), F.max("n").alias("high"),
-        F.min(F.struct(F.xxhash64("name").alias("h"), "name"))["name"].alias("leader"),
-    )
-
-
-def qualifying(cells: DataFrame, grouped: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """Those of ``cells (q, root, own, grp)`` whose bound allows a link, with the query's set."""
-    queries = grouped.select(F.col("name").alias("q"), F.col("n").alias("m"), F.col("hashes").alias("x"))
-    least = F.greatest(F.col("low"), F.ceil(F.col("m") * percent / 100))
-    needed = F.ceil((F.col("m") + least) * percent / (100 + percent) - 1e-9)
-    sizes = (100 * F.col("high") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("low"))
-    met = cells.join(queries, "q").join(matrix, "grp").filter(sizes)
-    return met.filter(F.size(F.array_intersect("x", "tokens")) >= needed).drop("tokens", "low", "high")
+            yield xxhash.xxh3_128_digest(own.tobytes()), len(own), token_classes(own).tobytes(), own.view(np.int64)
+
+    sets = materialize(map_rows(as_bytes(some), "name binary, n bigint, bits binary, hashes array<bigint>", rows, per_batch=256), "sets")
+    repeated = sets.groupBy("name").count().filter("count > 1")
+    return sets if repeated.isEmpty() else materialize(sets.dropDuplicates(["name"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose whole sets are similar."""
+    pairs = materialize(pairs, "pairs")
+
+    def side(end: str, set_: str, size: str) -> DataFrame:
+        needed = sets.join(small(pairs.select(F.col(end).alias("name")).distinct()), "name", "left_semi")
+        return needed.select(F.col("name").alias(end), F.col("n").alias(size), F.col("hashes").alias(set_))
+
+    first, second = side("a", "x", "m"), side("b", "y", "k")
+    tokens = second.agg(F.sum("k")).first()[0] or 0
+    met = pairs.join(first, "a").join(F.broadcast(second) if tokens <= BROADCAST_TOKENS else second, "b")
+    fits = met.filter(similar(F.least("m", "k"), F.col("m"), F.col("k"), percent))
+    return materialize(fits.filter(similar(F.size(F.array_intersect("x", "y")), F.col("m"), F.col("k"), percent)).select("a", "b"), "similar")
+
+
+def in_groups(members: DataFrame) -> DataFrame:
+    """``(name, grp, leader)``: points by their most shared key, in groups of bounded size."""
+    homes = members.groupBy("name").agg(F.max(F.struct("size", F.xxhash64("key").alias("h"), "key"))["key"].alias("home"))
+    load = homes.groupBy("home").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.min(F.struct(F.xxhash64("name").alias("h"), "name"))["name"].alias("leader"))
+    part = F.pmod(F.xxhash64("name", F.lit(1)), F.col("parts"))
+    return materialize(homes.join(load, "home").select("name", F.xxhash64("home", part).alias("grp"), "leader"), "groups")
+
+
+def _open(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a cell's two groups, of different components, that their bitmaps do not rule out."""
+    starts = np.append(np.flatnonzero(changes(table, ["ga", "gb"])), table.num_rows)
+    sizes, side = table["n"].to_numpy(), table["side"].to_numpy()
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+    root = np.unique(np.array(table["root"].to_pylist(), dtype=object), return_inverse=True)[1]
+    left, right = [], []
+
+    def reach(size, lost, other) -> np.ndarray:
+        """Whether a set of ``size`` that has lost some tokens can still be similar to one of size ``other`` or more."""
+        both = size - lost
+        return 100 * both >= percent * (size + other - both)
+
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        a, b = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
+        alone = not len(b)  # a group with itself
+        b = a if alone else b
+        union = np.bitwise_or.reduce(bits[b], axis=0)
+        least = np.maximum(sizes[b].min(), -(-sizes[a] * percent // 100))
+        outside = np.bitwise_count(bits[a] & ~union).sum(axis=1, dtype=np.int64)
+        a = a[reach(sizes[a], outside, least)]
+        for q in a.tolist():
+            s = b[(root[b] != root[q]) & ((b > q) | (not alone))]
+            lost_q = np.bitwise_count(bits[q] & ~bits[s]).sum(axis=1, dtype=np.int64)
+            lost_s = np.bitwise_count(bits[s] & ~bits[q]).sum(axis=1, dtype=np.int64)
+            s = s[reach(sizes[q], lost_q, sizes[s]) & reach(sizes[s], lost_s, sizes[q])]
+            left.append(np.full(len(s), q))
+            right.append(s)
+    pick = lambda rows: table["name"].take(pa.array(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)))
+    return pa.table({"a": pick(left), "b": pick(right)})
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(node, root)`` for all points of ``members (key, name)`` that are linked with another; ``sets`` as from ``sets_of``."""
-    grouped = materialize(in_groups(sets), "groups")
-    matrix = materialize(matrix_of(grouped), "matrix")
-    places = materialize(members.join(grouped.select("name", "grp"), "name"), "places")
-    second = grouped.select(F.col("name").alias("s"), F.col("n").alias("k"), F.col("hashes").alias("y"))
-    links = None
-    for step in range(HUBS + 1):
-        roots = None if links is None else materialize(contract(links).withColumnRenamed("node", "name"), "roots")
-        root_of = lambda df, c: df.withColumn("root", F.col(c)) if roots is None else df.join(
-            roots.withColumnRenamed("name", c), c, "left").withColumn("root", F.coalesce("root", F.col(c)))
-        here = materialize(root_of(places, "name"), "places")
-        sign, order = F.xxhash64("root"), F.struct(F.xxhash64("grp", F.lit(step)).alias("h"), "grp")
-        several = here.groupBy("key").agg(F.min(sign).alias("a"), F.max(sign).alias("b"), F.min(order)["grp"].alias("grp")).filter("a <> b")
-        queries = here.select("key", F.col("name").alias("q"), "root", F.col("grp").alias("own"))
-        if step < HUBS:
-            met = qualifying(queries.join(several.select("key", "grp"), "key").drop("key").distinct(), grouped, matrix, percent)
-            leaders = root_of(second.join(matrix.select(F.col("leader").alias("s")), "s", "left_semi"), "s").withColumnRenamed("root", "other")
-            open_ = met.join(leaders, F.col("leader") == F.col("s")).filter("root <> other")
-        else:
-            live = here.join(several.select("key"), "key", "left_semi")
-            cells = queries.join(live.select("key", "grp", F.col("root").alias("other")).distinct(), "key").filter("root <> other AND own <= grp")
-            met = qualifying(cells.select("q", "root", "own", "grp").distinct(), grouped, matrix, percent)
-            inside = root_of(grouped.select("grp", F.col("name").alias("s"), F.col("n").alias("k"), F.col("hashes").alias("y")), "s")
-            open_ = met.join(inside.withColumnRenamed("root", "other"), "grp").filter("root <> other AND (own <> grp OR q < s)")
-        fits = similar(F.least("m", "k"), F.col("m"), F.col("k"), percent)
-        found = open_.filter(fits).filter(similar(F.size(F.array_intersect("x", "y")), F.col("m"), F.col("k"), percent))
-        new = materialize(found.select(F.col("q").alias("a"), F.col("s").alias("b")), "similar")
-        links = new if links is None else links.unionByName(new)
-    return contract(links)
+    """``(node, root)`` for all points of ``members (key, name, size)`` that are linked with another; ``sets`` as from ``sets_of``."""
+    groups = in_groups(members)
+    links = verified(groups.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")), sets, percent)
+    places = materialize(members.join(groups, "name").select("key", "name", "grp", "leader"), "places")
+    for step in range(HUBS):
+        roots = materialize(contract(links), "roots")
+        here = with_root(with_root(places, roots, "name", "root"), roots, "leader", "top")
+        hub = F.min(F.struct(F.xxhash64("leader", F.lit(step)).alias("h"), "leader", "top")).alias("hub")
+        met = here.select("key", "name", "root").join(here.groupBy("key").agg(hub), "key").filter("root <> hub.top")
+        one = met.groupBy("name").agg(F.min("hub")["leader"].alias("b"))
+        links = links.unionByName(verified(one.select(F.col("name").alias("a"), "b"), sets, percent))
+    roots = materialize(contract(links), "roots")
+    live = materialize(with_root(places, roots, "name", "root").select("key", "grp", "root").distinct(), "live")
+    sign = F.xxhash64("root")
+    several = live.groupBy("key").agg(F.min(sign).alias("a"), F.max(sign).alias("b")).filter("a <> b").select("key")
+    live = live.join(several, "key", "left_semi")
+    other = live.select("key", F.col("grp").alias("gb"), F.col("root").alias("other"))
+    cells = materialize(live.withColumnRenamed("grp", "ga").join(other, "key").filter("ga <= gb AND root <> other").select("ga", "gb").distinct(), "cells")
+    inside = with_root(groups.select("name", "grp"), roots, "name", "root").join(sets.select("name", "n", "bits"), "name")
+    sides = [cells, cells.filter("ga <> gb")]
+    rows = [
+        c.join(inside.withColumnRenamed("grp", end), end).select("ga", "gb", F.lit(k).alias("side"), "name", "n", "bits", "root")
+        for k, (c, end) in enumerate(zip(sides, ("ga", "gb")))
+    ]
+    found = stream_groups(rows[0].unionByName(rows[1]), ["ga", "gb"], ["side"], partial(_open, percent=percent), "a binary, b binary", chunk_rows=4096)
+    return contract(links.unionByName(verified(found.distinct(), sets, percent)))
+
+
+def with_root(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
+    """``df`` with the component of a point; one without links is its own."""
+    return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row per document: size of its set, smallest id that it is linked with."""
-    marked = materialize(marks(docs, id_col, text_col, words, percent), "shingles")
-    points = points_of(marked, "keys")
-    members = shared_keys(points)
-    roots = linked(members, sets_of(docs, points, members, id_col, text_col, words, percent), percent).withColumnRenamed("node", "name")
-    named = points.select("name", "low").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    bands = Bands(percent)
+    marked = marks(docs, id_col, text_col, words, lambda own: block_keys(own, bands))
+    points = points_of(marked)
+    members = shared_keys(marked, points)
+    roots = linked(members, sets_of(docs, points, members, id_col, text_col, words), percent)
+    named = with_root(points.select("name", "low"), roots, "name", "root")
     named = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("name", "component_id")
     found = marked.select("doc_id", "n", "name").join(named, "name", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -33,9 +33,9 @@ def fibre_labels(
     seeds = seed_points(axon_labels)
     if mode == "grow":
         return grow(axon, myelin, seeds, tile, extent)
-    if mode == "flood":
-        return flood(axon, myelin, seeds, images, extent)
-    raise ValueError("mode must be 'grow' or 'flood'")
+    if mode in ("flood", "arrival"):
+        return flood(axon, myelin, seeds, images, extent, tile, mode == "arrival")
+    raise ValueError("mode must be 'grow', 'flood' or 'arrival'")
 
 
 def fibre_metrics(matched: DataFrame, axon_shape: str = "circle") -> DataFrame:

@@ -68,7 +68,7 @@ def test_query_matches_all_pairs(spark):
 def test_small_groups_and_no_rounds_of_leaders(spark, monkeypatch):
     docs = copies(8, 90)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    for group, hubs in ((2, 0), (3, 1), (64, 0)):
+    for group, hubs in ((2, 0), (3, 2), (64, 0)):
         monkeypatch.setattr(jaccard, "GROUP", group)
         monkeypatch.setattr(jaccard, "HUBS", hubs)
         assert found(frame) == brute(docs)

@@ -178,6 +178,28 @@ def test_flood_rule(draw, sizes, options):
         assert (to_array(found, (14, 14), image=k) == slow_flood(axon, axon + ring, start)).all()
 
 
+@pytest.mark.parametrize("options", [{"extent": (14, 14)}, {"tile": 8}])
+def test_arrival_is_the_queue_on_noise(draw, sizes, options):
+    """One-pixel objects, where nearly every level ties, against a priority queue."""
+    images = noisy(14, 4) + noisy(14, 2, 0.6)
+    a, m = draw(*[i[0] for i in images]), draw(*[i[1] for i in images])
+    seeds = seed_points(label_components(a, 2, extent=(14, 14)))
+    found = as_pixels(flood(a, m, seeds, sizes(*[(14, 14)] * 6), arrival=True, **options)).cache()
+    rows = seeds.collect()
+    for k, (axon, ring) in enumerate(images):
+        start = {(r["y"], r["x"]): r["label"] for r in rows if r["image_id"] == k}
+        assert (to_array(found, (14, 14), image=k) == queue_flood(axon, axon + ring, start)).all()
+
+
+def test_arrival_is_the_queue_on_touching_discs(draw, sizes):
+    axon, ring = discs((40, 60), [(20, 18, 11, 4), (20, 40, 9, 4), (8, 50, 6, 6)])
+    a, m = draw(axon), draw(ring)
+    seeds = seed_points(label_components(a, 2, extent=axon.shape))
+    start = {(r["y"], r["x"]): r["label"] for r in seeds.collect()}
+    found = to_array(as_pixels(flood(a, m, seeds, sizes(axon.shape), arrival=True, tile=32)), axon.shape)
+    assert (found == queue_flood(axon, axon + ring, start)).all()
+
+
 def test_flood_differs_from_the_queue_on_ties_only():
     """The same pixels are reached; labels differ where levels tie, often in noise and rarely between discs."""
     differ = total = 0
