@@ -148,6 +148,39 @@ def header_shapes(spark, sf):
     return files.png_header(headers(spark, sf)).drop("content")
 
 
+def image_files(spark, sf):
+    """Header bytes of TIFF files in both byte orders, with 32- and 64-bit offsets, and of JPEG files, built from part sizes."""
+    big = lambda e, n: f"lpad(hex({e}), {2 * n}, '0')"
+    little = lambda e, n: "concat(" + ", ".join(f"substr({big(e, n)}, {2 * k + 1}, 2)" for k in reversed(range(n))) + ")"
+
+    def tiff(put, mark: str, large: bool) -> str:
+        n = 8 if large else 4
+        entry = lambda tag, form, value: [put(tag, 2), put(form, 2), put(1, n), f"rpad({put(value, 2 if form == 3 else 4)}, {2 * n}, '0')"]
+        start = [f"'{mark}'", put(43, 2), put(8, 2), put(0, 2), put(24, 8), "repeat('0', 16)"] if large else [f"'{mark}'", put(42, 2), put(8, 4)]
+        tags = [*entry(254, 4, 0), *entry(256, 4, "w"), *entry(257, 4, "h"), *entry(258, 3, "b"), *entry(277, 3, "c")]
+        return ", ".join([*start, put(5, 8 if large else 2), *tags])
+
+    comment = f"'FFD8', 'FFFE', {big('2 + p_partkey % 50', 2)}, repeat('AB', p_partkey % 50)"
+    jpeg = f"{comment}, 'FFC2', '0011', '08', {big('h % 65536', 2)}, {big('w % 65536', 2)}, {big('c', 1)}, '0000'"
+    forms = (tiff(little, "4949", False), tiff(big, "4D4D", False), tiff(little, "4949", True), jpeg, "'0000'")
+    content = " ".join(f"WHEN {k} THEN concat({form})" for k, form in enumerate(forms))
+    sizes = table(spark, sf, "part").selectExpr(
+        "p_partkey", "p_size * 1000 AS w", "p_partkey % 500 * 100 + 1 AS h", "8 + 8 * (p_partkey % 2) AS b", "1 + p_partkey % 3 AS c"
+    )
+    return sizes.selectExpr("p_partkey", f"unhex(CASE p_partkey % 5 {content} END) AS content")
+
+
+@query(
+    "header_shapes_all",
+    f"""WITH p AS (SELECT p_partkey, p_partkey % 5 AS f, p_size * 1000 AS w, p_partkey % 500 * 100 + 1 AS h, 8 + 8 * (p_partkey % 2) AS b, 1 + p_partkey % 3 AS c FROM part)
+SELECT p_partkey, CASE WHEN f < 3 THEN 'tiff' WHEN f = 3 THEN 'jpeg' END AS kind,
+{cols('CASE WHEN f < 3 THEN w WHEN f = 3 THEN w % 65536 END:width; CASE WHEN f < 3 THEN h WHEN f = 3 THEN h % 65536 END:height; '
+      'CASE WHEN f < 3 THEN b WHEN f = 3 THEN 8 END:bit_depth; CASE WHEN f < 4 THEN c END:channels')} FROM p""",
+)
+def header_shapes_all(spark, sf):
+    return files.image_headers(image_files(spark, sf))
+
+
 @query("size_guard", f"{HEADERS} SELECT path, {cols('width * height:n_pixels')}, width * height <= 89478485 AS accepted FROM h")
 def size_guard(spark, sf):
     ok, rejected = files.size_guard(files.png_header(headers(spark, sf)).drop("content"))

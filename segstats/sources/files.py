@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from segstats.constants import AGGREGATE_DIR, LARGE_PIXEL_LIMIT, PIXEL_LIMIT, PIXEL_SIZE_FILE, SLOW_PIXELS, SUFFIXES, VALID_EXTENSIONS
 from segstats.functions.scalars import file_name, is_generated, parent_dir, stem
+from segstats.sources.headers import SCHEMA, shape_of, shapes
 
-HEADER_BYTES = 26
 MASK_ROLES = ["axonmyelin", "axon", "myelin", "uaxon", "nerve"]
 # Masks each mode needs, and the one that marks an image as ready.
 REQUIRED_MASKS = {
@@ -107,25 +107,41 @@ def png_header(df: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def image_headers(files: DataFrame) -> DataFrame:
+    """``files`` with ``kind, width, height, bit_depth, channels`` in place of ``content``, of any known format.
+
+    For files whose bytes are in the table; ``read_headers`` reads those in a folder.
+    """
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
+
+    def heads(batches):
+        for batch in batches:
+            yield shapes(batch, [shape_of(lambda at, n, c=c: (c or b"")[at:at + n]) for c in batch.column("content").to_pylist()])
+
+    return files.mapInArrow(heads, f"{kept}, {SCHEMA}")
+
+
 def read_headers(spark: SparkSession, root: str) -> DataFrame:
-    """Headers of the PNG files under a folder; only the first bytes of each file are read.
+    """Shapes of the image files under a folder; only header bytes of each file are read, in a few ranges.
 
-    Tasks open the files themselves, so the folder must be one that ``pyarrow.fs`` knows (file, hdfs, s3, gs).
+    Tasks open the files themselves, so the folder must be one that ``pyarrow.fs`` knows (file, hdfs, s3, gs). Files that are no images
+    whatever their name have nulls.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png")
+    ends = ",".join(sorted({e.rsplit(".", 1)[1] for e in VALID_EXTENSIONS}))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{ends}}}")
     paths = reader.load(root).select("path")
 
     def heads(batches):
         for batch in batches:
-            content = []
+            found = []
             for path in batch.column(0).to_pylist():
                 # the listing writes file:/a/b, URIs have file:///a/b
                 store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
                 with store.open_input_file(name) as source:
-                    content.append(source.read_at(HEADER_BYTES, 0))
-            yield pa.RecordBatch.from_pydict({"path": batch.column(0), "content": pa.array(content, pa.binary())})
+                    found.append(shape_of(lambda at, n, source=source: source.read_at(n, at)))
+            yield shapes(batch, found)
 
-    return png_header(paths.mapInArrow(heads, "path string, content binary")).drop("content")
+    return paths.mapInArrow(heads, f"path string, {SCHEMA}")
 
 
 def size_guard(headers: DataFrame, allow_large: bool = False) -> tuple[DataFrame, DataFrame]:
