@@ -30,57 +30,57 @@ NO_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 V = r"(?: (?:v|ver|version) ?| v?)"
 #: label, title as a regular expression over words, literal that the title contains, SPDX name in words.
 LICENCES = (
-    ("agpl-3.0", rf"(?:gnu )?affero general public license(?:{V}3(?: 0)?)?", "affero general public", "agpl 3 0"),
-    ("lgpl-2.0", rf"gnu library general public license(?:{V}2(?: 0)?)?", "library general public", "lgpl 2 0"),
-    ("lgpl-2.1", rf"gnu lesser general public license{V}2 1", "lesser general public", "lgpl 2 1"),
-    ("lgpl-3.0", rf"gnu lesser general public license{V}3(?: 0)?", "lesser general public", "lgpl 3 0"),
-    ("lgpl", r"(?:gnu )?lesser general public license", "lesser general public", "lgpl"),
-    ("gpl-1.0", rf"gnu general public license{V}1(?: 0)?", "general public license", "gpl 1 0"),
-    ("gpl-2.0", rf"gnu general public license{V}2(?: 0)?", "general public license", "gpl 2 0"),
-    ("gpl-3.0", rf"gnu general public license{V}3(?: 0)?", "general public license", "gpl 3 0"),
-    ("gpl", r"(?:gnu )?general public license", "general public license", "gpl"),
-    ("gfdl-1.2", rf"gnu free documentation license{V}1 2", "free documentation license", "gfdl 1 2"),
-    ("gfdl-1.3", rf"gnu free documentation license{V}1 3", "free documentation license", "gfdl 1 3"),
-    ("gfdl", r"(?:gnu )?free documentation license", "free documentation license", "gfdl"),
-    ("apache-1.0", rf"apache (?:software )?license{V}1 0", "apache", "apache 1 0"),
-    ("apache-1.1", rf"apache (?:software )?license{V}1 1", "apache", "apache 1 1"),
-    ("apache-2.0", rf"apache (?:software )?license{V}2(?: 0)?", "apache", "apache 2 0"),
-    ("apache", r"apache (?:software )?license", "apache", "apache"),
-    ("mit-0", r"mit no attribution(?: license)?", "mit no attribution", "mit 0"),
-    ("mit", r"(?:mit|expat|x11) license", " license", "mit"),
-    ("mit-modern-variant", r"mit modern variant(?: license)?", "mit modern variant", "mit modern variant"),
-    ("bsd-0-clause", r"(?:bsd )?zero clause bsd(?: license)?", "zero clause bsd", "0bsd"),
-    ("bsd-1-clause", r"(?:bsd (?:1|one) clause|(?:1|one) clause bsd)(?: license)?", "clause", "bsd 1 clause"),
-    ("bsd-2-clause", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)(?: license)?", "bsd", "bsd 2 clause"),
-    ("bsd-3-clause", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)(?: license)?", "bsd", "bsd 3 clause"),
-    ("bsd-4-clause", r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: license)?", "bsd", "bsd 4 clause"),
-    ("bsd", r"bsd (?:style )?license", "bsd", "bsd"),
-    ("isc", r"(?:isc|internet (?:software|systems) consortium) license", " license", "isc"),
-    ("mpl-1.0", rf"mozilla public license{V}1 0", "mozilla public license", "mpl 1 0"),
-    ("mpl-1.1", rf"mozilla public license{V}1 1", "mozilla public license", "mpl 1 1"),
-    ("mpl-2.0", rf"mozilla public license{V}2(?: 0)?", "mozilla public license", "mpl 2 0"),
-    ("mpl", r"mozilla public license", "mozilla public license", "mpl"),
-    ("epl-1.0", rf"eclipse public license{V}1(?: 0)?", "eclipse public license", "epl 1 0"),
-    ("epl-2.0", rf"eclipse public license{V}2(?: 0)?", "eclipse public license", "epl 2 0"),
-    ("edl-1.0", rf"eclipse distribution license(?:{V}1(?: 0)?)?", "eclipse distribution license", "edl 1 0"),
-    ("cpl-1.0", rf"common public license(?:{V}1(?: 0)?)?", "common public license", "cpl 1 0"),
-    ("cpal-1.0", rf"common public attribution license(?:{V}1(?: 0)?)?", "public attribution license", "cpal 1 0"),
-    ("cddl-1.0", rf"common development and distribution license(?:{V}1(?: 0)?)?", "development and distribution license", "cddl 1 0"),
-    ("cddl-1.1", rf"common development and distribution license{V}1 1", "development and distribution license", "cddl 1 1"),
+    ("agpl-3.0", rf"(?:gnu )?affero general public licen[cs]e(?:{V}3(?: 0)?)?", "affero general public", "agpl 3 0"),
+    ("lgpl-2.0", rf"gnu library general public licen[cs]e(?:{V}2(?: 0)?)?", "library general public", "lgpl 2 0"),
+    ("lgpl-2.1", rf"gnu lesser general public licen[cs]e{V}2 1", "lesser general public", "lgpl 2 1"),
+    ("lgpl-3.0", rf"gnu lesser general public licen[cs]e{V}3(?: 0)?", "lesser general public", "lgpl 3 0"),
+    ("lgpl", r"(?:gnu )?lesser general public licen[cs]e", "lesser general public", "lgpl"),
+    ("gpl-1.0", rf"gnu general public licen[cs]e{V}1(?: 0)?", "general public licen", "gpl 1 0"),
+    ("gpl-2.0", rf"gnu general public licen[cs]e{V}2(?: 0)?", "general public licen", "gpl 2 0"),
+    ("gpl-3.0", rf"gnu general public licen[cs]e{V}3(?: 0)?", "general public licen", "gpl 3 0"),
+    ("gpl", r"(?:gnu )?general public licen[cs]e", "general public licen", "gpl"),
+    ("gfdl-1.2", rf"gnu free documentation licen[cs]e{V}1 2", "free documentation licen", "gfdl 1 2"),
+    ("gfdl-1.3", rf"gnu free documentation licen[cs]e{V}1 3", "free documentation licen", "gfdl 1 3"),
+    ("gfdl", r"(?:gnu )?free documentation licen[cs]e", "free documentation licen", "gfdl"),
+    ("apache-1.0", rf"apache (?:software )?licen[cs]e{V}1 0", "apache", "apache 1 0"),
+    ("apache-1.1", rf"apache (?:software )?licen[cs]e{V}1 1", "apache", "apache 1 1"),
+    ("apache-2.0", rf"apache (?:software )?licen[cs]e{V}2(?: 0)?", "apache", "apache 2 0"),
+    ("apache", r"apache (?:software )?licen[cs]e", "apache", "apache"),
+    ("mit-0", r"mit no attribution(?: licen[cs]e)?", "mit no attribution", "mit 0"),
+    ("mit", r"(?:mit|expat|x11) licen[cs]e", " licen", "mit"),
+    ("mit-modern-variant", r"mit modern variant(?: licen[cs]e)?", "mit modern variant", "mit modern variant"),
+    ("bsd-0-clause", r"(?:bsd )?zero clause bsd(?: licen[cs]e)?", "zero clause bsd", "0bsd"),
+    ("bsd-1-clause", r"(?:bsd (?:1|one) clause|(?:1|one) clause bsd)(?: licen[cs]e)?", "clause", "bsd 1 clause"),
+    ("bsd-2-clause", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)(?: licen[cs]e)?", "bsd", "bsd 2 clause"),
+    ("bsd-3-clause", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)(?: licen[cs]e)?", "bsd", "bsd 3 clause"),
+    ("bsd-4-clause", r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[cs]e)?", "bsd", "bsd 4 clause"),
+    ("bsd", r"bsd (?:style )?licen[cs]e", "bsd", "bsd"),
+    ("isc", r"(?:isc|internet (?:software|systems) consortium) licen[cs]e", " licen", "isc"),
+    ("mpl-1.0", rf"mozilla public licen[cs]e{V}1 0", "mozilla public licen", "mpl 1 0"),
+    ("mpl-1.1", rf"mozilla public licen[cs]e{V}1 1", "mozilla public licen", "mpl 1 1"),
+    ("mpl-2.0", rf"mozilla public licen[cs]e{V}2(?: 0)?", "mozilla public licen", "mpl 2 0"),
+    ("mpl", r"mozilla public licen[cs]e", "mozilla public licen", "mpl"),
+    ("epl-1.0", rf"eclipse public licen[cs]e{V}1(?: 0)?", "eclipse public licen", "epl 1 0"),
+    ("epl-2.0", rf"eclipse public licen[cs]e{V}2(?: 0)?", "eclipse public licen", "epl 2 0"),
+    ("edl-1.0", rf"eclipse distribution licen[cs]e(?:{V}1(?: 0)?)?", "eclipse distribution licen", "edl 1 0"),
+    ("cpl-1.0", rf"common public licen[cs]e(?:{V}1(?: 0)?)?", "common public licen", "cpl 1 0"),
+    ("cpal-1.0", rf"common public attribution licen[cs]e(?:{V}1(?: 0)?)?", "public attribution licen", "cpal 1 0"),
+    ("cddl-1.0", rf"common development and distribution licen[cs]e(?:{V}1(?: 0)?)?", "development and distribution licen", "cddl 1 0"),
+    ("cddl-1.1", rf"common development and distribution licen[cs]e{V}1 1", "development and distribution licen", "cddl 1 1"),
     ("eupl-1.1", rf"european union public licen[cs]e{V}1 1", "european union public", "eupl 1 1"),
     ("eupl-1.2", rf"european union public licen[cs]e{V}1 2", "european union public", "eupl 1 2"),
     ("eupl", r"european union public licen[cs]e", "european union public", "eupl"),
-    ("artistic-1.0", rf"artistic license{V}1(?: 0)?", "artistic license", "artistic 1 0"),
-    ("artistic-2.0", rf"artistic license{V}2(?: 0)?", "artistic license", "artistic 2 0"),
-    ("artistic", r"artistic license", "artistic license", "artistic"),
-    ("bsl-1.0", rf"boost software license(?:{V}1(?: 0)?)?", "boost software license", "bsl 1 0"),
-    ("busl-1.1", rf"business source license(?:{V}1 1)?", "business source license", "busl 1 1"),
-    ("sspl-1.0", rf"server side public license(?:{V}1(?: 0)?)?", "server side public license", "sspl 1 0"),
-    ("elastic-2.0", rf"elastic license(?:{V}2(?: 0)?)?", "elastic license", "elastic 2 0"),
-    ("zlib", r"zlib(?: libpng)? license", "zlib", "zlib"),
-    ("libpng", r"libpng license", "libpng", "libpng"),
+    ("artistic-1.0", rf"artistic licen[cs]e{V}1(?: 0)?", "artistic licen", "artistic 1 0"),
+    ("artistic-2.0", rf"artistic licen[cs]e{V}2(?: 0)?", "artistic licen", "artistic 2 0"),
+    ("artistic", r"artistic licen[cs]e", "artistic licen", "artistic"),
+    ("bsl-1.0", rf"boost software licen[cs]e(?:{V}1(?: 0)?)?", "boost software licen", "bsl 1 0"),
+    ("busl-1.1", rf"business source licen[cs]e(?:{V}1 1)?", "business source licen", "busl 1 1"),
+    ("sspl-1.0", rf"server side public licen[cs]e(?:{V}1(?: 0)?)?", "server side public licen", "sspl 1 0"),
+    ("elastic-2.0", rf"elastic licen[cs]e(?:{V}2(?: 0)?)?", "elastic licen", "elastic 2 0"),
+    ("zlib", r"zlib(?: libpng)? licen[cs]e", "zlib", "zlib"),
+    ("libpng", r"libpng licen[cs]e", "libpng", "libpng"),
     ("unlicense", r"(?:the )?unlicense", "unlicense", "unlicense"),
-    ("wtfpl", r"do what the fuck you want to public license", "you want to public license", "wtfpl"),
+    ("wtfpl", r"do what the fuck you want to public licen[cs]e", "you want to public licen", "wtfpl"),
     ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?", "cc0", "cc0 1 0"),
     ("cc0-1.0", r"creative commons zero(?: 1 0)?(?: universal)?", "creative commons zero", "cc0 1 0"),
     ("cc-by-nc-nd", r"cc by nc nd(?: \d 0)?", "cc by nc nd", "cc by nc nd"),
@@ -94,37 +94,53 @@ LICENCES = (
     ("cc-by-sa", r"creative commons attribution share ?alike(?: \d 0)?", "creative commons attribution", "cc by sa 4 0"),
     ("cc-by-nd", r"creative commons attribution no ?deriv(?:ative)?s?(?: \d 0)?", "creative commons attribution", "cc by nd 4 0"),
     ("cc-by", r"creative commons attribution(?: \d 0)?", "creative commons attribution", "cc by 4 0"),
-    ("odbl-1.0", rf"open (?:data commons open )?database license(?:{V}1(?: 0)?)?", "database license", "odbl 1 0"),
-    ("odc-by-1.0", r"open data commons attribution license", "open data commons attribution", "odc by 1 0"),
-    ("pddl-1.0", r"(?:open data commons )?public domain dedication and license", "public domain dedication", "pddl 1 0"),
-    ("ofl-1.1", rf"(?:sil )?open font license(?:{V}1 1)?", "open font license", "ofl 1 1"),
-    ("osl-3.0", rf"open software license(?:{V}3(?: 0)?)?", "open software license", "osl 3 0"),
-    ("afl-3.0", rf"academic free license(?:{V}3(?: 0)?)?", "academic free license", "afl 3 0"),
-    ("ecl-2.0", rf"educational community license(?:{V}2(?: 0)?)?", "educational community license", "ecl 2 0"),
-    ("ms-pl", r"microsoft public license", "microsoft public license", "ms pl"),
-    ("ms-rl", r"microsoft reciprocal license", "microsoft reciprocal license", "ms rl"),
-    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)? license", "ncsa", "ncsa"),
+    ("odbl-1.0", rf"open (?:data commons open )?database licen[cs]e(?:{V}1(?: 0)?)?", "database licen", "odbl 1 0"),
+    ("odc-by-1.0", r"open data commons attribution licen[cs]e", "open data commons attribution", "odc by 1 0"),
+    ("pddl-1.0", r"(?:open data commons )?public domain dedication and licen[cs]e", "public domain dedication", "pddl 1 0"),
+    ("ofl-1.1", rf"(?:sil )?open font licen[cs]e(?:{V}1 1)?", "open font licen", "ofl 1 1"),
+    ("osl-3.0", rf"open software licen[cs]e(?:{V}3(?: 0)?)?", "open software licen", "osl 3 0"),
+    ("afl-3.0", rf"academic free licen[cs]e(?:{V}3(?: 0)?)?", "academic free licen", "afl 3 0"),
+    ("ecl-2.0", rf"educational community licen[cs]e(?:{V}2(?: 0)?)?", "educational community licen", "ecl 2 0"),
+    ("ms-pl", r"microsoft public licen[cs]e", "microsoft public licen", "ms pl"),
+    ("ms-rl", r"microsoft reciprocal licen[cs]e", "microsoft reciprocal licen", "ms rl"),
+    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", "ncsa", "ncsa"),
     ("postgresql", r"postgresql licen[cs]e", "postgresql", "postgresql"),
-    ("psf-2.0", rf"(?:python software foundation|psf) license(?:{V}2(?: 0)?)?", " license", "psf 2 0"),
-    ("php-3.01", rf"php license(?:{V}3(?: 01?)?)?", "php license", "php 3 01"),
-    ("openssl", r"openssl license", "openssl", "openssl"),
-    ("vim", r"vim license", "vim license", "vim"),
-    ("w3c", r"w3c software (?:notice and )?license", "w3c software", "w3c"),
-    ("upl-1.0", rf"universal permissive license(?:{V}1(?: 0)?)?", "universal permissive license", "upl 1 0"),
-    ("rail", r"(?:creative ml )?open ?rail(?: m)?(?: license)?", "rail", "openrail"),
-    ("llama", r"llama ?\d? community license", "community license", "llama2"),
-    ("beerware", r"(?:beerware|beer ware) license", "ware license", "beerware"),
-    ("naumen", r"naumen public license", "naumen public license", "naumen"),
-    ("qpl-1.0", rf"q public license(?:{V}1(?: 0)?)?", "q public license", "qpl 1 0"),
-    ("sleepycat", r"sleepycat license", "sleepycat", "sleepycat"),
-    ("watcom-1.0", r"sybase open watcom public license", "watcom public license", "watcom 1 0"),
-    ("ipl-1.0", rf"ibm public license(?:{V}1(?: 0)?)?", "ibm public license", "ipl 1 0"),
-    ("apsl-2.0", rf"apple public source license(?:{V}2(?: 0)?)?", "apple public source license", "apsl 2 0"),
-    ("cecill-2.1", rf"cecill(?: free software)? license(?: agreement)?(?:{V}2 1)?", "cecill", "cecill 2 1"),
-    ("mulan-2.0", rf"mulan (?:psl|permissive software license)(?:{V}2)?", "mulan", "mulanpsl 2 0"),
-    ("public-domain", r"(?:released|placed|dedicated|donated)(?: in)?to the public domain", "the public domain", "public domain"),
+    ("psf-2.0", rf"(?:python software foundation|psf) licen[cs]e(?:{V}2(?: 0)?)?", " licen", "psf 2 0"),
+    ("php-3.01", rf"php licen[cs]e(?:{V}3(?: 01?)?)?", "php licen", "php 3 01"),
+    ("openssl", r"openssl licen[cs]e", "openssl", "openssl"),
+    ("vim", r"vim licen[cs]e", "vim licen", "vim"),
+    ("w3c", r"w3c software (?:notice and )?licen[cs]e", "w3c software", "w3c"),
+    ("upl-1.0", rf"universal permissive licen[cs]e(?:{V}1(?: 0)?)?", "universal permissive licen", "upl 1 0"),
+    ("rail", r"(?:creative ml )?open ?rail(?: m)?(?: licen[cs]e)?", "rail", "openrail"),
+    ("llama", r"llama ?\d? community licen[cs]e", "community licen", "llama2"),
+    ("beerware", r"(?:beerware|beer ware) licen[cs]e", "ware licen", "beerware"),
+    ("naumen", r"naumen public licen[cs]e", "naumen public licen", "naumen"),
+    ("qpl-1.0", rf"q public licen[cs]e(?:{V}1(?: 0)?)?", "q public licen", "qpl 1 0"),
+    ("sleepycat", r"sleepycat licen[cs]e", "sleepycat", "sleepycat"),
+    ("watcom-1.0", r"sybase open watcom public licen[cs]e", "watcom public licen", "watcom 1 0"),
+    ("ipl-1.0", rf"ibm public licen[cs]e(?:{V}1(?: 0)?)?", "ibm public licen", "ipl 1 0"),
+    ("apsl-2.0", rf"apple public source licen[cs]e(?:{V}2(?: 0)?)?", "apple public source licen", "apsl 2 0"),
+    ("cecill-2.1", rf"cecill(?: free software)? licen[cs]e(?: agreement)?(?:{V}2 1)?", "cecill", "cecill 2 1"),
+    ("mulan-2.0", rf"mulan (?:psl|permissive software licen[cs]e)(?:{V}2)?", "mulan", "mulanpsl 2 0"),
+    ("public-domain", r"(?:released|placed|dedicated|donated) (?:into|to|in) the public domain", "the public domain", "public domain"),
     ("proprietary", r"all rights reserved", "all rights reserved", "proprietary"),
 )
+#: Sentences of licence texts: label, pattern over words, literal that it contains.
+BODIES = (
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "any person obtaining a copy"),
+    ("bsl-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy", "any person or organization obtaining"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source"),
+    ("bsd-3-clause", r"nor the names of (?:its|the) contributors may be used to endorse or promote products", "to endorse or promote products"),
+    ("apache-2.0", r"you may not use this file except in compliance with the licen[cs]e", "except in compliance with the licen"),
+    ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "this program is free software"),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", "this library is free software"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[cs]e", "this source code form is subject"),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+    ("zlib", r"in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "terms of the eclipse public licen"),
+)
+BODY_PRIORITY, BODY_CONFIDENCE = 60, 0.9
 #: Formulas that turn a title into a rule: name, pattern with the title in it, literal (null: the title's), priority, confidence.
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided) (?:to you )?(?:under|in accordance with|according to)(?: the)?(?: terms of)?(?: the)? (?:{title})"
 FORMS = (
@@ -133,11 +149,12 @@ FORMS = (
     ("title", r"{title}", None, 50, 0.7),
 )
 #: A text with none of these has no licence rule to run.
-KEYWORDS = ("licen", "cc by", "cc0", "creative commons", "the public domain", "spdx", "bsd", "openrail", "all rights reserved", "open rail", "mulan", "mit no", "mit modern", "cecill")
+KEYWORDS = ("licen", "cc by", "cc0", "creative commons", "the public domain", "spdx", "bsd", "openrail", "all rights reserved", "open rail", "mulan", "mit no", "mit modern", "cecill", "hereby granted", "redistribution and use", "to endorse or promote", "held liable")
 #: One of these words is in every match of every rule.
 ANCHORS = (
     "license", "licence", "identifier", "mit", "bsd", "zlib", "libpng", "unlicense", "cc0", "cc", "commons", "domain", "reserved", "ncsa",
     "rail", "openrail", "mulan", "cecill", "gpl", "affero", "library", "lesser", "general",
+    "hereby", "redistribution", "endorse", "liable",
 )
 #: Words to either side of an anchor; no rule matches more than this many words.
 REACH = 24
@@ -150,6 +167,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         for _, form, own, priority, confidence in FORMS:
             pattern = form.replace("{title}", title).replace("{spdx}", spdx)
             out.append((label, f" {pattern}(?= )", own or literal, priority, confidence))
+    out += [(label, f" {pattern}(?= )", literal, BODY_PRIORITY, BODY_CONFIDENCE) for label, pattern, literal in BODIES]
     return sorted(set(out), key=lambda r: (-r[3], r[0], r[1]))
 
 

@@ -117,7 +117,7 @@ def alternatives(parsed):
 
 def test_every_alternative_of_a_title_has_its_literal_a_keyword_and_an_anchor():
     assert alternatives(re._parser.parse(r"a(?:b|c d)?[ef]\d")) == {"ae4", "af4", "abe4", "abf4", "ac de4", "ac df4"}
-    for label, title, literal, _ in licenses.LICENCES:
+    for label, title, literal in [r[:3] for r in licenses.LICENCES] + list(licenses.BODIES):
         for name in alternatives(re._parser.parse(title)):
             assert literal in f" {name} ", (label, name)
             assert any(k in name for k in licenses.KEYWORDS), (label, name)
@@ -129,3 +129,18 @@ def test_creative_commons_zero_by_its_long_name(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licenses.summarize(licenses.scan_licences(df)).collect()}
     assert got == {1: ("cc0-1.0", 0.95), 2: ("cc0-1.0", 0.7), 3: ("cc0-1.0", 0.7), 4: ("", 0.0)}
+
+
+def test_sentences_of_licences_public_domain_and_both_spellings(spark):
+    docs = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy of this"), (2, "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+        (3, "Neither the name of X nor the names of its contributors may be used to endorse or promote products"), (4, "you may not use this file except in compliance with the License."),
+        (5, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"), (6, "in no event will the authors be held liable for any damages arising from the use of this software"),
+        (7, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"), (8, "this is free and unencumbered software released into the public domain"),
+        (9, "dedicated to the public domain"), (10, "placed in the public domain"), (11, "donated into the public domain"), (12, "the MIT Licence"), (13, "Apache Licence version 2.0"),
+        (14, "permission is hereby granted to redistribute"), (15, "held liable"), (16, "this source code form is subject to the terms of the Mozilla Public License"),
+    ]
+    expected = {1: "mit", 2: "bsd", 3: "bsd-3-clause", 4: "apache-2.0", 5: "gpl", 6: "zlib", 7: "isc", 8: "unlicense", 9: "public-domain", 10: "public-domain",
+                11: "public-domain", 12: "mit", 13: "apache-2.0", 14: "", 15: "", 16: "mpl-2.0"}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.summarize(licenses.scan_licences(df)).collect()} == expected
