@@ -19,6 +19,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from functools import partial
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ BLOCK_WORDS = 1000
 #: Rows that costs and selectivities are measured on; verdicts do not depend on them.
 SAMPLE_ROWS = 500
 SAMPLE_FRACTION = 0.1
+SAMPLE_BYTES = 1 << 16
+REPEATS = 3
 
 def words(text: Column) -> Column:
     bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
@@ -137,19 +140,24 @@ BASE_RULES = ("too_short", "repeated_windows")
 
 
 def rule_order(docs: DataFrame, text_col: str = "text", names: tuple[str, ...] = tuple(RULES), rows: int = SAMPLE_ROWS) -> list[str]:
-    """``names`` by rejections per cost, both measured on a sample of at most ``rows`` texts.
+    """``names`` by rejections per cost, both measured on a sample of at most ``rows`` texts of at most ``SAMPLE_BYTES`` each.
 
-    Taking rows stops after the first partitions that have enough; the sample is bounded and goes back as a local table.
+    Taking rows stops after the first partitions that have enough; the sample is bounded and goes back as a local table. A rule's
+    cost is the median of ``REPEATS`` timings.
     """
-    taken = texts(docs, text_col, text_col).select("text").sample(SAMPLE_FRACTION, seed=1).take(rows)
+    short = texts(docs, text_col, text_col).select("text").filter(F.octet_length("text") <= SAMPLE_BYTES)
+    taken = short.sample(SAMPLE_FRACTION, seed=1).take(rows)
     sample = docs.sparkSession.createDataFrame(taken, "text string").coalesce(1)
     sample = materialize(sample.withColumn("w", words(F.col("text"))), "sample")
     m = metrics(F.col("text"), F.col("w"))
 
     def seconds(rule: Column) -> tuple[float, int]:
-        start = time.perf_counter()
-        n = sample.agg(F.count_if(rule)).first()[0]
-        return time.perf_counter() - start, n
+        took, counted = [], sample.agg(F.count_if(rule))
+        for _ in range(REPEATS):
+            start = time.perf_counter()
+            n = counted.first()[0]
+            took.append(time.perf_counter() - start)
+        return median(took), n
 
     seconds(F.lit(False))
     idle, _ = seconds(F.lit(False))
@@ -169,15 +177,20 @@ def cascade(m: dict[str, Column], order: list[str]) -> Column:
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rule)``."""
+    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rule)``.
+
+    ``failed_rule`` is the first rule, in the order of ``RULES``, that rejects a text, whatever order the cascade has.
+    """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    order = rule_order(docs, text_col, tuple(n for n in RULES if n not in BASE_RULES))
+    more = [n for n in RULES if n not in BASE_RULES]
+    order = rule_order(docs, text_col, tuple(more))
     split = texts(docs, id_col, text_col).withColumn("w", words(F.col("text")))
     m = metrics(F.col("text"), F.col("w"))
     measured = split.select("*", *[m[c].alias(c) for c in base])
     m |= {c: F.col(c) for c in base}
     base_failed = RULES["too_short"](m) | RULES["repeated_windows"](m)
-    failed = F.when(base_failed, F.lit("base")).otherwise(cascade(m, order))
+    # only a text that the cascade rejects is tried in the fixed order too
+    failed = F.when(base_failed, F.lit("base")).when(cascade(m, order).isNotNull(), cascade(m, more))
     return measured.select("doc_id", *base, base_failed.alias("base_failed"), failed.alias("failed_rule")).withColumn(
         "kept", F.col("failed_rule").isNull()
     )
