@@ -193,7 +193,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     kind = index.schema["page_id"].dataType
     named = f"page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string{', payload binary' if with_payload else ''}"
     block = F.floor(F.col("offset") / BLOCK)
-    placed = index.select("archive", "offset", "length").repartition("archive", block).sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # as many tasks as there are blocks of archive bytes: by the size of the index alone Spark would make far fewer
+    tasks = max(1, -(-total // BLOCK))
+    placed = index.select("archive", "offset", "length").repartition(tasks, "archive", block).sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
