@@ -12,6 +12,7 @@ from catalog.views import (
 from segstats.functions.scalars import float_to_bits
 from segstats.operators import geometry, masks, patches
 from segstats.operators.algebra import n_pixels, sweep
+from segstats.operators.blocks import image_blocks
 from segstats.operators.components import label_components
 from segstats.operators.distance import distance_to_background
 from segstats.operators.regions import centroid_pixels, hull_areas, measure_regions, perimeters, region_sums
@@ -629,7 +630,10 @@ m AS (SELECT image_id, y, x, avg(128.0) AS c0, avg(CAST(v + qy + fold AS DOUBLE)
 SELECT {cols(P + '; CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END:cls_id', 'c0; c1; c2')} FROM m""",
 )
 def tile_segmentation(spark, sf):
-    return patches.segment(gray(spark, sf), images(spark, sf), [toy_fold(0), toy_fold(1)], 3, (4, 4), 0.5)
+    arrays = table(spark, sf, "embeddings").selectExpr(
+        "vec_id AS image_id", "8 AS height", "8 AS width", "transform(embedding, v -> cast(floor((cast(v as double) + 1) * 127) as float)) AS values"
+    )
+    return patches.segment(image_blocks(arrays, 8), images(spark, sf), [toy_fold(0), toy_fold(1)], 3, (4, 4), 0.5, block=8)
 
 
 @query(

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from segstats.operators.blocks import BLOCK, class_pixels, segment_blocks, to_blocks
 from segstats.operators.runs import PIXEL
 
 
@@ -70,15 +69,6 @@ def cut(pixels: DataFrame, images: DataFrame, patch: tuple[int, int], step: floa
     )
 
 
-def patch_arrays(cells: DataFrame, patch: tuple[int, int]) -> DataFrame:
-    """One row per window with its pixels as a row-major array (bounded by the patch size)."""
-    place = F.expr(f"py * {patch[1]} + px")
-    rows = F.array_sort(F.collect_list(F.struct(place.alias("i"), F.col("v").cast("float").alias("v"))))
-    return cells.groupBy("image_id", "oy", "ox").agg(rows.alias("cells")).select(
-        "image_id", "oy", "ox", F.col("cells.v").alias("patch")
-    )
-
-
 # every way to mirror the two image axes
 FLIPS = [(), (1,), (2,), (1, 2)]
 
@@ -107,46 +97,6 @@ def averaged(folds: list[Callable], names: list[str], patch: tuple[int, int], mi
     return make
 
 
-def score(
-    patches: DataFrame,
-    folds: list[Callable],
-    classes: int,
-    patch: tuple[int, int],
-    mirror: bool = True,
-    batch_size: int = 32,
-) -> DataFrame:
-    """Class scores of every patch pixel, averaged over model folds and mirrored inputs.
-
-    A fold is a ``make_predict_fn``: called once per Python worker, it returns a function
-    from an array (batch, height, width) to ``{"c0": scores, ...}`` of the same size.
-    Mirroring happens on the arrays inside the task, so no pixel is shuffled for it.
-    """
-    names = [f"c{k}" for k in range(classes)]
-    kind = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
-    make = averaged(folds, names, patch, mirror)
-    udf = predict_batch_udf(make, return_type=kind, batch_size=batch_size, input_tensor_shapes=[list(patch)])
-    scored = patches.select("image_id", "oy", "ox", udf("patch").alias("s"))
-    flat = scored.select(
-        "image_id", "oy", "ox", F.posexplode(F.arrays_zip(*[F.col(f"s.{n}").alias(n) for n in names])).alias("i", "cell")
-    )
-    return flat.selectExpr(
-        "image_id", f"cast(oy + i div {patch[1]} as int) AS y", f"ox + i % {patch[1]} AS x",
-        *[f"cell.{n} AS {n}" for n in names],
-    )
-
-
-def combine(scores: DataFrame, classes: int) -> DataFrame:
-    """Mean score per pixel and class over the windows that cover it, and the best class.
-
-    The lowest class wins a tie.
-    """
-    names = [f"c{k}" for k in range(classes)]
-    mean = scores.groupBy(*PIXEL).agg(*[F.avg(F.col(n).cast("double")).alias(n) for n in names])
-    best = F.greatest(*names) if classes > 1 else F.col("c0")
-    pick = F.coalesce(*[F.when(F.col(n) == best, F.lit(k)) for k, n in enumerate(names)])
-    return mean.withColumn("cls_id", pick)
-
-
 def segment(
     pixels: DataFrame,
     images: DataFrame,
@@ -155,9 +105,15 @@ def segment(
     patch: tuple[int, int],
     step: float = 0.5,
     mirror: bool = True,
+    batch_size: int = 32,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Raw class map ``(image_id, y, x, c0.., cls_id)`` of every image."""
-    cells = cut(pixels, images, patch, step)
-    scores = score(patch_arrays(cells, patch), folds, classes, patch, mirror)
-    inside = scores.join(images.select("image_id", "height", "width"), "image_id").filter("y < height AND x < width")
-    return combine(inside, classes)
+    """Raw class map ``(image_id, y, x, c0.., cls_id)`` of every image, given as pixels or as blocks.
+
+    Scores are averaged over model folds, mirrored inputs and the windows that cover a pixel; the lowest class wins a tie. A fold is a
+    ``make_predict_fn``: called once per task, it returns a function from an array (batch, height, width) to ``{"c0": scores, ...}`` of
+    the same size. Windows are put together from blocks and scores added in blocks, so no pixel is a row before the result.
+    """
+    blocks = pixels if "data" in pixels.columns else to_blocks(pixels, images, block)
+    make = averaged(folds, [f"c{k}" for k in range(classes)], patch, mirror)
+    return class_pixels(segment_blocks(blocks, make, classes, patch, step, batch_size, block), classes)
