@@ -243,7 +243,7 @@ _overlap(1)
 _overlap(2)
 
 
-@query("clip_to_nerve", f"WITH {PX} SELECT {cols(P)} FROM axon SEMI JOIN nerve USING (image_id, y, x)")
+@query("clip_to_nerve", f"WITH {PX} SELECT {cols(P)} FROM axon WHERE bv > 0")
 def clip_to_nerve(spark, sf):
     return as_pixels(masks.clip(raster_runs(spark, sf, AXON), raster_runs(spark, sf, NERVE)))
 
@@ -299,7 +299,7 @@ def fill_enclosed_holes(spark, sf):
     return masks.enclosed_holes(myelin(spark, sf), images(spark, sf), extent=EXTENT)
 
 
-@query("mask_complement", f"WITH {PX} SELECT {cols(P)} FROM px ANTI JOIN axon USING (image_id, pos)")
+@query("mask_complement", f"WITH {PX} SELECT {cols(P)} FROM px WHERE (v > CAST(0.05 AS DOUBLE)) IS NOT TRUE")
 def mask_complement(spark, sf):
     return as_pixels(complement(axon(spark, sf), images(spark, sf)))
 
@@ -314,18 +314,20 @@ def mask_runs(spark, sf):
 
 
 def erode_sql(square: int) -> str:
-    return f"""g AS (SELECT * FROM px WHERE v > CAST(-0.15 AS DOUBLE)),
-miss AS (SELECT DISTINCT g.image_id, g.pos FROM g JOIN (SELECT px.* FROM px ANTI JOIN g USING (image_id, pos)) b
-  ON b.image_id = g.image_id AND (b.y - g.y) * (b.y - g.y) + (b.x - g.x) * (b.x - g.x) <= {square})"""
+    """Set pixels of whole images kept as lists, and whether a clear one is as near as the radius."""
+    return f"""im AS (SELECT vec_id AS image_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE) > CAST(-0.15 AS DOUBLE)) AS m FROM embeddings),
+g AS (SELECT image_id, p // 8 AS y, p % 8 AS x, len(list_filter(range(64),
+  lambda q: NOT m[q + 1] AND (q // 8 - p // 8) * (q // 8 - p // 8) + (q % 8 - p % 8) * (q % 8 - p % 8) <= {square})) = 0 AS kept
+  FROM im, range(64) t(p) WHERE m[p + 1])"""
 
 
-@query("erosion", f"WITH {PX}, {erode_sql(4)} SELECT {cols(P)}, miss.pos IS NULL AS kept FROM g LEFT JOIN miss USING (image_id, pos)")
+@query("erosion", f"WITH {erode_sql(4)} SELECT {cols(P)}, kept FROM g")
 def erosion(spark, sf):
     mask = rasters(spark, sf).filter("v > -0.15D").select(*PIXEL)
     return masks.eroded(mask, images(spark, sf), 2)
 
 
-@query("contour", f"WITH {PX}, {erode_sql(9)} SELECT {cols(P)} FROM g SEMI JOIN miss USING (image_id, pos)")
+@query("contour", f"WITH {erode_sql(9)} SELECT {cols(P)} FROM g WHERE NOT kept")
 def contour(spark, sf):
     return masks.contour(rasters(spark, sf).filter("v > -0.15D").select(*PIXEL), images(spark, sf), 3)
 

@@ -15,7 +15,7 @@ QUICK = [
     "components_diagonal", "components_by_value", "region_table", "region_solidity", "fibre_instances", "object_table_ellipse",
     "metrics_at_points", "tile_segmentation", "image_totals", "nerve_document", "detection_scores",
     "binned_statistics", "metric_histogram", "object_ranks", "missing_masks", "stored_object_table", "slide_components",
-    "subject_tree", "slide_fractions", "pixel_scores_slide", "slide_perimeter", "slide_distance", "slide_contour", "fibre_flood", "fibre_flood_cover", "folder_objects", "nerve_report_densities", "stored_raster", "erosion", "contour", "clip_to_nerve", "class_report",
+    "subject_tree", "slide_fractions", "pixel_scores_slide", "slide_perimeter", "slide_distance", "slide_contour", "fibre_flood", "fibre_flood_cover", "folder_objects", "nerve_report_densities", "stored_raster", "erosion", "contour", "clip_to_nerve", "mask_complement", "fibre_arrival", "slide_merged_masks", "slide_mask_algebra", "header_shapes_all", "class_report",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("SEGSTATS_ALL") else QUICK
 
