@@ -36,14 +36,16 @@ from pyspark.sql import functions as F
 
 from segstats.llm.common import LOWER_BYTES, as_bytes, map_rows, small, texts
 from segstats.llm.simhash import contract
+from segstats.operators.components import union_edges
 from segstats.operators.grouped import changes, stream_groups
 from segstats.session import materialize
 
 WORDS, PERCENT = 3, 90
-#: Points of a group, token classes of a bitmap, and rounds in which leaders of other groups are compared.
-GROUP, BITS, HUBS = 64, 4096, 1
-#: Tokens (8 bytes each) of leaders' sets that may be broadcast.
-BROADCAST_TOKENS = 2_000_000
+#: Points of a group, token classes of a bitmap, rounds in which leaders of other groups are compared, and in which one candidate
+#: is tried for each two components before all that are left.
+GROUP, BITS, HUBS, PICKS = 64, 4096, 1, 2
+#: Links (some 40 bytes each) that one task joins.
+LINKS_PER_TASK = 1_000_000
 SEED = 42
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -127,8 +129,9 @@ def similar(both: Column, m: Column, n: Column, percent: int) -> Column:
     return 100 * both >= percent * (m + n - both)
 
 
-def marks(docs: DataFrame, id_col: str, text_col: str, words: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``(doc_id, text_hash, name, n, keys)``: name and size of every text's set, and its keys where a task meets the set first.
+def marks(docs: DataFrame, id_col: str, text_col: str, words: int, keys_of: Callable[[np.ndarray], np.ndarray],
+          print_of: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """``(doc_id, text_hash, name, n, keys, fp)``: name and size of every text's set; keys and fingerprint where a task meets it first.
 
     An empty set has no name.
     """
@@ -140,15 +143,17 @@ def marks(docs: DataFrame, id_col: str, text_col: str, words: int, keys_of: Call
         for doc, raw, text_hash in source:
             own = shingle_set(raw, words)
             if not len(own):
-                yield doc, text_hash, None, 0, None
+                yield doc, text_hash, None, 0, None, None
                 continue
             name = xxhash.xxh3_128_digest(own.tobytes())
-            keys = None if name in met else keys_of(own).view(np.int64)
+            fresh = name not in met
             met.add(name)
-            yield doc, text_hash, name, len(own), keys
+            yield (
+                doc, text_hash, name, len(own), keys_of(own).view(np.int64) if fresh else None, print_of(own) if fresh and print_of else None
+            )
 
     return materialize(map_rows(
-        as_bytes(hashed, "text_hash"), f"doc_id {kind}, text_hash bigint, name binary, n bigint, keys array<bigint>", rows, per_batch=1024
+        as_bytes(hashed, "text_hash"), f"doc_id {kind}, text_hash bigint, name binary, n bigint, keys array<bigint>, fp bigint", rows, per_batch=1024
     ), "shingles")
 
 
@@ -184,16 +189,11 @@ def sets_of(docs: DataFrame, points: DataFrame, members: DataFrame, id_col: str,
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose whole sets are similar."""
+    """Those of ``pairs (a, b)`` whose whole sets are similar: the set of each ``a`` goes to its ``b``."""
     pairs = materialize(pairs, "pairs")
-
-    def side(end: str, set_: str, size: str) -> DataFrame:
-        needed = sets.join(small(pairs.select(F.col(end).alias("name")).distinct()), "name", "left_semi")
-        return needed.select(F.col("name").alias(end), F.col("n").alias(size), F.col("hashes").alias(set_))
-
-    first, second = side("a", "x", "m"), side("b", "y", "k")
-    tokens = second.agg(F.sum("k")).first()[0] or 0
-    met = pairs.join(first, "a").join(F.broadcast(second) if tokens <= BROADCAST_TOKENS else second, "b")
+    first = sets.select(F.col("name").alias("a"), F.col("n").alias("m"), F.col("hashes").alias("x")).join(small(pairs), "a")
+    needed = sets.join(small(pairs.select(F.col("b").alias("name")).distinct()), "name", "left_semi")
+    met = first.join(needed.select(F.col("name").alias("b"), F.col("n").alias("k"), F.col("hashes").alias("y")), "b")
     fits = met.filter(similar(F.least("m", "k"), F.col("m"), F.col("k"), percent))
     return materialize(fits.filter(similar(F.size(F.array_intersect("x", "y")), F.col("m"), F.col("k"), percent)).select("a", "b"), "similar")
 
@@ -238,25 +238,48 @@ def _open(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pick(left), "b": pick(right)})
 
 
-def linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(node, root)`` for all points of ``members (key, name, size)`` that are linked with another; ``sets`` as from ``sets_of``."""
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches)
+    ends = [table[c].to_pylist() for c in ("a", "b")]
+    names = sorted(set(ends[0]).union(ends[1]))
+    place = {name: k for k, name in enumerate(names)}
+    root = union_edges(len(names), *[np.array([place[x] for x in end], dtype=np.int64) for end in ends])
+    yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.binary()), "root": pa.array([names[k] for k in root], pa.binary())})
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """``(node, root)`` of all ends of ``links (a, b)``: in one task if they are counted to fit one, else by star contraction."""
+    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    if not 0 < links.count() <= LINKS_PER_TASK:
+        return materialize(contract(links), "roots")
+    return materialize(links.repartition(1).mapInArrow(_finish, "node binary, root binary"), "roots")
+
+
+def linked(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` for all points of ``members (key, name, size)`` that are linked with another; ``sets`` as from ``sets_of``.
+
+    ``links`` are those that are known already.
+    """
     groups = in_groups(members)
-    links = verified(groups.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")), sets, percent)
+    led = verified(groups.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")), sets, percent)
+    links = led if links is None else links.unionByName(led)
     places = materialize(members.join(groups, "name").select("key", "name", "grp", "leader"), "places")
     for step in range(HUBS):
-        roots = materialize(contract(links), "roots")
+        roots = joined(links)
         here = with_root(with_root(places, roots, "name", "root"), roots, "leader", "top")
         hub = F.min(F.struct(F.xxhash64("leader", F.lit(step)).alias("h"), "leader", "top")).alias("hub")
         met = here.select("key", "name", "root").join(here.groupBy("key").agg(hub), "key").filter("root <> hub.top")
         one = met.groupBy("name").agg(F.min("hub")["leader"].alias("b"))
         links = links.unionByName(verified(one.select(F.col("name").alias("a"), "b"), sets, percent))
-    roots = materialize(contract(links), "roots")
-    live = materialize(with_root(places, roots, "name", "root").select("key", "grp", "root").distinct(), "live")
-    sign = F.xxhash64("root")
-    several = live.groupBy("key").agg(F.min(sign).alias("a"), F.max(sign).alias("b")).filter("a <> b").select("key")
+    roots = joined(links)
+    # a row for each key and group, whatever the number of points: the least and greatest component there
+    live = with_root(places, roots, "name", "root").groupBy("key", "grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    live = materialize(live, "live")
+    several = live.groupBy("key").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("key")
     live = live.join(several, "key", "left_semi")
-    other = live.select("key", F.col("grp").alias("gb"), F.col("root").alias("other"))
-    cells = materialize(live.withColumnRenamed("grp", "ga").join(other, "key").filter("ga <= gb AND root <> other").select("ga", "gb").distinct(), "cells")
+    other = live.select("key", F.col("grp").alias("gb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    apart = "ga <= gb AND (low <> high OR low_b <> high_b OR low <> low_b)"
+    cells = materialize(live.withColumnRenamed("grp", "ga").join(other, "key").filter(apart).select("ga", "gb").distinct(), "cells")
     inside = with_root(groups.select("name", "grp"), roots, "name", "root").join(sets.select("name", "n", "bits"), "name")
     sides = [cells, cells.filter("ga <> gb")]
     rows = [
@@ -264,7 +287,17 @@ def linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for k, (c, end) in enumerate(zip(sides, ("ga", "gb")))
     ]
     found = stream_groups(rows[0].unionByName(rows[1]), ["ga", "gb"], ["side"], partial(_open, percent=percent), "a binary, b binary", chunk_rows=4096)
-    return contract(links.unionByName(verified(found.distinct(), sets, percent)))
+    left = materialize(found.distinct(), "candidates")
+    for step in range(PICKS):  # one candidate for each two components is mostly enough to join them
+        between = with_root(with_root(left, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb")
+        pick = F.min(F.struct(F.xxhash64("a", "b", F.lit(step)).alias("h"), "a", "b")).alias("pick")
+        picked = between.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(pick).select("pick.a", "pick.b")
+        picked = materialize(picked, "picked")
+        links = links.unionByName(verified(picked, sets, percent))
+        roots = joined(links)
+        between = with_root(with_root(left.join(picked, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb")
+        left = materialize(between.filter("ra <> rb").select("a", "b"), "candidates")
+    return roots if left.isEmpty() else joined(links.unionByName(verified(left, sets, percent)))
 
 
 def with_root(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
