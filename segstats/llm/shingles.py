@@ -1,148 +1,72 @@
 """Near-duplicates by exact similarity of 5-word shingle sets: the pipeline's rule.
 
 Two texts are linked if their sets of 5-word shingles (A-Z lower-cased) have a Jaccard similarity of 0.8 or more; documents linked
-directly or through others are one group. Fingerprints of such texts differ by up to 18 bits, where a tree of vantage points
-cuts nothing off, so candidates come from 32 bands of three minimum hashes instead: a pair of similarity 0.8 shares none of
-them with a chance of 1e-10, one of higher similarity with less. Every candidate is compared by its whole sets.
+directly or through others are one group. Equal sets are one point from the start.
 
-Equal sets are one point from the start. Points of a bucket are compared with one of them, twice with different ones; only where
-a bucket still has points of several groups, those of different groups are compared pair by pair.
+1. Fingerprints of the sets meet in the tree of vantage points (``simhash.link_forest``, 3 bits); of what it links, those pairs whose
+   whole sets are similar are the first links.
+2. Fingerprints of texts of similarity 0.8 differ by up to 18 bits, where the tree cuts nothing off (unrelated ones differ by 32,
+   give or take 4), so further candidates come from 96 bands of six minimum hashes: a pair of similarity 0.8 shares none with a
+   chance of 2e-13, one of 0.3 shares one with a chance of 7 %.
+3. Candidates are linked as in ``jaccard``: leaders first, then groups of points that still lie in different components, cell by cell inside
+   a task, by bitmaps that never rule out a similar pair, and at last by whole sets. No bucket is joined with itself pair by pair.
 
-Defined cases: a text of fewer words is one shingle, a null or empty text an empty one; repeated rows share a group.
+Defined cases: a text of fewer words is one shingle, null and empty texts are one group; repeated rows share a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.common import LOWER_BYTES, as_bytes, map_rows, small, texts
-from segstats.llm.simhash import CHUNK, SEED, contract, first_of_groups
+from segstats.llm import jaccard
+from segstats.llm.simhash import first_of_groups, link_forest, majority
 from segstats.session import materialize
 
-WORDS = 5
-BANDS, BAND_ROWS = 32, 3
-#: Buckets are compared with one of their points this many times before pairs are.
-HUBS = 2
+WORDS, PERCENT = 5, 80
+BANDS, BAND_ROWS = 96, 6
 _rng = np.random.default_rng(11)
-FLIP = _rng.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)
-FACTOR = _rng.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
-
-
-def shingle_set(raw: bytes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    words = raw.translate(LOWER_BYTES).split()
-    joined, hash64 = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= WORDS:
-        return np.array([hash64(joined, SEED)], dtype=np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-WORDS].tolist()]
-    return np.unique(np.array([hash64(joined[a:b], SEED) for a, b in zip(starts, (ends[WORDS - 1:] - 1).tolist())], dtype=np.uint64))
-
-
-def signed(value: int) -> int:
-    return value - 2**64 if value >= 2**63 else value
-
+FLIP = _rng.integers(0, 2**32, BANDS * BAND_ROWS, dtype=np.uint32)
+FACTOR = _rng.integers(0, 2**32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
+CHUNK = 256
 
-def name_of(hashes: np.ndarray) -> int:
-    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
-
-def buckets(hashes: np.ndarray) -> list[int]:
+def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One key a band, from the least of the permuted hashes."""
-    least = np.full(len(FLIP), 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(hashes), CHUNK >> 4):
-        part = (hashes[at:at + (CHUNK >> 4), None] ^ FLIP) * FACTOR
-        least = np.minimum(least, part.min(axis=0))
-    return [signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of 0.8 or more, in whole numbers."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 9 * both >= 4 * (len(a) + len(b))
-
-
-def marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, text_hash, fp, n, buckets)``: a name, the size and the bucket keys of every text's set."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    hashed = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-
-    def rows(source) -> Iterator[tuple]:
-        for doc, raw, text_hash in source:
-            own = shingle_set(raw)
-            yield doc, text_hash, name_of(own), len(own), buckets(own)
-
-    return map_rows(
-        as_bytes(hashed, "text_hash"), f"doc_id {kind}, text_hash bigint, fp bigint, n bigint, buckets array<bigint>", rows, per_batch=1024
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(FLIP), 2**32 - 1, dtype=np.uint32)
+    for at in range(0, len(low), CHUNK):
+        part = low[at:at + CHUNK, None] ^ FLIP
+        part *= FACTOR
+        np.minimum(least, part.min(axis=0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T.astype(np.uint64):
+        key = jaccard.mix(key + jaccard.MIX_C) + column
+    return jaccard.mix(key)
+
+
+def fingerprint_pairs(marked: DataFrame, members: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs of points whose fingerprints the tree of vantage points links, as a forest, and stars of equal ones."""
+    points = materialize(
+        marked.filter("fp IS NOT NULL").groupBy("name").agg(F.first("fp").alias("fp")).join(members.select("name").distinct(), "name", "left_semi"), "prints"
     )
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b)`` of those ``pairs`` whose sets are similar."""
-    left = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
-
-    def rows(source) -> Iterator[tuple]:
-        for a, b, x, y in source:
-            if similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)):
-                yield a, b
-
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialize(map_rows(both, "a bigint, b bigint", rows), "similar")
-
-
-def near(m: Column, n: Column) -> Column:
-    """Sets of these sizes can be similar at all."""
-    return 5 * F.least(m, n) >= 4 * F.greatest(m, n)
-
-
-def similar_roots(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(node, root)`` for all points of ``members (bucket, fp, n)`` that are linked with another."""
-    links = None
-    for step in range(HUBS + 1):
-        here = members.withColumn("root", F.col("fp"))
-        if links is not None:
-            roots = contract(links).withColumnRenamed("node", "fp")
-            here = materialize(members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
-        hub = F.min(F.struct(F.xxhash64("fp", F.lit(step)).alias("h"), "fp", "n", "root")).alias("hub")
-        several = here.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).filter("low < high")
-        if step < HUBS:
-            pairs = here.join(several, "bucket").filter((F.col("root") != F.col("hub.root")) & near(F.col("n"), F.col("hub.n")))
-            pairs = pairs.select(F.col("fp").alias("a"), F.col("hub.fp").alias("b"))
-        else:
-            left = here.join(several.select("bucket"), "bucket", "left_semi")
-            right = left.select("bucket", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = left.join(right, "bucket").filter((F.col("fp") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("n"), F.col("nb")))
-            pairs = pairs.select(F.col("fp").alias("a"), "b")
-        new = verified(pairs.distinct(), sets)
-        links = new if links is None else links.unionByName(new)
-    return contract(links)
+    heads = materialize(points.groupBy("fp").agg(F.min("name").alias("head")), "heads")
+    near = link_forest(heads.select("fp"))
+    head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
+    across = near.join(head("a"), "a").join(head("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    return points.join(heads, "fp").filter("name <> head").select(F.col("name").alias("a"), F.col("head").alias("b")).unionByName(across)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, chosen as in ``simhash.keep_first``."""
-    marked = materialize(marks(docs, id_col, text_col), "shingles")
-    points = marked.groupBy("fp").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"), F.first("buckets").alias("buckets")
-    )
-    points = materialize(points, "points")
-    each = points.select("fp", "n", F.explode("buckets").alias("bucket"))
-    members = materialize(each.join(each.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"), "bucket"), "members")
-    chosen = points.join(members.select("fp").distinct(), "fp", "left_semi").select(F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    some = texts(docs, id_col, text_col).join(small(materialize(chosen, "chosen")), same, "left_semi")
-
-    def rows(source) -> Iterator[tuple]:
-        for _, raw in source:
-            own = shingle_set(raw)
-            yield name_of(own), own.tobytes()
-
-    sets = materialize(map_rows(as_bytes(some), "fp bigint, hashes binary", rows, per_batch=256).dropDuplicates(["fp"]), "sets")
-    roots = similar_roots(members, sets).withColumnRenamed("node", "fp")
-    named = points.select("fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return first_of_groups(docs, marked.select("doc_id", "fp", "text_hash"), named, id_col, text_col)
+    marked = jaccard.marks(docs, id_col, text_col, WORDS, band_keys, majority)
+    points = jaccard.points_of(marked)
+    members = jaccard.shared_keys(marked, points)
+    sets = jaccard.sets_of(docs, points, members, id_col, text_col, WORDS)
+    first = jaccard.verified(fingerprint_pairs(marked, members), sets, PERCENT)
+    roots = jaccard.linked(members, sets, PERCENT, first)
+    nothing = F.lit(b"")
+    named = jaccard.with_root(points.select("name"), roots, "name", "root").select(F.col("name").alias("fp"), "root")
+    named = named.unionByName(docs.sparkSession.range(1).select(nothing.alias("fp"), nothing.alias("root")))
+    return first_of_groups(docs, marked.select("doc_id", F.coalesce("name", nothing).alias("fp"), "text_hash"), named, id_col, text_col)

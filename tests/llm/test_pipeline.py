@@ -10,7 +10,7 @@ from test_decontaminate import words_of
 from test_pieces import expect, library
 from test_quality import brute as plain_measures
 from test_secrets import BASE
-from test_simhash import brute_components, plain_fingerprint
+from test_shingles import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,9 +74,7 @@ def test_pipeline_matches_a_plain_version(spark):
     after = {n: {r.doc_id: r.text for r in seen[n].collect()} for n in names[:-1]}
     state = {d: t for d, t in state.items() if plain_keep(t)}
     assert after[names[0]] == state and len(state) < len(docs)
-    order = sorted(state)
-    root = brute_components([plain_fingerprint(state[d]) for d in order])
-    state = {d: state[d] for k, d in enumerate(order) if root[k] == k}
+    state = {d: state[d] for d in plain_kept(sorted(state.items()))}
     assert after[names[1]] == state
     cut = {d: plain_cut(t, items) for d, t in state.items()}
     assert {d: words_of(t) for d, t in after[names[2]].items()} == {d: w for d, w in cut.items() if w is not None}

@@ -49,3 +49,32 @@ def test_odd_rows(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in shingles.keep_first(frame).collect()) == [1, 4, 7]
     assert shingles.keep_first(frame.limit(0)).count() == 0
+
+
+def test_bands_find_similar_pairs():
+    """Of pairs at the limit all share a band; unrelated ones share none."""
+    rng = np.random.default_rng(2)
+    for n in (12, 60, 400):
+        for _ in range(60):
+            both = rng.integers(0, 2**63, n).astype(np.uint64)
+            k = n // 10  # each has k of its own: 8 in 10 of the union are shared
+            a, b = (np.unique(np.concatenate([both[2 * k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for _ in "ab")
+            assert set(shingles.band_keys(a).tolist()) & set(shingles.band_keys(b).tolist())
+            other = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            assert not set(shingles.band_keys(a).tolist()) & set(shingles.band_keys(other).tolist())
+
+
+def test_hot_bucket_opens_few_cells(spark):
+    """Near copies of one text in two families that are too far apart to be linked."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for family in range(2):
+        base = [f"w{k}" if k > 45 * family else f"f{k}" for k in range(400)]
+        for _ in range(300):
+            w = list(base)
+            for at in rng.integers(50, 400, int(rng.integers(0, 6))):
+                w[at] = f"x{rng.integers(0, 10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in shingles.keep_first(frame).collect())
+    assert kept == sorted(plain_kept(docs))
