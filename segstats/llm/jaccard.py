@@ -12,7 +12,8 @@ or through others are one component. Equal sets are one point from the start, so
   joins the bulk of large clusters with one comparison a point; found links are contracted after each round.
 * **Cells and bound.** A cell is a query group and a group that share a block and are not one component. Tokens of a query whose class is not
   in a group's union are in none of its members; if the rest cannot reach the overlap that a link needs, the group is not opened
-  for this query. In opened groups the members' own bitmaps bound the same way, and what remains is compared by whole sets.
+  for this query. In opened groups the members' own bitmaps bound the same way, and what remains is compared by whole sets in the same
+  task, which gives out a forest of links: no more rows than the cell has points, however many pairs are similar or nearly so.
 
 Tokens are 64-bit hashes (two tokens of a pair are equal by chance once in
 10^13 pairs or so); points are named by 128 bits.
@@ -41,8 +42,8 @@ from segstats.operators.grouped import changes, stream_groups
 from segstats.session import materialize
 
 WORDS, PERCENT = 3, 90
-#: Points of a group, token classes of a bitmap, rounds in which leaders of other groups are compared, and in which one candidate
-#: is tried for each two components before all that are left.
+#: Points of a group, token classes of a bitmap, rounds in which leaders of other groups are compared, and in which some of the cells
+#: are opened before all that are left.
 GROUP, BITS, HUBS, PICKS = 64, 4096, 1, 2
 #: Links (some 40 bytes each) that one task joins.
 LINKS_PER_TASK = 1_000_000
@@ -173,7 +174,7 @@ def shared_keys(marked: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, points: DataFrame, members: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(name, n, bits, hashes)`` of the points in ``members``, from their texts."""
+    """``(name, n, hashes)`` of the points in ``members``, from their texts."""
     chosen = points.join(members.select("name").distinct(), "name", "left_semi").select(F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__hash"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     some = texts(docs, id_col, text_col).join(small(materialize(chosen, "chosen")), same, "left_semi")
@@ -181,9 +182,9 @@ def sets_of(docs: DataFrame, points: DataFrame, members: DataFrame, id_col: str,
     def rows(source) -> Iterator[tuple]:
         for _, raw in source:
             own = shingle_set(raw, words)
-            yield xxhash.xxh3_128_digest(own.tobytes()), len(own), token_classes(own).tobytes(), own.view(np.int64)
+            yield xxhash.xxh3_128_digest(own.tobytes()), len(own), own.view(np.int64)
 
-    sets = materialize(map_rows(as_bytes(some), "name binary, n bigint, bits binary, hashes array<bigint>", rows, per_batch=256), "sets")
+    sets = materialize(map_rows(as_bytes(some), "name binary, n bigint, hashes array<bigint>", rows, per_batch=256), "sets")
     repeated = sets.groupBy("name").count().filter("count > 1")
     return sets if repeated.isEmpty() else materialize(sets.dropDuplicates(["name"]), "sets")
 
@@ -207,10 +208,16 @@ def in_groups(members: DataFrame) -> DataFrame:
 
 
 def _open(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a cell's two groups, of different components, that their bitmaps do not rule out."""
+    """Links between a cell's two groups, as a forest over the components they lie in.
+
+    Pairs that the bitmaps do not rule out are compared by whole sets, unless the cell's earlier links have joined them.
+    """
     starts = np.append(np.flatnonzero(changes(table, ["ga", "gb"])), table.num_rows)
     sizes, side = table["n"].to_numpy(), table["side"].to_numpy()
-    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+    lists = table["hashes"].combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    sets = [values[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
+    bits = np.array([token_classes(own) for own in sets])
     root = np.unique(np.array(table["root"].to_pylist(), dtype=object), return_inverse=True)[1]
     left, right = [], []
 
@@ -223,18 +230,25 @@ def _open(table: pa.Table, percent: int) -> pa.Table:
         a, b = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
         alone = not len(b)  # a group with itself
         b = a if alone else b
+        own = root[lo:hi].copy()
         union = np.bitwise_or.reduce(bits[b], axis=0)
         least = np.maximum(sizes[b].min(), -(-sizes[a] * percent // 100))
         outside = np.bitwise_count(bits[a] & ~union).sum(axis=1, dtype=np.int64)
         a = a[reach(sizes[a], outside, least)]
         for q in a.tolist():
-            s = b[(root[b] != root[q]) & ((b > q) | (not alone))]
+            s = b[(own[b - lo] != own[q - lo]) & ((b > q) | (not alone))]
             lost_q = np.bitwise_count(bits[q] & ~bits[s]).sum(axis=1, dtype=np.int64)
             lost_s = np.bitwise_count(bits[s] & ~bits[q]).sum(axis=1, dtype=np.int64)
             s = s[reach(sizes[q], lost_q, sizes[s]) & reach(sizes[s], lost_s, sizes[q])]
-            left.append(np.full(len(s), q))
-            right.append(s)
-    pick = lambda rows: table["name"].take(pa.array(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)))
+            for r in s.tolist():
+                if own[r - lo] == own[q - lo]:
+                    continue
+                both = len(np.intersect1d(sets[q], sets[r], assume_unique=True))
+                if 100 * both >= percent * (sizes[q] + sizes[r] - both):
+                    own[own == own[r - lo]] = own[q - lo]
+                    left.append(q)
+                    right.append(r)
+    pick = lambda rows: table["name"].take(pa.array(rows, pa.int64()))
     return pa.table({"a": pick(left), "b": pick(right)})
 
 
@@ -280,24 +294,25 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame |
     other = live.select("key", F.col("grp").alias("gb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     apart = "ga <= gb AND (low <> high OR low_b <> high_b OR low <> low_b)"
     cells = materialize(live.withColumnRenamed("grp", "ga").join(other, "key").filter(apart).select("ga", "gb").distinct(), "cells")
-    inside = with_root(groups.select("name", "grp"), roots, "name", "root").join(sets.select("name", "n", "bits"), "name")
-    sides = [cells, cells.filter("ga <> gb")]
-    rows = [
-        c.join(inside.withColumnRenamed("grp", end), end).select("ga", "gb", F.lit(k).alias("side"), "name", "n", "bits", "root")
-        for k, (c, end) in enumerate(zip(sides, ("ga", "gb")))
-    ]
-    found = stream_groups(rows[0].unionByName(rows[1]), ["ga", "gb"], ["side"], partial(_open, percent=percent), "a binary, b binary", chunk_rows=4096)
-    left = materialize(found.distinct(), "candidates")
-    for step in range(PICKS):  # one candidate for each two components is mostly enough to join them
-        between = with_root(with_root(left, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb")
-        pick = F.min(F.struct(F.xxhash64("a", "b", F.lit(step)).alias("h"), "a", "b")).alias("pick")
-        picked = between.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(pick).select("pick.a", "pick.b")
-        picked = materialize(picked, "picked")
-        links = links.unionByName(verified(picked, sets, percent))
+    part = F.pmod(F.xxhash64("ga", "gb"), F.lit(2**PICKS))
+    for step in range(PICKS + 1):  # some cells join most components, so that the others need not be opened
+        here = with_root(groups.select("name", "grp"), roots, "name", "root")
+        whole = here.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        whole_b = whole.select(F.col("grp").alias("gb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+        now = cells.filter(part == step if step < PICKS else part >= step)
+        now = now.join(whole.withColumnRenamed("grp", "ga"), "ga").join(whole_b, "gb").filter(apart).select("ga", "gb")
+        now = materialize(now, "now")
+        if now.isEmpty():
+            continue
+        inside = here.join(sets.select("name", "n", "hashes"), "name")
+        rows = [
+            c.join(inside.withColumnRenamed("grp", end), end).select("ga", "gb", F.lit(k).alias("side"), "name", "n", "hashes", "root")
+            for k, (c, end) in enumerate(((now, "ga"), (now.filter("ga <> gb"), "gb")))
+        ]
+        found = stream_groups(rows[0].unionByName(rows[1]), ["ga", "gb"], ["side"], partial(_open, percent=percent), "a binary, b binary", chunk_rows=1024)
+        links = links.unionByName(materialize(found, "found"))
         roots = joined(links)
-        between = with_root(with_root(left.join(picked, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb")
-        left = materialize(between.filter("ra <> rb").select("a", "b"), "candidates")
-    return roots if left.isEmpty() else joined(links.unionByName(verified(left, sets, percent)))
+    return roots
 
 
 def with_root(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:

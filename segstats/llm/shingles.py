@@ -9,7 +9,8 @@ directly or through others are one group. Equal sets are one point from the star
    give or take 4), so further candidates come from 96 bands of six minimum hashes: a pair of similarity 0.8 shares none with a
    chance of 2e-13, one of 0.3 shares one with a chance of 7 %.
 3. Candidates are linked as in ``jaccard``: leaders first, then groups of points that still lie in different components, cell by cell inside
-   a task, by bitmaps that never rule out a similar pair, and at last by whole sets. No bucket is joined with itself pair by pair.
+   a task, by bitmaps that never rule out a similar pair, and there by whole sets. No bucket is joined with itself pair by pair, and a
+   cell gives out a forest of links, not its pairs.
 
 Defined cases: a text of fewer words is one shingle, null and empty texts are one group; repeated rows share a group.
 """

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from segstats.llm import jaccard, queries
@@ -108,3 +109,22 @@ def test_odd_rows(spark):
     assert jaccard.jaccard_components(frame.limit(0)).count() == 0
     long = [(1, "a b c d e f g " * 20_000), (2, "a b c d e f g " * 20_000 + "z"), (3, "lone")]
     assert found(spark.createDataFrame(long, "doc_id long, text string")) == brute(long)
+
+
+def test_a_cell_gives_out_a_forest():
+    """A group with itself whose sets are all similar in two families: links are fewer than points, not pairs of them."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(2):
+        base = rng.integers(0, 2**63, 100).astype(np.uint64)
+        for k in range(30):
+            own = np.unique(np.append(base, rng.integers(0, 2**63, 2).astype(np.uint64)))
+            rows.append((b"%d-%02d" % (family, k), own))
+    names = [name for name, _ in rows]
+    table = pa.table({
+        "ga": [1] * 60, "gb": [1] * 60, "side": [0] * 60, "name": pa.array(names, pa.binary()), "n": [len(own) for _, own in rows],
+        "bits": pa.array([jaccard.token_classes(own).tobytes() for _, own in rows], pa.binary()),
+        "hashes": pa.array([own.view(np.int64) for _, own in rows], pa.list_(pa.int64())), "root": pa.array(names, pa.binary()),
+    })
+    links = jaccard._open(table, 90).to_pylist()
+    assert len(links) == 58 and all(r["a"][:1] == r["b"][:1] for r in links)
