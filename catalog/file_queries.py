@@ -280,7 +280,7 @@ def png_bytes(grid: np.ndarray) -> bytes:
 
 
 def write_mask_folder(spark, sf, root: str) -> None:
-    """Every raster as an image with its masks; the folder says that a pixel is half a micrometer wide."""
+    """Every raster as an image with its masks, a thousand to a folder, which says that a pixel is half a micrometer wide."""
     from segstats.constants import PIXEL_SIZE_FILE, SUFFIXES
 
     cls = predicted_classes(spark, sf).select("image_id", "y", "x", F.when(F.col("cls") == "axon", 2).otherwise(1).alias("c"))
@@ -290,10 +290,16 @@ def write_mask_folder(spark, sf, root: str) -> None:
     )
 
     def write(batches):
-        store, folder = fs.FileSystem.from_uri(root)
-        store.create_dir(folder, recursive=True)
+        store, base = fs.FileSystem.from_uri(root)
+        made = set()
         for batch in batches:
             for image_id, cells in zip(*[c.to_pylist() for c in batch.columns]):
+                folder = f"{base}/s{image_id // 1000}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    with store.open_output_stream(f"{folder}/{PIXEL_SIZE_FILE}") as out:
+                        out.write(b"0.5")
+                    made.add(folder)
                 grid = np.zeros((8, 8), int)
                 for code in cells:
                     grid[code // 100, code // 10 % 10] = code % 10
@@ -301,8 +307,6 @@ def write_mask_folder(spark, sf, root: str) -> None:
                 for end, mask in masks.items():
                     with store.open_output_stream(f"{folder}/i{image_id}{end}") as out:
                         out.write(png_bytes(mask * 255))
-            with store.open_output_stream(f"{folder}/{PIXEL_SIZE_FILE}") as out:
-                out.write(b"0.5")
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
     rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()

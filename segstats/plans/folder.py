@@ -26,24 +26,27 @@ def _plain(path) -> F.Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def read_masks(spark: SparkSession, root: str, mode: str = "myelinated") -> tuple[DataFrame, DataFrame]:
+def read_masks(
+    spark: SparkSession, root: str, mode: str = "myelinated", listing: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(image_id, height, width, dir)`` of ready images, and the set pixels ``(image_id, role, y, x)`` of their masks.
 
     An image is named by its path without the extension. A mask that a ready image lacks is an error, as is one of
     another size than its fellows.
     """
-    needed = files.require_masks(files.list_files(spark, root), mode).select(
+    listing = files.list_files(spark, root) if listing is None else listing
+    needed = files.require_masks(listing, mode).select(
         F.concat("dir", F.lit("/"), "stem").alias("image_id"), "dir", "role", _plain("path").alias("_path")
     )
     named = materialize(needed, "masks")
-    headers = files.read_headers(spark, root).select(_plain("path").alias("_path"), "height", "width")
+    headers = files.read_headers(spark, root, listing).select(_plain("path").alias("_path"), "height", "width")
     sized = named.join(headers, "_path").groupBy("image_id", "dir").agg(
         F.max("height").alias("height"), F.max("width").alias("width"), F.min("height").alias("_h"), F.min("width").alias("_w")
     )
     odd = F.raise_error(F.concat(F.lit("masks of different sizes: "), "image_id")).cast("int")
     same = (F.col("height") == F.col("_h")) & (F.col("width") == F.col("_w"))
     images = sized.select("image_id", F.when(same, F.col("height")).otherwise(odd).alias("height"), "width", "dir")
-    pixels = files.read_pixels(spark, root, "*_seg-*.png").filter("v > 0").withColumn("_path", _plain("path"))
+    pixels = files.read_pixels(spark, root, "*_seg-*.png", listing).filter("v > 0").withColumn("_path", _plain("path"))
     return materialize(images, "images"), materialize(pixels.join(named, "_path").select("image_id", "role", "y", "x"), "pixels")
 
 
@@ -54,8 +57,9 @@ def measure_folder(
 
     A given ``pixel_size`` wins over the files; a folder without either is an error.
     """
-    images, pixels = read_masks(spark, root, mode)
-    images = files.with_pixel_size(images, files.read_pixel_sizes(spark, root), pixel_size)
+    listing = files.list_files(spark, root)
+    images, pixels = read_masks(spark, root, mode, listing)
+    images = files.with_pixel_size(images, files.read_pixel_sizes(spark, root, listing), pixel_size)
     mask = {role: pixels.filter(F.col("role") == role).drop("role") for role in files.REQUIRED_MASKS[mode]}
     if mode == "unmyelinated":
         return FolderResults(images, measure_objects(mask["uaxon"], images, axon_shape=axon_shape))

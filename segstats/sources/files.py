@@ -6,6 +6,7 @@ a folder listing of any size without opening a file.
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
 import numpy as np
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from segstats.constants import AGGREGATE_DIR, LARGE_PIXEL_LIMIT, PIXEL_LIMIT, PIXEL_SIZE_FILE, SLOW_PIXELS, SUFFIXES, VALID_EXTENSIONS
 from segstats.functions.scalars import file_name, is_generated, parent_dir, stem
-from segstats.sources.headers import SCHEMA, shape_of, shapes
+from segstats.session import materialize
+from segstats.sources.headers import SCHEMA, plain_png, png_pixels, shape_of, shapes
 
 MASK_ROLES = ["axonmyelin", "axon", "myelin", "uaxon", "nerve"]
 # Masks each mode needs, and the one that marks an image as ready.
@@ -28,10 +30,61 @@ REQUIRED_MASKS = {
 TARGET_MASK = {"myelinated": "axonmyelin", "unmyelinated": "uaxon", "nerve": "nerve"}
 
 
+#: Folders one task lists, files one task opens, files of unusual forms that one job decodes.
+FOLDERS_PER_TASK, FILES_PER_TASK, FILES_PER_JOB = 16, 4096, 10_000
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and its name there; listings write file:/a/b, URIs have file:///a/b."""
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
+def _entries(batches):
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, name = opened(path)
+            name = name.rstrip("/") or "/"
+            local = isinstance(store, fs.LocalFileSystem)
+            front = "file:" if local else path.rstrip("/").removesuffix(name)
+            alone = store.get_file_info(name)
+            if alone.type == fs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            found = [alone] if alone.is_file else store.get_file_info(fs.FileSelector(name))
+            for at in range(0, len(found), 4096):
+                part = [e for e in found[at:at + 4096] if not e.base_name.startswith(("_", "."))]
+                yield pa.RecordBatch.from_pydict({
+                    "path": pa.array([front + e.path for e in part], pa.string()),
+                    "length": pa.array([e.size if e.is_file else None for e in part], pa.int64()),
+                })
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, length)`` of all files under a folder; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.load(root).select("path", "length")
+    """``(path, length)`` of all files under a folder; contents are not read.
+
+    Tasks list the folders, one level after another, so that no listing passes through the driver; the folder must be one that
+    ``pyarrow.fs`` knows (file, hdfs, s3, gs). Empty files and names that begin with ``_`` or ``.`` are left out.
+    """
+    if any(c in root for c in "*?[{"):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    folders, levels = spark.createDataFrame([(root,)], "path string"), []
+    count = 1
+    while count:
+        dealt = folders.repartition(-(-count // FOLDERS_PER_TASK), "path")
+        found = materialize(dealt.mapInArrow(_entries, "path string, length bigint"), "listing")
+        levels.append(found.filter("length > 0"))
+        folders = found.filter("length IS NULL").select("path")
+        count = folders.count()
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def in_tasks(paths: DataFrame) -> DataFrame:
+    """Files dealt to tasks by number."""
+    return paths.repartition(paths.count() // FILES_PER_TASK + paths.sparkSession.sparkContext.defaultParallelism, "path")
 
 
 def list_images(files: DataFrame) -> DataFrame:
@@ -121,22 +174,21 @@ def image_headers(files: DataFrame) -> DataFrame:
     return files.mapInArrow(heads, f"{kept}, {SCHEMA}")
 
 
-def read_headers(spark: SparkSession, root: str) -> DataFrame:
+def read_headers(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
     """Shapes of the image files under a folder; only header bytes of each file are read, in a few ranges.
 
     Tasks open the files themselves, so the folder must be one that ``pyarrow.fs`` knows (file, hdfs, s3, gs). Files that are no images
-    whatever their name have nulls.
+    whatever their name have nulls. ``listing`` is that of ``list_files`` if it is there already.
     """
-    ends = ",".join(sorted({e.rsplit(".", 1)[1] for e in VALID_EXTENSIONS}))
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{ends}}}")
-    paths = reader.load(root).select("path")
+    ends = "|".join(sorted({e.rsplit(".", 1)[1] for e in VALID_EXTENSIONS}))
+    listing = list_files(spark, root) if listing is None else listing
+    paths = in_tasks(listing.select("path").filter(F.regexp_like("path", F.lit(rf"\.({ends})$"))))
 
     def heads(batches):
         for batch in batches:
             found = []
             for path in batch.column(0).to_pylist():
-                # the listing writes file:/a/b, URIs have file:///a/b
-                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                store, name = opened(path)
                 with store.open_input_file(name) as source:
                     found.append(shape_of(lambda at, n, source=source: source.read_at(n, at)))
             yield shapes(batch, found)
@@ -203,10 +255,20 @@ def parse_pixel_sizes(texts: DataFrame) -> DataFrame:
     )
 
 
-def read_pixel_sizes(spark: SparkSession, root: str) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PIXEL_SIZE_FILE)
-    texts = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return parse_pixel_sizes(texts)
+def read_pixel_sizes(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
+    listing = list_files(spark, root) if listing is None else listing
+    paths = in_tasks(listing.select("path").filter(file_name(F.col("path")) == PIXEL_SIZE_FILE))
+
+    def texts(batches):
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                store, name = opened(path)
+                with store.open_input_file(name) as source:
+                    found.append(source.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_pydict({"path": batch.column(0), "value": pa.array(found, pa.string())})
+
+    return parse_pixel_sizes(paths.mapInArrow(texts, "path string, value string"))
 
 
 def with_pixel_size(images: DataFrame, sizes: DataFrame | None = None, given: float | None = None) -> DataFrame:
@@ -231,49 +293,90 @@ def to_eight_bits(gray: np.ndarray) -> np.ndarray:
     return np.floor(scaled * 255 + 0.499999999)
 
 
-def read_pixels(spark: SparkSession, root: str, glob: str = "*.png") -> DataFrame:
+PIXELS = "path string, height int, width int, y int, x int, v int"
+
+
+def _bands(path: str, data: np.ndarray):
+    """Pixel rows of an image whose channels are ``(blue, green, red)`` or whose first one is gray, a band at a time."""
+    h, w, c = data.shape
+    if c < 3:
+        image = data[..., 0].astype(np.float64)
+    else:
+        image = to_eight_bits(data[..., :3] @ np.array([0.114, 0.587, 0.299]))
+    band = max(1, 262_144 // w)
+    for top in range(0, h, band):
+        gray = image[top : top + band]
+        y, x = np.indices(gray.shape)
+        n = gray.size
+        yield pa.RecordBatch.from_pydict(
+            {
+                "path": pa.array([path] * n),
+                "height": pa.array(np.full(n, h, np.int32)),
+                "width": pa.array(np.full(n, w, np.int32)),
+                "y": pa.array((y.ravel() + top).astype(np.int32)),
+                "x": pa.array(x.ravel().astype(np.int32)),
+                "v": pa.array(gray.astype(np.int32).ravel()),
+            }
+        )
+
+
+def read_pixels(spark: SparkSession, root: str, glob: str = "*.png", listing: DataFrame | None = None) -> DataFrame:
     """Gray pixels ``(path, height, width, y, x, v)`` of the images under a folder, ``v`` in 8 bits.
 
-    Gray images keep their levels; the weighted sum of a colour image is stretched to 8 bits like any float image. The
-    built-in image source keeps the low byte only of deeper channels, so a PNG of more than 8 bits is an error.
+    Gray images keep their levels; the weighted sum of a colour image is stretched to 8 bits like any float image. Tasks open the
+    files themselves and decode PNG of 8 bits a channel without a palette. All other files go through the built-in image source,
+    ``FILES_PER_JOB`` at a time, since that lists them in the driver; it keeps the low byte only of deeper channels, so a PNG of
+    more than 8 bits is an error.
     """
-    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    rows = reader.load(root).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    depth = read_headers(spark, root).select(plain("path").alias("_path"), "bit_depth")
-    error = F.raise_error(F.concat(F.lit("more than 8 bits per channel: "), "origin"))
-    checked = rows.join(depth, plain("origin") == F.col("_path"), "left").select(
-        F.when(F.col("bit_depth") > 8, error.cast("string")).otherwise(F.col("origin")).alias("origin"),
-        "height", "width", "nChannels", "data",
-    )
+    listing = list_files(spark, root) if listing is None else listing
+    paths = in_tasks(listing.select("path").filter(F.regexp_like(file_name(F.col("path")), F.lit(fnmatch.translate(glob)))))
+
+    def forms(batches):
+        for batch in batches:
+            plain, depth = [], []
+            for path in batch.column(0).to_pylist():
+                store, name = opened(path)
+                with store.open_input_file(name) as source:
+                    at = lambda start, n, source=source: source.read_at(n, start)
+                    plain.append(plain_png(at))
+                    depth.append(None if plain[-1] else shape_of(at).bit_depth)
+            yield pa.RecordBatch.from_pydict({"path": batch.column(0), "plain": pa.array(plain), "bit_depth": pa.array(depth, pa.int32())})
+
+    def decode_files(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, name = opened(path)
+                with store.open_input_file(name) as source:
+                    yield from _bands(path, png_pixels(source.read()))
 
-    def decode(batches):
+    def decode_rows(batches):
         for batch in batches:
             # one image at a time; a batch only refers to the bytes of its images
             for k in range(batch.num_rows):
                 path, h, w, c = (batch.column(i)[k].as_py() for i in range(4))
-                data = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint8).reshape(h, w, c)
-                if c < 3:
-                    image = data[..., 0].astype(np.float64)
-                else:
-                    image = to_eight_bits(data[..., :3] @ np.array([0.114, 0.587, 0.299]))
-                band = max(1, 262_144 // w)
-                for top in range(0, h, band):
-                    gray = image[top : top + band]
-                    y, x = np.indices(gray.shape)
-                    n = gray.size
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "path": pa.array([path] * n),
-                            "height": pa.array(np.full(n, h, np.int32)),
-                            "width": pa.array(np.full(n, w, np.int32)),
-                            "y": pa.array((y.ravel() + top).astype(np.int32)),
-                            "x": pa.array(x.ravel().astype(np.int32)),
-                            "v": pa.array(gray.astype(np.int32).ravel()),
-                        }
-                    )
-
-    return checked.mapInArrow(decode, "path string, height int, width int, y int, x int, v int")
+                yield from _bands(path, np.frombuffer(batch.column(4)[k].as_buffer(), np.uint8).reshape(h, w, c))
+
+    found = materialize(paths.mapInArrow(forms, "path string, plain boolean, bit_depth int"), "forms")
+    out = in_tasks(found.filter("plain").select("path")).mapInArrow(decode_files, PIXELS)
+    some = []
+
+    def decoded() -> DataFrame:
+        bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))).alias("origin")  # the source writes URIs
+        rows = spark.read.format("image").load(some).select(origin, "image.height", "image.width", "image.nChannels", "image.data")
+        deep = found.filter("bit_depth > 8").select(bare("path").alias("_path"), "bit_depth")
+        error = F.raise_error(F.concat(F.lit("more than 8 bits per channel: "), "origin"))
+        checked = rows.join(deep, bare("origin") == F.col("_path"), "left").select(
+            F.when(F.col("bit_depth") > 8, error.cast("string")).otherwise(F.col("origin")).alias("origin"),
+            "height", "width", "nChannels", "data",
+        )
+        return materialize(checked.mapInArrow(decode_rows, PIXELS), "decoded")
+
+    for row in found.filter("NOT plain").select("path").toLocalIterator():
+        some.append(row["path"])
+        if len(some) == FILES_PER_JOB:
+            out, some = out.unionByName(decoded()), []
+    return out.unionByName(decoded()) if some else out
 
 
 def subject_files(files: DataFrame) -> DataFrame:

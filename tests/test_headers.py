@@ -1,7 +1,10 @@
 """Image shapes from hand-made files."""
 
+import zlib
 import struct
 
+import numpy as np
+
 from segstats.sources import files
 from segstats.sources.headers import Shape, shape_of
 
@@ -62,3 +65,50 @@ def test_folder_and_table(spark, tmp_path):
     frame = spark.createDataFrame([(n, bytearray(c)) for n, (c, _) in FILES.items()] + [("null", None)], "path string, content binary")
     rows = {r.path: Shape(r.kind, r.width, r.height, r.bit_depth, r.channels) for r in files.image_headers(frame).collect()}
     assert rows == {**{name: shape for name, (_, shape) in FILES.items()}, "null": Shape()}
+
+
+def filtered_png(image, colour, palette=b""):
+    """A PNG file whose lines use the five predictors in turn."""
+    def chunk(tag, data):
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+
+    h, w, step = image.shape
+    lines, above = [], np.zeros(w * step, int)
+    for y in range(h):
+        line = image[y].ravel().astype(int)
+        left, corner = (np.concatenate([np.zeros(step, int), v[:-step]]) for v in (line, above))
+        p = left + above - corner
+        near = np.abs(np.stack([p - left, p - above, p - corner])).argmin(axis=0)
+        guess = [0, left, above, (left + above) // 2, np.choose(near, [left, above, corner])][y % 5]
+        lines.append(bytes([y % 5]) + ((line - guess) % 256).astype(np.uint8).tobytes())
+        above = line
+    head = struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)
+    extra = chunk(b"PLTE", palette) if palette else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+def test_pixels_in_tasks_are_those_of_the_image_source(spark, tmp_path, monkeypatch):
+    from segstats.sources import files, headers
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(files, "FILES_PER_JOB", 1)
+    for colour, step in ((0, 1), (2, 3), (6, 4), (3, 1)):
+        palette = rng.integers(0, 256, 768).astype(np.uint8).tobytes() if colour == 3 else b""
+        image = rng.integers(0, 256, (11, 7, step))
+        image[..., 3:] |= 1  # a clear pixel keeps its colour
+        for k in "ab":
+            folder = tmp_path / f"s {colour}" / k
+            folder.mkdir(parents=True)
+            (folder / "x.png").write_bytes(filtered_png(image, colour, palette))
+            assert headers.plain_png(lambda at, n, b=(folder / "x.png").read_bytes(): b[at:at + n]) == (colour != 3)
+    assert files.list_files(spark, str(tmp_path)).count() == 8
+    source = spark.read.format("image").option("recursiveFileLookup", "true").load(str(tmp_path)).select("image.*").collect()
+    got = {}
+    for r in files.read_pixels(spark, str(tmp_path)).collect():
+        got.setdefault(r.path.replace("%20", " ").split("s ")[-1], np.full((11, 7), -1))[r.y, r.x] = r.v
+    assert len(got) == len(source) == 8
+    for r in source:
+        data = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+        gray = data[..., 0] if r.nChannels < 3 else files.to_eight_bits(data[..., :3] @ np.array([0.114, 0.587, 0.299]))
+        key = r.origin.replace("%20", " ").split("s ")[-1]
+        assert (got[key] == gray).all(), key
