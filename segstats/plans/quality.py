@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstats.functions.order_stats import order_counts, ordered_counts, percentile_of_counts, value_counts
@@ -19,6 +19,15 @@ def melt(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return objects.select(*keys, *metrics).unpivot(keys, metrics, "metric", "value")
 
 
+#: Rows of a key that one task may sort; a key with more goes by counts of its values.
+ROWS_PER_TASK = 1_000_000
+
+
+def keys_fit(objects: DataFrame, keys: list[str]) -> bool:
+    """Whether the rows of every key fit one task."""
+    return (objects.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= ROWS_PER_TASK
+
+
 def summary(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean, median, population deviation, IQR, extremes and missing count per metric.
 
@@ -95,9 +104,29 @@ def ranks(objects: DataFrame, keys: list[str]) -> DataFrame:
     """Rank, percentile rank and "k of n" text of diameter, thickness and g-ratio.
 
     Missing values count as the lowest, except in the absolute g-ratio rank, which leaves them out and shows -1.
-    One set of value counts serves all three. Rows with a missing value never meet on it: their rank is a constant of
-    their key, and in the joins they are spread by a hash that matches nothing.
+    Keys whose rows fit a task are shuffled once and ranked there. Otherwise one set of value counts serves all three. Rows with a
+    missing value never meet on it: their rank is a constant of their key, and in the joins they are spread by a hash that
+    matches nothing.
     """
+    if keys_fit(objects, keys):
+        of_key = Window.partitionBy(*keys)
+        out = objects.withColumn("_rows", F.count(F.lit(1)).over(of_key))
+        for name, metric in RANKED.items():
+            rising = of_key.orderBy(F.col(metric).asc_nulls_first())  # its range ends with the ties of a row
+            out = out.withColumns({f"_{name}": F.rank().over(rising).cast("bigint"), f"_{name}_last": F.count(F.lit(1)).over(rising)})
+        out = out.withColumn("_absent", (F.col("_rows") - F.count("gratio").over(of_key)))
+        columns = {}
+        for name in RANKED:
+            below = F.col(f"_{name}") - 1
+            rank = F.col(f"_{name}")
+            if name == "gratio":
+                rank = F.when(F.col("gratio").isNull(), F.lit(-1).cast("bigint")).otherwise(rank - F.col("_absent"))
+            columns[f"{name}_rank"] = rank
+            columns[f"{name}_percentile"] = fixed((below + (F.col(f"_{name}_last") - below + 1) / 2) / F.col("_rows") * 100, 1)
+            columns[f"{name}_of"] = F.concat(rank, F.lit(" of "), F.col("_rows"))
+        return out.select(
+            *objects.columns, *[columns[f"{n}_{k}"].alias(f"{n}_{k}") for k in ("rank", "percentile", "of") for n in RANKED]
+        )
     by = [*keys, "metric"]
     counts = value_counts(melt(objects, keys, list(RANKED.values())), by, "value")
     absent = counts.groupBy(*by).agg(

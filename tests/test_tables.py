@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segstats.constants import SUFFIXES
+from segstats.functions import order_stats
 from segstats.functions.order_stats import percentiles, ranked
 from segstats.functions.scalars import file_extension, fixed, float_to_bits, gray_level, round_exact, round_scaled, to_bits
 from segstats.operators import patches
@@ -382,3 +383,15 @@ def test_ranks_where_most_values_are_missing(spark):
         assert row["n"] == len(v) and row["n_missing"] == (frame["s"] == s).sum() - len(v)
         if len(v):
             assert np.allclose([row["mean"], row["std"], row["median"]], [v.mean(), v.std(ddof=0), v.median()])
+
+
+def test_ranks_of_bounded_keys_write_nothing(spark, monkeypatch):
+    """Keys that fit a task are ranked there, with the ranks that counts give."""
+    df = spark.range(600).selectExpr("id % 3 AS s", "id AS line", *[
+        f"CASE WHEN id % {k} > 0 THEN id * 37 % {k + 40} / 8D END AS {name}" for k, name in ((5, "axon_diam"), (7, "myelin_thickness"), (4, "gratio"))
+    ])
+    monkeypatch.setattr(quality, "materialize", None)
+    bounded = sorted(quality.ranks(df, ["s"]).collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(quality, "ROWS_PER_TASK", 0, raising=False)
+    assert bounded == sorted(quality.ranks(df, ["s"]).collect())
