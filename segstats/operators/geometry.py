@@ -9,6 +9,7 @@ from segstats.constants import PALETTE
 from segstats.operators.runs import PIXEL, TILE, as_pixels, as_runs, cut_to_tiles, div, lookup
 
 CROP_TILE = 64
+PIXELS_PER_TASK = 500_000
 
 
 def paint(labels: DataFrame, table: DataFrame, how: str = "inner", tile: int = TILE) -> DataFrame:
@@ -166,12 +167,17 @@ def closeups(
         boxes.withColumn("ty", F.explode(F.sequence(div("top", CROP_TILE), div(F.col("bottom") - 1, CROP_TILE))))
         .withColumn("tx", F.explode(F.sequence(div("left", CROP_TILE), div(F.col("right") - 1, CROP_TILE))))
     )
-    owned = pixels.join(as_pixels(labels).select(*PIXEL, "label"), PIXEL, "left").select(
+    # as many tasks as the images' pixels need, so that the rows a join sorts in one task do not grow with the table
+    n_pixels = images.agg(F.sum(F.col("height").cast("bigint") * F.col("width"))).first()[0] or 0
+    tasks = n_pixels // PIXELS_PER_TASK + images.sparkSession.sparkContext.defaultParallelism
+    own = as_pixels(labels).select(*PIXEL, "label").repartition(tasks, *PIXEL)
+    owned = pixels.repartition(tasks, *PIXEL).join(own, PIXEL, "left").select(
         "*", div("y", CROP_TILE).alias("ty"), div("x", CROP_TILE).alias("tx")
     )
+    tile = ["image_id", "ty", "tx"]
     mine = F.coalesce(F.col("label") == F.col("object"), F.lit(False))
     return (
-        owned.join(spread, ["image_id", "ty", "tx"])
+        owned.repartition(tasks, *tile).join(spread.repartition(tasks, *tile), tile)
         .filter("y >= top AND y < bottom AND x >= left AND x < right")
         .select(
             "image_id", "object", (F.col("y") - F.col("top")).alias("cy"), (F.col("x") - F.col("left")).alias("cx"),

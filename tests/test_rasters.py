@@ -364,3 +364,14 @@ def test_erosion_of_label_runs_that_end_at_tiles(spark, sizes):
     assert labels.count() > block.count()
     kept = [masks.eroded(m, images, 3).filter("kept").count() for m in (block, labels)]
     assert kept[0] == kept[1] > 0
+
+
+def test_closeups_deal_pixels_to_as_many_tasks_as_they_need(draw, sizes, monkeypatch):
+    monkeypatch.setattr(geometry, "PIXELS_PER_TASK", 10, raising=False)
+    monkeypatch.setattr(geometry, "CROP_TILE", 4)
+    mask = draw("00000000 01100000 01100000 00000000 00000110 00000110")
+    labels = label_components(mask, 2)
+    pixels = mask.selectExpr("image_id", "y", "x", "1D AS v", "true AS axon", "false AS myelin")
+    crops = geometry.closeups(region_sums(labels), pixels, labels, sizes((6, 8)), buffer=1)
+    assert crops.rdd.getNumPartitions() >= 4
+    assert sorted((r.object, r.cy, r.cx) for r in crops.filter("own_axon").collect()) == [(k, y, x) for k in (1, 2) for y in (1, 2) for x in (1, 2)]
