@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from segstats.constants import PALETTE
 from segstats.operators.runs import PIXEL, TILE, as_pixels, as_runs, cut_to_tiles, div, lookup
+from segstats.session import materialize
 
 CROP_TILE = 64
-PIXELS_PER_TASK = 500_000
+PIXELS_PER_TASK, SHAPES_PER_TASK = 500_000, 20_000
 
 
 def paint(labels: DataFrame, table: DataFrame, how: str = "inner", tile: int = TILE) -> DataFrame:
@@ -38,8 +39,12 @@ def rasterize(shapes: DataFrame, images: DataFrame) -> DataFrame:
     """Ellipses with a sheath as mask pixels: 255 inside, 127 in the ring, first shape wins.
 
     ``shapes (image_id, shape_id, radius, cx, cy, gratio, plane_angle)``; the angle in
-    degrees stretches x. Each shape only visits the pixels of its own outer ellipse.
+    degrees stretches x. Each shape only visits the pixels of its own outer ellipse; of equal ones only the first can win a pixel.
     """
+    form = ["image_id", "radius", "cx", "cy", "gratio", "plane_angle"]
+    shapes = materialize(shapes.groupBy(*form).agg(F.min("shape_id").alias("shape_id")), "shapes")
+    tasks = shapes.count() // SHAPES_PER_TASK + shapes.sparkSession.sparkContext.defaultParallelism
+    shapes = shapes.repartition(tasks, "image_id", "shape_id")
     outer = F.col("radius") + F.col("radius") * (1 / F.col("gratio") - 1)
     stretch = F.cos(F.radians("plane_angle"))
     sized = shapes.join(images, "image_id").select(

@@ -375,3 +375,13 @@ def test_closeups_deal_pixels_to_as_many_tasks_as_they_need(draw, sizes, monkeyp
     crops = geometry.closeups(region_sums(labels), pixels, labels, sizes((6, 8)), buffer=1)
     assert crops.rdd.getNumPartitions() >= 4
     assert sorted((r.object, r.cy, r.cx) for r in crops.filter("own_axon").collect()) == [(k, y, x) for k in (1, 2) for y in (1, 2) for x in (1, 2)]
+
+
+def test_equal_ellipses_are_painted_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(geometry, "materialize", lambda df, name: seen.append(df.count()) or df, raising=False)
+    one = spark.createDataFrame([(0, 5, 4.0, 10, 10, 0.5, 0.0)], "image_id long, shape_id long, radius double, cx int, cy int, gratio double, plane_angle double")
+    many = one.crossJoin(spark.range(40)).withColumn("shape_id", F.col("id") + 5).drop("id")
+    canvas = spark.createDataFrame([(0, 30, 30)], "image_id long, height int, width int")
+    assert sorted(geometry.rasterize(many, canvas).collect()) == sorted(geometry.rasterize(one, canvas).collect())
+    assert seen == [1, 1]
