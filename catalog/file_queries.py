@@ -48,7 +48,8 @@ LISTING = "listing AS (" + " UNION ALL ".join(
 
 def listing(spark, sf):
     cases = F.array(*[F.when(F.expr(rule), F.lit(end)) for end, rule in _FILES.items()])
-    part = table(spark, sf, "part")
+    # a table in one piece would be one task's work; the narrow rows are dealt first
+    part = table(spark, sf, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     return part.select(F.expr(STEM).alias("base"), F.explode(cases).alias("end")).filter("end IS NOT NULL").select(
         F.concat("base", "end").alias("path")
     )

@@ -9,7 +9,7 @@ from segstats.constants import SUFFIXES, VALID_EXTENSIONS
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def parent_dir(path: Column) -> Column:

@@ -122,11 +122,23 @@ def ready_images(files: DataFrame, mode: str = "myelinated") -> DataFrame:
 
 
 def missing_masks(files: DataFrame, mode: str = "myelinated") -> DataFrame:
-    """``(dir, stem, role)`` of masks a ready image lacks; empty when a batch can run."""
-    needed = ready_images(files, mode).select(
-        "dir", "stem", F.explode(F.array(*[F.lit(r) for r in REQUIRED_MASKS[mode]])).alias("role")
+    """``(dir, stem, role)`` of masks a ready image lacks; empty when a batch can run.
+
+    One pass over the files and one grouping: a path is a mask or a source image, never both.
+    """
+    name = file_name(F.col("path"))
+    role = F.coalesce(*[F.when(name.endswith(SUFFIXES[r]), F.lit(r)) for r in MASK_ROLES])
+    readable = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(".jpeg", ".jpg", ".tif", ".tiff", ".png")
+    each = files.select(parent_dir(F.col("path")).alias("dir"), name.alias("_name"), role.alias("role"), readable.alias("_readable"))
+    base = F.when(F.col("role").isNotNull(), F.regexp_replace("_name", r"_seg-[a-z]+\.png$", "")).otherwise(stem(F.col("_name")))
+    found = each.filter("role IS NOT NULL OR _readable").select("dir", base.alias("stem"), "role").groupBy("dir", "stem").agg(
+        F.count_if(F.col("role").isNull()).alias("_images"), F.collect_set("role").alias("_roles")
     )
-    return needed.join(mask_files(files).select("dir", "stem", "role"), ["dir", "stem", "role"], "left_anti")
+    ready = found.filter(F.array_contains("_roles", TARGET_MASK[mode]) & (F.col("_images") > 0))
+    needed = F.array(*[F.lit(r) for r in REQUIRED_MASKS[mode]])
+    lacking = ready.select("dir", "stem", "_images", F.explode(F.array_except(needed, "_roles")).alias("role"))
+    # a row for each source image of that name
+    return lacking.select("dir", "stem", "role", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_images"))).alias("_k")).drop("_k")
 
 
 def require_masks(files: DataFrame, mode: str = "myelinated") -> DataFrame:

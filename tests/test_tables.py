@@ -395,3 +395,12 @@ def test_ranks_of_bounded_keys_write_nothing(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(quality, "ROWS_PER_TASK", 0, raising=False)
     assert bounded == sorted(quality.ranks(df, ["s"]).collect())
+
+
+def test_missing_masks_in_one_grouping(spark):
+    """A row for each source image of a name, and no join of the listing with itself."""
+    names = ["a.png", "a.TIF", "a_seg-nerve.png", "a_seg-axon.png", "b.png", "b_seg-axon.png", "c_seg-nerve.png", "d.jpg", "d_seg-nerve.png", "d_seg-axon.png", "d_seg-myelin.png"]
+    listing = spark.createDataFrame([(f"/d/{n}",) for n in names] + [(None,)], "path string")
+    found = files.missing_masks(listing, "nerve")
+    assert sorted(tuple(r) for r in found.collect()) == [("/d", "a", "myelin")] * 2
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
