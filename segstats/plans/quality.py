@@ -28,6 +28,24 @@ def keys_fit(objects: DataFrame, keys: list[str]) -> bool:
     return (objects.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= ROWS_PER_TASK
 
 
+def sorted_values(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """``(keys, metric, v, rows, mean, std)``: present values in ascending order; the objects are shuffled once."""
+    dealt = objects.select(*keys, *metrics).repartition(*keys)
+    found = dealt.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.struct(F.lit(m).alias("metric"), F.sort_array(F.collect_list(m)).alias("v"), F.avg(m).alias("mean"), F.stddev_pop(m).alias("std")).alias(f"_{k}")
+          for k, m in enumerate(metrics)],
+    )
+    return found.select(*keys, "rows", F.inline(F.array(*[f"_{k}" for k in range(len(metrics))])))
+
+
+def percentile_of_sorted(p: float, values: str = "v") -> str:
+    """The linearly interpolated percentile of an ascending array, as ``percentile_of_counts`` does it."""
+    place = f"((size({values}) - 1) * {float(p)!r}D)"
+    low, high = (f"get({values}, cast({f}({place}) as int))" for f in ("floor", "ceil"))
+    return f"({low} + ({high} - {low}) * ({place} - floor({place})))"
+
+
 def summary(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean, median, population deviation, IQR, extremes and missing count per metric.
 
@@ -55,12 +73,26 @@ def summary(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
     )
 
 
+BINS = "cast(CASE WHEN iqr > 0 THEN greatest(ceil((high - low) / (2.0D * iqr * pow(rows, -1.0D / 3.0D))), 1) ELSE 1 END as int)"
+BIN = "cast(CASE WHEN high > low THEN least(floor((value - low) * bins / (high - low)), bins - 1) ELSE 0 END as int)"
+
+
 def histogram(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Equal-width histogram per metric with the Freedman-Diaconis bin width, empty bins included.
 
-    Everything comes from the counts of distinct values, so the objects are read once.
+    Keys whose rows fit a task are sorted there; otherwise everything comes from the counts of distinct values.
     """
     by = [*keys, "metric"]
+    if keys_fit(objects, keys):
+        iqr = f"{percentile_of_sorted(0.75)} - {percentile_of_sorted(0.25)}"
+        frame = sorted_values(objects, keys, metrics).filter("size(v) > 0").selectExpr(
+            *by, "v", "get(v, 0) AS low", "get(v, size(v) - 1) AS high", "cast(size(v) as bigint) AS rows", f"{iqr} AS iqr",
+        ).selectExpr(*by, "v", "low", "high", f"{BINS} AS bins")
+        # every value in its bin, and every bin once with none
+        every = "concat(transform(v, x -> struct(x AS value, cast(NULL as int) AS empty)), transform(sequence(0, bins - 1), b -> struct(cast(NULL as double) AS value, b AS empty)))"
+        cells = frame.selectExpr(*by, "low", "high", "bins", f"inline({every})").selectExpr(*by, "low", "high", "bins", f"coalesce(empty, {BIN}) AS bin", "value")
+        counted = cells.groupBy(*by, "low", "high", "bins", "bin").agg(F.count("value").alias("n"))
+        return counted.selectExpr(*by, "bin", "low + bin * ((high - low) / bins) AS low", "n")
     counts = ordered_counts(melt(objects, keys, metrics), by, "value")
     stats = counts.groupBy(*by).agg(
         F.min("value").alias("low"), F.max("value").alias("high"), F.max("total").alias("rows"),
@@ -68,11 +100,11 @@ def histogram(objects: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
     )
     frame = stats.selectExpr(
         *by, "low", "high",
-        "cast(CASE WHEN iqr > 0 THEN greatest(ceil((high - low) / (2.0D * iqr * pow(rows, -1.0D / 3.0D))), 1) ELSE 1 END as int) AS bins",
+        f"{BINS} AS bins",
     )
     placed = counts.join(frame, by).selectExpr(
         *by, "n",
-        "cast(CASE WHEN high > low THEN least(floor((value - low) * bins / (high - low)), bins - 1) ELSE 0 END as int) AS bin",
+        f"{BIN} AS bin",
     )
     counted = placed.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     grid = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
