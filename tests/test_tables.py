@@ -414,3 +414,13 @@ def test_histogram_of_bounded_keys_writes_nothing(spark, monkeypatch):
     monkeypatch.setattr(quality, "ROWS_PER_TASK", 0, raising=False)
     counted = quality.histogram(df, ["s"], ["a", "b"])
     assert bounded == sorted(map(repr, (tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in counted.collect())))
+
+
+def test_summary_of_bounded_keys_writes_nothing(spark, monkeypatch):
+    df = spark.range(600).selectExpr("id % 3 AS s", "CASE WHEN id % 5 > 0 THEN id * 37 % 101 / 8D END AS a", "CASE WHEN id % 3 > 0 THEN id * id % 89 / 4D END AS b")
+    monkeypatch.setattr(order_stats, "materialize", None)
+    bounded = sorted(map(repr, (tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in quality.summary(df, ["s"], ["a", "b"]).collect())))
+    monkeypatch.undo()
+    monkeypatch.setattr(quality, "ROWS_PER_TASK", 0, raising=False)
+    counted = quality.summary(df, ["s"], ["a", "b"])
+    assert bounded == sorted(map(repr, (tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in counted.collect())))
