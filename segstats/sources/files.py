@@ -82,9 +82,9 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def in_tasks(paths: DataFrame) -> DataFrame:
-    """Files dealt to tasks by number."""
-    return paths.repartition(paths.count() // FILES_PER_TASK + paths.sparkSession.sparkContext.defaultParallelism, "path")
+def in_tasks(paths: DataFrame, more: int = 0) -> DataFrame:
+    """Files or pieces of them dealt to tasks by number, and to ``more`` tasks if they are large."""
+    return paths.repartition(paths.count() // FILES_PER_TASK + paths.sparkSession.sparkContext.defaultParallelism + more, *paths.columns)
 
 
 def list_images(files: DataFrame) -> DataFrame:

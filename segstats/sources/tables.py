@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import csv
+import fnmatch
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segstats.constants import AGGREGATE_DIR, DISPLAY_NAMES
 from segstats.functions.scalars import file_name, parent_dir
 from segstats.schema import NERVE, OBJECT_MEASURES
+from segstats.sources.files import in_tasks, list_files, opened
+
+#: Endings of packed files, which are read whole.
+PACKED = (".gz", ".bz2", ".lz4", ".zst")
 
 
 def for_saving(objects: DataFrame) -> DataFrame:
@@ -59,28 +66,103 @@ def _typed(table: DataFrame) -> DataFrame:
     return table.select(*columns)
 
 
-def read_csv_by_name(reader, path: str) -> tuple[DataFrame, str]:
-    """Rows of CSV files whose headers may differ, aligned by column name; what a file lacks is null.
-
-    Also gives the name of the column with the file path. Lines are read as text and meet the header of their own file
-    in a table of one row per file. Only the distinct header lines (the forms of tables, not the files) come to the
-    driver, since they decide the columns. A value may be quoted but has no line break.
+#: Bytes of a file that one task reads, and that it holds at a time.
+PIECE, BLOCK = 64 << 20, 1 << 20
+
+
+def _text_lines(path: str, start: int = 0, end: int | None = None) -> Iterator[list[bytes]]:
+    """Lists of the lines that begin in ``[start, end)`` of a file; lines end with a line feed, a carriage return or both."""
+    store, name = opened(path)
+    packed = name.endswith(PACKED)
+    with store.open_input_stream(name) if packed else store.open_input_file(name) as source:
+        place, held = start, b""
+        if start:  # the line that the piece before ends with belongs to that one
+            place = start - 1
+            source.seek(place)
+            while True:
+                block = source.read(BLOCK)
+                cut = block.find(b"\n")
+                if cut >= 0 or not block:
+                    break
+                place += len(block)
+            place, held = place + cut + 1, block[cut + 1:]
+            if not block or end is not None and place >= end:
+                return
+        while True:
+            # ``held`` begins at ``place``
+            if end is not None and place + len(held) >= end:
+                cut = held.find(b"\n", max(end - 1 - place, 0))
+                if cut >= 0:
+                    yield held[:cut].removesuffix(b"\r").splitlines() if cut else [b""]
+                    return
+            else:
+                cut = held.rfind(b"\n")
+                if cut >= 0:
+                    yield held[:cut + 1].splitlines()
+                    place, held = place + cut + 1, held[cut + 1:]
+            block = source.read(BLOCK)
+            if not block:
+                yield held.splitlines()
+                return
+            held += block
+
+
+def _header(path: str) -> str | None:
+    """The first line of a file without the white space at its end; an empty file has none."""
+    for lines in _text_lines(path):
+        if lines:
+            return lines[0].removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace").removesuffix("\r").rstrip(" ")
+    return None
+
+
+def _forms(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"_header": pa.array([_header(path) for path in batch.column(0).to_pylist()], pa.string())})
+
+
+def _rows(batches):
+    for batch in batches:
+        for path, start, end in zip(*[c.to_pylist() for c in batch.columns]):
+            header, first = _header(path), start == 0
+            for lines in _text_lines(path, start, end):
+                if first and lines:
+                    lines[0], first = lines[0].removeprefix(b"\xef\xbb\xbf"), False
+                lines = [v for v in lines if v]
+                for at in range(0, len(lines), 8192):
+                    part = pa.array(lines[at:at + 8192], pa.binary())
+                    try:
+                        value = part.cast(pa.string())
+                    except pa.ArrowInvalid:  # not UTF-8
+                        value = pa.array([v.decode("utf-8", "replace") for v in part.to_pylist()], pa.string())
+                    yield pa.RecordBatch.from_pydict({
+                        "value": value, "_file": pa.repeat(pa.scalar(path, pa.string()), len(part)), "_header": pa.repeat(pa.scalar(header, pa.string()), len(part)),
+                    })
+
+
+def read_csv_by_name(listing: DataFrame) -> tuple[DataFrame, str]:
+    """Rows of CSV files ``(path, length)`` whose headers may differ, aligned by column name; what a file lacks is null.
+
+    Also gives the name of the column with the file path. Tasks open the files themselves, large ones in pieces, and give every line
+    the header of its file, so that neither files nor lines meet in a join. Only the distinct header lines (the forms of
+    tables, not the files) come to the driver, since they decide the columns. A value may be quoted but has no line break.
     """
-    lines = reader.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
-    )
-    # ids grow within the block that begins a file
-    placed = lines.filter("_block = 0").withColumn("_place", F.monotonically_increasing_id())
-    heads = placed.groupBy("_file").agg(F.min_by("value", "_place").alias("_header"))
-    heads = heads.select("_file", F.rtrim(F.regexp_replace("_header", "\r$", "")).alias("_header"))
-    forms = sorted(r["_header"] for r in heads.select("_header").distinct().collect() if r["_header"])
+    heads = in_tasks(listing.select("path")).mapInArrow(_forms, "_header string")
+    forms = sorted(r["_header"] for r in heads.distinct().collect() if r["_header"])
     split = {form: [name or f"_c{k}" for k, name in enumerate(next(csv.reader([form])))] for form in forms}
     names = list(dict.fromkeys(name for form in forms for name in split[form]))
     width = max((len(v) for v in split.values()), default=0)
+    whole = F.lit(False)
+    for end in PACKED:
+        whole = whole | F.col("path").endswith(end)
+    starts = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(PIECE).cast("bigint")))
+    pieces = listing.select("path", F.explode(starts).alias("start"), whole.alias("_whole")).select(
+        "path", "start", F.when(~F.col("_whole"), F.col("start") + PIECE).alias("end")
+    )
     cells = F.from_csv("value", F.lit(", ".join(f"_{k} string" for k in range(max(width, 1)))))
-    data = (F.col("value") != "") & (F.rtrim("value") != F.col("_header"))
-    # no cells for header lines, as later filters may look at them before this one drops them
-    parsed = lines.join(heads, "_file").select("_file", "_header", F.when(data, cells).alias("_cells")).filter("_cells IS NOT NULL")
+    n_bytes = listing.agg(F.sum("length")).first()[0] or 0
+    parsed = in_tasks(pieces, n_bytes // PIECE).mapInArrow(_rows, "value string, _file string, _header string").filter("rtrim(value) <> _header").select(
+        "_file", "_header", cells.alias("_cells")
+    )
     columns = []
     for name in names:
         value = F.lit(None).cast("string")
@@ -94,7 +176,7 @@ def read_csv_by_name(reader, path: str) -> tuple[DataFrame, str]:
 def read_objects(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
     """Read an object table; types come from the fixed schema, never from inference."""
     if form == "csv":
-        table, file = read_csv_by_name(spark.read, path)
+        table, file = read_csv_by_name(list_files(spark, path))
         table = table.drop(file)
     elif form == "parquet":
         table = spark.read.option("mergeSchema", "true").parquet(path)
@@ -108,8 +190,8 @@ def read_subject_tree(spark: SparkSession, root: str, pattern: str = "*_axon_mor
 
     Folders are named by the subject, plainly or as Spark writes them (``subject_id=...``).
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    table, file = read_csv_by_name(reader, root)
+    listing = list_files(spark, root)
+    table, file = read_csv_by_name(listing.filter(F.regexp_like(file_name(F.col("path")), F.lit(fnmatch.translate(pattern)))))
     path = F.col(file)
     table = table.select(
         "*", F.regexp_replace(file_name(parent_dir(path)), "^subject_id=", "").alias("subject_id"),

@@ -424,3 +424,20 @@ def test_summary_of_bounded_keys_writes_nothing(spark, monkeypatch):
     monkeypatch.setattr(quality, "ROWS_PER_TASK", 0, raising=False)
     counted = quality.summary(df, ["s"], ["a", "b"])
     assert bounded == sorted(map(repr, (tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in counted.collect())))
+
+
+@pytest.mark.parametrize("piece,block", [(1, 3), (5, 2), (13, 7), (1000, 4)])
+def test_pieces_of_a_file_have_each_line_once(tmp_path, monkeypatch, piece, block):
+    text = b"a,b\r\n1,2\n\n33333333333333,4\r\n5,6\n7,\xc3\xa9\n8,9"
+    (tmp_path / "t.csv").write_bytes(text)
+    monkeypatch.setattr(tables, "BLOCK", block)
+    got = [v for start in range(0, len(text), piece) for lines in tables._text_lines(str(tmp_path / "t.csv"), start, start + piece) for v in lines if v]
+    assert got == [v for v in text.splitlines() if v]
+
+
+def test_lines_meet_their_header_without_a_join(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbfgratio,note\r\n0.5,x\r\n")
+    (tmp_path / "b.csv").write_bytes(b"note,gratio\ny,0.25\n\xff,NaN\n")
+    back = tables.read_objects(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in back.filter("gratio > 0").collect()) == [(0.25, "y"), (0.5, "x")] and back.count() == 3
+    assert "Join" not in back._jdf.queryExecution().optimizedPlan().toString()
