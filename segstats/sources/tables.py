@@ -43,7 +43,8 @@ def write_objects(objects: DataFrame, path: str, form: str = "csv", partition_by
         table = table.hint("rebalance", *partition_by)
     writer = table.write.mode("errorifexists")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        # tasks move their files themselves; by default the driver moves all of them, one after another
+        writer = writer.partitionBy(*partition_by).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     if form == "csv":
         writer.option("header", "true").option("nullValue", "NaN").csv(path)
     else:
