@@ -10,13 +10,16 @@ or through others are one component. Equal sets are one point from the start, so
   The matrix has a row per group: the union of its tokens, as a bitmap of ``BITS`` token classes.
 * **Order of opening.** First every point meets the leader of its home, then that of one other group with which it shares a block, which
   joins the bulk of large clusters with one comparison a point; found links are contracted after each round.
-* **Cells and bound.** A cell is a query group and a group that share a block and are not one component. Tokens of a query whose class is not
+* **Rare tokens.** What is left is dealt anew by each point's rarest tokens, of which similar sets share one (prefix filter); tokens that
+  only one component has are lost to its points, and points that have lost too many go. So points beside a large cluster of near
+  copies no longer meet all of it over what they have in common, but those that share their own changes.
+* **Cells and bound.** A cell is a query group and a group that share such a token and are not one component. Tokens of a query whose class is not
   in a group's union are in none of its members; if the rest cannot reach the overlap that a link needs, the group is not opened
   for this query. In opened groups the members' own bitmaps bound the same way, and what remains is compared by whole sets in the same
   task, which gives out a forest of links: no more rows than the cell has points, however many pairs are similar or nearly so.
 
 Tokens are 64-bit hashes (two tokens of a pair are equal by chance once in
-10^13 pairs or so); points are named by 128 bits.
+10^13 pairs or so), as are components where tokens are counted; points are named by 128 bits.
 
 Defined cases: a null or empty text, or one without words, has an empty set, which is linked with nothing, not even with others of its
 kind; with fewer words than a shingle has the whole sequence is one; repeated rows and ids are rows of their own in one component,
@@ -45,6 +48,10 @@ WORDS, PERCENT = 3, 90
 #: Points of a group, token classes of a bitmap, rounds in which leaders of other groups are compared, and in which some of the cells
 #: are opened before all that are left.
 GROUP, BITS, HUBS, PICKS = 64, 4096, 1, 2
+#: Ratio of the sizes in a class.
+SIZE_CLASS = 1.02
+#: Of two groups with their least and greatest components: not all in one component.
+APART = "ga <= gb AND (low <> high OR low_b <> high_b OR low <> low_b)"
 #: Links (some 40 bytes each) that one task joins.
 LINKS_PER_TASK = 1_000_000
 SEED = 42
@@ -199,12 +206,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(fits.filter(similar(F.size(F.array_intersect("x", "y")), F.col("m"), F.col("k"), percent)).select("a", "b"), "similar")
 
 
-def in_groups(members: DataFrame) -> DataFrame:
-    """``(name, grp, leader)``: points by their most shared key, in groups of bounded size."""
-    homes = members.groupBy("name").agg(F.max(F.struct("size", F.xxhash64("key").alias("h"), "key"))["key"].alias("home"))
-    load = homes.groupBy("home").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.min(F.struct(F.xxhash64("name").alias("h"), "name"))["name"].alias("leader"))
+def in_groups(members: DataFrame, apart: list[str] | None = None) -> DataFrame:
+    """``(name, grp, leader)``: points by their most shared key (and the columns ``apart``), in groups of bounded size."""
+    homes = members.groupBy("name", *(apart or ())).agg(F.max(F.struct("size", F.xxhash64("key").alias("h"), "key"))["key"].alias("home"))
+    own = ["home", *(apart or ())]
+    load = homes.groupBy(*own).agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.min(F.struct(F.xxhash64("name").alias("h"), "name"))["name"].alias("leader"))
     part = F.pmod(F.xxhash64("name", F.lit(1)), F.col("parts"))
-    return materialize(homes.join(load, "home").select("name", F.xxhash64("home", part).alias("grp"), "leader"), "groups")
+    return materialize(homes.join(load, own).select("name", F.xxhash64(*own, part).alias("grp"), "leader"), "groups")
+
+
+def apart_at(rows: DataFrame, *also: Column) -> DataFrame:
+    """The keys of ``rows (key, root)`` at which components meet."""
+    ends = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"), *also)
+    return ends.filter("a <> b").drop("a", "b")
+
+
+def open_tokens(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(name, n)`` of the points in ``rows (name, root)``; ``(name, token, many)`` for their tokens that several components have."""
+    here = rows.select("name", "root").distinct().join(sets, "name")
+    tokens = here.select("name", F.xxhash64("root").alias("of"), F.explode("hashes").alias("token"))
+    met = tokens.groupBy("token").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.count("*").alias("many")).filter("a <> b")
+    return here.select("name", "n"), tokens.select("name", "token").join(met.select("token", "many"), "token")
+
+
+def narrowed(places: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(key, name, root, n, reach, own, size)``: what is left of ``places (key, name)``, by keys that part hot ones.
+
+    A token that only one component has is lost to all links of its points; the rest bounds the size ``reach`` of the greatest set with
+    which a point can be similar. A point goes where no size fits. The others are dealt anew by their rarest tokens: two similar sets,
+    in the order of how many points have a token, share one of those before which neither has lost more than a link may lose. How many
+    these are depends on the smaller of the two sizes, hence a key is a token and a class of sizes, ``own`` tells a point's own class,
+    and of two that meet one must have it. Common tokens are no keys of points that lie apart from what they are common to.
+    """
+    left = with_root(places.select("key", "name"), roots, "name", "root")
+    left = materialize(left.join(apart_at(left).select("key"), "key", "left_semi"), "left")
+    each, shared = open_tokens(left, sets)
+    # an id that two names had would only raise the bound
+    both = shared.select(F.xxhash64("name").alias("id")).groupBy("id").agg(F.count("*").alias("both"))
+    reach = F.expr(f"both * {100 + percent} div {percent} - n").alias("reach")
+    bound = each.withColumn("id", F.xxhash64("name")).join(both, "id").filter(100 * F.col("both") >= percent * F.col("n")).select("name", "n", reach)
+    left = left.join(materialize(bound, "bound"), "name")
+    fits = left.groupBy("key").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    left = left.join(fits, "key").filter("least <= reach AND n <= most").select("key", "name", "root")
+    left = materialize(left.join(apart_at(left).select("key"), "key", "left_semi").select("name", "root").distinct(), "left")
+
+    each, shared = open_tokens(left, sets)
+    rarest = shared.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("many", "token"))), lambda x: x["token"]).alias("open"))
+    size_class = lambda n: f"CAST(floor(ln({n}) / ln({SIZE_CLASS})) AS INT)"
+    low = f"greatest(ceil(pow({SIZE_CLASS}, c) - 0.001), ceil({percent} * n / 100))"
+    take = f"CAST(both + 1 - ceil({percent} * (n + {low}) / {100 + percent}) AS INT)"
+    keys = F.expr(f"""explode(flatten(transform(sequence({size_class(f"ceil({percent} * n / 100)")}, {size_class("n")}),
+        c -> transform(slice(open, 1, greatest({take}, 0)), t -> struct(xxhash64(t, c) AS key, c = {size_class("n")} AS own)))))""").alias("at")
+    dealt = each.join(rarest, "name").withColumn("both", F.size("open").cast("bigint")).select("name", "n", reach, keys).select("name", "n", "reach", "at.*")
+    dealt = materialize(dealt.join(left, "name"), "dealt")
+    return materialize(dealt.join(apart_at(dealt, F.max("own").alias("met")).filter("met").drop("met"), "key"), "left")
+
+
+def meetings(left: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(ga, gb)``, once for each key where two groups have different components whose sizes are within reach of each other."""
+    # a row for each key and group, whatever the number of points: the least and greatest component there
+    live = materialize(left.join(groups.select("name", "grp"), "name").groupBy("key", "grp").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"), F.max("reach").alias("most"), F.max("own").alias("own")
+    ), "live")
+    other = live.select("key", F.col("grp").alias("gb"), *[F.col(c).alias(f"{c}_b") for c in ("low", "high", "least", "most", "own")])
+    fit = f"{APART} AND (own OR own_b) AND least <= most_b AND least_b <= most"
+    return live.withColumnRenamed("grp", "ga").join(other, "key").filter(fit).select("ga", "gb")
 
 
 def _open(table: pa.Table, percent: int) -> pa.Table:
@@ -286,21 +352,18 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame |
         one = met.groupBy("name").agg(F.min("hub")["leader"].alias("b"))
         links = links.unionByName(verified(one.select(F.col("name").alias("a"), "b"), sets, percent))
     roots = joined(links)
-    # a row for each key and group, whatever the number of points: the least and greatest component there
-    live = with_root(places, roots, "name", "root").groupBy("key", "grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    live = materialize(live, "live")
-    several = live.groupBy("key").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("key")
-    live = live.join(several, "key", "left_semi")
-    other = live.select("key", F.col("grp").alias("gb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    apart = "ga <= gb AND (low <> high OR low_b <> high_b OR low <> low_b)"
-    cells = materialize(live.withColumnRenamed("grp", "ga").join(other, "key").filter(apart).select("ga", "gb").distinct(), "cells")
+    left = narrowed(places, roots, sets, percent)
+    # large components get groups of their own, so that the few points beside them do not bring all of their groups together
+    large = left.select("name", "root").distinct().groupBy("root").count().filter(F.col("count") >= GROUP).select("root", F.col("root").alias("crowd"))
+    groups = in_groups(left.join(small(large), "root", "left").select("key", "name", "size", F.coalesce("crowd", F.lit(b"")).alias("crowd")), ["crowd"])
+    cells = materialize(meetings(left, groups).distinct(), "cells")
     part = F.pmod(F.xxhash64("ga", "gb"), F.lit(2**PICKS))
     for step in range(PICKS + 1):  # some cells join most components, so that the others need not be opened
         here = with_root(groups.select("name", "grp"), roots, "name", "root")
         whole = here.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         whole_b = whole.select(F.col("grp").alias("gb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
         now = cells.filter(part == step if step < PICKS else part >= step)
-        now = now.join(whole.withColumnRenamed("grp", "ga"), "ga").join(whole_b, "gb").filter(apart).select("ga", "gb")
+        now = now.join(whole.withColumnRenamed("grp", "ga"), "ga").join(whole_b, "gb").filter(APART).select("ga", "gb")
         now = materialize(now, "now")
         if now.isEmpty():
             continue

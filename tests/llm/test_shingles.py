@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from segstats.llm import shingles
+from segstats.llm import jaccard, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,33 @@ def test_hot_bucket_opens_few_cells(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     kept = sorted(r.doc_id for r in shingles.keep_first(frame).collect())
     assert kept == sorted(plain_kept(docs))
+
+
+def test_meetings_of_groups_grow_with_the_points(spark, monkeypatch):
+    """Copies of one text, a part of which lie beyond the limit from all others: groups meet as often as there are more points."""
+    def made(n):
+        rng, docs, met = np.random.default_rng(7), [], []
+        base = [f"w{k}" for k in range(140)]
+        for doc in range(n):
+            w = list(base)
+            for at in rng.integers(0, 140, int(rng.integers(0, 8))):
+                w[at] = f"x{rng.integers(0, 300)}"
+            docs.append((doc, " ".join(w)))
+        keep = jaccard.materialize
+
+        def seen(df, name="cut"):
+            out = keep(df, name)
+            if name == "live":  # (key, grp, low, high): groups at a key, least and greatest component
+                other = out.select("key", F.col("grp").alias("gb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+                met.append(out.join(other, "key").filter("grp <= gb AND (low <> high OR low_b <> high_b OR low <> low_b)").count())
+            return out
+
+        monkeypatch.setattr(jaccard, "materialize", seen)
+        kept = sorted(r.doc_id for r in shingles.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+        monkeypatch.setattr(jaccard, "materialize", keep)
+        return docs, kept, sum(met)
+
+    docs, kept, few = made(300)
+    assert kept == sorted(plain_kept(docs)) and 20 < len(kept) < 280
+    _, _, many = made(1500)
+    assert many < 20 * 1500 and many < 12 * max(few, 300), (few, many)
