@@ -17,6 +17,7 @@ points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -92,6 +93,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the field ---------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[^\W_]+|\S")
+#: Where tokens that candidate segments lie around can begin.
+TRIGGER = re.compile(r"[@+]|[0-9]+|at|dot")
 AT = r"(?:@|\x20?\[at\]\x20?|\x20?\(at\)\x20?|\x20at\x20)"
 DOT = r"(?:\.|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?|\x20dot\x20)"
 SPELLED = r"\x20?\[dot\]\x20?|\x20?\(dot\)\x20?|\x20dot\x20"
@@ -160,16 +163,17 @@ class Stretch:
         self.tokens = tokens
         self.edges: list[tuple[int, int, str, list[int]]] = []
         marks = [i for i, (a, b) in enumerate(tokens) if text[a:b] in ("@", "at")]
-        next_mark = np.searchsorted(marks, np.arange(len(tokens)))
+        following = np.append(marks, len(tokens) + MAX_TOKENS)[np.searchsorted(marks, np.arange(len(tokens)))]
+        mark_near = (following < np.arange(len(tokens)) + MAX_TOKENS).tolist()
         # each token with the gap before it, cut short
         shadow = []
         for (_, gap), (a, b) in zip([(0, tokens[0][0]), *tokens], tokens):
             between = text[gap:a]
-            shadow.append(("\n" if "\n" in between else between[:SHADOW], shorter(text, a, b)))
+            shadow.append(("\n" if "\n" in between else between[:SHADOW], text[a:b] if b - a <= SHADOW else shorter(text, a, b)))
         for i, (a, b) in enumerate(tokens):
             first = text[a]
             numeric = first in "+(" or "0" <= first <= "9"
-            mailish = next_mark[i] < len(marks) and marks[next_mark[i]] < i + MAX_TOKENS and first.isalnum()
+            mailish = mark_near[i] and first.isalnum()
             if not (numeric or mailish):
                 continue
             cues = {text[x:y].lower() for x, y in tokens[max(0, i - 3):i] if y - x <= SHADOW}
@@ -193,12 +197,15 @@ class Stretch:
 
 
 def stretches(text: str) -> Iterator[Stretch]:
-    tokens = [m.span() for m in TOKEN.finditer(text)]
-    triggers = [
-        i for i, (a, b) in enumerate(tokens)
-        if text[a] in "@+" or ("0" <= text[a] <= "9" and text[a:b].isdigit()) or (text[a:b] == "at" and text[a - 1:a] in ("[", "("))
-        or text[a:b] == "dot"
-    ]
+    tokens = list(map(re.Match.span, TOKEN.finditer(text)))
+    triggers = []
+    for m in TRIGGER.finditer(text):  # few of a long text's tokens, so they are not all looked at
+        i = bisect_left(tokens, (m.start(),))
+        if i == len(tokens) or tokens[i][0] != m.start():
+            continue  # within a token
+        a, b = tokens[i]
+        if text[a] in "@+" or ("0" <= text[a] <= "9" and text[a:b].isdigit()) or (text[a:b] == "at" and text[a - 1:a] in ("[", "(")) or text[a:b] == "dot":
+            triggers.append(i)
     low = high = None
     for i in triggers:
         if high is not None and i - AROUND > high:

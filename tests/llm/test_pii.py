@@ -157,3 +157,21 @@ def test_time_is_linear_in_long_words_dots_and_spelled_dots():
         assert large < 4 and large < 25 * max(small, 0.02), (name, small, large)
     assert seconds("x" * 200_000 + "@site.org")[1] == [("email", 0, 200_009)]
     assert seconds("x" * 200_000 + " mail joe [at] site [dot] org")[1] == [("email", 200_006, 200_029)]
+
+
+def test_stretches_lie_around_all_triggers():
+    rng = np.random.default_rng(4)
+    parts = ["at", "dot", "[", "(", "@", "+", "7", "42", "٤", "x", "_", " ", ".", "a7", "7a", "é", "dat", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 90)))
+        tokens = [m.span() for m in pii.TOKEN.finditer(text)]
+        triggers = [
+            i for i, (a, b) in enumerate(tokens)
+            if text[a] in "@+" or ("0" <= text[a] <= "9" and text[a:b].isdigit()) or (text[a:b] == "at" and text[a - 1:a] in ("[", "(")) or text[a:b] == "dot"
+        ]
+        ranges = []
+        for i in triggers:
+            if not ranges or i - pii.AROUND > ranges[-1][1]:
+                ranges.append([max(0, i - (pii.MAX_TOKENS if text[tokens[i][0]] == "@" else pii.AROUND)), 0])
+            ranges[-1][1] = min(len(tokens) - 1, i + pii.AROUND)
+        assert [s.tokens for s in pii.stretches(text)] == [tokens[low:high + 1] for low, high in ranges], text
